@@ -155,3 +155,55 @@ def slices(texts_: list[bytes], limit: int = 1 << 25):
         total += len(t) + 1
     if start < len(texts_):
         yield start, len(texts_)
+
+
+def drop_ids(docs: DataFrame, bad: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """docs without the rows whose doc_id is in bad(doc_id). A list of at most `most` ids is broadcast, a longer one shuffled."""
+    ids = spill(bad.select(F.col("doc_id").alias("bad_id")).distinct(), "ids")
+    if ids.count() <= most:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids.bad_id), "left_anti")
+
+
+class Bloom:
+    """A bit map of fixed size: which ids may be in a set. What it lets through by chance a later exact join drops."""
+
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    @classmethod
+    def of(cls, ids: DataFrame, column: str, bits: int = 25) -> Bloom:
+        """Of a column of longs. Its 2**bits bits come to the driver as at most 2**bits / 64 rows, whatever the table's size."""
+        slots = ids.select(F.pmod(F.xxhash64(column), F.lit(1 << bits)).alias("slot"))
+        rows = slots.selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, cast(slot & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
+        got = rows.toArrow()
+        words = np.zeros(1 << (bits - 6), dtype=np.int64)
+        words[got["w"].to_numpy()] = got["b"].to_numpy()
+        return cls(bits, words.view(np.uint64))
+
+    def has(self, slots: np.ndarray) -> np.ndarray:
+        """slots: pmod(xxhash64(id), 2**bits), which the plan adds as a column."""
+        return (self.words[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b), longs: node, root (the smallest node reachable), for nodes that have an edge.
+
+    Alternates large-star and small-star steps; every step is written to the shared folder, so its lineage is short.
+    """
+    now = spill(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo <> hi").distinct(), "edges")
+    seen = None
+    while True:
+        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo <> hi").distinct()
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        joined = large.join(low, "hi")
+        small = joined.select(F.col("m").alias("lo"), "hi").union(joined.filter("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).distinct()
+        after = spill(small, "edges")
+        mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi") % 1_000_000_007)).first())
+        discard(now)
+        now = after
+        if mark == seen:
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())
+        seen = mark

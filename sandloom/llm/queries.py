@@ -6,8 +6,11 @@ import importlib
 
 MODULES = {
     "op1_best_fit_packing": "packing",
+    "op3_decontamination": "decontamination",
     "op5_token_output": "token_output",
     "op7_exact_dedup": "exact_dedup",
+    "op9_warc": "warc",
+    "op10_ngram_jaccard": "jaccard",
 }
 
 
