@@ -3,26 +3,63 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 
 import numpy as np
 
 _loaded: dict = {}
 
 
+#: A word that is one run of letters to the tokenizer, before and after its normaliser, and what punctuation may follow it.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
 class WordCached:
-    """For tokenizers that drop white space: ids of a text are those of its words, so each word is encoded once.
+    """For word-end tokenizers that drop white space: ids of a text are those of its words, so each word is encoded once.
 
-    Words are split at ASCII white space only; whatever else the tokenizer does happens inside a word. The cache is
+    Words are split at ASCII white space only; whatever else the tokenizer does happens inside a word. New words that are
+    letters, with or without punctuation behind, are encoded many in one text: such a run of letters always ends in a
+    token with the word-end mark, which tells them apart again. Other new words are encoded one by one. The cache is
     emptied when it holds `most` words, so memory is bounded.
     """
 
     def __init__(self, path: str, most: int = 600_000):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        mark = json.load(open(path, encoding="utf-8"))["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        self.ends = None
+        if mark:
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for w, i in vocab.items() if w.endswith(mark)]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, odd = [], []
+        for w in words:
+            t = w.decode()
+            m = _PLAIN.fullmatch(t) if self.ends is not None else None
+            (odd if m is None else plain).append((w, t) if m is None else (w, *m.groups()))
+        tails = list({p for _, _, p in plain if p})
+        odd += [(p.encode(), p) for p in tails]
+        for (w, _), ids in zip(odd, self._ids([t for _, t in odd]), strict=True):
+            self.cache[w] = ids.tobytes()
+        tail = {p: self.cache[p.encode()] for p in tails} | {"": b""}
+        for k in range(0, len(plain), 500):
+            part = plain[k : k + 500]
+            (ids,) = self._ids([" ".join(c for _, c, _ in part)])
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(part):
+                raise AssertionError("words and their ids don't match")
+            raw, at = ids.tobytes(), 0
+            for (w, _, p), to in zip(part, ends.tolist(), strict=True):
+                self.cache[w] = raw[at:to] + tail[p]
+                at = to
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
@@ -31,11 +68,7 @@ class WordCached:
         if len(self.cache) + len(new) > self.most:
             self.cache = {}
             new = set().union(*split)
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self._learn(list(new))
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
