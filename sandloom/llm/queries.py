@@ -6,7 +6,9 @@ import importlib
 
 MODULES = {
     "op1_best_fit_packing": "packing",
+    "op2_lm_scoring": "lm_scoring",
     "op3_decontamination": "decontamination",
+    "op4_substring_dedup": "substring_dedup",
     "op5_token_output": "token_output",
     "op7_exact_dedup": "exact_dedup",
     "op9_warc": "warc",
