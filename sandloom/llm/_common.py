@@ -125,9 +125,9 @@ def words_of_batch(texts_: list[bytes], lower: bool = False, second: bool = Fals
         at = starts[live] + 8 * k
         left = np.minimum(ends[live] - at, 8)
         chunk = np.ascontiguousarray(eight[at]).view("<u8").ravel() & masks[left]
-        h[live] += mix(chunk + _P * np.uint64(2 * k + 1))
+        h[live] += mix(chunk + np.uint64(int(_P) * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF))
         if second:
-            g[live] += mix((chunk ^ _B) * _A + _P * np.uint64(2 * k + 7))
+            g[live] += mix((chunk ^ _B) * _A + np.uint64(int(_P) * (2 * k + 7) & 0xFFFFFFFFFFFFFFFF))
         live = live[ends[live] - starts[live] > 8 * (k + 1)]
         k += 1
     return (mix(h), first, mix(g)) if second else (mix(h), first)
@@ -145,7 +145,7 @@ def window_hashes(h: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     return mix(out)
 
 
-def slices(texts_: list[bytes], limit: int = 1 << 25):
+def slices(texts_: list[bytes], limit: int = 1 << 23):
     """Index ranges of texts of about `limit` bytes together, so that work space stays bounded."""
     start = total = 0
     for i, t in enumerate(texts_):
@@ -181,6 +181,26 @@ class Bloom:
         words[got["w"].to_numpy()] = got["b"].to_numpy()
         return cls(bits, words.view(np.uint64))
 
+    @classmethod
+    def of_slots(cls, keys: DataFrame, column: str, slots, bits: int = 25) -> Bloom:
+        """The same, with slots(keys, bits) as the hash function, for keys that are made in Python."""
+
+        def put(batches):
+            import pyarrow as pa
+
+            words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+            for b in batches:
+                s = slots(b.column(0).to_numpy().view(np.uint64), bits)
+                np.bitwise_or.at(words, s >> 6, np.uint64(1) << (s & 63).astype(np.uint64))
+            at = np.flatnonzero(words)
+            for k in range(0, len(at), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(words[at[k : k + (1 << 16)]].view(np.int64))], ["w", "b"])
+
+        got = keys.select(column).mapInArrow(put, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        words = np.zeros(1 << (bits - 6), dtype=np.int64)
+        words[got["w"].to_numpy()] = got["b"].to_numpy()
+        return cls(bits, words.view(np.uint64))
+
     def has(self, slots: np.ndarray) -> np.ndarray:
         """slots: pmod(xxhash64(id), 2**bits), which the plan adds as a column."""
         return (self.words[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
