@@ -10,7 +10,9 @@ MODULES = {
     "op3_decontamination": "decontamination",
     "op4_substring_dedup": "substring_dedup",
     "op5_token_output": "token_output",
+    "op6_quality": "quality",
     "op7_exact_dedup": "exact_dedup",
+    "op8_toxicity": "toxicity",
     "op9_warc": "warc",
     "op10_ngram_jaccard": "jaccard",
 }
