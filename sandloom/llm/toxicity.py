@@ -186,7 +186,8 @@ def choose_landmarks(texts_: list[bytes], toxic: np.ndarray, most: int = 64, har
     ranked = sorted((w for w, c in count[1].items() if c >= 3 and z(w) > 3), key=lambda w: (-z(w), w))[:2000]
     owner, key, value, _ = feature_map(ranked)
     bounds = np.searchsorted(owner, np.arange(len(ranked) + 1))
-    held = np.zeros((most, 1 << KEY_BITS), np.float32) if ranked else None
+    keys, key = np.unique(key, return_inverse=True)
+    held = np.zeros((most, len(keys)), np.float32)
     chosen: list[bytes] = []
     for w, a, b in zip(ranked, bounds[:-1], bounds[1:], strict=True):
         if b > a and (held[: len(chosen), key[a:b]] @ value[a:b] < 0.7).all():
