@@ -13,7 +13,14 @@ def oracle(sql: str, sf_dir: str):
     return con.execute(sql).df()
 
 
+def shown(v) -> str:
+    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        return "null"
+    if isinstance(v, float):
+        return f"{v:.6g}"
+    return str(int(v)) if type(v).__name__.startswith(("int", "uint")) and abs(int(v)) >= 10**6 else f"{v:.6g}" if type(v).__name__.startswith(("int", "uint")) else str(v)
+
+
 def rows(pdf):
     cols = sorted(pdf.columns)
-    text = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
-    return cols, sorted(tuple(text(v) for v in r) for r in pdf[cols].itertuples(index=False, name=None))
+    return cols, sorted(tuple(shown(v) for v in r) for r in pdf[cols].itertuples(index=False, name=None))
