@@ -10,7 +10,7 @@ scored texts have are looked up the same way. A text's score is the sum over its
 
 Scoring looks strings up in a hash table. If there are at most `table_most` strings, all are in it; else those that
 make up at least 1 / table_most of all occurrences (so no more than table_most are), and the others are shuffled and
-joined. Word counts for the base score are handled likewise.
+joined. Word counts for the base score are handled likewise, with `words_most`.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def _batch(cols: dict):
     return pa.RecordBatch.from_arrays([pa.array(v) for v in cols.values()], list(cols))
 
 
-def _gather(batches, mode=None, limit: int = 1 << 21):
+def _gather(batches, mode=None, limit: int = 1 << 20):
     """Rows (kind, key, train, total): kind 0 words, 1 strings. Added up in a task until it holds some millions of keys."""
     held = {0: [], 1: []}
 
@@ -112,7 +112,7 @@ def _gather(batches, mode=None, limit: int = 1 << 21):
 
     for b in batches:
         ids, t = b.column(0).to_pylist(), text_bytes(b.column(1))
-        for i, j in slices(t, 1 << 22):
+        for i, j in slices(t, 1 << 20):
             train = np.array([crc_mod_py(k) != 1 for k in ids[i:j]])
             h, first = words_of_batch(t[i:j], lower=True)
             v, begin = strings(t[i:j])
@@ -216,7 +216,7 @@ def _score(batches, words=None, trie=None, whole=None):
 
     for b in batches:
         ids, t, row = b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_numpy()
-        for i, j in slices(t, 1 << 22):
+        for i, j in slices(t, 1 << 19):
             w, g = _worker_table("words", words), _worker_table("trie", trie)
             h, first = words_of_batch(t[i:j], lower=True)
             v, begin = strings(t[i:j])
@@ -238,7 +238,7 @@ def _score(batches, words=None, trie=None, whole=None):
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(x) for x in f.values())], ["doc_id", *f])
 
 
-def lm_scores(docs: DataFrame, table_most: int = 1 << 21, holdout: int = 5) -> DataFrame:
+def lm_scores(docs: DataFrame, table_most: int = 1 << 21, words_most: int = 1 << 20, holdout: int = 5) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are the end token alone. Rows that repeat a doc_id are counted and scored each. A null doc_id
@@ -258,10 +258,10 @@ def lm_scores(docs: DataFrame, table_most: int = 1 << 21, holdout: int = 5) -> D
 
     def often(frame: DataFrame, kind: int) -> DataFrame:
         """All keys if they are few, else those frequent enough that there can't be more than table_most."""
-        s = sums.get(kind)
-        return frame if s is None or s.keys <= table_most else frame.filter(F.col("total") * table_most >= s.total)
+        s, most = sums.get(kind), (words_most, table_most)[kind]
+        return frame if s is None or s.keys <= most else frame.filter(F.col("total") * most >= s.total)
 
-    few = [sums[k].keys <= table_most if k in sums else True for k in (0, 1)]
+    few = [sums[k].keys <= (words_most, table_most)[k] if k in sums else True for k in (0, 1)]
     got = often(counts.filter("kind = 0"), 0).select("key", "train").toArrow()
     c = got["train"].to_numpy()
     mark = str(id(counts)) + str(np.random.default_rng().integers(1 << 60))

@@ -57,7 +57,7 @@ def test_against_brute_force_with_and_without_whole_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int").repartition(3)
     want = sorted(brute(rows), key=lambda r: (str(r[0]), r[6]))
     for most in (1 << 20, 8):
-        got = sorted((tuple(r) for r in lm_scores(docs, table_most=most).collect()), key=lambda r: (str(r[0]), r[6]))
+        got = sorted((tuple(r) for r in lm_scores(docs, table_most=most, words_most=most).collect()), key=lambda r: (str(r[0]), r[6]))
         assert [g[:5] for g in got] == [w[:5] for w in want]
         np.testing.assert_allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-5)
     assert lm_scores(docs.limit(0)).count() == 0
