@@ -85,8 +85,8 @@ def vocabulary(rows: DataFrame, key: str, text: str) -> DataFrame:
 def encode_padded(rows: DataFrame, vocab: DataFrame, key: str, text: str, length: int = 25) -> DataFrame:
     """key, ids: the last `length` word ids, zeros before them; words that vocab lacks are 1."""
     t = rows.select(key, F.posexplode_outer(T.words(T.classifier_text(text))).alias("pos", "term"))
-    coded = t.join(vocab, "term", "left").select(key, "pos", F.when(F.col("term").isNotNull(), F.coalesce("term_id", F.lit(1).cast("long"))).alias("id"))
-    ids = coded.groupBy(key).agg(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("pos", "id")), lambda x: x["id"].isNotNull())), lambda x: x["id"]).alias("ids"))
+    coded = t.join(vocab, "term", "left").select(key, "pos", F.when(F.col("term").isNotNull(), F.coalesce("term_id", F.lit(1).cast("long"))).alias("_code"))
+    ids = coded.groupBy(key).agg(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("pos", "_code")), lambda x: x["_code"].isNotNull())), lambda x: x["_code"]).alias("ids"))
     last = F.when(F.size("ids") > length, F.slice("ids", -length, length)).otherwise(F.col("ids"))
     return ids.select(key, F.concat(F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), length - F.size("ids"))), last).alias("ids"))
 
