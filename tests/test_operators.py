@@ -241,3 +241,33 @@ def test_split_is_stable(spark):
     assert corpus.spot_check(d, 15, "id").count() == 15
     with pytest.raises(AssertionError):
         assert corpus.head(d, 3, "id").count() == 4
+
+
+def test_figures_triggers_and_service(spark, tmp_path):
+    from sandloom.operators import records
+    from sandloom.plans.service import Service
+    from sandloom.streaming import sessions
+
+    i = spark.createDataFrame([(1, 0.0, 0.0, 20.0, 90.0), (2, 0.0, 0.0, 80.0, 80.0), (3, 0.0, 0.0, 200.0, 90.0)], "n int, x0 double, y0 double, x1 double, y1 double")
+    assert [r.n for r in records.figures(i).collect()] == [3]
+    e = spark.createDataFrame([(1, 0.0, None, False), (1, 10.0, None, True), (1, 20.0, None, True), (1, 30.0, "c1", False), (1, 40.0, "c1", True), (1, 930.0, None, False)], "repo long, ts double, commit string, changed boolean")
+    assert [r.fired for r in sessions.fold(e, records.ChangeTrigger).orderBy("ts").collect()] == [False, True, False, True, False, True]
+
+    s = Service(spark, str(tmp_path))
+    text = "light travels in straight lines through air and water alike"
+    rows = [("b.pdf", 1, k, f"{text} {k}", "en", 8, "science", 0, "textbook", [1.0, float(k)]) for k in range(4)] + [("b.pdf", 2, 0, "tiny", "en", 8, "science", 0, "textbook", [0.0, 1.0])]
+    c = spark.createDataFrame(rows, "file_path string, page int, seq int, text string, medium string, class_level int, subject string, term int, content_type string, embedding array<double>")
+    assert [r.reason for r in s.ingest(c).collect()] == ["too short"]
+    assert s.dashboard().first().total == 0
+    s.report(spark.createDataFrame([(1, "The mass of the earth is wrong")], "id long, issue string"))
+    s.review(spark.createDataFrame([(1, "approved", "It is 6e24 kg")], "id long, status string, correction string"))
+    assert [(r.status, r.correction) for r in s.corrections().collect()] == [("approved", "It is 6e24 kg")]
+    q = spark.createDataFrame(
+        [(1, "what is the mass of the earth?", "en"), (2, "how does light move", "en"), (3, "how does light move", "ta")], "request_id long, question string, medium string"
+    )
+    q = q.select("*", F.lit(8).alias("class_id"), F.lit(0).alias("term"), F.lit("science").alias("subject"), F.array(F.lit("textbook")).alias("allowed"), F.lit("en").alias("fallback_language"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    got = s.retrieve(q, 1).collect()
+    assert [r.correction for r in got if r.request_id == 1] == ["It is 6e24 kg"]
+    assert len([r for r in got if r.request_id == 2]) == 2 and all(r.fallback_used for r in got if r.request_id == 3)
+    s.record_feedback(spark.createDataFrame([("s", "q", "a", "correct", False), ("s", "q", "a", "bad", True)], "session_id string, query string, answer string, rating string, citation_errors boolean"))
+    assert tuple(s.dashboard().first()) == (2, 1, 1, 1, 50.0)
