@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import sys
 import tempfile
 import uuid
 import zlib
@@ -45,6 +47,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver notice plans that are done with, so that Spark deletes their shuffle files: an iteration of many small
+    jobs leaves more of them than the driver's own rare collections would clear."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -145,7 +156,32 @@ def window_hashes(h: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     return mix(out)
 
 
-def slices(texts_: list[bytes], limit: int = 1 << 23):
+def parts(batches, text: int = 1, rows: int = 1024, limit: int = 1 << 22):
+    """Record batches in parts of at most `rows` rows and about `limit` bytes of text: (part, texts)."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            x = b.slice(k, rows)
+            t = text_bytes(x.column(text))
+            for i, j in slices(t, limit):
+                yield x.slice(i, j - i), t[i:j]
+    release()
+
+
+def release() -> None:
+    """Give memory that this worker has freed back to the system: workers are kept between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(AttributeError, OSError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(texts_: list[bytes], limit: int = 1 << 22):
     """Index ranges of texts of about `limit` bytes together, so that work space stays bounded."""
     start = total = 0
     for i, t in enumerate(texts_):
@@ -224,6 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi") % 1_000_000_007)).first())
         discard(now)
         now = after
+        sweep(now.sparkSession)
         if mark == seen:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())
         seen = mark

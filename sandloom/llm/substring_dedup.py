@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Bloom, discard, mix, slices, spill, table, text_bytes, texts, window_hashes, words_of_batch
+from ._common import Bloom, discard, mix, parts, spill, table, texts, window_hashes, words_of_batch
 
 SIZE, GRAM = 20, 10
 _U = np.uint64
@@ -68,12 +68,10 @@ def anchors(h: np.ndarray, first: np.ndarray):
 def _keys(batches):
     import pyarrow as pa
 
-    for b in batches:
-        t = text_bytes(b.column(1))
-        for i, j in slices(t):
-            h, first, g = words_of_batch(t[i:j], second=True)
-            k1, k2 = sequence_keys(h, g, first)
-            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.diff(first)), pa.array(k1), pa.array(k2)], ["doc_id", "n_words", "k1", "k2"])
+    for b, t in parts(batches):
+        h, first, g = words_of_batch(t, second=True)
+        k1, k2 = sequence_keys(h, g, first)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), pa.array(k1), pa.array(k2)], ["doc_id", "n_words", "k1", "k2"])
 
 
 def _anchor_rows(batches, limit: int = 1 << 20):
@@ -87,20 +85,18 @@ def _anchor_rows(batches, limit: int = 1 << 20):
         at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         return _batch({"h": a[at].view(np.int64), "lo": p[at], "hi": p[np.append(at[1:], len(a)) - 1]})
 
-    for b in batches:
-        t = text_bytes(b.column(1))
-        for i, j in slices(t, 1 << 23):
-            h, first, g = words_of_batch(t[i:j], second=True)
-            k1, _ = sequence_keys(h, g, first)
-            _, at, best = anchors(h, first)
-            once = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
-            at, best = at[once], best[once]
-            doc = np.searchsorted(first, at, side="right") - 1
-            held.append((best, mix(k1[doc].view(_U) + (at - first[doc]).astype(_U)).view(np.int64)))
-            size += len(best)
-            if size > limit:
-                yield out()
-                held, size = [], 0
+    for _, t in parts(batches):
+        h, first, g = words_of_batch(t, second=True)
+        k1, _ = sequence_keys(h, g, first)
+        _, at, best = anchors(h, first)
+        once = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+        at, best = at[once], best[once]
+        doc = np.searchsorted(first, at, side="right") - 1
+        held.append((best, mix(k1[doc].view(_U) + (at - first[doc]).astype(_U)).view(np.int64)))
+        size += len(best)
+        if size > limit:
+            yield out()
+            held, size = [], 0
     if size:
         yield out()
 
@@ -174,29 +170,28 @@ def _windows(batches, bloom=None, limit: int = 1 << 20):
             r = mix(d.view(_U) * _U(31) + s.astype(_U)).view(np.int64)
             yield _batch({"w": r, "v": r, "doc_id": d, "start": s, "n": n})
 
-    for b in batches:
-        t, ids = text_bytes(b.column(1)), b.column(0).fill_null(-(1 << 63)).to_numpy()
-        for i, j in slices(t, 1 << 23):
-            h, first, g = words_of_batch(t[i:j], second=True)
-            k1, _ = sequence_keys(h, g, first)
-            live = np.ones(j - i, dtype=bool)
-            for k, (key, doc) in enumerate(zip(k1.tolist(), ids[i:j].tolist(), strict=True)):
-                if seen.get(key, doc + 1) <= doc:
-                    live[k] = False  # equals an earlier document of this task: its windows are all late, which its class says
-                elif len(seen) < 500_000:
-                    seen[key] = doc
-            starts, at, best = anchors(h, first)
-            if not len(starts):
-                continue
-            doc = np.searchsorted(first, starts, side="right") - 1
-            hit = bloom.value.has(_slots(best, bloom.value.bits)) & live[doc]
-            starts, doc = starts[hit], doc[hit]
-            if len(starts):
-                held.append((window_hashes(h, SIZE)[starts], window_hashes(g, SIZE, 5)[starts], ids[i:j][doc], starts - first[doc]))
-                size += len(starts)
-            if size > limit:
-                yield from out()
-                held, size = [], 0
+    for b, t in parts(batches):
+        ids = b.column(0).fill_null(-(1 << 63)).to_numpy()
+        h, first, g = words_of_batch(t, second=True)
+        k1, _ = sequence_keys(h, g, first)
+        live = np.ones(len(t), dtype=bool)
+        for k, (key, doc) in enumerate(zip(k1.tolist(), ids.tolist(), strict=True)):
+            if seen.get(key, doc + 1) <= doc:
+                live[k] = False  # equals an earlier document of this task: its windows are all late, which its class says
+            elif len(seen) < 500_000:
+                seen[key] = doc
+        starts, at, best = anchors(h, first)
+        if not len(starts):
+            continue
+        doc = np.searchsorted(first, starts, side="right") - 1
+        hit = bloom.value.has(_slots(best, bloom.value.bits)) & live[doc]
+        starts, doc = starts[hit], doc[hit]
+        if len(starts):
+            held.append((window_hashes(h, SIZE)[starts], window_hashes(g, SIZE, 5)[starts], ids[doc], starts - first[doc]))
+            size += len(starts)
+        if size > limit:
+            yield from out()
+            held, size = [], 0
     if size:
         yield from out()
 
@@ -234,9 +229,9 @@ def _cut(batches):
     """Kept words of each text: doc_id, n_words, n_removed, kept_sha256, kept_text."""
     import pyarrow as pa
 
-    for b in batches:
+    for b, texts_ in parts(batches):
         rows = []
-        for doc, t, whole, spans in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for doc, t, whole, spans in zip(b.column(0).to_pylist(), texts_, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             words = t.split()
             n = len(words)
             if whole and n >= SIZE:
