@@ -8,12 +8,14 @@ segment met, every segment would differ by its weight at least, more than H toge
 chosen for each band by cost (`allocate`). A set that is small or lop-sided may have too many empty segments, which are
 not indexed; those sets are left over for the exact fallback below.
 
-Sets are compared once for each class of equal sets. Of a segment's sets the smallest is compared with each of the others,
-both within a map task (so a segment that very many sets share is a few rows a task after it) and across tasks. That finds
-one link for each pair of sets, and chains of links for larger groups. Groups that still hang together by candidates but
-not by links, and the sets left over, are joined exactly by prefix: two sets with the similarity share an element among
-the first |r| - ceil(t|r|) + 1 of each, in an order that puts elements known to be common last; elements whose sets are
-all linked already are skipped. Candidates are verified on their whole sets.
+Sets are compared once for each class of equal sets. Of a signature's sets the smallest is compared with each of the others.
+If a map task has many sets of one signature, they go on under a signature of that task's own, and only their smallest
+under the shared one, so that no reducer gets a hot signature whole. For a signature of two sets that is all; in larger
+groups it makes chains of links. A group is torn if its sets are not all linked in the end. The sets of a torn group of up
+to FEW are compared with each other. Whatever is linked with a set of a larger torn group, and the sets left over, are joined exactly by prefix: two sets with the similarity share an element among
+the first |r| - ceil(t|r|) + 1 of each, in an order that puts the elements that most of these sets have last; elements
+whose sets are all linked already are skipped. Candidates that a bit sketch of both sets doesn't rule out are verified on the whole
+sets.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Bloom, components, discard, mix, slices, spill, table, text_bytes, texts, window_hashes, words_of_batch
+from ._common import Bloom, components, discard, mix, parts, release, spill, table, texts, window_hashes, words_of_batch
 
 WORDS = 5
 NUM, DEN = 80, 100  # the similarity as a fraction
+HOT = 16  # sets of one signature in a task that go on as they are
+MINIMA = 8  # triples of hash functions by which sets that are left are gathered before they are joined by prefix
+FEW = 8  # sets of a torn group that are compared with each other
+MARK = np.int64(-(1 << 63))  # stands among the sets of a signature that a task has salted
 _U = np.uint64
 
 
@@ -59,7 +65,7 @@ def allocate(low: int, high: int) -> tuple[int, int, int]:
     Cost of a layout: signatures for each set, and eight for each segment likely to be empty (lost weight).
     """
     most = (high + high * DEN // NUM) * (DEN - NUM) // (DEN + NUM)
-    weight = most + 1 + 2 + most // 25
+    weight = most + 1 + 3 + most // 16
     n = (low + high) / 2
 
     def cost(double: int) -> float:
@@ -101,7 +107,8 @@ def signatures(sets: list[np.ndarray], keys: np.ndarray):
         weight = np.where(double, np.where(count >= 2, 2, 0), np.where(count >= 1, 1, 0))
         have = np.bincount(who, weights=weight, minlength=len(live)).astype(np.int64)
         # the largest difference of this set from a partner in this family
-        far = (n + np.minimum(n * DEN // NUM, (edges[fam + 1] - 1) * DEN // NUM)) * (DEN - NUM) // (DEN + NUM)
+        partner = np.minimum(n * DEN // NUM, (edges[fam + 1] - 1) * DEN // NUM) if step == 0 else edges[fam + 1] - 1
+        far = (n + partner) * (DEN - NUM) // (DEN + NUM)
         short[live[have <= far]] = True
         full = count > 0
         sig.append(mix(total[full] ^ salt[full]))
@@ -114,28 +121,72 @@ def signatures(sets: list[np.ndarray], keys: np.ndarray):
     return np.concatenate(sig), np.concatenate(key), keys[short]
 
 
-def _rows(r, a, b):
+def _rows(r, b):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (r, a, b)], ["r", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(r), pa.array(b)], ["r", "b"])
+
+
+def _left_mark(keys: np.ndarray) -> np.ndarray:
+    """The signature under which a set that is left over is told."""
+    return mix(keys.view(_U) ^ _U(0x1EF70E51)).view(np.int64)
 
 
 def _class_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     one = np.array([int(mix(s).sum(dtype=_U)) for s in sets], dtype=_U)
     two = np.array([int(mix(s ^ _U(0x5BD1E995)).sum(dtype=_U)) for s in sets], dtype=_U)
     n = np.array([len(s) for s in sets], dtype=_U)
-    return mix(one + n).view(np.int64), mix(two ^ n).view(np.int64)
+    # The first key begins with the size, so that the smallest key of a group is that of its smallest set.
+    return ((np.minimum(n, _U(0x7FFF)) << _U(48)) | (mix(one + n) >> _U(16))).view(np.int64), mix(two ^ n).view(np.int64)
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """For each of n to 2n bits, at least 1024, whether an odd number of the n elements fall on it. Two sets' bits differ in no more places
+    than the sets differ in elements; longer ones are folded to the length of shorter ones by exclusive or."""
+    bits = 1 << max(10, (max(1, len(tokens)) - 1).bit_length())
+    return np.packbits(np.bincount((mix(tokens ^ _U(0x51ED270B)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def may_link(n: int, p: bytes, m: int, q: bytes) -> bool:
+    """Whether sizes and parities leave it open that two sets have the similarity."""
+    if min(n, m) * DEN < max(n, m) * NUM:
+        return False
+    while len(p) != len(q):
+        if len(p) < len(q):
+            n, p, m, q = m, q, n, p
+        half = len(p) // 2
+        p = (int.from_bytes(p[:half], "little") ^ int.from_bytes(p[half:], "little")).to_bytes(half, "little")
+    return (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count() * (DEN + NUM) <= (n + m) * (DEN - NUM)
+
+
+def _folded(batches):
+    """doc_id and its parity folded to 1024 bits, as 16 longs; none if there are several sets of one doc_id."""
+    import pyarrow as pa
+
+    for x in batches:
+        rows = []
+        for p, many in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
+            rows.append(None if many > 1 else np.bitwise_xor.reduce(np.frombuffer(p, "<i8").reshape(-1, 16), axis=0).tolist())
+        yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array([None if r is None else r[k] for r in rows], pa.int64()) for k in range(16))], ["doc_id", *(f"p{k}" for k in range(16))])
 
 
 def _set_keys(batches):
     import pyarrow as pa
 
-    for b in batches:
-        t = text_bytes(b.column(1))
-        for i, j in slices(t):
-            sets = shingles(t[i:j])
-            k1, k2 = _class_keys(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2)], ["doc_id", "n_shingles", "k1", "k2"])
+    for b, t in parts(batches):
+        sets = shingles(t)
+        k1, k2 = _class_keys(sets)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array([parity(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "parity"])
+
+
+def _sift(batches):
+    """Rows (a, b) of those pairs that sizes and parities don't rule out."""
+    import pyarrow as pa
+
+    for x in batches:
+        na, pa_, nb, pb = (x.column(k).to_pylist() for k in range(2, 6))
+        keep = [may_link(*r) for r in zip(na, pa_, nb, pb, strict=True)]
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _star(r: np.ndarray, b: np.ndarray):
@@ -144,98 +195,137 @@ def _star(r: np.ndarray, b: np.ndarray):
     return new, b[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
 
 
-def _emit(batches, hold: int = 1_500_000):
-    """Rows (r, a, b): a null: set b has signature r; else a and b are candidates (a = b: b is left over)."""
-    held, size = [], 0
+def _emit(batches, hold: int = 1_000_000):
+    """Rows (r, b): set b has signature r. Of more than HOT sets in this task, all but the smallest have it salted."""
+    from pyspark import TaskContext
+
+    held, size, salt = [], 0, int(TaskContext.get().partitionId()) << 24
 
     def out():
-        sig, key = np.concatenate([x for x, _ in held]).view(np.int64), np.concatenate([y for _, y in held])
+        sig, key = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]
-        new, pivot = _star(sig, key)
-        yield _rows(sig[new], np.ma.masked_all(int(new.sum()), np.int64), key[new])
-        other = ~new & (pivot != key)
-        if other.any():
-            pairs = np.unique(np.stack([pivot[other], key[other]]), axis=1)
-            yield _rows(mix(pairs[0].view(_U) * _U(31) + pairs[1].view(_U)).view(np.int64), pairs[0], pairs[1])
-
-    for b in batches:
-        t = text_bytes(b.column(1))
-        for i, j in slices(t):
-            sets = shingles(t[i:j])
-            keys = _class_keys(sets)[0]
-            _, once = np.unique(keys, return_index=True)  # copies in this slice
-            sig, key, short = signatures([sets[k] for k in once], keys[once])
-            if len(short):
-                yield _rows(mix(short.view(_U)).view(np.int64), short, short)
-            held.append((sig, key))
-            size += len(sig)
-            if size > hold:
-                yield from out()
-                held, size = [], 0
+        new, _ = _star(sig, key)
+        once = new.copy()
+        once[1:] |= key[1:] != key[:-1]
+        sig, key, new = sig[once], key[once], new[once]
+        at = np.flatnonzero(new)
+        hot = np.repeat(np.diff(np.append(at, len(sig))) > HOT, np.diff(np.append(at, len(sig))))
+        yield _rows(np.concatenate([np.where(hot, mix(sig ^ mix(np.array([salt], dtype=_U))), sig), sig[hot & new], sig[hot & new]]).view(np.int64), np.concatenate([key, key[hot & new], np.full(int((hot & new).sum()), MARK)]))
+
+    for _, t in parts(batches):
+        sets = shingles(t)
+        keys = _class_keys(sets)[0]
+        _, once = np.unique(keys, return_index=True)  # copies in this part
+        sig, key, short = signatures([sets[k] for k in once], keys[once])
+        if len(short):
+            yield _rows(_left_mark(short), short)
+        held.append((sig, key))
+        size += len(sig)
+        if size > hold:
+            yield from out()
+            held, size, salt = [], 0, salt + 1
     if held and size:
         yield from out()
 
 
 def _reduce(batches):
-    """Of a signature's sets, pairs of the smallest with each other one; pairs that come in are passed on."""
+    """Of a signature's sets, pairs (a, b) of the smallest with each other one; for three sets or more also the signature g,
+    and whether the group is wide: more than FEW sets, or some of it salted. A set that is left over is a pair with itself."""
     import pyarrow as pa
 
-    last, pivot = None, None
+    last = None
     for x in batches:
         if not x.num_rows:
             continue
-        r, b = x.column(0).to_numpy(), x.column(2).to_numpy()
-        is_pair = x.column(1).is_valid().to_numpy(zero_copy_only=False)
-        out = []
-        if is_pair.any():
-            a = x.column(1).filter(pa.array(is_pair)).to_numpy()
-            out.append((a, b[is_pair]))
-        r, b = r[~is_pair], b[~is_pair]
-        if len(r):
-            new, first = _star(r, b)
-            if last is not None and r[0] == last:
-                first = np.where(np.cumsum(new) == 1, pivot, first)
-            last, pivot = r[-1], first[-1]
-            other = first != b
-            out.append((first[other], b[other]))
-        if out:
-            a, b = np.concatenate([p for p, _ in out]), np.concatenate([q for _, q in out])
-            if len(a):
-                pairs = np.unique(np.stack([a, b]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        r, b = x.column(0).to_numpy(), x.column(1).to_numpy()
+        salted = np.unique(r[b == MARK])
+        again = np.concatenate([[False], (r[1:] == r[:-1]) & (b[1:] == b[:-1])]) | (b == MARK)
+        edge = r[-1]
+        r, b = r[~again], b[~again]
+        if not len(r):
+            continue
+        left = _left_mark(b) == r
+        new, first = _star(r, b)
+        at = np.flatnonzero(new)
+        n = np.repeat(np.diff(np.append(at, len(r))), np.diff(np.append(at, len(r))))
+        open_ = (r == edge) | np.isin(r, salted)  # the last group may go on in the next batch
+        if last is not None and r[0] == last[0]:
+            mine = r == r[0]
+            first = np.where(mine, last[1], first)
+            open_ |= mine
+        last = (r[-1], first[-1])
+        keep = (first != b) | left
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(b[keep]), pa.array(r[keep], mask=~((n > 2) | open_)[keep]), pa.array(((n > FEW) | open_)[keep])], ["a", "b", "g", "wide"])
 
 
 def _slot(bits: int):
     return F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("slot")
 
 
+def _through(batches, bloom):
+    """Parts of those rows that the bit map lets through."""
+    import pyarrow as pa
+
+    yield from parts(b.filter(pa.array(bloom.value.has(b.column(2).to_numpy()))) for b in batches)
+
+
 def _chosen_sets(batches, bloom=None):
     """doc_id and the whole set of the documents that the bit map lets through."""
     import pyarrow as pa
 
-    for b in batches:
-        b = b.filter(pa.array(bloom.value.has(b.column(2).to_numpy())))
-        t = text_bytes(b.column(1))
-        for i, j in slices(t):
-            sets = shingles(t[i:j])
-            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "elements"])
+    for b, t in _through(batches, bloom):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(t)], pa.binary())], ["doc_id", "elements"])
+
+
+def _frequent(batches, bloom=None, limit: int = 1 << 20, minima: int = MINIMA):
+    """Rows (e, m, doc_id): with doc_id null, how many of this task's sets have an element that several have (an order is made
+    of that, never a filter); else m stands for the smallest hashes of doc_id's set by the e-th three of 3 * `minima` hash functions."""
+    import pyarrow as pa
+
+    held, size = [], 0
+
+    def out():
+        e, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(e[n > 1].view(np.int64)), pa.array(n[n > 1]), pa.nulls(int((n > 1).sum()), pa.int64())], ["e", "m", "doc_id"])
+
+    salts = mix(np.arange(1, 3 * minima + 1, dtype=_U))[:, None]
+
+    def low_of(x):
+        a = mix(x[None, :] ^ salts).min(axis=1).reshape(minima, 3)
+        return mix(a[:, 0] + mix(a[:, 1] + mix(a[:, 2])))
+
+    for b, t in _through(batches, bloom):
+        sets = shingles(t)
+        held += sets
+        size += sum(map(len, sets))
+        low = [low_of(s) if len(s) else None for s in sets]
+        some = [k for k, x in enumerate(low) if x is not None]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(minima, dtype=np.int64), len(some))), pa.array(np.concatenate([low[k] for k in some]).view(np.int64)), b.column(0).take(pa.array(np.repeat(some, minima)))], ["e", "m", "doc_id"])
+        if size > limit:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
 
 def _prefixes(batches, bloom=None, common=None):
-    """(element, doc_id, n) of the first elements of each set; common elements come last, then the order is by hash."""
+    """(element, doc_id, n, place) of the first elements of each set; common elements come last, then the order is by hash."""
     import pyarrow as pa
 
-    for b in batches:
-        b = b.filter(pa.array(bloom.value.has(b.column(2).to_numpy())))
-        t = text_bytes(b.column(1))
-        for i, j in slices(t):
-            for key, s in zip(b.column(0)[i:j].to_pylist(), shingles(t[i:j]), strict=True):
-                n = len(s)
-                if n:
-                    frequent = np.isin(s, common.value)
-                    s = s[np.lexsort((s, frequent))][: n - -(-NUM * n // DEN) + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), key)), pa.array(np.full(len(s), n))], ["e", "doc_id", "n"])
+    known = common.value
+    for b, t in _through(batches, bloom):
+        sets, cut = shingles(t), []
+        for s in sets:
+            at = np.searchsorted(known, s)
+            frequent = known[np.minimum(at, len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+            cut.append(np.concatenate([s[~frequent], s[frequent]])[: len(s) - -(-NUM * len(s) // DEN) + (len(s) > 0)])
+        n = np.array([len(s) for s in cut], dtype=np.int64)
+        if n.sum():
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cut).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat([len(s) for s in sets], n)), pa.array(place)], ["e", "doc_id", "n", "place"])
 
 
 def _verify(batches):
@@ -251,22 +341,35 @@ def _verify(batches):
             both = int((s[np.minimum(at, len(s) - 1)] == r).sum()) if len(s) else 0
             keep.append(DEN * both >= NUM * (len(r) + len(s) - both) and both > 0)
         yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    release()
 
 
-def _common_elements(batches, most: int = 2000):
-    """Elements that several of up to `most` documents of this task have: only an order is made of them, never a filter."""
-    import pyarrow as pa
+#: Whether two sizes leave room for the similarity.
+FITS = f"least(n, nb) * {DEN} >= greatest(n, nb) * {NUM}"
+
 
-    seen, left = [], most
-    for b in batches:
-        t = text_bytes(b.column(1))[:left]
-        left -= len(t)
-        seen += [s for i, j in slices(t) for s in shingles(t[i:j])]
-        if left <= 0:
+def _gather(minima: DataFrame, sizes: DataFrame, links: DataFrame, linked: DataFrame, checked: DataFrame, sift, verified, bits, rounds: int = 2):
+    """Before sets are joined by prefix: find most of the links among them with few pairs.
+
+    In families of near copies nearly every two sets meet by prefix, and most of those pairs would say nothing new. So sets
+    with three equal smallest hashes (minima: e, m, doc_id) are compared with one of them first: with the smallest set, and in
+    further rounds with others, as long as their roots differ. What this misses, the join by prefix finds.
+    Gives links, components, and the pairs that were compared.
+    """
+    keyed = minima.join(sizes, "doc_id")
+    for turn in range(rounds):
+        roots = linked.select(F.col("node").alias("doc_id"), "root")
+        now = keyed.join(roots, "doc_id", "left").select("e", "m", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+        key = F.col("n") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
+        pivot = now.groupBy("e", "m").agg(F.min(F.struct(key.alias("k"), "doc_id", "n", "root")).alias("p")).select("e", "m", F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb"), F.col("p.root").alias("rb"))
+        met = now.join(pivot, ["e", "m"]).filter(f"root <> rb and {FITS}").select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+        new = spill(sift(met.join(checked, ["a", "b"], "left_anti")), "gathered-pairs")
+        if not new.head(1):
             break
-    if seen:
-        e, n = np.unique(np.concatenate(seen), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(e[n > 2].view(np.int64)), pa.array(n[n > 2].astype(np.int64))], ["e", "n"])
+        checked = checked.union(new)
+        links = links.union(verified(new, bits(new.select(F.col("a").alias("doc_id")).union(new.select("b")).distinct())))
+        linked = components(links)
+    return links, linked, checked
 
 
 def jaccard_components(docs: DataFrame, bloom_bits: int = 25, common_most: int = 1 << 17) -> DataFrame:
@@ -278,19 +381,22 @@ def jaccard_components(docs: DataFrame, bloom_bits: int = 25, common_most: int =
     """
     spark = docs.sparkSession
     source = texts(docs)
-    ids = spill(source.mapInArrow(_set_keys, "doc_id long, n_shingles long, k1 long, k2 long"), "set-keys")
-    classes = spill(ids.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
-    pairs = (
-        source.mapInArrow(_emit, "r long, a long, b long").repartition("r").sortWithinPartitions("r", "b")
-        .mapInArrow(_reduce, "a long, b long").distinct()
-    )
-    pairs = spill(pairs, "candidates")
-    side = lambda k: classes.select(F.col("k1").alias(k), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b")
-    left = spill(found.filter("a = b and ra is not null").select(F.col("ra").alias("doc_id")).distinct(), "left-over")
+    ids = spill(source.mapInArrow(_set_keys, "doc_id long, n_shingles long, k1 long, k2 long, parity binary"), "set-keys")
+    classes = spill(ids.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "classes")
+    stars = spill(source.filter("doc_id is not null").mapInArrow(_emit, "r long, b long").repartition("r").sortWithinPartitions("r", "b").mapInArrow(_reduce, "a long, b long, g long, wide boolean"), "stars")
+    side = lambda k: classes.filter("rep is not null").select(F.col("k1").alias(k), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
+    found = spill(stars.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"), "candidates")
     fits = f"ra <> rb and least(na, nb) * {DEN} >= greatest(na, nb) * {NUM}"
-    edges = spill(found.filter(fits).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
-    discard(pairs)
+
+    def sift(pairs: DataFrame) -> DataFrame:
+        known = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+        both = pairs.join(known("a"), "a").join(known("b"), "b").select("a", "b", "na", "pa", "nb", "pb")
+        return both.mapInArrow(_sift, "a long, b long").distinct()
+
+    edges = spill(sift(found.filter(fits).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()), "pairs")
+
+    def bits(frame: DataFrame):
+        return spark.sparkContext.broadcast(Bloom.of(frame, "doc_id", bloom_bits))
 
     def verified(candidates: DataFrame, bloom) -> DataFrame:
         chosen = source.select("doc_id", "text", _slot(bloom_bits)).mapInArrow(partial(_chosen_sets, bloom=bloom), "doc_id long, elements binary")
@@ -298,31 +404,56 @@ def jaccard_components(docs: DataFrame, bloom_bits: int = 25, common_most: int =
         both = candidates.join(at("a"), "a").join(at("b"), "b").select("a", "b", "ea", "eb")
         return spill(both.mapInArrow(_verify, "a long, b long").distinct(), "links")
 
-    def bits(frame: DataFrame):
-        return spark.sparkContext.broadcast(Bloom.of(frame, "doc_id", bloom_bits))
-
-    nodes = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    links = verified(edges, bits(nodes))
-    linked, hanging = components(links), components(edges)
-    roots = hanging.select("node", F.col("root").alias("group")).join(linked, "node", "left").select("node", "group", F.coalesce("root", "node").alias("root"))
-    torn = roots.groupBy("group").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 2 and lo <> hi").select("group")
-    rest = spill(roots.join(torn, "group").select(F.col("node").alias("doc_id")).union(left).distinct(), "rest")
+    links = verified(edges, bits(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()))
+    linked = components(links)
+    root = lambda k: linked.select(F.col("node").alias(f"r{k}"), F.col("root").alias(f"root_{k}"))
+    rooted = spill(found.join(root("a"), "ra", "left").join(root("b"), "rb", "left").select("a", "b", "ra", "rb", "na", "nb", F.coalesce("root_a", "ra").alias("root_a"), F.coalesce("root_b", "rb").alias("root_b")), "rooted")
+    groups = stars.filter("g is not null and a <> b").join(rooted, ["a", "b"])
+    torn = spill(groups.groupBy("g").agg(F.min(F.least("root_a", "root_b")).alias("lo"), F.max(F.greatest("root_a", "root_b")).alias("hi"), F.bool_or("wide").alias("wide_group")).filter("lo <> hi").select("g", "wide_group"), "torn")
+    groups = groups.join(torn, "g")
+    wide = groups.filter("wide_group")
+    open_roots = wide.select(F.col("root_a").alias("root")).union(wide.select("root_b")).distinct()
+    few = groups.filter("not wide_group")
+    member = few.select("g", F.col("ra").alias("doc_id"), F.col("na").alias("n"), F.col("root_a").alias("root")).union(few.select("g", "rb", "nb", "root_b")).distinct()
+    mate = member.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    close = f"doc_id < b and root <> rb and least(n, nb) * {DEN} >= greatest(n, nb) * {NUM}"
+    few_pairs = spill(member.join(mate, "g").filter(close).select(F.col("doc_id").alias("a"), "b").distinct(), "few-pairs")
+    nodes = rooted.select(F.col("ra").alias("node"), F.col("root_a").alias("root")).union(rooted.select("rb", "root_b")).distinct()
+    rest = nodes.join(open_roots, "root", "left_semi").select(F.col("node").alias("doc_id")).union(found.filter("a = b").select("ra")).distinct()
+    rest = spill(rest, "rest")
+    discard(stars)
+    more, checked = few_pairs, edges
     if rest.head(1):
         bloom = bits(rest)
-        often = source.select("doc_id", "text").mapInArrow(_common_elements, "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
-        top = often.orderBy(F.desc("n"), "e").limit(common_most).toArrow()["e"].to_numpy().view(_U)
+        chosen = source.select("doc_id", "text", _slot(bloom_bits))
+        kind = "e long, doc_id long, n long, place long"
+        seen = spill(chosen.mapInArrow(partial(_frequent, bloom=bloom), "e long, m long, doc_id long"), "minima")
+        minima = seen.filter("doc_id is not null").join(rest, "doc_id", "left_semi")
+        sizes = classes.filter("rep is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("n"))
+        links, linked, checked = _gather(minima, sizes, links, linked, checked, sift, verified, bits)
+        often = seen.filter("doc_id is null").groupBy("e").agg(F.sum("m").alias("m"))
+        top = often.orderBy(F.desc("m"), "e").limit(common_most).toArrow()["e"].to_numpy().view(_U)
         common = spark.sparkContext.broadcast(np.sort(top))
-        first = source.select("doc_id", "text", _slot(bloom_bits)).mapInArrow(partial(_prefixes, bloom=bloom, common=common), "e long, doc_id long, n long")
-        first = first.join(linked.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("e", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+        first = chosen.mapInArrow(partial(_prefixes, bloom=bloom, common=common), kind)
+        first = first.join(linked.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("e", "doc_id", "n", "place", F.coalesce("root", "doc_id").alias("root"))
         first = spill(first.join(rest, "doc_id", "left_semi").distinct(), "prefixes")
         open_ = first.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("e")
         first = spill(first.join(open_, "e", "left_semi"), "open-prefixes")
-        other = first.select("e", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        more = first.join(other, "e").filter(f"doc_id < b and root <> rb and least(n, nb) * {DEN} >= greatest(n, nb) * {NUM}").select(F.col("doc_id").alias("a"), "b").distinct()
-        more = spill(more.join(edges, ["a", "b"], "left_anti"), "more-pairs")
-        if more.head(1):
-            links = links.union(verified(more, bloom))
-            linked = components(links)
+        folded = classes.filter("rep is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.first("parity").alias("parity"), F.count("*").alias("many"))
+        folded = folded.join(rest, "doc_id", "left_semi").mapInArrow(_folded, "doc_id long, " + ", ".join(f"p{k} long" for k in range(16)))
+        first = first.join(folded, "doc_id")
+        other = first.select("e", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(16)])
+        # If this is the first element that both have, no more than the elements from it on can be shared; and parities differ
+        # in no more places than the sets.
+        differ = " + ".join(f"bit_count(p{k} ^ q{k})" for k in range(16))
+        can = f"doc_id < b and root <> rb and {FITS} and least(n - place, nb - pb) * {DEN + NUM} >= {NUM} * (n + nb) and coalesce(({differ}) * {DEN + NUM} <= (n + nb) * {DEN - NUM}, true)"
+        roots = lambda k: linked.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+        more = more.join(roots("a"), "a", "left").join(roots("b"), "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+        more = more.join(checked, ["a", "b"], "left_anti").union(first.join(other, "e").filter(can).select(F.col("doc_id").alias("a"), "b"))
+    more = spill(sift(more.distinct()).join(checked, ["a", "b"], "left_anti"), "more-pairs")
+    if more.head(1):
+        links = links.union(verified(more, bits(more.select(F.col("a").alias("doc_id")).union(more.select("b")).distinct())))
+        linked = components(links)
     known = classes.select("k1", "k2", "rep").join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     # One class may be a third of all rows: its partition is split by the skew join.
     out = ids.join(known, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))

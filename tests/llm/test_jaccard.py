@@ -89,3 +89,19 @@ def test_shingles_of_short_texts_differ_by_length():
     a, b, c, d = shingles([b"a b c", b"a b c d", b"", b"A B\nC"])
     assert len(a) == len(b) == 1 and a[0] != b[0] and len(c) == 0 and (a == d).all()
     assert jaccard.WORDS == 5
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    ruled = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 700))
+        r = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        cut = int(rng.integers(0, len(r) // 2 + 1))
+        s = np.unique(np.concatenate([r[cut:], rng.integers(0, 2**63, int(rng.integers(0, len(r) // 2 + 1))).astype(np.uint64)]))
+        both = len(np.intersect1d(r, s))
+        linked = both > 0 and 100 * both >= 80 * (len(r) + len(s) - both)
+        open_ = jaccard.may_link(len(r), jaccard.parity(r), len(s), jaccard.parity(s))
+        assert open_ or not linked
+        ruled += not open_
+    assert ruled > 500
