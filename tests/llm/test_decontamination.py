@@ -2,7 +2,7 @@ import itertools
 import random
 import re
 
-from sandloom.llm.decontamination import MASKS, decontaminate
+from sandloom.llm.decontamination import EVEN, MASKS, THIRD, decontaminate
 
 
 def test_the_masks_hit_every_stretch_with_four_changes():
@@ -57,3 +57,25 @@ def test_against_brute_force_on_both_paths(spark):
     for rows in (1 << 19, 1):
         assert sorted((tuple(r) for r in decontaminate(d, b, broadcast_rows=rows).collect()), key=str) == want
     assert decontaminate(d.limit(0), b).count() == decontaminate(d, b.limit(0)).count() == 0
+
+
+def test_the_masks_hit_every_item_length_from_9_to_20():
+    for n in range(9, 21):
+        masks = MASKS + (THIRD,) if n < EVEN else MASKS
+        seeds = [sum(1 << (o + p) for o in m) for m in masks for p in range(n - max(m))]
+        for places in itertools.combinations(range(n), n - -(-n * 4 // 5)):
+            changed = sum(1 << p for p in places)
+            assert any(not seed & changed for seed in seeds), (n, places)
+
+
+def test_items_of_9_to_15_words_with_every_placement_of_changes(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (9, 10, 11, 12, 15)] + [(30, " ".join(f"i30x{k}" for k in range(30)))]
+    docs = []
+    for n, text in items[:-1]:
+        for places in itertools.combinations(range(n), n - -(-n * 4 // 5)):
+            docs.append((len(docs), "before " + " ".join("changed" if k in places else w for k, w in enumerate(text.split())) + " after"))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for rows in (1 << 19, 1):
+        got = sorted((tuple(r) for r in decontaminate(d, b, broadcast_rows=rows).collect()), key=str)
+        assert got == brute(docs, items) and len(got) == len(docs)
