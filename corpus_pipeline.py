@@ -1,6 +1,7 @@
 """The corpus pipeline: documents to packed sequences in five stages.
 
 Every stage works on all rows that the one before kept. All but the last return the columns of documents.
+Stages judge rows, not ids: a row is dropped for its own text, whatever other rows have the same doc_id or none.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sandloom.llm._common import drop_ids, spill, table
+from sandloom.llm._common import ROW, all_but_first, by_row, drop_rows, keyed, spill, table
 from sandloom.llm.decontamination import decontaminate
 from sandloom.llm.exact_dedup import exact_dedup
 from sandloom.llm.jaccard import jaccard_components
@@ -17,23 +18,34 @@ from sandloom.llm.quality import quality_scores
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject (score >= 0.3)."""
-    return drop_ids(docs, quality_scores(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+    """Rows that the quality classifier doesn't reject (score >= 0.3). Labels are found by doc_id."""
+    rows = keyed(docs)
+    return drop_rows(rows, quality_scores(rows, table(spark, sf_dir, "labels"), carry=ROW).filter("predicted = 0"))
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of texts that are equal but for white space: the one with the smallest doc_id."""
-    return drop_ids(docs, exact_dedup(docs).filter("not kept"))
+    """One row of each group of texts that are equal but for white space: the one with the smallest doc_id.
+
+    A null doc_id counts as the largest; of rows with the same doc_id one stays.
+    """
+    rows = keyed(docs)
+    same = exact_dedup(by_row(rows)).filter("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group_id"))
+    return drop_rows(rows, all_but_first(rows, same))
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that 0.8-similar sets of five-word shingles hold together: the smallest doc_id."""
-    return drop_ids(docs, jaccard_components(docs).filter("doc_id <> component_id"))
+    """One row of each group that 0.8-similar sets of five-word shingles hold together: the smallest doc_id.
+
+    A null doc_id counts as the largest; rows with the same or no doc_id are held together by their texts alone.
+    """
+    rows = keyed(docs)
+    return drop_rows(rows, all_but_first(rows, jaccard_components(by_row(rows)).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group_id"))))
 
 
 def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark passage."""
-    return drop_ids(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that overlap no benchmark passage."""
+    rows = keyed(docs)
+    return drop_rows(rows, decontaminate(by_row(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ROW)))
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 import zlib
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,12 +194,48 @@ def slices(texts_: list[bytes], limit: int = 1 << 22):
         yield start, len(texts_)
 
 
-def drop_ids(docs: DataFrame, bad: DataFrame, most: int = 1 << 17) -> DataFrame:
-    """docs without the rows whose doc_id is in bad(doc_id). A list of at most `most` ids is broadcast, a longer one shuffled."""
-    ids = spill(bad.select(F.col("doc_id").alias("bad_id")).distinct(), "ids")
-    if ids.count() <= most:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.bad_id), "left_anti")
+#: The column that keyed() adds.
+ROW = "row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs and ROW: a long of its own for each row, null and repeated doc_ids included, the same whenever the rows are read.
+
+    Of a Parquet table it is the file's number and the row's place in the file, and nothing is copied; any other frame is
+    written to the shared folder first.
+    """
+    names = docs.columns
+    try:
+        stable = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and bool(docs.select("_metadata.row_index").columns)
+    except AnalysisException:  # no Parquet
+        stable = False
+    docs = docs if stable else spill(docs, "rows")
+    at = docs.select(*[F.col(f"`{c}`") for c in names], F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_place"))
+    files = sorted(r.row_file for r in at.select("row_file").distinct().collect())
+    # A literal, not local rows: those would take Python workers of their own. File names are URIs, without line ends.
+    numbers = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit("\n".join(files)), "\n")).alias("row_number", "row_file"))
+    return at.join(F.broadcast(numbers), "row_file").select(*[F.col(f"`{c}`") for c in names], (F.shiftleft(F.col("row_number").cast("long"), 40) + F.col("row_place")).alias(ROW))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """What keyed() gave as (doc_id, text), with ROW as doc_id: operators then judge rows."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def drop_rows(rows: DataFrame, bad: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """What keyed() gave without the rows whose ROW is in bad(ROW), and without ROW. A list of at most `most` is broadcast, a longer one shuffled."""
+    keys = spill(bad.select(F.col(ROW).alias("bad_key")).distinct(), "rows")
+    if keys.count() <= most:
+        keys = F.broadcast(keys)
+    return rows.join(keys, rows[ROW] == keys.bad_key, "left_anti").drop(ROW)
+
+
+def all_but_first(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of groups(ROW, group_id), ROW of every row but one in each group: the one with the smallest doc_id stays, null being the largest; of equal ones the first."""
+    groups = spill(groups, "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    first = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("group_id").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return groups.select(ROW).join(first, ROW, "left_anti")
 
 
 class Bloom:

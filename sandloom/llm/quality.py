@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, spill, table, text_bytes, texts
+from ._common import crc_mod, spill, table, text_bytes
 
 FEATURES = ["log_words", "word_length", "upper", "digits", "marks", "shouts", "bars", "symbols", "foreign", "distinct_words", "repeats", "same_lines", "line_length", "common_word"]
 _SYMBOLS = list(b"#$%&*+/<=>@\\^_`{}~")
@@ -53,7 +53,7 @@ def _feature_rows(batches):
 
     for b in batches:
         x = np.array([features(t) for t in text_bytes(b.column(1))], dtype=np.float64).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["doc_id", *FEATURES])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(x.shape[1])), *b.columns[2:]], ["doc_id", *FEATURES, *b.schema.names[2:]])
 
 
 def _tree(gain: np.ndarray, weight: np.ndarray, leaves: int, ridge: float) -> np.ndarray:
@@ -148,16 +148,19 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-total))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, threshold: float = 0.3, carry: str | None = None) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
     Fitted on at most train_rows labelled rows (the ones with the smallest hash of doc_id) whose crc32(doc_id) mod 5 is not
     0; null labels are left out. Null and empty texts have features of 0 and a score like any other; without usable
     labels, every score is the share of ones, 0.5 if there are none. Repeated rows get equal scores. An empty table gives an
-    empty result; other columns are not looked at.
+    empty result; other columns are not looked at. `carry` names a column of longs that is handed on with each row.
     """
     spark = docs.sparkSession
-    rows = spill(texts(docs).mapInArrow(_feature_rows, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)), "quality-features")
+    more = [carry] if carry else []
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    kind = ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES), *(f"{c} long" for c in more)])
+    rows = spill(source.mapInArrow(_feature_rows, kind), "quality-features")
     usable = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("label")).filter("label in (0, 1)").filter(crc_mod("l_id") != 0)
     known = rows.join(usable, rows.doc_id == usable.l_id).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(train_rows).toArrow()
     x = np.stack([known[f].to_numpy() for f in FEATURES], axis=1) if known.num_rows else np.zeros((0, len(FEATURES)))
@@ -168,9 +171,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000,
 
         for b in batches:
             s = model.value.score(np.stack([b.column(k + 1).to_numpy() for k in range(len(FEATURES))], axis=1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), *b.columns[1 + len(FEATURES) :]], ["doc_id", "score", *more])
 
-    return rows.mapInArrow(score, "doc_id long, score double").select("doc_id", (crc_mod() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(score, ", ".join(["doc_id long", "score double", *(f"{c} long" for c in more)]))
+    return scored.select("doc_id", (crc_mod() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

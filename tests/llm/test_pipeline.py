@@ -45,3 +45,42 @@ def test_stages_on_empty_tables(spark, tmp_path):
     for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_judge_rows_with_null_and_repeated_ids(spark, tmp_path):
+    docs, labels = case(300)
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    scores = {r.doc_id: r.score for r in quality_scores(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, x string")).collect()}
+    text = {i: t for i, t, _ in docs}
+    good, bad = [text[i] for i in sorted(text) if scores[i] > 0.6][:9], [text[i] for i in sorted(text) if scores[i] < 0.2][:2]
+    passage = " ".join(f"passage{k}" for k in range(20))
+    odd = [
+        (None, bad[0]), (None, "first of its own " + good[0]), (5000, bad[1]), (5000, "second of its own " + good[1]),  # quality
+        (None, good[2] + " copy"), (5001, good[2] + "  copy"), (5001, "third of its own " + good[3]),  # exact: 5001 stays
+        (None, good[4] + " twin"), (None, good[4] + " twin"), (5002, good[5] + " twin"), (5002, good[5] + "  twin"),  # exact: one of each two
+        (None, good[6] + " near"), (None, good[6] + " near copy"), (5003, good[7] + " near"), (5003, good[7] + " near copy"), (5003, "fourth of its own " + good[8]),  # near: one of each two
+        (None, good[0].upper() + " " + passage), (5004, "leaks " + passage), (5004, "fifth of its own " + " ".join(f"fresh{k}" for k in range(60))),
+    ]
+    labelled = [(i, t, "en", None, k) for k, (i, t, _) in enumerate(docs)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, x string").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    ids = lambda gone: sorted(str(i) for i, _ in gone)
+
+    def run(stage, rows):
+        rows = [(i, t, "en", None, k) for k, (i, t) in enumerate(rows)]
+        spark.createDataFrame(rows, kind).repartition(3).write.mode("overwrite").parquet(f"{tmp_path}/rows.parquet")
+        outs = [stage(spark, d, str(tmp_path)).collect() for d in (spark.read.parquet(f"{tmp_path}/rows.parquet"), spark.createDataFrame(rows, kind))]
+        gone = [[r[:2] for r in rows if r[4] not in {x.n_chars for x in out}] for out in outs]
+        assert all({tuple(x) for x in out} <= set(rows) for out in outs)
+        assert ids(gone[0]) == ids(gone[1])
+        return gone[0]
+
+    rows = odd + [r[:2] for r in labelled]
+    known = {i for i, *_ in docs}
+    assert [r for r in run(P.quality, rows) if r[0] not in known] == [odd[0], odd[2]]
+    gone = run(P.exact, odd)
+    assert odd[4] in gone and {t.split()[-1] for _, t in gone} == {"copy", "twin"} and ids(gone) == ["5002", "None", "None"]
+    gone = run(P.near, odd[1:4:2] + odd[11:16])
+    assert ids(gone) == ["5003", "None"] and all(" near" in t for _, t in gone)
+    assert run(P.decontaminated, odd) == odd[16:18]
