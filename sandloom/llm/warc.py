@@ -66,9 +66,10 @@ def parse_head(raw: bytes) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("Content-Length", "").isdigit() and "WARC-Type" in fields else None
 
 
-def is_record(data) -> bool:
-    """Whether these bytes begin a member that decodes to a WARC header."""
-    for most in (2048, HEAD_BYTES):
+def is_record(data) -> bool | None:
+    """Whether these bytes begin a member that decodes to a WARC header; None if they end before the header does."""
+    most = 2048
+    while True:
         z = zlib.decompressobj(31)
         try:
             raw = z.decompress(data, most)
@@ -76,9 +77,11 @@ def is_record(data) -> bool:
             return False
         if parse_head(raw) is not None:
             return True
-        if not raw.startswith(b"WARC/1."):
+        if z.eof or not raw.startswith(b"WARC/1.") or b"\r\n\r\n" in raw:
             return False
-    return False
+        if len(raw) < most:
+            return None
+        most *= 4
 
 
 def read_range(stream, start: int, end: int, size: int, step: int = 1 << 20, bite: int = 1 << 13):
@@ -104,9 +107,15 @@ def read_range(stream, start: int, end: int, size: int, step: int = 1 << 20, bit
         pos = at
         if base + pos >= end:
             return
-        while len(buf) - pos < HEAD_BYTES and fill():
-            pass
-        if not is_record(buf[pos : pos + HEAD_BYTES]):
+        need, found = HEAD_BYTES, None
+        while found is None:  # a header may be of any length
+            while len(buf) - pos < need and fill():
+                pass
+            found = is_record(buf[pos : pos + need])
+            if len(buf) - pos < need:
+                break
+            need *= 2
+        if not found:
             pos += 1
             continue
         z, out = zlib.decompressobj(31), []

@@ -44,3 +44,12 @@ def test_members_are_plain_gzip_and_false_magic_is_passed_over():
     assert gzip.decompress(members[3]).startswith(b"WARC/1.1\r\nWARC-Type: response")
     with pytest.raises(ValueError, match="inside a record"):
         list(read_range(io.BytesIO(blob[:-9]), 0, len(blob), len(blob) - 9))
+
+
+def test_headers_of_any_length_are_read(spark):
+    urls = ["data:," + "a" * 100_000, "data:," + os.urandom(100_000).hex(), "u"]
+    blob = b"".join(record(i, u, b"p%d" % i * 40, "d", None) for i, u in enumerate(urls))
+    for step in (1000, 1 << 20):
+        assert [f.get("WARC-Target-URI") for f, _ in read_range(io.BytesIO(blob), 0, len(blob), len(blob), step=step)] == urls
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "url AS html")
+    assert sorted(r.page_id for r in read_archives(write_archives(pages)).collect()) == [0, 1, 2]
