@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import spill, table, text_bytes, texts
+from ._common import parts, release, slices, spill, table, texts
 
 
 def normalise(text: bytes) -> bytes:
@@ -77,30 +77,38 @@ def _key(digest: bytes, bits: int) -> int:
     return (int.from_bytes(digest[:8], "big") >> (64 - bits)) << (64 - bits) if bits else 0
 
 
-def exact_dedup(docs: DataFrame, hash_bits: int = 64, bucket_capacity: int = 256, rows_per_owner: int = 2000) -> DataFrame:
+HELD_BYTES = 16 << 20  # texts that a map task folds before it hands them on
+OUT_BYTES = 2 << 20  # texts in one record batch
+
+
+def exact_dedup(docs: DataFrame, hash_bits: int = 64, bucket_capacity: int = 256, rows_per_owner: int = 2000, bytes_per_owner: int = 4 << 20) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
+    An owner gets some rows_per_owner rows or bytes_per_owner bytes, whichever is less, so that its index stays small.
+
     Null text counts as empty, and empty texts are equal. Rows of one doc_id and one text each count towards
     group_size and share `kept`. A null doc_id never is the one that stays, unless its group has no other.
     An empty table gives an empty result; other columns are not looked at. hash_bits shortens the keys (tests of chains).
     """
     source = texts(docs)
-    n = docs.count()
-    owner_bits = min(30, max(5, (n // rows_per_owner).bit_length()))
+    n, size = source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    owner_bits = min(30, max(5, (n // rows_per_owner).bit_length(), (size // bytes_per_owner).bit_length()))
 
     def fold(batches):
         import pyarrow as pa
 
         held, size = {}, 0
+        names = ["key", "owner", "digest", "content", "doc_id", "n"]
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
         def out():
-            rows = [(_signed(k), k >> (64 - owner_bits), d, t, i, c) for t, (d, k, i, c) in held.items()]
-            cols = list(zip(*rows, strict=True))
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "owner", "digest", "content", "doc_id", "n"])
+            kept = list(held)
+            for i, j in slices(kept, OUT_BYTES):
+                rows = [(_signed(k), k >> (64 - owner_bits), d, t, i, c) for t in kept[i:j] for d, k, i, c in (held.pop(t),)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
+        for b, texts_ in parts(batches):
+            for i, t in zip(b.column(0).to_pylist(), texts_, strict=True):
                 t = normalise(t)
                 if (x := held.get(t)) is None:
                     d = hashlib.sha256(t).digest()
@@ -109,11 +117,11 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 64, bucket_capacity: int = 256
                 else:
                     x[2] = i if x[2] is None else x[2] if i is None else min(i, x[2])
                     x[3] += 1
-                if size > 48 << 20:
-                    yield out()
-                    held, size = {}, 0
-        if held:
-            yield out()
+                if size > HELD_BYTES:
+                    yield from out()
+                    size = 0
+        yield from out()
+        release()
 
     def own(batches):
         import pyarrow as pa
@@ -126,16 +134,18 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 64, bucket_capacity: int = 256
             rows = [(at, slot, depth, _signed(k), pos, e[1], e[2], e[3]) for slot, (depth, keys) in index.buckets() for k, chain in keys.items() for pos, e in enumerate(chain)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        for b in batches:
-            owners, keys, digests, contents, ids, counts = (b.column(k).to_pylist() for k in range(6))
+        for b, contents in parts(batches, text=3):
+            owners, keys, digests, ids, counts = (b.column(k).to_pylist() for k in (0, 1, 2, 4, 5))
             for o, k, d, t, i, c in zip(owners, keys, digests, contents, ids, counts, strict=True):
                 if o != at:
                     if index is not None:
                         yield out()
                     index, at = ExtendibleIndex(bucket_capacity, owner_bits), o
-                index.add(k & 0xFFFFFFFFFFFFFFFF, bytes(t), bytes(d), i, c)
+                index.add(k & 0xFFFFFFFFFFFFFFFF, t, d, i, c)
         if index is not None:
             yield out()
+        index = None
+        release()
 
     folded = source.mapInArrow(fold, "key long, owner long, digest binary, content binary, doc_id long, n long")
     index = spill(
@@ -147,8 +157,8 @@ def exact_dedup(docs: DataFrame, hash_bits: int = 64, bucket_capacity: int = 256
     def digests(batches):
         import pyarrow as pa
 
-        for b in batches:
-            d = [hashlib.sha256(normalise(t)).digest() for t in text_bytes(b.column(1))]
+        for b, texts_ in parts(batches):
+            d = [hashlib.sha256(normalise(t)).digest() for t in texts_]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.binary())], ["doc_id", "digest"])
 
     rows = source.mapInArrow(digests, "doc_id long, digest binary")

@@ -14,9 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, spill, table, text_bytes
+from ._common import crc_mod, parts, spill, table
 
-FEATURES = ["log_words", "word_length", "upper", "digits", "marks", "shouts", "bars", "symbols", "foreign", "distinct_words", "repeats", "same_lines", "line_length", "common_word"]
+FEATURES = ["log_words", "word_length", "upper", "digits", "marks", "shouts", "bars", "symbols", "foreign", "distinct_words", "repeats", "same_lines", "line_length", "variety"]
 _SYMBOLS = list(b"#$%&*+/<=>@\\^_`{}~")
 _MARKS = [c for c in range(33, 127) if not chr(c).isalnum()]
 
@@ -51,8 +51,8 @@ def features(text: bytes) -> list[float]:
 def _feature_rows(batches):
     import pyarrow as pa
 
-    for b in batches:
-        x = np.array([features(t) for t in text_bytes(b.column(1))], dtype=np.float64).reshape(-1, len(FEATURES))
+    for b, texts_ in parts(batches):
+        x = np.array([features(t) for t in texts_], dtype=np.float64).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(x.shape[1])), *b.columns[2:]], ["doc_id", *FEATURES, *b.schema.names[2:]])
 
 
