@@ -57,6 +57,13 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def file_system(uri: str):
+    """A pyarrow file system and the path in it, for any URI that pyarrow opens."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -274,6 +281,10 @@ class Bloom:
         words[got["w"].to_numpy()] = got["b"].to_numpy()
         return cls(bits, words.view(np.uint64))
 
+    def fill(self) -> float:
+        """Share of the bits that are set."""
+        return float(np.bitwise_count(self.words).sum()) / (1 << self.bits)
+
     def has(self, slots: np.ndarray) -> np.ndarray:
         """slots: pmod(xxhash64(id), 2**bits), which the plan adds as a column."""
         return (self.words[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1

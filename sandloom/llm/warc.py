@@ -18,7 +18,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch, spill, table, text_bytes
+from ._common import file_system, scratch, spill, table, text_bytes
 
 MAGIC = b"\x1f\x8b\x08"
 HEAD_BYTES = 1 << 16
@@ -26,13 +26,6 @@ LEAST_PAYLOAD = 100
 ARCHIVE_BYTES = 64 << 20
 
 
-def file_system(uri: str):
-    """A pyarrow file system and the path in it, for any URI that pyarrow opens."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def clean(value) -> str:
     """A header value: no line breaks, which would end the header."""
     return " ".join(str(value).split())

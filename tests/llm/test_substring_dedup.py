@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from sandloom.llm.substring_dedup import FingerprintIndex, substring_dedup
+from pyspark.sql import functions as F
+
+from sandloom.llm.substring_dedup import FingerprintIndex, cut, substring_dedup
 
 
 def brute(rows):
@@ -38,17 +40,43 @@ def test_against_brute_force(spark):
     rows += [(200, rows[4][1], "x"), (201, rows[4][1], "x"), (5, rows[5][1], "x"), (202, None, "x"), (203, "", "x"), (204, "same " * 3000, "x"), (205, "short one", "x"), (206, "short one", "x"), (None, rows[9][1], "x"), (207, " ".join(passages[4] * 30), "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(4)
     want = brute(rows)
-    for batches, bits in ((2, 25), (6, 8), (1, 25)):
+    for batches, bits in ((3, 25), (6, 6), (1, 25)):
         got = sorted((tuple(r) for r in substring_dedup(docs, batches=batches, bloom_bits=bits, most_runs=2).collect()), key=str)
         assert got == want
     assert substring_dedup(docs.limit(0)).count() == 0
 
 
-def test_index_marks_across_runs_and_compacts(spark):
-    frame = lambda rows: spark.createDataFrame(rows, "h long, lo long, hi long")
-    index = FingerprintIndex(spark, most_runs=2)
-    assert [r.h for r in index.add(frame([(1, 5, 5), (2, 6, 7), (3, 1, 1)])).collect()] == [2]
-    assert sorted(r.h for r in index.add(frame([(1, 5, 5), (3, 2, 2), (4, 4, 4)])).collect()) == [3]
-    assert index.add(frame([(4, 4, 4), (1, 9, 9)])).collect()[0].h == 1
-    assert len(index.runs) == 1
-    assert sorted(tuple(r) for r in index.runs[0].collect()) == [(1, 5, 9), (2, 6, 7), (3, 1, 2), (4, 4, 4)]
+def test_index_is_incremental_opens_again_and_compacts(spark, tmp_path):
+    rng = random.Random(9)
+    vocab = [f"v{k}" for k in range(80)]
+    passages = [[rng.choice(vocab) for _ in range(40)] for _ in range(12)]
+    rows = []
+    for i in range(120):
+        w = [rng.choice(vocab) for _ in range(rng.randrange(50))]
+        if i % 3 == 0:
+            w[5:5] = passages[rng.randrange(12)]
+        rows.append((i, " ".join(w)))
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    want = {r[0]: r for r in brute(rows)}
+    folder, cut_points = f"file://{tmp_path}/index", (0, 30, 31, 70, 120)
+    looked_at = set()
+    for a, b in zip(cut_points, cut_points[1:], strict=False):
+        index = FingerprintIndex(spark, folder, buckets=3, most_runs=2)  # another session would go on in the same way
+        late, copies = index.add(frame(rows[a:b]), frame(rows[:a]) if a else None)
+        got = cut(frame(rows[a:b]), late, copies).collect()
+        assert {r.doc_id: tuple(r) for r in got} == {i: want[i] for i in range(a, b)}
+        assert all(len(runs) <= 2 for runs in index.state["runs"].values())
+        looked_at.add(index.state["version"])
+        one, other = index.tables["anchors"][0], index.tables["anchors"][-1].select("h", F.col("doc").alias("d"))
+        plan = one.join(other.hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        index.close()
+    assert len(looked_at) == 4
+    # what is in the index is enough to judge a batch that repeats only passages already seen twice: no text of before is read
+    index = FingerprintIndex(spark, folder)
+    assert index.buckets == 3
+    twice = max(passages, key=lambda p: sum(" ".join(p) in t for _, t in rows))
+    assert sum(" ".join(twice) in t for _, t in rows) >= 2
+    late, copies = index.add(frame([(500, " ".join(twice))]), None)
+    assert {(r.doc, r.start + k) for r in late.collect() for k in range(r.n)} == {(500, k) for k in range(21)} and copies.count() == 0
+    index.delete()
