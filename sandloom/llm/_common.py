@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import sys
 import tempfile
@@ -18,9 +19,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own if Spark is local."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(spark.sparkContext, "_sandloom_root", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="sandloom-")
@@ -29,8 +32,22 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/sandloom/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. An application's paths lie together and are deleted when its driver ends in good order;
+    results are lazy, so nothing can be deleted when a function returns."""
+    folder = f"{shared_root(spark)}/sandloom/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+_folders: set[str] = set()
+
+
+def _remove(folder: str) -> None:
+    with contextlib.suppress(OSError, ValueError):  # gone already, or a store that pyarrow does not open
+        system, path = file_system(folder)
+        system.delete_dir(path)
 
 
 def spill(df: DataFrame, label: str) -> DataFrame:
