@@ -133,31 +133,44 @@ def _gather(batches, mode=None, limit: int = 1 << 20):
             yield out(kind)
 
 
-def ppm(keys: np.ndarray, counts: np.ndarray, low: tuple) -> np.ndarray:
+LOW = 2  # the highest order whose strings all owners get
+
+
+def _at(level: tuple, x: np.ndarray) -> np.ndarray:
+    """How often the strings x occur."""
+    s, c = level[:2]
+    if not len(s):
+        return np.zeros(len(x), np.int64)
+    i = np.minimum(np.searchsorted(s, x), len(s) - 1)
+    return np.where(s[i] == x, c[i], 0)
+
+
+def _level(s: np.ndarray, c: np.ndarray) -> tuple:
+    """Of the strings of an order and their counts: those that occur, and for each context its occurrences and how many bytes follow it."""
+    s, c = _sum_by(s, c)
+    s, c = s[c > 0], c[c > 0]
+    return s, c, *_sum_by(s >> _U(8), c, np.ones(len(c), np.int64))
+
+
+def _gone(level: tuple, below: tuple, k: int) -> tuple:
+    """For each context of order k: occurrences and number of the bytes that it excludes on the order below."""
+    s = level[0]
+    return _sum_by(s >> _U(8), _at(below, s & _U((1 << 8 * k) - 1)), np.ones(len(s), np.int64))
+
+
+def low_orders(keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """For orders 0 to LOW, from all strings of LOW + 1 bytes: (what _level gives, what _gone gives)."""
+    levels = [_level(keys & _U((1 << 8 * (k + 1)) - 1), counts) for k in range(LOW + 1)]
+    return [(x, _gone(x, levels[k - 1], k) if k else None) for k, x in enumerate(levels)]
+
+
+def ppm(keys: np.ndarray, counts: np.ndarray, low: list[tuple]) -> np.ndarray:
     """log10 probability of the last byte of each string after its context.
 
-    keys, counts: all strings of ORDER + 1 bytes with these two-byte suffixes of the context (count 0: to be scored only).
-    low: (strings of two bytes, their counts) over everything, for orders 1 and 0.
+    keys, counts: all strings of ORDER + 1 bytes with these LOW + 1 last bytes of the context (count 0: to be scored only).
+    low: low_orders() of everything.
     """
-    levels = {}
-    for k in range(ORDER, -1, -1):
-        if k > 1:
-            s, c = _sum_by(keys & _U((1 << 8 * (k + 1)) - 1), counts)
-        elif k == 1:
-            s, c = _sum_by(*low)
-        else:
-            s, c = _sum_by(low[0] & _U(0xFF), low[1])
-        s, c = s[c > 0], c[c > 0]
-        context, n, d = _sum_by(s >> _U(8), c, np.ones(len(c), np.int64))
-        levels[k] = (s, c, context, n, d)
-
-    def at(k, x):
-        s, c = levels[k][:2]
-        if not len(s):
-            return np.zeros(len(x), np.int64)
-        i = np.minimum(np.searchsorted(s, x), len(s) - 1)
-        return np.where(s[i] == x, c[i], 0)
-
+    levels = [x for x, _ in low] + [_level(keys & _U((1 << 8 * (k + 1)) - 1), counts) for k in range(LOW + 1, ORDER + 1)]
     logp = np.zeros(len(keys))
     open_ = np.ones(len(keys), dtype=bool)
     without_n, without_d = np.zeros(len(keys)), np.zeros(len(keys))
@@ -170,7 +183,7 @@ def ppm(keys: np.ndarray, counts: np.ndarray, low: tuple) -> np.ndarray:
         left_n = np.where(seen, n[i] if len(n) else 0, 0) - np.where(seen, without_n, 0)
         left_d = np.where(seen, d[i] if len(d) else 0, 0) - np.where(seen, without_d, 0)
         use = open_ & seen & (left_d > 0)
-        count = at(k, x)
+        count = _at(levels[k], x)
         hit = use & (count > 0)
         logp[hit] += np.log10(count[hit] / (left_n[hit] + left_d[hit]))
         miss = use & (count == 0)
@@ -178,8 +191,7 @@ def ppm(keys: np.ndarray, counts: np.ndarray, low: tuple) -> np.ndarray:
         open_ &= ~hit
         if k:
             # what a seen context of this order excludes on the order below
-            below = at(k - 1, s & _U((1 << 8 * k) - 1))
-            ctx, gone_n, gone_d = _sum_by(s >> _U(8), below, np.ones(len(s), np.int64))
+            ctx, gone_n, gone_d = low[k][1] if k <= LOW else _gone(levels[k], levels[k - 1], k)
             i = np.minimum(np.searchsorted(ctx, mine), max(0, len(ctx) - 1))
             there = ctx[i] == mine if len(ctx) else np.zeros(len(keys), dtype=bool)
             without_n = np.where(there, gone_n[i] if len(ctx) else 0, without_n * 0)
@@ -190,13 +202,14 @@ def ppm(keys: np.ndarray, counts: np.ndarray, low: tuple) -> np.ndarray:
 
 
 def _own(key, groups, low=None):
-    """Probabilities of the strings of one owner."""
+    """Probabilities of the strings of one owner, as precise as a look-up table has them."""
     import pyarrow as pa
 
     keys, train, total = (groups.column(k).to_numpy() for k in ("key", "train", "total"))
     keys = keys.view(_U)
     order = np.argsort(keys)
-    return pa.table({"key": keys[order].view(np.int64), "logp": ppm(keys[order], train[order], low.value), "total": total[order]})
+    logp = ppm(keys[order], train[order], low.value).astype(np.float32).astype(np.float64)
+    return pa.table({"key": keys[order].view(np.int64), "logp": logp, "total": total[order]})
 
 
 _tables: dict = {}
@@ -238,7 +251,7 @@ def _score(batches, words=None, trie=None, whole=None):
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(x) for x in f.values())], ["doc_id", *f])
 
 
-def lm_scores(docs: DataFrame, table_most: int = 1 << 21, words_most: int = 1 << 20, holdout: int = 5) -> DataFrame:
+def lm_scores(docs: DataFrame, table_most: int = 1 << 21, words_most: int = 1 << 20, holdout: int = 5, strings_per_owner: int = 50_000) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are the end token alone. Rows that repeat a doc_id are counted and scored each. A null doc_id
@@ -268,10 +281,11 @@ def lm_scores(docs: DataFrame, table_most: int = 1 << 21, words_most: int = 1 <<
     words = spark.sparkContext.broadcast((mark, got["key"].to_numpy(), log(c)))
 
     grams = counts.filter("kind = 1")
-    two = grams.groupBy(F.expr("key & 65535").alias("key")).agg(F.sum("train").alias("n")).filter("n > 0").toArrow()  # at most 65536 rows
-    low = spark.sparkContext.broadcast((two["key"].to_numpy().view(_U), two["n"].to_numpy()))
-    suffix = F.expr("shiftright(key, 8) & 65535")
-    owner = F.pmod(F.xxhash64(suffix), F.lit(1024)).alias("owner")
+    three = grams.groupBy(F.expr(f"key & {(1 << 8 * (LOW + 1)) - 1}").alias("key")).agg(F.sum("train").alias("n")).filter("n > 0").toArrow()  # at most 2^24 rows
+    low = spark.sparkContext.broadcast(low_orders(three["key"].to_numpy().view(_U), three["n"].to_numpy()))
+    suffix = F.expr(f"shiftright(key, 8) & {(1 << 8 * (LOW + 1)) - 1}")
+    owners = max(1024, (sums[1].keys if 1 in sums else 0) // strings_per_owner)
+    owner = F.pmod(F.xxhash64(suffix), F.lit(owners)).alias("owner")
     trie = spill(grams.select(owner, "key", "train", "total").groupBy("owner").applyInArrow(partial(_own, low=low), "key long, logp double, total long"), "lm-trie")
     got = often(trie, 1).select("key", "logp").toArrow()
     table_ = spark.sparkContext.broadcast((mark, got["key"].to_numpy(), got["logp"].to_numpy().astype(np.float32)))
