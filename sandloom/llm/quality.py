@@ -152,7 +152,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000,
     """Per document: doc_id, held_out, score, predicted.
 
     Fitted on at most train_rows labelled rows (the ones with the smallest hash of doc_id) whose crc32(doc_id) mod 5 is not
-    0; null labels are left out. Null and empty texts have features of 0 and a score like any other; without usable
+    0; null labels are left out, repeated ones count once, and of labels that disagree 0 counts. Null and empty texts have features of 0 and a score like any other; without usable
     labels, every score is the share of ones, 0.5 if there are none. Repeated rows get equal scores. An empty table gives an
     empty result; other columns are not looked at. `carry` names a column of longs that is handed on with each row.
     """
@@ -161,7 +161,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000,
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
     kind = ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES), *(f"{c} long" for c in more)])
     rows = spill(source.mapInArrow(_feature_rows, kind), "quality-features")
-    usable = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("label")).filter("label in (0, 1)").filter(crc_mod("l_id") != 0)
+    usable = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("label")).filter("label in (0, 1)").filter(crc_mod("l_id") != 0).groupBy("l_id").agg(F.min("label").alias("label"))
     known = rows.join(usable, rows.doc_id == usable.l_id).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(train_rows).toArrow()
     x = np.stack([known[f].to_numpy() for f in FEATURES], axis=1) if known.num_rows else np.zeros((0, len(FEATURES)))
     model = spark.sparkContext.broadcast(AdditiveModel().fit(x, known["label"].to_numpy().astype(float)))

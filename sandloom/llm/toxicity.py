@@ -17,10 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, table, text_bytes, texts
+from ._common import crc_mod, parts, table, texts
 
 LAMBDA, FLOOR = 0.6, 0.42
-SPAN, KEY_BITS = 6, 24
+SPAN, KEY_BITS = 6, 32  # a subsequence is four bytes, so keys don't collide
 #: Offsets of the second, third and fourth character.
 _SHAPES = tuple((i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j))
 _SPELLED = re.compile(rb"(?<!\S)(?:\S[\x20\x09-\x0D]){2,}\S(?!\S)")
@@ -47,7 +47,7 @@ def occurrences(words: list[bytes]):
     for i, j, k in _SHAPES:
         at = np.flatnonzero(left > k)
         key = (blob[at] << np.uint64(24)) | (blob[at + i] << np.uint64(16)) | (blob[at + j] << np.uint64(8)) | blob[at + k]
-        yield owner[at], ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - KEY_BITS)).astype(np.int64), LAMBDA ** (k - 3)
+        yield owner[at], key.astype(np.int64), LAMBDA ** (k - 3)
 
 
 def feature_map(words: list[bytes]):
@@ -69,28 +69,44 @@ class Landmarks:
     def __init__(self, words: list[bytes]):
         self.words = words
         owner, key, value, _ = feature_map(words)
-        keys, back = np.unique(key, return_inverse=True)
-        self.place = np.zeros(1 << KEY_BITS, dtype=np.uint16)
-        self.place[keys] = np.arange(1, len(keys) + 1)
-        self.matrix = np.zeros((len(keys) + 1, len(words)), dtype=np.float32)
+        self.keys, back = np.unique(key, return_inverse=True)
+        self.may = np.zeros(1 << 16, dtype=bool)
+        self.may[self._short(self.keys)] = True
+        self.matrix = np.zeros((len(self.keys) + 1, len(words)), dtype=np.float32)
         self.matrix[back + 1, owner] = value
 
+    @staticmethod
+    def _short(key: np.ndarray) -> np.ndarray:
+        return (key * 0x9E3779B1 >> 13) & 0xFFFF
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        """The row of each subsequence in the matrix, 0 for those that no landmark has."""
+        out = np.zeros(len(key), dtype=np.int64)
+        some = np.flatnonzero(self.may[self._short(key)])
+        at = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
+        out[some] = np.where(self.keys[at] == key[some], at + 1, 0)
+        return out
+
     def kernels(self, words: list[bytes]):
         """Which words come near a landmark, and their kernels with all landmarks."""
         n = len(words)
-        inside, total = np.zeros(n), np.zeros(n)
+        total, who, where, weight = np.zeros(n), [], [], []
         for owner, key, w in occurrences(words):
-            p = self.place[key]
+            p = self.place(key)
             total += np.bincount(owner, minlength=n) * w * w
-            inside += np.bincount(owner[p > 0], minlength=n) * w * w
-        # A kernel of FLOOR needs a share of FLOOR**2 of the word's own norm within the landmarks' subsequences; repeated
-        # subsequences can only raise that share, by a factor of two at most in words worth looking at.
-        near = np.flatnonzero((inside >= 0.5 * FLOOR**2 * total) & (total > 0))
+            who.append(owner[p > 0])
+            where.append(p[p > 0])
+            weight.append(np.full(len(who[-1]), w))
+        # By Cauchy and Schwarz a kernel is at most the norm of the word's part within the landmarks' subsequences over the
+        # word's norm, whose square is no less than the sum of the squared weights of all occurrences.
+        cell, back = np.unique(np.concatenate(who) * len(self.matrix) + np.concatenate(where), return_inverse=True)
+        inside = np.bincount(cell // len(self.matrix), np.bincount(back, np.concatenate(weight), len(cell)) ** 2, n)
+        near = np.flatnonzero((inside >= FLOOR**2 * total * (1 - 1e-9)) & (total > 0))
         if not len(near):
             return near, np.zeros((0, len(self.words)), np.float32)
         owner, key, value, _ = feature_map([words[i] for i in near])
         k = np.zeros((len(near), len(self.words)), np.float32)
-        p = self.place[key]
+        p = self.place(key)
         live = np.flatnonzero(p)
         for at in range(0, len(live), 200_000):
             part = live[at : at + 200_000]
@@ -217,7 +233,6 @@ def train(texts_: list[bytes], toxic: np.ndarray, weight: np.ndarray, rounds: in
     live = values > 1e-3
     white = axes[:, live] / np.sqrt(values[live])
     z = [v.astype(float) @ white for v in vectors]
-    first = np.array([v.max() if len(v) else 0.0 for v in vectors])
     pick = [int(v.max(axis=1).argmax()) if len(v) else None for v in vectors]
     for _ in range(rounds):
         xs, ys, ws = [np.zeros((1, white.shape[1]))], [-1.0], [10.0]
@@ -235,40 +250,43 @@ def train(texts_: list[bytes], toxic: np.ndarray, weight: np.ndarray, rounds: in
     scorer = Scorer(marks, white @ w, b, (1.0, 0.0))
     d = np.array([scorer.decision(v) for v in vectors])
     scorer.scale = logistic(d, toxic.astype(float), weight)
-    del first
     return scorer
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, threshold: float = 0.5) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, train_bytes: int = 64 << 20, threshold: float = 0.5) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
     Trained on at most train_rows toxic and train_rows other labelled documents (those with the smallest hash of doc_id)
-    whose crc32(doc_id) mod 5 is not 0; null labels are left out. Null and empty texts have no sentences and the lowest
+    whose crc32(doc_id) mod 5 is not 0, and on no more than train_bytes of text of each kind (documents that would go beyond are
+    passed over); null labels are left out, repeated ones count once, and of labels that disagree 1 counts. Null and empty texts have no sentences and the lowest
     score. Without usable labels of both kinds, every score is the share of ones. Repeated rows get equal scores. An empty
     table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
-    usable = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("label")).filter("label in (0, 1)").filter(crc_mod("l_id") != 0).distinct()
+    usable = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("label")).filter("label in (0, 1)").filter(crc_mod("l_id") != 0).groupBy("l_id").agg(F.max("label").alias("label"))
     sizes = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     some = usable.filter("label = 1").orderBy(F.xxhash64("l_id"), "l_id").limit(train_rows).union(usable.filter("label = 0").orderBy(F.xxhash64("l_id"), "l_id").limit(train_rows))
     source = texts(docs)
     # at most 2 * train_rows ids are broadcast
-    known = source.join(F.broadcast(some), source.doc_id == some.l_id).select("text", "label").orderBy("label", F.xxhash64("text"), "text").toArrow()
+    mine = source.join(F.broadcast(some), source.doc_id == some.l_id)
+    each = mine.groupBy("label", "l_id").agg(F.sum(F.octet_length("text")).alias("size")).select("label", "l_id", "size", F.xxhash64("l_id").alias("h")).collect()
+    left, fit = {0: train_bytes, 1: train_bytes}, []
+    for r in sorted(each, key=lambda r: (r.h, r.l_id)):
+        if r.size <= left[r.label]:
+            left[r.label] -= r.size
+            fit.append(r.l_id)
+    known = mine.filter(F.col("l_id").isin(fit)).select("text", "label").orderBy("label", F.xxhash64("text"), "text").toArrow()
     y = known["label"].to_numpy().astype(int)
     each = {k: sizes.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)}
     scorer = train([t.encode() for t in known["text"].to_pylist()], y, np.array([each[k] for k in y.tolist()]))
-    parts = (scorer.landmarks.words if scorer.landmarks else [], scorer.weights, scorer.bias, scorer.scale)
-    model = spark.sparkContext.broadcast(parts)
+    model = spark.sparkContext.broadcast((scorer.landmarks.words if scorer.landmarks else [], scorer.weights, scorer.bias, scorer.scale))
 
     def score(batches):
         import pyarrow as pa
 
         s = Scorer(*model.value)
-        for b in batches:
-            t, out = text_bytes(b.column(1)), []
-            for i in range(0, len(t), 500):
-                out += s.score(t[i : i + 500])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+        for b, t in parts(batches, rows=512):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.score(t), pa.float64())], ["doc_id", "score"])
 
     return source.mapInArrow(score, "doc_id long, score double").select("doc_id", (crc_mod() == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
