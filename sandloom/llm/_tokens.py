@@ -54,8 +54,10 @@ class WordCached:
             part = plain[k : k + 500]
             (ids,) = self._ids([" ".join(c for _, c, _ in part)])
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(ends) != len(part):
-                raise AssertionError("words and their ids don't match")
+            if len(ends) != len(part):  # a word of these doesn't end as words do: one by one
+                for (w, c, p), x in zip(part, self._ids([c for _, c, _ in part]), strict=True):
+                    self.cache[w] = x.tobytes() + tail[p]
+                continue
             raw, at = ids.tobytes(), 0
             for (w, _, p), to in zip(part, ends.tolist(), strict=True):
                 self.cache[w] = raw[at:to] + tail[p]

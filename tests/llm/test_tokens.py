@@ -45,6 +45,26 @@ def test_token_output(spark):
     assert read_ids(write_ids(docs.limit(0), P.path("word_bpe_49k.json"))).count() == 0
 
 
+def test_token_output_of_odd_rows(spark):
+    rows = [(None, "no id"), (None, "a second one"), (4, "same id b"), (4, "same id a"), (4, "same id a"), (2, None), (9, "very long " * 60_000), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in read_ids(write_ids(docs, P.path("word_bpe_49k.json"), 1, segment_ids=50)).selectExpr("start", "doc_id", "n_tokens", "ids_crc32").collect())
+    t, start, want = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0, []
+    for i, text in sorted(((i, x or "") for i, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 1]
+        want.append((start, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+
+
+def test_words_whose_ends_are_not_marked_are_encoded_one_by_one():
+    t = WordCached(P.path("word_bpe_49k.json"))
+    t.ends[:] = False
+    texts = ["some plain words, and more", "words again"]
+    want = [np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    assert t.encode(texts) == want
+
+
 def best_possible(sizes, capacity):
     """Fewest bins by trying every assignment."""
     best = [len(sizes)]
