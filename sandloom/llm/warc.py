@@ -182,7 +182,9 @@ def read_archives(archives: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
     A response's payload is measured anew and must have the digest that its header gives.
     """
     ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    # A stated number, which the coalescing of small partitions leaves alone: ranges are tiny as rows, not as work.
+    n = archives.agg(F.sum(F.ceil(F.greatest(F.col("size"), F.lit(1)) / range_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(n), 100_000), "path", "start")
 
     def read(batches):
         import pyarrow as pa
@@ -208,7 +210,11 @@ def read_archives(archives: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return read_archives(write_archives(table(spark, sf_dir, "pages"))).drop("url")
+    archives = write_archives(table(spark, sf_dir, "pages"))
+    got = spill(read_archives(archives).drop("url"), "warc-rows")
+    if got.count() != (archives.agg(F.sum("records")).first()[0] or 0):
+        raise ValueError("other records were read than written")
+    return got
 
 
 SQL = """
