@@ -234,12 +234,13 @@ def _reduce(batches):
     and whether the group is wide: more than FEW sets, or some of it salted. A set that is left over is a pair with itself."""
     import pyarrow as pa
 
-    last = None
+    last, carried = None, np.zeros(0, dtype=np.int64)
     for x in batches:
         if not x.num_rows:
             continue
         r, b = x.column(0).to_numpy(), x.column(1).to_numpy()
-        salted = np.unique(r[b == MARK])
+        salted = np.union1d(r[b == MARK], carried)
+        carried = salted[salted == r[-1]]  # the last signature goes on in the next batch, perhaps after its mark
         again = np.concatenate([[False], (r[1:] == r[:-1]) & (b[1:] == b[:-1])]) | (b == MARK)
         edge = r[-1]
         r, b = r[~again], b[~again]

@@ -62,6 +62,40 @@ def test_components_against_brute_force(spark):
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_hot_families_over_batch_boundaries(spark):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(150):  # many near copies of one text and few of another, so that tasks salt their signatures
+        w = list(base) if i % 5 else [*base[:30], *[f"x{k}" for k in range(40)]]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "2")
+        got = sorted((tuple(r) for r in jaccard_components(docs).collect()), key=str)
+    finally:
+        spark.conf.set(name, before)
+    assert got == brute(rows)
+
+
+def test_a_mark_counts_in_the_next_batch_too():
+    import pyarrow as pa
+
+    def run(*cuts):
+        r, b = [5, 5, 5, 5, 6, 6], [int(jaccard.MARK), 10, 11, 12, 10, 11]
+        rows = pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(b, pa.int64())], ["r", "b"])
+        bounds = [0, *cuts, 6]
+        return [row for x in jaccard._reduce(rows.slice(i, j - i) for i, j in zip(bounds, bounds[1:], strict=False)) for row in x.to_pylist()]
+
+    for cuts in ((), (1,), (2,), (1, 2, 3)):
+        got = run(*cuts)
+        assert {(x["a"], x["b"]) for x in got if x["g"] == 5 and x["wide"]} == {(10, 11), (10, 12)}
+
+
 def test_a_similar_pair_shares_a_signature_or_both_are_left_over():
     rng = np.random.default_rng(4)
     for _ in range(1500):
