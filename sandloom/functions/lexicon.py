@@ -4,25 +4,29 @@
 BM25_K1, BM25_B = 1.5, 0.75
 RRF_K = 60
 RERANK_THRESHOLD = 0.35
+THRESHOLDS = {"book": 0.28, "tamil": 0.28, "web": 0.30}
+RELAXED_BY = 0.08
 PRIMARY_TYPES = ["textbook", "guide"]
 MATH_SUBJECTS = ["math", "maths", "mathematics"]
-MATH_WORDS = (
-    "solve evaluate simplify ratio percentage fraction equation algebra geometry triangle circle rectangle square perimeter area volume mean median mode probability "
-    "derivative integral matrix determinant vector number integer prime composite factor multiple lcm hcf gcd root power exponent theorem coordinate graph axis angle "
-    "degree radius diameter trigonometry sine cosine tangent formula math maths mathematics addition subtraction multiplication division sum"
-).split()
+MATH_WORDS = [
+    "solve", "evaluate", "simplify", "ratio", "percentage", "fraction", "equation", "algebra", "geometry", "triangle", "circle", "rectangle", "square", "perimeter", "area", "volume",
+    "mean", "median", "mode", "probability", "derivative", "integral", "matrix", "determinant", "vector", "number", "integer", "prime", "composite", "factor", "multiple", "lcm", "hcf",
+    "gcd", "root", "power", "exponent", "theorem", "coordinate", "graph", "axis", "angle", "degree", "radius", "diameter", "trigonometry", "sine", "cosine", "tangent", "formula", "math",
+    "maths", "mathematics", "addition", "subtraction", "multiplication", "division", "sum",
+]
 MATH_TAMIL = [
     r"மதிப்பு\s*காண்க", "தீர்வு", "சுருக்குக", "விகிதம்", "விழுக்காடு", "சதவீதம்", "பின்னம்", "சமன்பாடு", "இயற்கணிதம்", "வடிவியல்", "முக்கோணம்", "வட்டம்", "செவ்வகம்", "சதுரம்",
     "சுற்றளவு", "பரப்பளவு", "கனஅளவு", "சராசரி", "நிகழ்தகவு", "காரணி", "பெருக்கல்", r"மீ\.பொ\.வ", r"மீ\.பொ\.க", r"மீ\.சி\.ம", "கோணம்", "ஆரம்", "விட்டம்", "வரைபடம்", "கூட்டல்",
     "கழித்தல்", "வகுத்தல்", "எண்", "எண்கள்",
 ]
+MATH_WHOLE = [r"\d+\s*x", r"x\s*[+\-]\s*y"]
 MATH_SHAPES = [r"\d+[+\-*/÷=<>%^√]\d+", r"[x-z]\s*[+\-*/÷=<>%^√]", r"[+\-*/÷=<>%^√]\s*[x-z]"]
-SCIENCE_WORDS = (
-    "cell organ tissue plant animal species force gravity energy light sound heat temperature atom molecule element compound reaction acid base salt metal friction "
-    "velocity acceleration mass weight density pressure electricity magnet circuit lens mirror reflection refraction spectrum fossil coal petroleum pollution environment "
-    "ecosystem biodiversity photosynthesis respiration digestion circulation nervous disease virus bacteria fungi nutrient vitamin mineral hormone gene chromosome dna rna "
-    "science physics chemistry biology"
-).split()
+SCIENCE_WORDS = [
+    "cell", "organ", "tissue", "plant", "animal", "species", "force", "gravity", "energy", "light", "sound", "heat", "temperature", "atom", "molecule", "element", "compound", "reaction",
+    "acid", "base", "salt", "metal", "friction", "velocity", "acceleration", "mass", "weight", "density", "pressure", "electricity", "magnet", "circuit", "lens", "mirror", "reflection",
+    "refraction", "spectrum", "fossil", "coal", "petroleum", "pollution", "environment", "ecosystem", "biodiversity", "photosynthesis", "respiration", "digestion", "circulation", "nervous",
+    "disease", "virus", "bacteria", "fungi", "nutrient", "vitamin", "mineral", "hormone", "gene", "chromosome", "dna", "rna", "science", "physics", "chemistry", "biology",
+]
 SCIENCE_TAMIL = [
     "செல்", "திசு", "உறுப்பு", "தாவரம்", "விலங்கு", "விசை", "ஈர்ப்பு", "ஆற்றல்", "ஒளி", "ஒலி", "வெப்பம்", "வெப்பநிலை", "அணு", "மூலக்கூறு", "தனிமம்", "சேர்மம்", "வினை", "அமிலம்", "காரம்",
     "உப்பு", "உலோகம்", "அலோகம்", "உராய்வு", "திசைவேகம்", "முடுக்கம்", "நிறை", "எடை", "அடர்த்தி", "அழுத்தம்", "மின்சாரம்", "காந்தம்", "மின்சுற்று", "ஆடி", "பிரதிபலிப்பு", "விலகல்", "நிறமாலை",
@@ -49,9 +53,12 @@ ROLES = {
     "exercise": ["பயிற்சி", "exercise", "மதிப்பீடு", "evaluation", "கேள்வி-பதில்"],
     "activity": ["செயல்பாடு", "activity", "ஆராய்ந்து அறிக"],
 }
-CORRECTION_STOPS = "is the of a an what how why to in it should be wrong and".split()
-RELEVANCE_STOPS = "what is the a an of in and or to are how does do give explain define tell me about its their for with from by on at be was were has have had it".split()
-CUES = "is are called defined means refers classified types example examples".split()
+CORRECTION_STOPS = ["is", "the", "of", "a", "an", "what", "how", "why", "to", "in", "it", "should", "be", "wrong", "and"]
+RELEVANCE_STOPS = [
+    "what", "is", "the", "a", "an", "of", "in", "and", "or", "to", "are", "how", "does", "do", "give", "explain", "define", "tell", "me", "about", "its", "their", "for", "with", "from",
+    "by", "on", "at", "be", "was", "were", "has", "have", "had", "it",
+]
+CUES = ["is", "are", "called", "defined", "means", "refers", "classified", "types", "example", "examples"]
 BANNED_PHRASES = ["இதை உங்கள் நெட்வொர்க்", "சேமிக்கவும்", "RIGHT COLUMN", "LEFT COLUMN"]
 GLOSSARY_HEADERS = ["glossary", "சொல்லகராதி", "கலைச்சொற்கள்", "அகராதி"]
 SCRIPTS = {"European": (0x0000, 0x007F), "Chinese (Basic)": (0x4E00, 0x9FFF), "Tamil": (0x0B80, 0x0BFF), "Hindi": (0x0900, 0x097F), "Telugu": (0x0C00, 0x0C7F), "Malayalam": (0x0D00, 0x0D7F), "Kannada": (0x0C80, 0x0CFF), "Marathi": (0x0900, 0x097F), "Bengali": (0x0980, 0x09FF)}

@@ -55,7 +55,7 @@ def whole_words(ws: list[str]) -> str:
 def subjects(question, available: Column | None = None) -> Column:
     """Subjects that a question's words point to; the available ones if none."""
     q = F.lower(col(question))
-    math = q.rlike("|".join([whole_words(L.MATH_WORDS), *L.MATH_TAMIL, *L.MATH_SHAPES]))
+    math = q.rlike("|".join([whole_words(L.MATH_WORDS + L.MATH_WHOLE), *L.MATH_TAMIL, *L.MATH_SHAPES]))
     science = q.rlike("|".join([whole_words(L.SCIENCE_WORDS), *L.SCIENCE_TAMIL]))
     none = F.array().cast("array<string>")
     found = F.concat(F.when(math, F.array(*map(F.lit, L.MATH_SUBJECTS))).otherwise(none), F.when(science, F.array(F.lit("science"))).otherwise(none))
@@ -218,8 +218,9 @@ def join_lines(c) -> Column:
         without = F.substring(x, F.lit(1), F.length(x) - 1)
         return F.when((x == "") | following.isNull(), x).when(following == "", F.concat(x, F.lit("\n"))).when(x.endswith("-"), without).otherwise(F.concat(x, F.lit(" ")))
 
-    pieces = F.zip_with(ls, F.slice(ls, F.lit(2), F.size(ls)), piece)
-    return strip(F.regexp_replace(F.array_join(pieces, ""), " {2,}", " "))
+    # The lines are bound to a name by an array of one element, so that they are made once and not wherever they are used.
+    pieces = F.transform(F.array(ls), lambda x: F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), piece))
+    return strip(F.regexp_replace(F.array_join(F.get(pieces, F.lit(0)), ""), " {2,}", " "))
 
 
 def nfc(c) -> Column:
@@ -358,6 +359,31 @@ def loan_word_score(c) -> Column:
     return F.when(F.regexp_replace(col(c), r"\([^)]*\)", "").rlike("[a-zA-Z]{2,}"), 3).otherwise(5)
 
 
+def wiki_links(c) -> Column:
+    """What stands in double square brackets, in order."""
+    return F.regexp_extract_all(col(c), F.lit(r"\[\[(.*?)\]\]"), 1)
+
+
+def manual_region(c, start: str = "<!-- MANUAL:START -->", end: str = "<!-- MANUAL:END -->") -> Column:
+    """The text between the first start mark and the next end mark, or null."""
+    tail = F.substring(col(c), F.locate(start, col(c)) + len(start), F.length(col(c)))
+    found = (F.locate(start, col(c)) > 0) & (F.locate(end, tail) > 0)
+    return F.when(found, F.substring_index(tail, end, 1))
+
+
+def signature_changes(diff) -> Column:
+    """Lines of a diff that add or remove a function, a class or an import, in order."""
+    shape = r"^[+-]\s*(def\s+\w+\(.*?\):|class\s+\w+|import\s+|from\s+.*?\s+import\s+)"
+    return F.filter(F.split(col(diff), "\n"), lambda x: x.rlike(shape))
+
+
+def keep_manual(new, old) -> Column:
+    """A generated page with the manual region of the page that it replaces, before its related pages or at its end."""
+    head = "## Related Documentation"
+    block = F.concat(F.lit("## Manual Notes\n<!-- MANUAL:START -->"), F.coalesce(manual_region(old), F.lit("")), F.lit("\n<!-- MANUAL:END -->\n\n"))
+    return F.when(F.contains(col(new), F.lit(head)), F.replace(col(new), F.lit(head), F.concat(block, F.lit(head)))).otherwise(F.concat(strip(new), F.lit("\n\n"), block))
+
+
 def bucket(source) -> Column:
     s = F.lower(F.replace(col(source), F.lit("\\"), F.lit("/")))
     return F.when(s.startswith("add/") | (s == "add"), "web").when(F.contains(s, F.lit("tamil")), "tamil").otherwise("book")

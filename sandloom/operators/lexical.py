@@ -30,18 +30,27 @@ def term_stats(posts: DataFrame, corpus: DataFrame) -> DataFrame:
     return df.join(F.broadcast(corpus)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_key: str = "item_id", query_text: str = "text", key: str = "doc_id", text: str = "text", k1: float = L.BM25_K1, b: float = L.BM25_B) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, query_key: str = "item_id", query_text: str = "text", key: str = "doc_id", text: str = "text", k1: float = L.BM25_K1, b: float = L.BM25_B, by: str | None = None, broadcast_rows: int = 1 << 18) -> DataFrame:
     """query_key, key, score for each pair that shares a token; a token that a query repeats counts each time.
 
-    The statistics are those of all docs: filter the result, not docs, to keep them. Only documents that share a term
-    with a query take part in the join, and terms of queries alone reach it.
+    The statistics are those of all docs: filter the result, not docs, to keep them. With `by`, a column of both sides, each
+    of its values is a corpus of its own. A document is tokenised once for its length and its terms, and only the
+    questions' terms go on to be counted; they are broadcast if they are at most broadcast_rows, and shuffled beyond.
     """
-    wanted = queries.select(query_key, F.explode(T.tokens(query_text)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
-    lengths = doc_stats(docs, key, text)
-    corpus = corpus_stats(lengths)
-    posts = postings(docs, key, text)
-    terms = term_stats(posts, corpus)
-    scored = wanted.join(terms, "term").join(posts, "term").join(lengths, key).join(F.broadcast(corpus))
+    corpus_key = [by] if by else []
+    wanted = queries.select(query_key, *corpus_key, F.explode(T.tokens(query_text)).alias("term")).groupBy(query_key, *corpus_key, "term").agg(F.count("*").alias("times"))
+    few = wanted.count() <= broadcast_rows
+    small = F.broadcast if few else (lambda d: d)
+    length = F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))).cast("long")
+    corpus = docs.select(*corpus_key, length.alias("doc_len")).groupBy(*corpus_key).agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
+    cut = docs.select(key, *corpus_key, T.tokens(text).alias("ts")).select(key, *corpus_key, F.size("ts").cast("long").alias("doc_len"), F.explode("ts").alias("term"))
+    asked = wanted.select(*corpus_key, "term").distinct()
+    posts = cut.join(small(asked), [*corpus_key, "term"], "left_semi").groupBy(key, *corpus_key, "doc_len", "term").agg(F.count("*").alias("tf"))
+    # A sum over tf, not a count of rows: both uses of the postings then have the same columns, and share one exchange.
+    terms = posts.groupBy(*corpus_key, "term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
+    terms = (terms.join(F.broadcast(corpus), corpus_key) if by else terms.crossJoin(F.broadcast(corpus))).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    ask = wanted.join(terms.select(*corpus_key, "term", "idf", "avgdl"), [*corpus_key, "term"])
+    scored = posts.join(small(ask), [*corpus_key, "term"])
     tf = F.col("tf").cast("double")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
     return scored.groupBy(query_key, key).agg(F.sum(part).alias("score"))

@@ -40,22 +40,28 @@ def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
     """small_id, large_id of all pairs where small's text is a substring of large's; both have an id and a text column.
 
     A text of three words or more is met by the rarest of its inner words, which are whole words of the text around it. Of
-    shorter ones the longest word, if it has at least three characters, lies in a word of the text around it: it is looked
-    for among the distinct words, by its rarest three-character gram. Other short texts are contained in nothing.
+    shorter ones the longest word lies in a word of the text around it: it is looked for among the distinct words, by its
+    rarest three-character gram, or by itself if it has one or two characters. Texts without a word are contained in
+    nothing.
     """
     parts = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM))))
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
     held = large.select("large_id", F.explode(F.array_distinct(parts(F.col("large")))).alias("word"))
     ws = small.select("small_id", parts(F.col("small")).alias("ws"))
     counts = held.groupBy("word").agg(F.count("*").alias("df"))
     inner = ws.filter(F.size("ws") >= 3).select("small_id", F.explode(F.array_distinct(F.slice("ws", F.lit(2), F.size("ws") - 2))).alias("word"))
     rarest = inner.join(counts, "word", "left").groupBy("small_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), F.col("word"))).alias("word"))
     longest = F.aggregate("ws", F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    short = ws.filter(F.size("ws").between(1, 2)).select("small_id", longest.alias("key")).filter(F.length("key") >= GRAM)
-    vocab = counts.filter(F.length("word") >= GRAM).select("word", F.explode(grams(F.col("word"))).alias("gram"))
+    short = ws.filter(F.size("ws").between(1, 2)).select("small_id", longest.alias("key"))
+    vocab = counts.filter(F.length("word") >= GRAM).select("word", F.explode(grams(F.col("word"), GRAM)).alias("gram"))
     gram_df = vocab.groupBy("gram").agg(F.count("*").alias("df"))
-    one = short.select("small_id", "key", F.explode(grams(F.col("key"))).alias("gram")).join(gram_df, "gram", "left").groupBy("small_id", "key").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("gram"))
+    one = short.filter(F.length("key") >= GRAM).select("small_id", "key", F.explode(grams(F.col("key"), GRAM)).alias("gram"))
+    one = one.join(gram_df, "gram", "left").groupBy("small_id", "key").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("gram"))
     inside = one.join(vocab, "gram").filter(F.contains("word", F.col("key"))).select("small_id", "word").distinct()
+    for n in range(1, GRAM):
+        tiny = short.filter(F.length("key") == n)
+        pieces = counts.filter(F.length("word") >= n).select("word", F.explode(grams(F.col("word"), n)).alias("key"))
+        inside = inside.unionByName(tiny.join(pieces, "key").select("small_id", "word"))
     met = rarest.select("small_id", "word").unionByName(inside).join(held, "word").select("small_id", "large_id").distinct()
     both = met.join(small, "small_id").join(large, "large_id")
     return both.filter(F.contains("large", F.col("small"))).select("small_id", "large_id")
@@ -78,6 +84,17 @@ def broken_links(pages: DataFrame, pattern: str = r'href="([^"]+)"') -> DataFram
     return links.join(pages.select(F.col("url").alias("link")).distinct(), "link", "left_anti").select("page_id", "link")
 
 
+def broken_wiki_links(pages: DataFrame, free_prefix: str = "Module ") -> DataFrame:
+    """title, link of wiki links to no page of the table (title, text); links that begin with free_prefix may point anywhere."""
+    links = pages.select("title", F.explode(F.array_distinct(T.wiki_links("text"))).alias("link"))
+    return links.filter(~F.col("link").startswith(free_prefix)).join(pages.select(F.col("title").alias("link")).distinct(), "link", "left_anti").select("title", "link")
+
+
+def usable_terms(glossary: DataFrame, tamil: str = "tamil", english: str = "english") -> DataFrame:
+    """Entries with more than one character on both sides; orphans go."""
+    return glossary.filter((F.length(F.coalesce(tamil, F.lit(""))) > 1) & (F.length(F.coalesce(english, F.lit(""))) > 1))
+
+
 def glossary_file_stats(terms: DataFrame, files: DataFrame) -> DataFrame:
     """file, n_terms, n_flagged, flagged_ratio, failure of every file: terms has file and needs_review."""
     n = terms.groupBy("file").agg(F.count("*").alias("n_terms"), F.count_if("needs_review").alias("n_flagged"))

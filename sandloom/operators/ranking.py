@@ -16,6 +16,23 @@ def rrf(rankings: list[DataFrame], by: str, key: str, k: int = L.RRF_K) -> DataF
     return reduce(DataFrame.unionByName, parts).groupBy(by, key).agg(F.sum("part").alias("rrf"))
 
 
+def full_rank(rows: DataFrame, by: str, value: str, ties: str, descending: bool = False, pieces: int = 64, out: str = "rank") -> DataFrame:
+    """Adds each row's place, from 1, among all rows of its group by value, then ties.
+
+    A group may be most of the table, so it isn't ranked in one task: quantiles of the value cut it into pieces, which are
+    ranked apart, and each piece's place follows from the counts of those before it. Rows of one value are one piece.
+    """
+    cuts = rows.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(value, [k / pieces for k in range(1, pieces)], 10_000).alias("_cuts"))
+    sign = (lambda c: c.desc()) if descending else (lambda c: c.asc())
+    piece = F.size(F.filter("_cuts", lambda c: (c > F.col(value)) if descending else (c < F.col(value))))
+    placed = rows.join(cuts, rows[by].eqNullSafe(cuts["_by"])).withColumn("_piece", F.coalesce(piece, F.lit(0))).drop("_cuts")
+    sizes = placed.groupBy("_by", "_piece").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_by").alias("_g"), F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_by", "_piece").orderBy(sign(F.col(value)), F.col(ties)))
+    ranked = placed.withColumn("_inner", inner).join(before, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_piece") == F.col("_p")))
+    return ranked.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_inner")).alias(out))
+
+
 def tier_merge(ranked: DataFrame, by: str, order: list[Column], top_k: int, primary: list[str] | None = None, kind: str = "content_type") -> DataFrame:
     """The first 2 * top_k of each group, primary content types before all others; adds position."""
     tier = F.when(F.col(kind).isin(L.PRIMARY_TYPES if primary is None else primary), 0).otherwise(1)
@@ -47,6 +64,30 @@ def interleave(ranked: DataFrame, by: str, bucket: Column, order: list[Column],
     return own.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("turn", at)))
 
 
+def bucketed_retrieve(scored: DataFrame, by: str, k: int = 3, web_only: bool = False, relaxed: float = L.RELAXED_BY) -> DataFrame:
+    """Rows of scored (by, language, bucket, score, key `doc_id`, seen) in the order shown, with bucket and position.
+
+    A question in Tamil asks the Tamil and the web bucket, any other the book and the web bucket; with web_only, the web
+    alone. Rows already seen and rows under their bucket's threshold go; k of each bucket stay. Where a Tamil question has
+    fewer than k from the web, its web threshold is lowered by `relaxed`. Buckets take turns, the primary one first.
+    """
+    primary = F.when(F.col("language") == "ta", "tamil").otherwise("book")
+    own = scored.filter(~F.coalesce("seen", F.lit(False))).filter((F.col("bucket") == "web") | (F.lit(not web_only) & (F.col("bucket") == primary)))
+    least = F.when(F.col("bucket") == "web", L.THRESHOLDS["web"]).when(F.col("bucket") == "tamil", L.THRESHOLDS["tamil"]).otherwise(L.THRESHOLDS["book"])
+    # The rows that a lower threshold lets in come after all others of their bucket, so lowering it only fills up.
+    lowered = F.when((F.col("bucket") == "web") & (F.col("language") == "ta"), least - relaxed).otherwise(least)
+    turn = F.row_number().over(Window.partitionBy(by, "bucket").orderBy(F.desc("score"), "doc_id"))
+    kept = own.filter(F.col("score") >= F.round(lowered, 6)).withColumn("turn", turn).filter(F.col("turn") <= k)
+    first = F.when(F.col("bucket") == "web", 1).otherwise(0)
+    return kept.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("turn", first))).drop("turn")
+
+
+def two_stage(candidates: DataFrame, by: str, first: str, second: str, wide: int = 20, k: int = 5, key: str = "doc_id") -> DataFrame:
+    """The `wide` best of each group by the first score, of these the k best by the second, ties to the smaller key; adds rank."""
+    pool = candidates.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(first), key))).filter(F.col("_r") <= wide).drop("_r")
+    return pool.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(second), key))).filter(F.col("rank") <= k)
+
+
 def rerank(candidates: DataFrame, by: str, score: Column | None, k: int, threshold: float = L.RERANK_THRESHOLD, original: str = "position", key: str = "doc_id") -> DataFrame:
     """By a scorer's column, those at the threshold or above, k at most; without a scorer the original order, uncut by it."""
     if score is None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from .lexical import bm25
-from .ranking import rrf, tier_merge, with_fallback
+from .ranking import rrf, tier_merge
 
 
 def term_rule(class_id, term, chunk_term) -> Column:
@@ -37,36 +37,33 @@ def metadata_filter(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(r, ok)
 
 
+def answerable(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """requests that have a candidate: a semi-join on metadata alone, which stops at a request's first match."""
+    slim = chunks.select("medium", "class_level", "term", "subject", "content_type").distinct()
+    return requests.join(metadata_filter(requests, slim).select("request_id").distinct(), "request_id", "left_semi")
+
+
 def hybrid_retrieve(requests: DataFrame, chunks: DataFrame, top_k: int = 3, digits: int = 8) -> DataFrame:
     """request_id, chunk_id, content_type, dense_rank, sparse_rank, rrf, position, fallback_used: 2 * top_k candidates.
 
     requests also have vector and fallback_language; chunks have text and embedding (null counts as cosine 0). BM25 takes
     its statistics from all chunks of a language; both rankings hold every chunk that passes the filter, ties going to
     chunk_id; ties of the fused score go to the dense rank. A request without any candidate is asked again in its
-    fallback language.
+    fallback language: which these are is found first, from the distinct metadata of chunks, so each request is ranked once.
     """
-    texts = chunks.select("chunk_id", "text", "medium")
-    asked = requests.select("request_id", F.explode(F.array_distinct(F.array("medium", "fallback_language"))).alias("medium"), "question")
-
-    scores = None
-    for language in [r.medium for r in requests.select("medium").union(requests.select("fallback_language")).distinct().orderBy(F.col("medium")).collect() if r.medium is not None]:
-        mine = texts.filter(F.col("medium") == language)
-        part = bm25(asked.filter(F.col("medium") == language), mine, "request_id", "question", "chunk_id", "text")
-        scores = part if scores is None else scores.unionByName(part)
-
-    def run(req: DataFrame) -> DataFrame:
-        pairs = metadata_filter(req, chunks).select("request_id", "chunk_id", "content_type", "embedding").join(requests.select("request_id", "vector"), "request_id")
-        pairs = pairs.withColumn("dense", F.round(F.coalesce(V.cosine("vector", "embedding"), F.lit(0.0)), digits)).drop("vector", "embedding")
-        pairs = pairs.join(scores, ["request_id", "chunk_id"], "left").withColumn("sparse", F.round(F.coalesce("score", F.lit(0.0)), digits))
-        pairs = pairs.withColumn("dense_rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("dense"), "chunk_id")))
-        pairs = pairs.withColumn("sparse_rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("sparse"), "chunk_id")))
-        # Both rankings are complete here, so the union of the two is one row with two ranks.
-        fused = pairs.withColumn("rrf", 1.0 / (60 + F.col("dense_rank")) + 1.0 / (60 + F.col("sparse_rank")))
-        order = [F.round("rrf", 12).desc(), F.col("dense_rank")]
-        return tier_merge(fused, "request_id", order, top_k).select("request_id", "chunk_id", "content_type", "dense_rank", "sparse_rank", "rrf", "position")
-
-    other = requests.filter(F.col("fallback_language").isNotNull()).withColumn("medium", F.col("fallback_language"))
-    return with_fallback(run(requests), run(other), "request_id")
-
-
-__all__ = ["hybrid_retrieve", "metadata_filter", "rrf", "term_rule"]
+    direct = answerable(requests, chunks).select("request_id").withColumn("_direct", F.lit(True))
+    asked = requests.join(direct, "request_id", "left").withColumn("fallback_used", F.col("_direct").isNull())
+    asked = asked.withColumn("medium", F.when(F.col("fallback_used"), F.col("fallback_language")).otherwise(F.col("medium"))).drop("_direct").filter("medium is not null")
+    scores = bm25(asked.select("request_id", "medium", "question"), chunks.select("chunk_id", "text", "medium"), "request_id", "question", "chunk_id", "text", by="medium")
+    pairs = metadata_filter(asked, chunks).select("request_id", "chunk_id", "content_type", "embedding").join(F.broadcast(asked.select("request_id", "vector", "fallback_used")) if requests.count() <= 4096 else asked.select("request_id", "vector", "fallback_used"), "request_id")
+    pairs = pairs.withColumn("dense", F.round(F.coalesce(V.cosine("vector", "embedding"), F.lit(0.0)), digits)).drop("vector", "embedding")
+    pairs = pairs.join(scores, ["request_id", "chunk_id"], "left").withColumn("sparse", F.round(F.coalesce("score", F.lit(0.0)), digits))
+    pairs = pairs.withColumn("dense_rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("dense"), "chunk_id")))
+    pairs = pairs.withColumn("sparse_rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("sparse"), "chunk_id")))
+    # Both rankings are complete here, so the union of the two is one row with two ranks.
+    fused = pairs.withColumn("rrf", 1.0 / (60 + F.col("dense_rank")) + 1.0 / (60 + F.col("sparse_rank")))
+    order = [F.round("rrf", 12).desc(), F.col("dense_rank")]
+    return tier_merge(fused, "request_id", order, top_k).select("request_id", "chunk_id", "content_type", "dense_rank", "sparse_rank", "rrf", "position", "fallback_used")
+
+
+__all__ = ["answerable", "hybrid_retrieve", "metadata_filter", "rrf", "term_rule"]

@@ -21,7 +21,7 @@ def _pattern(*parts: str) -> str:
     return "|".join(parts).replace("'", "''")
 
 
-MATH = _pattern(T.whole_words(L.MATH_WORDS), *L.MATH_TAMIL, *L.MATH_SHAPES)
+MATH = _pattern(T.whole_words(L.MATH_WORDS + L.MATH_WHOLE), *L.MATH_TAMIL, *L.MATH_SHAPES)
 SCIENCE = _pattern(T.whole_words(L.SCIENCE_WORDS), *L.SCIENCE_TAMIL)
 ASK = "SELECT conv_id, turn, text, lower(text) AS q, len(regexp_extract_all(lower(text), '\\S+')) AS n FROM conversations WHERE text IS NOT NULL"
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"

@@ -14,7 +14,7 @@ from .registry import Tables, query
 from .search import KIND, TOK, kind
 
 E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
-NEAR = f"{E}, sim AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.v, b.v), 8) AS s FROM e a, e b WHERE a.vec_id <> b.vec_id), nn AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS r FROM sim) WHERE r <= 5), ed AS (SELECT src, dst FROM nn UNION SELECT dst, src FROM nn), fl AS (SELECT * FROM ed UNION SELECT src, src FROM ed), dg AS (SELECT src, count(*) AS d FROM fl GROUP BY src)"
+NEAR = f"{E}, sim AS MATERIALIZED (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.v, b.v), 8) AS s FROM e a, e b WHERE a.vec_id <> b.vec_id), nn AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS r FROM sim) WHERE r <= 5), ed AS (SELECT src, dst FROM nn UNION SELECT dst, src FROM nn), fl AS MATERIALIZED (SELECT * FROM ed UNION SELECT src, src FROM ed), dg AS (SELECT src, count(*) AS d FROM fl GROUP BY src)"
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
@@ -72,7 +72,7 @@ def row_norm_adj(t: Tables):
     return graph.row_weights(graph.knn_edges(t.embeddings)).withColumn("weight", F.round("weight", 6))
 
 
-_LAYER = f"{NEAR}, x AS (SELECT vec_id AS node, CAST(i - 1 AS INT) AS dim, v[i] AS x FROM e, (SELECT unnest(range(1, 65)) AS i)), x1 AS (SELECT fl.src AS node, dim, sum(x / d) AS x FROM fl JOIN dg USING (src) JOIN x ON x.node = fl.dst GROUP BY ALL), pr AS (SELECT node, dim, (x.x + x1.x) / 2 AS x FROM x JOIN x1 USING (node, dim))"
+_LAYER = f"{NEAR}, x AS MATERIALIZED (SELECT vec_id AS node, CAST(i - 1 AS INT) AS dim, v[i] AS x FROM e, (SELECT unnest(range(1, 65)) AS i)), x1 AS MATERIALIZED (SELECT fl.src AS node, dim, sum(x / d) AS x FROM fl JOIN dg USING (src) JOIN x ON x.node = fl.dst GROUP BY ALL), pr AS (SELECT node, dim, (x.x + x1.x) / 2 AS x FROM x JOIN x1 USING (node, dim))"
 
 
 @query(f"WITH {_LAYER} SELECT node, dim, round(x, 6) AS value FROM pr")
@@ -170,16 +170,19 @@ _PLAIN = r"regexp_replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', '',
 _STOPS = ", ".join(f"'{w}'" for w in L.CORRECTION_STOPS)
 
 
-@query(rf"WITH q AS (SELECT conv_id * 1000 + turn AS query_id, {_PLAIN.format('text')} AS x FROM conversations WHERE role = 'user'), c AS (SELECT item_id AS correction_id, {_PLAIN.format('text')} AS y FROM benchmark), qw AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(x, '\s+')) AS w FROM q), cw AS (SELECT DISTINCT correction_id, unnest(regexp_split_to_array(y, '\s+')) AS w FROM c), p AS (SELECT query_id, correction_id FROM qw JOIN cw USING (w) WHERE w NOT IN ('', {_STOPS}) GROUP BY ALL HAVING count(*) >= 2 UNION SELECT query_id, correction_id FROM q JOIN c ON (contains(x, y) AND y <> '') OR (contains(y, x) AND len(regexp_split_to_array(x, '\s+')) >= 3)) SELECT query_id, min(correction_id) AS correction_id FROM p GROUP BY query_id")
+@query(rf"WITH q AS (SELECT conv_id * 1000 + turn AS query_id, {_PLAIN.format('text')} AS x FROM conversations WHERE role = 'user'), c AS (SELECT item_id AS correction_id, {_PLAIN.format('text')} AS y FROM benchmark), qw AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(x, '\s+')) AS w FROM q), cw AS (SELECT DISTINCT correction_id, unnest(regexp_split_to_array(y, '\s+')) AS w FROM c), p AS (SELECT query_id, correction_id FROM qw JOIN cw USING (w) WHERE w NOT IN ('', {_STOPS}) GROUP BY ALL HAVING count(*) >= 2 UNION SELECT query_id, correction_id FROM q JOIN c ON (contains(x, y) AND y <> '') OR (contains(y, x) AND x <> '')) SELECT query_id, min(correction_id) AS correction_id FROM p GROUP BY query_id")
 def correction_lookup(t: Tables):
     q = t.conversations.filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
     return lookup.match_corrections(q, t.benchmark.select(F.col("item_id").alias("correction_id"), F.col("text").alias("issue")))
 
 
-@query(r"WITH g AS (SELECT item_id AS seq, lower(regexp_extract_all(text, '\p{L}{6,}')[1]) AS english, upper(lang) AS tamil FROM (SELECT item_id, text, 'x' || item_id AS lang FROM benchmark)), k AS (SELECT english, arg_max(tamil, seq) AS tamil FROM g WHERE english IS NOT NULL GROUP BY english) SELECT doc_id AS prompt_id, english, tamil FROM documents JOIN k ON contains(lower(text), english)")
+@query(r"WITH g AS (SELECT item_id AS seq, lower(regexp_extract_all(text, '\p{L}+')[item_id % 7 + 1]) AS english, 'X' || item_id AS tamil FROM benchmark UNION ALL SELECT item_id + 1000000, lower(regexp_extract_all(text, '\S+')[1] || ' ' || regexp_extract_all(text, '\S+')[2]), 'Y' || item_id FROM benchmark UNION ALL SELECT 2000000 + i, w, 'Z' || i FROM (SELECT unnest([1, 2, 3]) AS i, unnest(['q', 'é', 'zz']) AS w)), k AS (SELECT english, arg_max(tamil, seq) AS tamil FROM g WHERE english IS NOT NULL AND english <> '' GROUP BY english) SELECT doc_id AS prompt_id, english, tamil FROM documents JOIN k ON contains(lower(text), english)")
 def glossary_contains_join(t: Tables):
-    g = t.benchmark.select(F.col("item_id").alias("seq"), F.get(F.regexp_extract_all("text", F.lit(r"(\p{L}{6,})"), 1), F.lit(0)).alias("english"), F.upper(F.concat(F.lit("x"), "item_id")).alias("tamil")).filter("english is not null")
-    return lookup.glossary_matches(t.documents.select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt")), g)
+    ws = F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)
+    one = t.benchmark.select(F.col("item_id").alias("seq"), F.get(ws, (F.col("item_id") % 7).cast("int")).alias("english"), F.concat(F.lit("X"), "item_id").alias("tamil"))
+    two = t.benchmark.select(F.col("item_id") + 1000000, F.array_join(F.slice(T.words("text"), 1, 2), " "), F.concat(F.lit("Y"), "item_id"))
+    tiny = t.spark.range(1).select(F.posexplode(F.array(F.lit("q"), F.lit("é"), F.lit("zz"))).alias("i", "w")).select((F.col("i") + 2000001).cast("long"), "w", F.concat(F.lit("Z"), F.col("i") + 1))
+    return lookup.glossary_matches(t.documents.select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt")), one.union(two).union(tiny).filter("english is not null"))
 
 
 @query("WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages) SELECT page_id, link FROM l WHERE link NOT IN (SELECT url FROM pages)")
@@ -187,10 +190,10 @@ def html_link_setdiff(t: Tables):
     return lookup.broken_links(t.pages)
 
 
-@query("WITH t AS (SELECT source AS file, n_chars % 3 <> 0 AS nr FROM documents WHERE lang = 'es'), f AS (SELECT DISTINCT source AS file FROM documents UNION SELECT 'empty.pdf'), n AS (SELECT f.file, count(t.nr) AS n_terms, count(*) FILTER (t.nr) AS n_flagged FROM f LEFT JOIN t ON t.file = f.file GROUP BY f.file) SELECT file, n_terms, n_flagged, round(CASE WHEN n_terms > 0 THEN n_flagged / n_terms ELSE 0 END, 6) AS flagged_ratio, CASE WHEN n_terms = 0 THEN '0 terms found' WHEN n_flagged / n_terms > 0.5 THEN '>50% terms flagged (' || n_flagged || '/' || n_terms || ')' END AS failure FROM n")
+@query("WITH t AS (SELECT source AS file, n_chars % 3 <> 0 AS nr FROM documents), f AS (SELECT DISTINCT source AS file FROM documents UNION SELECT 'empty.pdf'), n AS (SELECT f.file, count(t.nr) AS n_terms, count(*) FILTER (t.nr) AS n_flagged FROM f LEFT JOIN t ON t.file = f.file GROUP BY f.file) SELECT file, n_terms, n_flagged, round(CASE WHEN n_terms > 0 THEN n_flagged / n_terms ELSE 0 END, 6) AS flagged_ratio, CASE WHEN n_terms = 0 THEN '0 terms found' WHEN n_flagged / n_terms > 0.5 THEN '>50% terms flagged (' || n_flagged || '/' || n_terms || ')' END AS failure FROM n")
 def glossary_file_stats(t: Tables):
     files = t.documents.select(F.col("source").alias("file")).union(t.spark.range(1).select(F.lit("empty.pdf"))).distinct()
-    terms = t.documents.filter("lang = 'es'").select(F.col("source").alias("file"), (F.col("n_chars") % 3 != 0).alias("needs_review"))
+    terms = t.documents.select(F.col("source").alias("file"), (F.col("n_chars") % 3 != 0).alias("needs_review"))
     return lookup.glossary_file_stats(terms, files).withColumn("flagged_ratio", F.round("flagged_ratio", 6))
 
 

@@ -65,22 +65,18 @@ def centroid_similarities(t: Tables):
     return t.embeddings.select("vec_id", "embedding").join(centroids).select("vec_id", "centroid", F.round(V.cosine("embedding", "c"), 6).alias("similarity"))
 
 
-_LISTS = f"{TOK}, en AS (SELECT doc_id FROM documents WHERE lang = 'en'), emb AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), pair AS (SELECT b.item_id, d.doc_id FROM benchmark b, en d), sc AS (SELECT p.item_id, p.doc_id, round(coalesce(bm.score, 0), 8) AS sparse, round(coalesce(list_cosine_similarity(qe.v, de.v), 0), 8) AS dense FROM pair p LEFT JOIN bm ON bm.item_id = p.item_id AND bm.doc_id = p.doc_id LEFT JOIN emb qe ON qe.vec_id = p.item_id LEFT JOIN emb de ON de.vec_id = p.doc_id), rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, doc_id) AS dense_rank, row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, doc_id) AS sparse_rank FROM sc)"
-
-
 @query("WITH d AS (SELECT doc_id AS id, lang AS grp, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r1, row_number() OVER (PARTITION BY lang ORDER BY length(regexp_replace(text, '[^ ]', '', 'g')), doc_id) AS r2 FROM documents) SELECT grp, id, round(1.0 / (60 + r1) + 1.0 / (60 + r2), 10) AS rrf FROM d")
 def rrf_fusion(t: Tables):
     d = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "n_chars", F.length(F.regexp_replace("text", "[^ ]", "")).alias("spaces"))
-    w = Window.partitionBy("grp")
-    a = d.select("grp", "id", F.row_number().over(w.orderBy(F.desc("n_chars"), "id")).alias("rank"))
-    b = d.select("grp", "id", F.row_number().over(w.orderBy("spaces", "id")).alias("rank"))
+    a = ranking.full_rank(d, "grp", "n_chars", "id", descending=True).select("grp", "id", "rank")
+    b = ranking.full_rank(d, "grp", "spaces", "id").select("grp", "id", "rank")
     return ranking.rrf([a, b], "grp", "id").select("grp", "id", F.round("rrf", 10).alias("rrf"))
 
 
 def requests(t: Tables):
     v = t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     b = t.benchmark.join(v, "item_id", "left")
-    return b.select(F.col("item_id").alias("request_id"), F.col("text").alias("question"), F.when(F.col("item_id") % 4 == 3, "xx").otherwise("en").alias("medium"), F.lit(None).cast("int").alias("class_id"), F.lit(None).cast("int").alias("term"), F.lit("auto").alias("subject"), F.array(F.lit("textbook"), F.lit("guide"), F.lit("previous_year")).alias("allowed"), F.lit("en").alias("fallback_language"), "vector")
+    return b.select(F.col("item_id").alias("request_id"), F.col("text").alias("question"), F.when(F.col("item_id") % 4 == 3, "xx").otherwise(F.get(F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.lit("es")), (F.col("item_id") % 4).cast("int"))).alias("medium"), F.lit(None).cast("int").alias("class_id"), F.lit(None).cast("int").alias("term"), F.lit("auto").alias("subject"), F.array(F.lit("textbook"), F.lit("guide"), F.lit("previous_year")).alias("allowed"), F.lit("en").alias("fallback_language"), "vector")
 
 
 def chunks(t: Tables):
@@ -88,10 +84,10 @@ def chunks(t: Tables):
     return t.documents.join(e, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("medium"), F.lit(6).alias("class_level"), F.lit(0).alias("term"), F.lit("science").alias("subject"), kind().alias("content_type"), "embedding")
 
 
-_EN = _LISTS.replace("FROM documents), post", "FROM documents WHERE lang = 'en'), post").replace("AS doc_len FROM documents)", "AS doc_len FROM documents WHERE lang = 'en')")
+_ASKED = r"tok AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents), post AS (SELECT doc_id, lang, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, lang, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS doc_len FROM documents), cs AS (SELECT lang, count(*) AS n, avg(doc_len) AS avgdl FROM dl GROUP BY lang), ts AS (SELECT lang, term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM post JOIN cs USING (lang) GROUP BY lang, term), rq AS (SELECT item_id, text, CASE item_id % 4 WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'en' END AS lang FROM benchmark), q AS (SELECT item_id, lang, term, count(*) AS times FROM (SELECT item_id, lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM rq) GROUP BY ALL), bm AS (SELECT item_id, post.doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * doc_len / avgdl))) AS score FROM q JOIN ts USING (lang, term) JOIN post USING (lang, term) JOIN dl ON dl.doc_id = post.doc_id JOIN cs ON cs.lang = q.lang GROUP BY ALL), emb AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), pair AS (SELECT rq.item_id, d.doc_id FROM rq JOIN documents d USING (lang)), sc AS (SELECT p.item_id, p.doc_id, round(coalesce(bm.score, 0), 8) AS sparse, round(coalesce(list_cosine_similarity(qe.v, de.v), 0), 8) AS dense FROM pair p LEFT JOIN bm ON bm.item_id = p.item_id AND bm.doc_id = p.doc_id LEFT JOIN emb qe ON qe.vec_id = p.item_id LEFT JOIN emb de ON de.vec_id = p.doc_id), rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, doc_id) AS dense_rank, row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, doc_id) AS sparse_rank FROM sc)"
 
 
-@query(f"WITH {_EN}, f AS (SELECT rk.*, {KIND} AS content_type, 1.0 / (60 + dense_rank) + 1.0 / (60 + sparse_rank) AS rrf FROM rk JOIN documents USING (doc_id)), p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN content_type IN ('textbook', 'guide') THEN 0 ELSE 1 END, round(rrf, 12) DESC, dense_rank) AS position FROM f) SELECT item_id AS request_id, doc_id AS chunk_id, content_type, CAST(dense_rank AS INT) AS dense_rank, CAST(sparse_rank AS INT) AS sparse_rank, round(rrf, 10) AS rrf, CAST(position AS INT) AS position, item_id % 4 = 3 AS fallback_used FROM p WHERE position <= 6")
+@query(f"WITH {_ASKED}, f AS (SELECT rk.*, {KIND} AS content_type, 1.0 / (60 + dense_rank) + 1.0 / (60 + sparse_rank) AS rrf FROM rk JOIN documents USING (doc_id)), p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN content_type IN ('textbook', 'guide') THEN 0 ELSE 1 END, round(rrf, 12) DESC, dense_rank) AS position FROM f) SELECT item_id AS request_id, doc_id AS chunk_id, content_type, CAST(dense_rank AS INT) AS dense_rank, CAST(sparse_rank AS INT) AS sparse_rank, round(rrf, 10) AS rrf, CAST(position AS INT) AS position, item_id % 4 = 3 AS fallback_used FROM p WHERE position <= 6")
 def hybrid_retrieve(t: Tables):
     return retrieval.hybrid_retrieve(requests(t), chunks(t), 3).withColumn("rrf", F.round("rrf", 10))
 
@@ -102,17 +98,17 @@ def tier_merge(t: Tables):
     return ranking.tier_merge(d, "lang", [F.desc("n_chars"), F.col("doc_id")], 10).select("lang", "doc_id", "content_type", "position")
 
 
-@query(f"WITH d AS (SELECT lang, doc_id, n_chars, {KIND} AS content_type FROM documents WHERE n_chars > 8000), r AS (SELECT *, CASE content_type WHEN 'textbook' THEN 1 WHEN 'guide' THEN 2 ELSE 3 END AS tier, row_number() OVER (PARTITION BY lang, content_type ORDER BY n_chars DESC, doc_id) AS k FROM d), c AS (SELECT * FROM r WHERE k <= 12), s AS (SELECT *, coalesce((SELECT count(*) FROM c c2 WHERE c2.lang = c.lang AND c2.tier < c.tier), 0) AS before FROM c) SELECT lang, doc_id, content_type, CAST(tier AS INT) AS tier, CAST(row_number() OVER (PARTITION BY lang ORDER BY tier, k) AS INT) AS position FROM s WHERE before < 12")
+@query(f"WITH d AS (SELECT lang, doc_id, n_chars, {KIND} AS content_type FROM documents), r AS (SELECT *, CASE content_type WHEN 'textbook' THEN 1 WHEN 'guide' THEN 2 ELSE 3 END AS tier, row_number() OVER (PARTITION BY lang, content_type ORDER BY n_chars DESC, doc_id) AS k FROM d), c AS (SELECT * FROM r WHERE k <= 12), s AS (SELECT *, coalesce((SELECT count(*) FROM c c2 WHERE c2.lang = c.lang AND c2.tier < c.tier), 0) AS before FROM c) SELECT lang, doc_id, content_type, CAST(tier AS INT) AS tier, CAST(row_number() OVER (PARTITION BY lang ORDER BY tier, k) AS INT) AS position FROM s WHERE before < 12")
 def strict_tier_merge(t: Tables):
-    d = t.documents.filter("n_chars > 8000").withColumn("content_type", kind())
+    d = t.documents.withColumn("content_type", kind())
     return ranking.strict_tier_merge(d, "lang", [F.desc("n_chars"), F.col("doc_id")], 12, ["textbook", "guide", "previous_year"]).select("lang", "doc_id", "content_type", "tier", "position")
 
 
-@query("WITH p AS (SELECT source, doc_id FROM documents WHERE lang = 'es' AND n_chars > 6000), f AS (SELECT source, doc_id FROM documents WHERE lang = 'en' AND n_chars > 6000) SELECT *, false AS fallback_used FROM p UNION ALL SELECT *, true FROM f WHERE source NOT IN (SELECT source FROM p)")
+@query("WITH d AS (SELECT *, source || '-' || doc_id % 50 AS shelf FROM documents), p AS (SELECT shelf, doc_id FROM d WHERE lang = 'es'), f AS (SELECT shelf, doc_id FROM d WHERE lang = 'en') SELECT *, false AS fallback_used FROM p UNION ALL SELECT *, true FROM f WHERE shelf NOT IN (SELECT shelf FROM p)")
 def language_fallback(t: Tables):
-    long = t.documents.filter("n_chars > 6000")
-    side = lambda lang: long.filter(F.col("lang") == lang).select("source", "doc_id")
-    return ranking.with_fallback(side("es"), side("en"), "source")
+    d = t.documents.withColumn("shelf", F.concat("source", F.lit("-"), F.col("doc_id") % 50))
+    side = lambda lang: d.filter(F.col("lang") == lang).select("shelf", "doc_id")
+    return ranking.with_fallback(side("es"), side("en"), "shelf")
 
 
 @query(f"WITH d AS (SELECT lang, doc_id, n_chars, CASE WHEN {NUM} % 3 = 0 THEN 'web' WHEN {NUM} % 3 = 1 THEN 'tamil' ELSE 'book' END AS bucket FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang, bucket ORDER BY n_chars DESC, doc_id) AS turn FROM d), k AS (SELECT * FROM r WHERE turn <= 5 AND bucket IN ('book', 'web')) SELECT lang, doc_id, bucket, CAST(row_number() OVER (PARTITION BY lang ORDER BY turn, CASE bucket WHEN 'book' THEN 1 ELSE 2 END) AS INT) AS position FROM k")
