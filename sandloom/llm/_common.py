@@ -8,6 +8,7 @@ import sys
 import tempfile
 import uuid
 import zlib
+from functools import partial
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -65,15 +66,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Have the driver notice plans that are done with, so that Spark deletes their shuffle files: an iteration of many small
-    jobs leaves more of them than the driver's own rare collections would clear."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def file_system(uri: str):
     """A pyarrow file system and the path in it, for any URI that pyarrow opens."""
     from pyarrow import fs
@@ -307,25 +299,94 @@ class Bloom:
         return (self.words[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def _priority(x: np.ndarray, turn: int) -> np.ndarray:
+    """An order of nodes that is another one in each round, so that no order of ids makes the rounds slow."""
+    return mix(x.view(np.uint64) ^ mix(np.array([turn + 1], dtype=np.uint64)))
+
+
+def _roots(batches, turn: int = 0, hold: int = 1 << 20):
+    """(v, r) of edges (lo, hi): each node with the first node, by priority, that this task's edges join it with."""
+    import pyarrow as pa
+
+    held, size = [], 0
+
+    def out():
+        lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, back = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+        order = np.argsort(_priority(nodes, turn), kind="stable")
+        place = np.empty(len(nodes), dtype=np.int64)
+        place[order] = np.arange(len(nodes))
+        a, b = place[back[: len(lo)]], place[back[len(lo) :]]
+        f = np.arange(len(nodes))
+        while True:
+            x, y = f[a], f[b]
+            live = x != y
+            if not live.any():
+                break
+            a, b, x, y = a[live], b[live], x[live], y[live]
+            np.minimum.at(f, np.maximum(x, y), np.minimum(x, y))
+            while (f[f] != f).any():
+                f = f[f]
+        by_place = nodes[order]
+        for k in range(0, len(nodes), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(by_place[part]), pa.array(by_place[f[part]])], ["v", "r"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            size += b.num_rows
+        if size > hold:
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()
+    release()
+
+
+def _settle(batches, turn: int = 0):
+    """Of rows (v, r) sorted by v: with kind 0 each node v and the first of its roots m; with kind 1 edges of m and the other roots."""
+    import pyarrow as pa
+
+    def settled(v, r):
+        order = np.lexsort((_priority(r, turn), v))
+        v, r = v[order], r[order]
+        new = np.concatenate([[True], v[1:] != v[:-1]])
+        m = r[np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))]
+        edge = np.unique(np.stack([m[m != r], r[m != r]]), axis=1) if (m != r).any() else np.zeros((2, 0), np.int64)
+        kind = np.concatenate([np.zeros(int(new.sum()), np.int32), np.ones(edge.shape[1], np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([v[new], edge[0]])), pa.array(np.concatenate([m[new], edge[1]]))], ["kind", "a", "b"])
+
+    v, r = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for x in batches:
+        v, r = np.concatenate([v, x.column(0).to_numpy()]), np.concatenate([r, x.column(1).to_numpy()])
+        done = int(np.searchsorted(v, v[-1])) if len(v) else 0  # the last node may go on: it has at most a row a task
+        if done:
+            yield settled(v[:done], r[:done])
+            v, r = v[done:], r[done:]
+    if len(v):
+        yield settled(v, r)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), longs: node, root (the smallest node reachable), for nodes that have an edge.
 
-    Alternates large-star and small-star steps; every step is written to the shared folder, so its lineage is short.
+    Rounds of contraction. A task joins what its own edges join, so a node that very many edges share is one row a task. A
+    node that tasks give several roots goes to the first of them, and edges among these roots are what the next round is
+    left with. Each round has one exchange and is written to the shared folder; roots are chosen by another random order in
+    each, so a third of a chain goes at least, on average, whatever its ids.
     """
-    now = spill(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo <> hi").distinct(), "edges")
-    seen = None
-    while True:
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo <> hi").distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(low, "hi")
-        small = joined.select(F.col("m").alias("lo"), "hi").union(joined.filter("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).distinct()
-        after = spill(small, "edges")
-        mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi") % 1_000_000_007)).first())
-        discard(now)
-        now = after
-        sweep(now.sparkSession)
-        if mark == seen:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())
-        seen = mark
+    now = spill(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo <> hi"), "edges")
+    rounds, turn = [], 0
+    while turn == 0 or now.head(1):
+        found = now.mapInArrow(partial(_roots, turn=turn), "v long, r long")
+        got = spill(found.repartition("v").sortWithinPartitions("v").mapInArrow(partial(_settle, turn=turn), "kind int, a long, b long"), "contracted")
+        rounds.append(got.filter("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("root")))
+        now, turn = got.filter("kind = 1").select(F.col("a").alias("lo"), F.col("b").alias("hi")), turn + 1
+    label = rounds[0]
+    for later in rounds[1:]:
+        step = later.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        label = label.join(step, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    label = spill(label, "labels")
+    least = label.groupBy("root").agg(F.min("node").alias("least"))
+    return spill(label.join(least, "root").select("node", F.col("least").alias("root")), "components")
