@@ -121,8 +121,10 @@ class FingerprintIndex:
 
     KEYS = {"texts": ("k1", "k2"), "anchors": ("h",), "windows": ("w", "v")}
 
-    def __init__(self, spark, folder: str, buckets: int = 32, most_runs: int = 4, bloom_bits: int = BLOOM_BITS, broadcast_ids: int = 1 << 19):
+    def __init__(self, spark, folder: str, buckets: int | None = None, most_runs: int = 4, bloom_bits: int = BLOOM_BITS, broadcast_ids: int = 1 << 19):
         self.spark, self.folder, self.most, self.bits, self.broadcast_ids = spark, folder, most_runs, bloom_bits, broadcast_ids
+        # As many buckets as a shuffle has partitions, unless told otherwise: what a task of a shuffle has is one bucket.
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.state = self._manifest() or {"version": 0, "buckets": buckets, "runs": {f: [] for f in self.KEYS}}
         self.buckets = self.state["buckets"]
         self.tables = {f: [self._register(f, r) for r in runs] for f, runs in self.state["runs"].items()}
@@ -429,7 +431,7 @@ def cut(docs: DataFrame, late: DataFrame, copies: DataFrame, bloom_bits: int = B
     return free.unionByName(rest.mapInArrow(_cut, kind))
 
 
-def substring_dedup(docs: DataFrame, batches: int = 3, bloom_bits: int = BLOOM_BITS, most_runs: int = 2, rows_per_bucket: int = 8000) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 2, bloom_bits: int = BLOOM_BITS, most_runs: int = 2, buckets: int | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     The documents come to an index in `batches` batches, smaller ids first. Null and empty texts have no words. A row that
@@ -438,8 +440,7 @@ def substring_dedup(docs: DataFrame, batches: int = 3, bloom_bits: int = BLOOM_B
     result; other columns are not looked at.
     """
     spark = docs.sparkSession
-    n = docs.count()
-    index = FingerprintIndex(spark, scratch(spark, "fingerprints"), max(16, -(-n // rows_per_bucket)), most_runs, bloom_bits)
+    index = FingerprintIndex(spark, scratch(spark, "fingerprints"), buckets, most_runs, bloom_bits)
     edges = docs.selectExpr(f"percentile_approx(cast(doc_id as bigint), array({', '.join(str(k / batches) for k in range(1, batches))}))").first()[0] or [] if batches > 1 else []
     bounds = [None, *edges, None]
     found = []
