@@ -6,6 +6,10 @@ RRF_K = 60
 RERANK_THRESHOLD = 0.35
 THRESHOLDS = {"book": 0.28, "tamil": 0.28, "web": 0.30}
 RELAXED_BY = 0.08
+PUBLISHERS = ["Tamil Nadu Textbook and Educational Services Corporation", "Samacheer Kalvi", "CBSE"]
+EXCERPT_TAMIL, EXCERPT_FALLBACK = 1200, 800
+LEAST_CHARACTERS = {"chunk": 40, "page": 40, "guide block": 30, "sentence": 10, "image side": 100}
+TAMIL_CUES = ["என்பது", "எனப்படும்", "ஆகும்", "என்றால்", "குறிக்கும்", "விதி", "சூத்திரம்"]
 PRIMARY_TYPES = ["textbook", "guide"]
 MATH_SUBJECTS = ["math", "maths", "mathematics"]
 MATH_WORDS = [

@@ -74,8 +74,10 @@ def content_types(question, allowed) -> Column:
     return F.when(has_any(F.lower(col(question)), L.ASSESSMENT), more).otherwise(col(allowed))
 
 
-def intent(question) -> Column:
-    return F.when(has_any(F.lower(col(question)), L.IMAGE_WORDS), "Image").otherwise("Chat")
+def intent(question, explicit: Column | None = None) -> Column:
+    """What was asked for explicitly, else by the question's words."""
+    by_words = F.when(has_any(F.lower(col(question)), L.IMAGE_WORDS), "Image").otherwise("Chat")
+    return by_words if explicit is None else F.coalesce(F.nullif(explicit, F.lit("")), by_words)
 
 
 def difficulty(question) -> Column:
@@ -306,8 +308,9 @@ def tidy_brackets(c) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), r"\(\s*([^()]*?)\s*\)", r"($1)"), r"\[\s*([^\[\]]*?)\s*\]", r"[$1]")
 
 
-def classifier_text(c) -> Column:
-    return F.regexp_replace(F.lower(col(c)), "[^a-z ]", "")
+def classifier_text(c, language: str = "en") -> Column:
+    """Lower-cased letters of the language and spaces: Latin a to z, or with language 'ta' the Tamil block and white space."""
+    return F.regexp_replace(F.lower(col(c)), "[^a-z ]" if language == "en" else f"[^{TAMIL}\\s]", "")
 
 
 def mojibake_count(c) -> Column:
@@ -390,13 +393,45 @@ def bucket(source) -> Column:
 
 
 def path_metadata(path) -> Column:
-    """class_level, subject, medium, content_type, term and year of a book's path."""
+    """class_level, subject, medium, content_type, term, year, publisher and edition of a book's path.
+
+    A class folder tells most: behind it stand the subject, the medium and the content type. Without one the file's name
+    must have the shape class, subject, term or year, medium, type; else class_level is null.
+    """
     p = F.replace(col(path), F.lit("\\"), F.lit("/"))
     low = F.lower(p)
-    number = lambda pattern: F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")).cast("int")
-    parts = F.split(low, "/")
+    parts = F.filter(F.transform(F.split(low, "/"), lambda x: F.trim(x)), lambda x: x != "")
+    name, whole_name = F.element_at(parts, -1), F.element_at(F.split(p, "/"), -1)
+    part = lambda c, pattern, k: F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
     at = F.array_position(F.transform(parts, lambda x: x.rlike(r"^class[_\s-]?\d+$")), F.lit(True)).cast("int")
-    after = lambda k, default: F.when(at > 0, F.coalesce(F.get(parts, at + k - 1), F.lit(default))).otherwise(F.lit(default))
+    folder = lambda k: F.when((at > 0) & (at + k <= F.size(parts)), F.get(parts, at + k - 1))
+    shape = r"^class[_\s]?(\d+)[_\s]?([a-z_]+?)[_\s]?(?:term[_\s]?([1-3])|fullyear|(\d{4}))[_\s]?(tamil|english)[_\s]?(textbook|guide|previous[_\s-]?year|teacher[_\s-]?notes)"
+    told = lambda k: part(name, shape, k)
+    kind = F.coalesce(folder(3), told(6), F.lit("textbook"))
+    kinds = F.when(kind.contains("textbook"), "textbook").when(kind.contains("guide"), "guide").when(kind.contains("prev") | kind.contains("year"), "previous_year").when(kind.contains("teacher"), "teacher_notes").when(kind.contains("firecrawl"), "firecrawl_education").otherwise("textbook")
     medium = F.when(has_any(low, ["tamil"]), "ta").otherwise("en")
-    year = F.nullif(F.regexp_extract(p, r"(^|[^\p{L}\p{N}_])(20\d{2})($|[^\p{L}\p{N}_])", 2), F.lit("")).cast("int")
-    return F.struct(number(r"class[_\s-]?(\d+)").alias("class_level"), after(1, "science").alias("subject"), medium.alias("medium"), after(3, "textbook").alias("content_type"), F.coalesce(number(r"term[_\s-]?([1-3])"), F.lit(0)).alias("term"), F.coalesce(year, F.lit(2024)).alias("year"))
+    term = F.coalesce(part(low, r"term[_\s-]?([1-3])", 1).cast("int"), F.lit(0))
+    dated = r"(^|[^\p{L}\p{N}_])(20\d{2})($|[^\p{L}\p{N}_])"
+    year = F.coalesce(part(whole_name, dated, 2), part(p, dated, 2), told(4), F.lit("2024")).cast("int")
+    publisher = F.when(low.contains("samacheer"), L.PUBLISHERS[1]).when(low.contains("cbse"), L.PUBLISHERS[2]).otherwise(L.PUBLISHERS[0])
+    edition = F.concat(year.cast("string"), F.lit(" Edition"), F.when(name.contains("reprint"), " (Reprint)").otherwise(""))
+    return F.struct(
+        F.coalesce(part(folder(0), r"(\d+)", 1), told(1)).cast("int").alias("class_level"),
+        F.coalesce(folder(1), told(2), F.lit("science")).alias("subject"),
+        medium.alias("medium"),
+        kinds.alias("content_type"),
+        term.alias("term"),
+        year.alias("year"),
+        publisher.alias("publisher"),
+        edition.alias("edition"),
+    )
+
+
+def glossary_path(path) -> Column:
+    """class, subject, term and medium of a glossary's path, as its report names them."""
+    low = F.lower(col(path))
+    number = lambda word: F.regexp_extract(low, f"{word}_(\\d+)", 1)
+    named = lambda word, title, none: F.when(number(word) != "", F.concat(F.lit(title + " "), number(word))).otherwise(none)
+    subject = F.when(low.contains("math"), "Maths").when(low.contains("science"), "Science").otherwise("Unknown")
+    medium = F.when(low.contains("tamil"), "Tamil").when(low.contains("english"), "English").otherwise("Unknown")
+    return F.struct(named("class", "Class", "Unknown").alias("class"), subject.alias("subject"), named("term", "Term", "Full Year").alias("term"), medium.alias("medium"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -92,75 +92,70 @@ def recursive_split(text: str, size: int = 300, overlap: int = 50, marks: tuple[
     return [x for x in out if x]
 
 
+def cut_points(sizes: list[int], target: int, overlap: int = 0, walls: frozenset[int] = frozenset(), repeats: frozenset[int] | None = None) -> list[tuple[int, int]]:
+    """Ranges of units that go into one chunk: as many as fit into `target`, none over a wall (a unit that must begin a chunk).
+
+    A chunk begins with the unit before its first one if that is under `overlap` and its first one is among `repeats` (all, if
+    none are given).
+    """
+    out, start, filled = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (i in walls or filled + n > target):
+            out.append((start, i))
+            back = i not in walls and sizes[i - 1] < overlap and (repeats is None or i in repeats)
+            start, filled = (i - 1, sizes[i - 1]) if back else (i, 0)
+        filled += n
+    return [*out, (start, len(sizes))] if sizes else []
+
+
 def split_large(text: str, target: int = 500, overlap: int = 75) -> list[str]:
-    """Lines packed to `target` words, the last one repeated if it is short; a longer line is packed sentence by sentence."""
-    out: list[str] = []
-    now: list[str] = []
-    size = lambda xs: sum(len(x.split()) for x in xs)
+    """Lines packed to `target` words, a short last one repeated; a line that is longer begins a chunk and is packed by its sentences."""
+    units, walls, lines = [], set(), set()
     for line in filter(None, map(str.strip, text.split("\n"))):
-        n = len(line.split())
-        if n > target:
-            if now:
-                out.append("\n".join(now))
-            now = []
-            for s in re.split(r"(?<=[.!?])\s+", line):
-                if now and size(now) + len(s.split()) > target:
-                    out.append("\n".join(now))
-                    now = []
-                now.append(s)
-        elif size(now) + n > target:
-            if now:
-                out.append("\n".join(now))
-            now = [now[-1], line] if now and len(now[-1].split()) < overlap else [line]
+        if len(line.split()) > target:
+            walls.add(len(units))
+            units += re.split(r"(?<=[.!?])\s+", line)
         else:
-            now.append(line)
-    return [*out, "\n".join(now)] if now else out
+            lines.add(len(units))
+            units.append(line)
+    cuts = cut_points([len(u.split()) for u in units], target, overlap, frozenset(walls), frozenset(lines))
+    return ["\n".join(units[a:b]) for a, b in cuts]
 
 
-class CurriculumChunks:
-    """Packs a document's logical blocks (text, section_path, role) into chunks of about `target` words."""
+def pack_blocks(texts: list[str], target: int, overlap: int) -> list[str]:
+    """Neighbouring blocks of one section as chunks; a block that is larger stands alone and is split."""
+    if len(texts) == 1 and len(texts[0].split()) > target:
+        return split_large(texts[0], target, overlap)
+    return ["\n\n".join(texts[a:b]) for a, b in cut_points([len(t.split()) for t in texts], target, overlap)]
 
-    def __init__(self, key, target: int = 500, overlap: int = 75):
-        self.key, self.target, self.overlap = key, target, overlap
-        self.blocks: list[str] = []
-        self.path, self.n = "", 0
 
-    def _words(self) -> int:
-        return sum(len(b.split()) for b in self.blocks)
+def own_path(key: str, order: str, path: str = "section_path") -> Column:
+    """A block without a path takes the next one's; '' where none follows."""
+    ahead = Window.partitionBy(key).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return F.coalesce(F.first(F.nullif(F.col(path), F.lit("")), ignorenulls=True).over(ahead), F.lit(""))
 
-    def _chunk(self, text: str, path: str, role: str):
-        self.n += 1
-        return (*self.key, self.n - 1, path, role, f"[Context: {path}]\n\n{text}" if path else text)
 
-    def _flush(self) -> list:
-        return [self._chunk("\n\n".join(self.blocks), self.path, "general")] if self.blocks else []
-
-    def step(self, row) -> list:
-        text, path, n = row.text, row.section_path or "", len(row.text.split())
-        if n > self.target:
-            out = self._flush()
-            self.blocks = []
-            return out + [self._chunk(t, path, row.role) for t in split_large(text, self.target, self.overlap)]
-        moved = bool(self.path) and path != self.path
-        if self._words() + n > self.target or moved:
-            out = self._flush()
-            last = self.blocks[-1:] if path == self.path and self.blocks and len(self.blocks[-1].split()) < self.overlap else []
-            self.blocks, self.path = [*last, text], path
-            return out
-        self.blocks.append(text)
-        self.path = self.path or path
-        return []
-
-    def end(self) -> list:
-        return self._flush()
+def curriculum_chunks(blocks: DataFrame, key: str = "doc_id", order: str = "seq", target: int = 500, overlap: int = 75) -> DataFrame:
+    """key, chunk_no, section_path, role, chunk of blocks (key, order, text, section_path, role), about `target` words each.
 
+    Windows find the stretches of blocks that may share a chunk: those of one path, a block over `target` being one by
+    itself. Only the packing of a stretch is a fold.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    b = blocks.select(F.col(key).cast("long").alias(key), order, F.coalesce("text", F.lit("")).alias("text"), "role", "section_path")
+    b = b.withColumn("path", own_path(key, order)).withColumn("large", F.size(F.regexp_extract_all("text", F.lit(r"(?U)(\S+)"), 1)) > target)
+    new = F.lag("path").over(w).isNull() | (F.lag("path").over(w) != F.col("path")) | F.col("large") | F.lag("large").over(w)
+    b = b.withColumn("stretch", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-def curriculum_chunks(blocks: DataFrame, key: str = "doc_id", order: str = "seq", target: int = 500, overlap: int = 75) -> DataFrame:
-    """key, chunk_no, section_path, role, chunk of blocks (key, order, text, section_path, role)."""
-    from .folds import ordered_fold
+    @F.pandas_udf("array<string>")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda ts: pack_blocks(list(ts), target, overlap))
 
-    rows = blocks.select(F.col(key).cast("long").alias(key), order, F.coalesce("text", F.lit("")).alias("text"), "section_path", "role")
-    return ordered_fold(rows, [key], [order], lambda k: CurriculumChunks(k, target, overlap), f"{key} long, chunk_no int, section_path string, role string, chunk string")
+    rows = F.array_sort(F.collect_list(F.struct(order, "text")))
+    s = b.groupBy(key, "stretch").agg(F.first("path").alias("section_path"), F.when(F.max("large"), F.max("role")).otherwise("general").alias("role"), F.transform(rows, lambda x: x["text"]).alias("texts"))
+    at = s.select(key, "stretch", "section_path", "role", F.posexplode(packed("texts")).alias("piece", "text"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("stretch", "piece")) - 1
+    return at.select(key, number.alias("chunk_no"), "section_path", "role", T.with_context("section_path", "text").alias("chunk"))
 
 
 def guide_chunks(text: str, target: int = 500, least: int = 30) -> list[str]:
@@ -193,6 +188,24 @@ def python_sentences(text: str) -> list[str]:
     return [s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
 
 
+def lm_token_blocks(tokens: DataFrame, block: int, key: str = "doc_id", ids: str = "ids", source: str = "source") -> DataFrame:
+    """source, block_no, input_ids, labels: a source's token ids laid end to end in order of key and cut into blocks.
+
+    Labels are the ids. The last block is dropped if it is short, unless it is the only one. Only a document's length
+    goes into the running totals; its ids are cut where blocks end, and each block gathers its pieces.
+    """
+    from .ranking import running_total
+
+    n = tokens.select(key, source, F.size(ids).cast("long").alias("n"), F.col(ids).alias("ids")).filter("n > 0")
+    at = running_total(n, source, key, "n", "end").withColumn("begin", F.col("end") - F.col("n"))
+    hit = at.select("*", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(end - 1) div {block}"))).alias("block_no"))
+    lo = F.greatest(F.col("block_no") * block, F.col("begin"))
+    hi = F.least((F.col("block_no") + 1) * block, F.col("end"))
+    piece = hit.select(source, "block_no", lo.alias("lo"), F.slice("ids", (lo - F.col("begin") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
+    whole = piece.groupBy(source, "block_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "piece"))), lambda x: x["piece"])).alias("input_ids"))
+    return whole.filter((F.size("input_ids") == block) | (F.col("block_no") == 0)).select(source, "block_no", "input_ids", F.col("input_ids").alias("labels"))
+
+
 def lm_blocks(tokens: DataFrame, block: int, key: str = "doc_id", length: str = "n_tokens", source: str = "source") -> DataFrame:
     """source, block_no, n_tokens of the blocks that a source's documents make laid end to end in order of key.
 

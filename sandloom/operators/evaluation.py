@@ -89,3 +89,32 @@ def judge_json(answer) -> Column:
     """struct(faithfulness, citation_accuracy, hallucination_rate) of a judge's answer: the first {...} in it; 0, 0, 1 by default."""
     raw = F.from_json(F.regexp_extract(T.col(answer), r"(?s)(\{.*\})", 1), "faithfulness double, citation_accuracy double, hallucination_rate double")
     return F.struct(F.coalesce(raw["faithfulness"], F.lit(0.0)).alias("faithfulness"), F.coalesce(raw["citation_accuracy"], F.lit(0.0)).alias("citation_accuracy"), F.coalesce(raw["hallucination_rate"], F.lit(1.0)).alias("hallucination_rate"))
+
+
+def top_disagreements(pairs: DataFrame, a: str, b: str, key: str, n: int = 5, least: int = 1) -> DataFrame:
+    """The n largest disagreements, ties to the smaller key: a report's head."""
+    return disagreements(pairs, a, b, least).orderBy(F.desc("diff"), key).limit(n)
+
+
+def run_averages(cases: DataFrame, metrics: list[str], run: str = "run_id") -> DataFrame:
+    """run, n and the mean of each metric, 0 for a run whose cases have none; a run without cases isn't there."""
+    return cases.groupBy(run).agg(F.count("*").alias("n"), *[F.coalesce(F.avg(m), F.lit(0.0)).alias(f"avg_{m}") for m in metrics])
+
+
+def shifted_accuracy(rows: DataFrame, labels: str = "labels", predicted: str = "predicted") -> DataFrame:
+    """One row: n, accuracy of next-token predictions: the prediction at a place is for the label at the next one."""
+    pairs = F.arrays_zip(F.slice(F.col(labels), F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0))).alias("t"), F.slice(F.col(predicted), F.lit(1), F.greatest(F.size(predicted) - 1, F.lit(0))).alias("p"))
+    hit = rows.select(F.size(pairs).alias("n"), F.size(F.filter(pairs, lambda x: x["t"] == x["p"])).alias("hit"))
+    return hit.agg(F.sum("n").alias("n"), F.when(F.sum("n") > 0, F.sum("hit") / F.sum("n")).otherwise(0.0).alias("accuracy"))
+
+
+def answer_grades(chunks: DataFrame, by: str, order: str, grade: str, score: str) -> DataFrame:
+    """by, grade (that of the first chunk that has one above 0, else 6), grounding by the mean score."""
+    first = F.min_by(F.when(F.col(grade) != 0, F.col(grade)), F.when(F.col(grade).isNotNull() & (F.col(grade) != 0), F.col(order)))
+    g = chunks.groupBy(by).agg(F.coalesce(first, F.lit(6)).alias("grade"), F.avg(score).alias("mean"), F.count("*").alias("n"))
+    return g.select(by, "grade", grounding(F.col("mean"), F.col("n")).alias("grounding"))
+
+
+def quiz_average(attempts: DataFrame, by: str, score: str) -> DataFrame:
+    """by, n, average: what a dashboard shows of a student's quizzes, rounded to whole points."""
+    return attempts.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(score)).cast("long").alias("average"))

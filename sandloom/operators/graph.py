@@ -102,3 +102,11 @@ def autoencoder_losses(pairs: DataFrame) -> DataFrame:
     means = pairs.select(F.posexplode(F.arrays_zip(as_double("zx").alias("p"), as_double("zy").alias("q"))).alias("dim", "z")).groupBy("dim").agg((F.avg("z.p") - F.avg("z.q")).alias("d"))
     prior = means.agg(F.avg(F.col("d") * F.col("d")).alias("prior"))
     return base.crossJoin(prior).withColumn("total", F.col("reconstruction") + 3 * F.col("pair") + 0.1 * F.col("prior"))
+
+
+def late_pool_topk(patches: DataFrame, queries: DataFrame, k: int, by: str = "page_id", vector: str = "embedding") -> DataFrame:
+    """query_id, page_id, score, rank: pages by the mean of their patches' vectors, the k nearest of each query."""
+    from .similarity import cosine_topk
+
+    pooled = collect_vectors(mean_pool(patches, by, vector).select(F.col(by).alias("node"), "dim", "value")).select(F.col("node").alias(by), "embedding")
+    return cosine_topk(queries, pooled, k, key=by, vector="embedding")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from .chunking import own_path
 from .folds import ordered_fold
 
 
@@ -24,6 +25,23 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return at.select("doc_id", "seq", T.strip("raw").alias("text")).filter("text <> ''")
 
 
+def document_blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, block_no, text of the blocks between blank lines."""
+    at = docs.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("block_no", "raw"))
+    return at.select("doc_id", "block_no", T.strip("raw").alias("text")).filter("text <> ''")
+
+
+def document_words(docs: DataFrame) -> DataFrame:
+    """doc_id, word_no, word."""
+    return docs.select("doc_id", F.posexplode(T.words("text")).alias("word_no", "word"))
+
+
+def joined_pages(pages: DataFrame, by: str, order: str, text: str, mark: str = "\n") -> DataFrame:
+    """by, text: the texts of a file's pages in order, as one."""
+    parts = F.array_sort(F.collect_list(F.struct(order, text)))
+    return pages.groupBy(by).agg(F.array_join(F.transform(parts, lambda x: F.coalesce(x[text], F.lit(""))), mark).alias("text"))
+
+
 def margins(blocks: DataFrame, top: float = 0.08, bottom: float = 0.92) -> DataFrame:
     """Blocks (y0, y1, page_height) that aren't wholly in the header or footer."""
     return blocks.filter(~((F.col("y1") < top * F.col("page_height")) | (F.col("y0") > bottom * F.col("page_height"))))
@@ -92,35 +110,25 @@ def sections(blocks: DataFrame, key: str = "doc_id", order: str = "seq", scope:
     return b.withColumn("section_path", F.concat_ws(" > ", top, F.last("sub", ignorenulls=True).over(in_main))).drop("h", "main", "sub", "main_no")
 
 
-class _LogicalBlocks:
-    def __init__(self, key):
-        self.key, self.group, self.role, self.path, self.n = key, [], "general", "", 0
-
-    def _close(self) -> list:
-        if not self.group:
-            return []
-        self.n += 1
-        return [(*self.key, self.n - 1, self.role, self.path, "\n".join(self.group))]
-
-    def step(self, row) -> list:
-        special = row.role != "general" and row.role != self.role
-        moved = row.type == "heading" or (self.path and row.section_path != self.path)
-        if special or moved:
-            out = self._close()
-            self.group, self.role, self.path = [row.text], row.role, row.section_path
-            return out
-        self.group.append(row.text)
-        self.path = self.path or row.section_path
-        return []
-
-    def end(self) -> list:
-        return self._close()
-
-
 def logical_blocks(blocks: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:
-    """key, seq, role, section_path, text: neighbouring blocks (text, section_path) that belong together."""
-    rows = blocks.select(F.col(key).cast("long").alias(key), order, "text", "section_path", T.block_role("text").alias("role"), T.block_type("text").alias("type"))
-    return ordered_fold(rows, [key], [order], _LogicalBlocks, f"{key} long, seq int, role string, section_path string, text string")
+    """key, seq, role, section_path, text: neighbouring blocks (text, section_path) that belong together.
+
+    A group begins at a heading, where the path changes, and at a block with a role of its own, unless the last block with a
+    role since the last such beginning had the same one. It has the role and path of its first block.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    b = blocks.select(F.col(key).cast("long").alias(key), order, "text", "section_path", T.block_role("text").alias("role"), (T.block_type("text") == "heading").alias("heading"))
+    b = b.withColumn("path", own_path(key, order))
+    hard = F.lag("path").over(w).isNull() | F.col("heading") | (F.lag("path").over(w) != F.col("path"))
+    b = b.withColumn("part", F.sum(hard.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    special = F.nullif(F.col("role"), F.lit("general"))
+    earlier = Window.partitionBy(key, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("before", F.last(special, ignorenulls=True).over(earlier)).withColumn("first", F.row_number().over(Window.partitionBy(key, "part").orderBy(order)) == 1)
+    begins = F.col("first") | (special.isNotNull() & ~special.eqNullSafe(F.col("before")))
+    b = b.withColumn("no", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    rows = F.array_sort(F.collect_list(F.struct(order, "role", "text")))
+    g = b.groupBy(key, "no").agg(F.first("path").alias("section_path"), rows.alias("rows"))
+    return g.select(key, F.col("no").cast("int").alias("seq"), F.col("rows")[0]["role"].alias("role"), "section_path", F.array_join(F.transform("rows", lambda x: x["text"]), "\n").alias("text"))
 
 
 def _line_bands(words: list[tuple]) -> list[list[tuple]]:
@@ -137,6 +145,12 @@ def _line_bands(words: list[tuple]) -> list[list[tuple]]:
     return bands
 
 
+def last_pages(page_words: DataFrame, n: int = 15) -> DataFrame:
+    """Rows of the last n pages of each file, where a glossary stands: files of fewer pages whole."""
+    last = page_words.groupBy("file").agg(F.max("page").alias("_last"))
+    return page_words.join(last, "file").filter(F.col("page") > F.col("_last") - n).drop("_last")
+
+
 def glossary_columns(page_words: DataFrame, gap: float = 20.0) -> DataFrame:
     """file, page, seq, text of the columns of the lines of a page of words (file, page, x0, y0, x1, y1, word); header words go.
 

@@ -99,16 +99,18 @@ def synthetic_sentences(subjects: list[str], verbs: list[str], objects: list[str
     return out.select(F.concat_ws(" ", "s", "v", "o").alias("sentence"))
 
 
-def relevant_sentences(text, query_words: Column, window: int = 5) -> Column:
-    """The window around the sentence with most query words (and a half for a defining word); without any, the first ones;
-    without a sentence, the first 800 characters."""
+def relevant_sentences(text, query_words: Column, window: int = 5, tamil: Column | None = None) -> Column:
+    """The window around the sentence with most query words (and a half for a defining word, in either language); without
+    any, the first ones; without a sentence, the first 800 characters. Where `tamil` holds, whose scans have no clean
+    sentence ends, the first 1200 characters."""
     from ..functions import lexicon as L
     from .chunking import sentences
 
     s = F.filter(sentences(text), lambda x: F.length(x) > 10)
-    score = F.transform(s, lambda x: F.size(F.filter(query_words, lambda w: F.contains(F.lower(x), w))) + F.when(F.lower(x).rlike(T.whole_words(L.CUES)), 0.5).otherwise(0.0))
+    score = F.transform(s, lambda x: F.size(F.filter(query_words, lambda w: F.contains(F.lower(x), w))) + F.when(F.lower(x).rlike(T.whole_words(L.CUES)), 0.5).otherwise(0.0) + F.when(T.has_any(x, L.TAMIL_CUES), 0.5).otherwise(0.0))
     best = F.array_position(score, F.array_max(score)).cast("int") - 1
     start = F.greatest(best - 1, F.lit(0))
     picked = F.slice(s, start + 1, best + window - start)
     first = F.array_join(F.slice(s, 1, window), " ")
-    return F.when(F.size(s) == 0, F.substring(T.col(text), 1, 800)).when((F.size(query_words) == 0) | (F.array_max(score) == 0), first).otherwise(F.array_join(picked, " "))
+    whole = F.lit(False) if tamil is None else F.coalesce(tamil, F.lit(False))
+    return F.when(whole, F.substring(T.col(text), 1, L.EXCERPT_TAMIL)).when(F.size(s) == 0, F.substring(T.col(text), 1, L.EXCERPT_FALLBACK)).when((F.size(query_words) == 0) | (F.array_max(score) == 0), first).otherwise(F.array_join(picked, " "))

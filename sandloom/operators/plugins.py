@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from typing import Protocol
 
 import numpy as np
@@ -58,22 +59,67 @@ def embed(rows: DataFrame, text: str, model: Embedder, prefix: str = "", out: st
     return rows.withColumn(out, run(text))
 
 
+def with_retry(call, tries: int = 3, wait: float = 1.0, double: bool = True, sleep=time.sleep):
+    """call(), again after wait, 2 * wait, 4 * wait, ... seconds (or always wait) when it fails; the last failure is raised.
+
+    For calls out of a task to a service: Spark's own retries would repeat the whole task.
+    """
+
+    def run(*args):
+        for n in range(tries):
+            try:
+                return call(*args)
+            except Exception:  # whatever a service's client raises
+                if n == tries - 1:
+                    raise
+                sleep(wait * (2**n if double else 1))
+
+    return run
+
+
 def score_with(model: Scorer, query, text, default: float = -1.0) -> Column:
-    """The model's score, or the default where it fails."""
+    """The model's scores, a batch a call; if a batch fails its rows are scored one by one, with the default where one fails."""
 
     @F.pandas_udf("double")
     def run(q: pd.Series, t: pd.Series) -> pd.Series:
+        qs, ts = q.fillna("").tolist(), t.fillna("").tolist()
+        try:
+            return pd.Series([float(x) for x in model.score(qs, ts)], dtype="float64")
+        except Exception:  # a model from outside may fail in any way: find the rows that make it fail
+            pass
+
         def one(a, b):
             try:
-                return float(model.score([a or ""], [b or ""])[0])
-            except Exception:  # a model from outside may fail in any way; the caller asked for the default then
+                return float(model.score([a], [b])[0])
+            except Exception:  # the caller asked for the default then
                 return default
 
-        return pd.Series([one(a, b) for a, b in zip(q, t, strict=True)])
+        return pd.Series([one(a, b) for a, b in zip(qs, ts, strict=True)], dtype="float64")
 
     return run(query, text)
 
 
+class Judge(Protocol):
+    def judge(self, question: str, answer: str, context: str) -> str: ...
+
+
+def judge_with(model: Judge, question, answer, context) -> Column:
+    """struct(faithfulness, citation_accuracy, hallucination_rate) of what the model says; 0, 0, 1 where it fails or says no JSON."""
+    from .evaluation import judge_json
+
+    @F.pandas_udf("string")
+    def run(q: pd.Series, a: pd.Series, c: pd.Series) -> pd.Series:
+        def one(*x):
+            try:
+                return model.judge(*x)
+            except Exception:  # a failing judge counts as one that says nothing
+                return ""
+
+        return pd.Series([one(*x) for x in zip(q.fillna(""), a.fillna(""), c.fillna(""), strict=True)], dtype="object")
+
+    return judge_json(run(question, answer, context))
+
+
 def reranking_text(chapter, section, text) -> Column:
     head = F.concat_ws(" | ", F.concat(F.lit("Chapter: "), chapter), F.concat(F.lit("Section: "), section))
     return F.when(head != "", F.concat(head, F.lit("\n"), text)).otherwise(text)

@@ -16,21 +16,33 @@ def rrf(rankings: list[DataFrame], by: str, key: str, k: int = L.RRF_K) -> DataF
     return reduce(DataFrame.unionByName, parts).groupBy(by, key).agg(F.sum("part").alias("rrf"))
 
 
-def full_rank(rows: DataFrame, by: str, value: str, ties: str, descending: bool = False, pieces: int = 64, out: str = "rank") -> DataFrame:
-    """Adds each row's place, from 1, among all rows of its group by value, then ties.
-
-    A group may be most of the table, so it isn't ranked in one task: quantiles of the value cut it into pieces, which are
-    ranked apart, and each piece's place follows from the counts of those before it. Rows of one value are one piece.
-    """
+def _pieces(rows: DataFrame, by: str, value: str, descending: bool, pieces: int) -> DataFrame:
+    """Adds _by (the group) and _piece: pieces of a group that quantiles of value cut, in order; rows of one value are in one piece."""
     cuts = rows.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(value, [k / pieces for k in range(1, pieces)], 10_000).alias("_cuts"))
-    sign = (lambda c: c.desc()) if descending else (lambda c: c.asc())
     piece = F.size(F.filter("_cuts", lambda c: (c > F.col(value)) if descending else (c < F.col(value))))
-    placed = rows.join(cuts, rows[by].eqNullSafe(cuts["_by"])).withColumn("_piece", F.coalesce(piece, F.lit(0))).drop("_cuts")
-    sizes = placed.groupBy("_by", "_piece").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("_by").alias("_g"), F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_by", "_piece").orderBy(sign(F.col(value)), F.col(ties)))
-    ranked = placed.withColumn("_inner", inner).join(before, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_piece") == F.col("_p")))
-    return ranked.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_inner")).alias(out))
+    return rows.join(cuts, rows[by].eqNullSafe(cuts["_by"])).withColumn("_piece", F.coalesce(piece, F.lit(0))).drop("_cuts")
+
+
+def running_total(rows: DataFrame, by: str, order: str, value: str, out: str, descending: bool = False, ties: str | None = None, pieces: int = 64) -> DataFrame:
+    """Adds the sum of value over a group's rows up to each one, in order of `order`, then `ties`; null orders come first.
+
+    A group may be most of the table, so it isn't summed in one task: quantiles of the order cut it into pieces, which are
+    summed apart, and what comes before a piece follows from the pieces' own sums.
+    """
+    placed = _pieces(rows, by, order, descending, pieces)
+    sizes = placed.groupBy("_by", "_piece").agg(F.sum(value).alias("_n"))
+    earlier = Window.partitionBy("_by").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("_by").alias("_g"), F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    first = F.col(order).desc() if descending else F.col(order).asc()
+    inner = Window.partitionBy("_by", "_piece").orderBy(first, *([F.col(ties)] if ties else [])).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("_inner", F.sum(value).over(inner)).join(before, F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_piece") == F.col("_p")))
+    return summed.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("_before") + F.col("_inner")).alias(out))
+
+
+def full_rank(rows: DataFrame, by: str, value: str, ties: str, descending: bool = False, pieces: int = 64, out: str = "rank") -> DataFrame:
+    """Adds each row's place, from 1, among all rows of its group by value, then ties."""
+    one = rows.withColumn("_one", F.lit(1).cast("long"))
+    return running_total(one, by, value, "_one", out, descending, ties, pieces).drop("_one")
 
 
 def tier_merge(ranked: DataFrame, by: str, order: list[Column], top_k: int, primary: list[str] | None = None, kind: str = "content_type") -> DataFrame:

@@ -22,6 +22,42 @@ def figures(images: DataFrame, least: float = 30.0) -> DataFrame:
     return images.filter((w >= least) & (h >= least) & ~code)
 
 
+def table_chunks(tables: DataFrame) -> DataFrame:
+    """chunk_id, text, page, role, chapter_no, chapter_title of tables (document_id, page, seq, content)."""
+    head = F.format_string("[Table Reference (Page %d)]\n\n", F.col("page").cast("int"))
+    return _reference_chunks(tables, "tbl", "table", F.concat(head, F.coalesce("content", F.lit(""))))
+
+
+def figure_chunks(pictures: DataFrame) -> DataFrame:
+    """The same of figures (document_id, page, seq, caption, ocr_text)."""
+    text = F.format_string("[Figure Reference (Page %d) Caption: %s]\n[Diagram Text: %s]", F.col("page").cast("int"), F.coalesce("caption", F.lit("")), F.coalesce("ocr_text", F.lit("")))
+    return _reference_chunks(pictures, "fig", "figure", text)
+
+
+def _reference_chunks(rows: DataFrame, mark: str, role: str, text: Column) -> DataFrame:
+    name = F.concat_ws("_", F.coalesce(F.col("document_id").cast("string"), F.lit("unknown")), F.lit(mark), F.col("page").cast("string"), F.col("seq").cast("string"))
+    return rows.select(name.alias("chunk_id"), text.alias("text"), "page", F.lit(role).alias("role"), F.lit("0").alias("chapter_no"), F.lit("Tables and Diagrams").alias("chapter_title"))
+
+
+def file_inventory(files: DataFrame) -> DataFrame:
+    """kind, name, n of files (file_path, content): extensions with their counts, all files, top folders, and what
+    requirements files depend on (n is 1 for folders and dependencies, which are sets)."""
+    name = F.element_at(F.split("file_path", "/"), -1)
+    f = files.select("file_path", name.alias("name"), F.col("content").cast("string").alias("text"))
+    ext = F.regexp_extract("name", r"^.+(\.[^.]+)$", 1)
+    by_ext = f.groupBy(F.lit("extension").alias("kind"), ext.alias("name")).agg(F.count("*").alias("n"))
+    total = f.agg(F.count("*").alias("n")).select(F.lit("files").alias("kind"), F.lit("").alias("name"), "n")
+    modules = f.filter(F.contains("file_path", F.lit("/"))).select(F.lit("module").alias("kind"), F.substring_index("file_path", "/", 1).alias("name"), F.lit(1).cast("long").alias("n")).distinct()
+    line = f.filter("name = 'requirements.txt'").select(F.explode(F.split("text", "\n")).alias("line")).filter((T.strip("line") != "") & ~F.col("line").startswith("#"))
+    needs = line.select(F.lit("dependency").alias("kind"), T.strip(F.substring_index("line", "==", 1)).alias("name"), F.lit(1).cast("long").alias("n")).distinct()
+    return by_ext.unionByName(total).unionByName(modules).unionByName(needs)
+
+
+def distinct_values(rows: DataFrame, by: str, value: str, default: str) -> DataFrame:
+    """by, values: the distinct values of a group in lower case, sorted, nulls as the default."""
+    return rows.groupBy(by).agg(F.array_sort(F.collect_set(F.lower(F.coalesce(F.col(value), F.lit(default))))).alias("values"))
+
+
 def pair_rows(left: DataFrame, right: DataFrame, by: str, order: str) -> DataFrame:
     """The n-th row of each group of left with the n-th of right; what one side has more is left out."""
     number = lambda d, side: d.select(by, F.col(order).alias(side), F.row_number().over(Window.partitionBy(by).orderBy(order)).alias("n"))

@@ -19,40 +19,58 @@ def _matrix(column, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim)
 
 
-def query_blocks(queries: DataFrame, key: str, vector, block: int = BLOCK):
-    """Queries in blocks of at most `block`, each small enough to broadcast; one pass over the vectors a block."""
-    n = queries.count()
-    if n <= block:
-        blocks = [queries]
-    else:
-        parts = -(-n // block) * 2
-        blocks = [queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
-    for b in blocks:
-        rows = b.select(F.col(key).cast("long").alias("k"), (F.col(vector) if isinstance(vector, str) else vector).cast("array<double>").alias("v")).orderBy("k").toArrow()
-        if rows.num_rows:
-            v = rows["v"].combine_chunks()
-            yield rows["k"].to_numpy(), _matrix(v, len(v[0])), rows
-
-
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, digits: int = 8) -> DataFrame:
+def packed(rows: DataFrame, key: str, vector, block: int) -> DataFrame:
+    """ids, m: vectors of neighbouring rows as matrices of at most `block` rows, made where the rows lie."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(0, b.num_rows, block):
+                part = b.slice(k, block)
+                m = _matrix(part.column(1), len(part.column(1)[0]))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], ["ids", "m"])
+
+    v = (F.col(vector) if isinstance(vector, str) else vector).cast("array<double>")
+    return rows.select(F.col(key).cast("long").alias("k"), v.alias("v")).filter("v is not null").mapInArrow(pack, "ids array<long>, m binary")
+
+
+def _block(ids, m) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.asarray(ids, dtype=np.int64)
+    return keys, np.frombuffer(m, dtype=np.float64).reshape(len(keys), -1)
+
+
+def met(queries: tuple, vectors: tuple, block: int) -> DataFrame:
+    """v_ids, v_m, ids, m: every block of the vectors beside every block of the queries, each a (rows, key, vector).
+
+    The stated query set meets all rows, in blocks, on the executors: up to four blocks of queries are broadcast; of more,
+    each of the parts that the vectors are dealt into gets a copy by a shuffle.
+    """
+    q = packed(*queries, block)
+    v = packed(*vectors, block).select(F.col("ids").alias("v_ids"), F.col("m").alias("v_m"))
+    if queries[0].count() <= 4 * block:
+        return v.crossJoin(F.broadcast(q)).select("v_ids", "v_m", "ids", "m")
+    parts = max(1, -(-vectors[0].count() // (16 * block)))
+    v = v.withColumn("part", F.pmod(F.xxhash64(F.col("v_ids")[0]), F.lit(parts)))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    return v.join(q, "part").select("v_ids", "v_m", "ids", "m")
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, digits: int = 8, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, score, rank: each query's k nearest vectors by cosine, ties to the smaller id.
 
-    Each task keeps the k best of its own rows for each query, so what is shuffled doesn't grow with a task's rows.
+    Blocks of queries meet blocks of vectors as matrix products, and of each product only the k best rows of each query go
+    on. Null vectors are left out.
     """
-    spark = vectors.sparkSession
-    out = None
-    for ids, q, _ in query_blocks(queries, query_key, vector):
-        shared = spark.sparkContext.broadcast((ids, _unit(q)))
-
-        def best(batches, shared=shared):
-            import pyarrow as pa
-
-            ids, q = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                mine = b.column(0).to_numpy()
-                s = np.round(q @ _unit(_matrix(b.column(1), q.shape[1])).T, digits)
+
+    def best(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for r in range(b.num_rows):
+                mine, v = _block(b.column(0)[r].values, b.column(1)[r].as_py())
+                ids, q = _block(b.column(2)[r].values, b.column(3)[r].as_py())
+                s = np.round(_unit(q) @ _unit(v).T, digits)
                 if exclude_self:
                     s[ids[:, None] == mine[None, :]] = -np.inf
                 order = np.lexsort((np.broadcast_to(mine, s.shape), -s), axis=1)[:, :k]
@@ -60,40 +78,37 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str =
                 keep = np.isfinite(score).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(mine[order].ravel()[keep]), pa.array(score.ravel()[keep])], ["q", "v", "score"])
 
-        part = vectors.select(F.col(key).cast("long").alias("v"), F.col(vector).cast("array<double>").alias("e")).mapInArrow(best, "q long, v long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "q long, v long, score double")
+    out = met((queries, query_key, vector), (vectors, key, vector), block).mapInArrow(best, "q long, v long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "v")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("v").alias(key), "score", "rank")
 
 
-def pair_ranks(left: DataFrame, right: DataFrame, digits: int = 8) -> DataFrame:
+def pair_ranks(left: DataFrame, right: DataFrame, digits: int = 8, block: int = BLOCK) -> DataFrame:
     """pair_id, similarity, rank: where the true partner (equal pair_id) of each left vector stands among all right ones.
 
     left, right: pair_id, embedding. The rank is one more than the number of right vectors that are nearer.
     """
-    spark = left.sparkSession
     both = left.select("pair_id", "embedding").join(right.select("pair_id", F.col("embedding").alias("partner")), "pair_id")
-    out = None
-    for ids, q, rows in query_blocks(both, "pair_id", F.concat("embedding", "partner")):
-        half = q.shape[1] // 2
-        own = np.round((_unit(q[:, :half]) * _unit(q[:, half:])).sum(axis=1), digits)
-        shared = spark.sparkContext.broadcast((ids, _unit(q[:, :half]), own))
-
-        def nearer(batches, shared=shared):
-            import pyarrow as pa
-
-            ids, q, own = shared.value
-            count = np.zeros(len(ids), dtype=np.int64)
-            for b in batches:
-                if b.num_rows:
-                    count += (np.round(q @ _unit(_matrix(b.column(0), q.shape[1])).T, digits) > own[:, None]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own), pa.array(count)], ["pair_id", "similarity", "nearer"])
-
-        part = right.select(F.col("embedding").cast("array<double>").alias("e")).mapInArrow(nearer, "pair_id long, similarity double, nearer long")
-        out = part if out is None else out.unionByName(part)
-        del rows
-    if out is None:
-        return spark.createDataFrame([], "pair_id long, similarity double, rank long")
+
+    def nearer(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for r in range(b.num_rows):
+                _, v = _block(b.column(0)[r].values, b.column(1)[r].as_py())
+                ids, q = _block(b.column(2)[r].values, b.column(3)[r].as_py())
+                half = q.shape[1] // 2
+                mine = _unit(q[:, :half])
+                own = np.round((mine * _unit(q[:, half:])).sum(axis=1), digits)
+                count = (np.round(mine @ _unit(v).T, digits) > own[:, None]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own), pa.array(count)], ["pair_id", "similarity", "nearer"])
+
+    pairs = met((both, "pair_id", F.concat("embedding", "partner")), (right, "pair_id", "embedding"), block)
+    out = pairs.mapInArrow(nearer, "pair_id long, similarity double, nearer long")
     return out.groupBy("pair_id").agg(F.max("similarity").alias("similarity"), (F.sum("nearer") + 1).alias("rank"))
+
+
+def mutual_ranks(left: DataFrame, right: DataFrame, digits: int = 8) -> DataFrame:
+    """pair_id, similarity, rank, back_rank, mutual: each pair's rank from both sides, and whether both are 1."""
+    back = pair_ranks(right, left, digits).select("pair_id", F.col("rank").alias("back_rank"))
+    return pair_ranks(left, right, digits).join(back, "pair_id").withColumn("mutual", (F.col("rank") == 1) & (F.col("back_rank") == 1))

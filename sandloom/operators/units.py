@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -88,3 +89,11 @@ def inventory_counts(units: DataFrame, grade: str, subject: str) -> DataFrame:
     """grade, subject, n_units, formula_heavy, descriptive by grade, by subject and over all (the others null)."""
     sets = units.groupingSets([[grade], [subject], []], grade, subject)
     return sets.agg(F.count("*").alias("n_units"), F.count_if(F.col("unit_type").isin(FORMULA_HEAVY)).alias("formula_heavy"), F.count_if(F.col("unit_type").isin(DESCRIPTIVE)).alias("descriptive"))
+
+
+def flat_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, unit_type, unit_name, n of every place where a unit's shape stands, without regard to blocks: what earlier, flat
+    extractors counted, kept for comparison with unit_inventory()."""
+    shapes = {"Exercise": r"(?i)(Exercise\s+\d+\.\d+)", "Example/Problem": r"(?i)\b((?:Problem|Example)\s+\d+\.\d+(?:\.\d+)?)", "Activity": r"(?i)\b(ACTIVITY\s+\d+)", "Table": r"\b(Table\s+\d+\.\d+)"}
+    found = [docs.select(key, F.lit(kind).alias("unit_type"), F.explode(F.regexp_extract_all(F.col(text), F.lit(shape), 1)).alias("unit_name")) for kind, shape in shapes.items()]
+    return reduce(DataFrame.unionByName, found).groupBy(key, "unit_type", "unit_name").agg(F.count("*").alias("n"))

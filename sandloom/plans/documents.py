@@ -98,12 +98,17 @@ def sentence_group_chunks(t: Tables):
     return chunking.sentence_groups(t.documents).select("doc_id", "group_no", "n_sentences", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
-@query()
+_SENT = rf"s AS MATERIALIZED (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS l FROM documents)))"
+#: A fold as recursion: each step takes a document's next sentence; `closed` is a chunk that the step ends.
+_PACK = "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, last) - 1 AS INT) AS chunk_no, chunk FROM (SELECT doc_id, i, 0 AS last, closed AS chunk FROM r WHERE closed IS NOT NULL UNION ALL SELECT doc_id, i, 1, {rest} FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS top FROM r) WHERE i = top) WHERE chunk <> ''"
+
+
+@query(rf"WITH RECURSIVE {_SENT}, w AS MATERIALIZED (SELECT doc_id, i, regexp_extract_all(x, '\S+') AS ws FROM s), r AS (SELECT doc_id, i, ws AS now, CAST(NULL AS VARCHAR) AS closed FROM w WHERE i = 1 UNION ALL SELECT r.doc_id, w.i, CASE WHEN len(now) + len(ws) > 200 THEN list_concat(now[greatest(len(now) - 9, 1) : len(now)], ws) ELSE list_concat(now, ws) END, CASE WHEN len(now) + len(ws) > 200 THEN array_to_string(now, ' ') END FROM r JOIN w ON w.doc_id = r.doc_id AND w.i = r.i + 1) {_PACK.format(rest="array_to_string(now, ' ')")}")
 def greedy_sentence_pack(t: Tables):
     return chunking.map_text(t.documents, lambda x: chunking.pack_sentences(chunking.python_sentences(x), 200))
 
 
-@query()
+@query(rf"WITH RECURSIVE {_SENT}, r AS (SELECT doc_id, i, x || ' ' AS now, CAST(NULL AS VARCHAR) AS closed FROM s WHERE i = 1 UNION ALL SELECT r.doc_id, s.i, CASE WHEN length(now) + length(x) < 300 THEN now || x || ' ' ELSE x || ' ' END, CASE WHEN length(now) + length(x) < 300 THEN NULL ELSE trim(now) END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1) {_PACK.format(rest='trim(now)')}")
 def char_pack(t: Tables):
     return chunking.map_text(t.documents, lambda x: chunking.pack_chars(chunking.python_sentences(x)))
 

@@ -227,19 +227,23 @@ def _seconds(t: Tables, key):
     return t.events.select(key, (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "event_id", "event_type")
 
 
-@query()
+#: Each key's records by number, for folds as recursion.
+_STEPS = "e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS i FROM (SELECT {key} AS k, epoch_us(ts) / 1e6 AS ts, event_id FROM events))"
+
+
+@query(f"WITH RECURSIVE {_STEPS.format(key='user_id')}, r AS (SELECT k, i, ts, event_id, [ts] AS log, true AS accepted FROM e WHERE i = 1 UNION ALL SELECT k, i, ts, event_id, CASE WHEN len(old) < 5 THEN list_append(old, ts) ELSE old END, len(old) < 5 FROM (SELECT e.k, e.i, e.ts, e.event_id, list_filter(r.log, lambda t: e.ts - t < 21600) AS old FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1)) SELECT k AS client, ts, accepted FROM r")
 def rate_limit_fold(t: Tables):
     # five calls of a client in six hours: the tables' events are hours apart
     return sessions.fold(_seconds(t, F.col("user_id").alias("client")), sessions.RateLimit, ["ts", "event_id"], seconds=21600.0)
 
 
-@query()
+@query(f"WITH RECURSIVE {_STEPS.format(key="sha256(user_id || ':' || event_type)")}, r AS (SELECT k, i, ts, ts AS stored, false AS hit FROM e WHERE i = 1 UNION ALL SELECT e.k, e.i, e.ts, CASE WHEN e.ts - r.stored < 86400 THEN r.stored ELSE e.ts END, e.ts - r.stored < 86400 FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1) SELECT k AS cache_key, ts, hit FROM r")
 def cache_hit_ttl(t: Tables):
     key = T.cache_key("user_id", "event_type").alias("cache_key")
     return sessions.fold(_seconds(t, key), sessions.AnswerCache, ["ts", "event_id"])
 
 
-@query()
+@query("WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS k, epoch_us(ts) / 1e6 AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE WHEN event_type = 'purchase' THEN 'class=' || event_id % 3 END AS f FROM events), r AS (SELECT k, i, ts, f AS filters FROM e WHERE i = 1 UNION ALL SELECT e.k, e.i, e.ts, coalesce(e.f, CASE WHEN e.ts - r.ts < 43200 THEN r.filters END) FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1) SELECT k AS session, ts, filters FROM r")
 def session_filters_fold(t: Tables):
     rows = _seconds(t, F.col("user_id").alias("session")).withColumn("filters", F.when(F.col("event_type") == "purchase", F.concat(F.lit("class="), F.col("event_id") % 3)))
     return sessions.fold(rows, sessions.SessionFilters, ["ts", "event_id"], seconds=43200.0)

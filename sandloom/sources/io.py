@@ -123,3 +123,50 @@ def wide_vectors(vectors: DataFrame, dim: int, vector: str = "embedding", digits
     """The vector as columns dim_0, dim_1, ... rounded."""
     rest = [c for c in vectors.columns if c != vector]
     return vectors.select(*rest, *[F.round(F.col(vector)[i].cast("double"), digits).alias(f"dim_{i}") for i in range(dim)])
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, where: str | None = None, split: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a relational database; Spark hands `where` on to it. With `split`, a numeric column, it is read in parts."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if split:
+        lo, hi = reader.load().agg(F.min(split), F.max(split)).first()
+        if lo is not None and hi > lo:
+            reader = reader.option("partitionColumn", split).option("lowerBound", str(lo)).option("upperBound", str(hi)).option("numPartitions", str(parts))
+    rows = reader.load()
+    return rows.filter(where) if where else rows
+
+
+def write_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
+    rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
+def update_jdbc(changed: DataFrame, url: str, table: str, key: str, **options: str) -> None:
+    """Rows of changed in the place of those with their key, and new ones beside them: the merged table is written under another
+    name first, then over the old one."""
+    spark = changed.sparkSession
+    old = read_jdbc(spark, url, table, **options)
+    names = {c.lower(): c for c in old.columns}
+    new = changed.select(*[F.col(c).alias(names[c.lower()]) for c in changed.columns])
+    write_jdbc(old.join(new.select(names[key.lower()]), names[key.lower()], "left_anti").select(*old.columns).unionByName(new), url, f"{table}_new", "overwrite", **options)
+    write_jdbc(read_jdbc(spark, url, f"{table}_new", **options), url, table, "overwrite", truncate="true", **options)
+
+
+def corpus(spark: SparkSession, paths: list[str], form: str = "text", column: str = "text") -> DataFrame:
+    """source, text: lines of text files, or a column of CSV files with a header; blank lines go."""
+    if form not in ("text", "csv"):
+        raise ValueError(f"a corpus is text or csv, not {form}")
+    rows = spark.read.text(paths).withColumnRenamed("value", "text") if form == "text" else spark.read.option("header", True).option("multiLine", True).csv(paths).withColumn("text", F.col(column))
+    return rows.select(F.col("_metadata.file_name").alias("source"), "text").filter("text is not null and trim(text) <> ''")
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """What lies at path; made and written there first if nothing does. A half-written folder counts as nothing."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def append_session(rows: DataFrame, path: str) -> None:
+    """Adds records to a session's JSON lines."""
+    rows.write.mode("append").json(path)

@@ -74,21 +74,29 @@ def fold(rows: DataFrame, state: type, order: list[str] | None = None, **options
     return ordered_fold(rows, [key], order or ["ts"], lambda k: state(k, **options), state.schema)
 
 
-def stream(rows: DataFrame, state: type, idle: str = "NoTimeout", **options) -> DataFrame:
-    """The same over a stream: state is kept by key between batches, records of a batch are taken in order of ts."""
+def stream(rows: DataFrame, state: type, **options) -> DataFrame:
+    """The same over a stream: state is kept by key between batches, records of a batch are taken in order of ts.
+
+    A state is dropped when its key has been quiet for the state's `seconds`, by the clock: after that it couldn't change
+    an answer any more. So what is kept grows with the keys of that time, not with all keys ever seen.
+    """
     key = _columns(state.schema)[0].strip().split()[0]
     names = [c.strip().split()[0] for c in _columns(state.schema)]
 
     def run(k, frames, store):
+        if store.hasTimedOut:
+            store.remove()
+            return
         now = pickle.loads(store.get[0]) if store.exists else state(k, **options)
         out = []
         pdf = pd.concat(list(frames))
         for row in pdf.sort_values("ts", kind="stable").itertuples(index=False):
             out += now.step(row)
         store.update((pickle.dumps(now),))
+        store.setTimeoutDuration(max(1, int(now.seconds * 1000)))
         yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy(key).applyInPandasWithState(run, state.schema, "state binary", "append", idle)
+    return rows.groupBy(key).applyInPandasWithState(run, state.schema, "state binary", "append", "ProcessingTimeTimeout")
 
 
 def debounce(rows: DataFrame, by: list[str], gap: str = "5 seconds", ts: str = "ts") -> DataFrame:
@@ -118,27 +126,59 @@ def job_table(updates: DataFrame, by: str = "job_id", ts: str = "ts", state: str
     return updates.groupBy(by).agg(F.max_by(state, ts).alias(state), F.max(ts).alias(ts))
 
 
-def write_jobs(updates: DataFrame, path: str, checkpoint: str):
-    """A streaming query that keeps the table of jobs at path up to date, a version a batch; job_versions() reads the last."""
+#: What a job may become from each state (null: it is new).
+NEXT_STATES = {None: ["queued"], "queued": ["processing", "failed"], "processing": ["completed", "failed"], "completed": [], "failed": ["queued"]}
+
+
+def illegal_transitions(updates: DataFrame, by: str = "job_id", ts: str = "ts", state: str = "state", allowed: dict | None = None) -> DataFrame:
+    """by, ts, before, state of updates that don't follow from the state before; the same state again is no transition."""
+    before = F.lag(state).over(Window.partitionBy(by).orderBy(ts))
+    u = updates.select(by, ts, before.alias("before"), state).filter(~F.col(state).eqNullSafe(F.col("before")))
+    legal = F.lit(False)
+    for old, new in (NEXT_STATES if allowed is None else allowed).items():
+        same = F.col("before").isNull() if old is None else F.col("before").eqNullSafe(F.lit(old))
+        legal = legal | (same & F.col(state).isin(new)) if new else legal
+    return u.filter(~F.coalesce(legal, F.lit(False)))
+
+
+def write_jobs(updates: DataFrame, path: str, checkpoint: str, keep: int = 2):
+    """A streaming query that keeps the table of jobs at path up to date, a version a batch; job_versions() reads the last.
+
+    The last `keep` versions stay, so that who reads one while the next is written isn't disturbed.
+    """
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         old = job_versions(spark, path)
         rows = batch.select("job_id", "state", "ts")
         job_table(rows if old is None else old.unionByName(rows)).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        fs, done = _versions(spark, path)
+        for v in done[:-keep]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}"), True)
 
     return updates.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def job_versions(spark, path: str) -> DataFrame | None:
+def _versions(spark, path: str):
+    """The file system of path, and the complete versions below it, oldest first."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    found = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = [int(n[2:]) for n in found if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/v={max(done)}").select("job_id", "state", "ts") if done else None
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return fs, sorted(int(n[2:]) for n in found if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def job_versions(spark, path: str) -> DataFrame | None:
+    done = _versions(spark, path)[1]
+    return spark.read.parquet(f"{path}/v={done[-1]}").select("job_id", "state", "ts") if done else None
+
+
+def seen_before(rows: DataFrame, by: str, order: str, new_topic: str, shown: str) -> DataFrame:
+    """Adds `seen`: what earlier rows of the topic have shown (arrays), in order; a row with new_topic begins a topic."""
+    w = Window.partitionBy(by).orderBy(order)
+    topic = rows.withColumn("_topic", F.sum(F.col(new_topic).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy(by, "_topic").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return topic.withColumn("seen", F.array_distinct(F.flatten(F.collect_list(shown).over(earlier)))).drop("_topic")
 
 
 def reassemble(chunks: DataFrame, by: str, order: str, text: str) -> DataFrame:

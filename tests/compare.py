@@ -14,7 +14,7 @@ def oracle(sql: str, sf_dir: str):
 
 
 def shown(v) -> str:
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or str(v) in ("NaT", "<NA>", "nan"):
         return "null"
     if isinstance(v, float):
         return f"{v:.6g}"

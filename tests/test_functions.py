@@ -81,3 +81,30 @@ def test_vectors(spark):
     d = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>")
     r = d.select(V.cosine("a", "b").alias("c"), V.cosine("a", "z").alias("zero"), V.normalized("a").alias("n")).first()
     assert math.isclose(r.c, 24 / 25) and r.zero == 0 and r.n == [0.6, 0.8]
+
+
+def test_subjects_golden(spark):
+    said = {"find 3x when": "math", "2 x": "math", "x + y": "math", "7*8": "math", "box 3xy": "", "the ratio of": "math", "rations": "", "photosynthesis in a cell": "science", "சமன்பாடு": "math", "force and area": "math,science", "hello there": ""}
+    d = spark.createDataFrame([(q,) for q in said], "q string").select("q", T.subjects("q").alias("s"))
+    for r in d.collect():
+        want = [*(["math", "maths", "mathematics"] if "math" in said[r.q] else []), *(["science"] if "science" in said[r.q] else [])]
+        assert r.s == want, r.q
+
+
+def test_knowledge_page_functions(spark):
+    d = spark.range(1).select(T.wiki_links(F.lit("a [[B c]] [[D]] [x]")).alias("l"), T.manual_region(F.lit("x<!-- MANUAL:START -->kept\n<!-- MANUAL:END -->")).alias("m"), T.manual_region(F.lit("<!-- MANUAL:END -->")).alias("n"), T.signature_changes(F.lit("+def f(a):\n def g():\n-  class A(B):\n+import os\n+important")).alias("s"))
+    r = d.first()
+    assert r.l == ["B c", "D"] and r.m == "kept\n" and r.n is None and r.s == ["+def f(a):", "-  class A(B):", "+import os"]
+
+
+def test_paths_golden(spark):
+    paths = {
+        "books/class_7/Maths/English/guide/term_2/CBSE 2023 reprint.pdf": (7, "maths", "en", "guide", 2, 2023, "CBSE", "2023 Edition (Reprint)"),
+        "class 9/science": (9, "science", "en", "textbook", 0, 2024, "Tamil Nadu Textbook and Educational Services Corporation", "2024 Edition"),
+        "up/class_8_science_2019_tamil_guide.pdf": (8, "science", "ta", "guide", 0, 2019, "Tamil Nadu Textbook and Educational Services Corporation", "2019 Edition"),
+        "loose.pdf": (None, "science", "en", "textbook", 0, 2024, "Tamil Nadu Textbook and Educational Services Corporation", "2024 Edition"),
+    }
+    for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", T.path_metadata("p").alias("m")).collect():
+        assert tuple(r.m) == paths[r.p], r.p
+    assert tuple(spark.range(1).select(T.glossary_path(F.lit("Class_8/Science/Term_1/Tamil")).alias("m")).first().m) == ("Class 8", "Science", "Term 1", "Tamil")
+    assert spark.range(1).select(T.classifier_text(F.lit("Atom-அணு 1"), "ta").alias("t")).first().t == "அணு "

@@ -176,14 +176,17 @@ def test_procrustes_is_orthogonal_and_turns_back(spark):
     assert all(np.allclose(r.aligned, r.b) for r in graph.apply_matrix(d, w, "a").collect())
 
 
-def test_topk_in_blocks_equals_one_block(spark, monkeypatch):
+def test_topk_in_blocks_equals_one_block(spark):
     rng = np.random.default_rng(2)
-    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(50, 6)))], "vec_id long, embedding array<double>")
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(50, 6)))] + [(99, None)], "vec_id long, embedding array<double>").repartition(3)
     q = d.select(F.col("vec_id").alias("query_id"), "embedding")
     want = rows(similarity.cosine_topk(q, d, 4))
-    blocks = similarity.query_blocks
-    monkeypatch.setattr(similarity, "query_blocks", lambda *a: blocks(*a, block=7))
-    assert rows(similarity.cosine_topk(q, d, 4)) == want
+    assert len(want) == 200
+    assert rows(similarity.cosine_topk(q, d, 4, block=3)) == want  # more query blocks than are broadcast
+    pairs = d.filter("embedding is not null").withColumnRenamed("vec_id", "pair_id")
+    other = pairs.withColumn("embedding", F.transform("embedding", lambda x: x + 0.3))
+    assert rows(similarity.pair_ranks(pairs, other)) == rows(similarity.pair_ranks(pairs, other, block=3))
+    assert rows(similarity.mutual_ranks(pairs, pairs))[0][1:] == (1.0, 1, 1, True)
 
 
 def test_manifest(spark):
@@ -194,6 +197,49 @@ def test_manifest(spark):
     assert rows(manifest.upsert(old, new)) == [("a", "1"), ("b", "9"), ("c", "3"), ("d", "3"), ("e", "8")]
 
 
+def test_short_texts_are_contained_too(spark):
+    small = spark.createDataFrame([(1, "pH"), (2, "q"), (3, "ph of"), (4, ""), (5, "அ"), (6, "er of th"), (7, " ")], "small_id long, small string")
+    large = spark.createDataFrame([(1, "the pH of water"), (2, "a quiet sea"), (3, "alph of x"), (4, "அணு"), (5, None), (6, "")], "large_id long, large string")
+    texts = {r.small_id: r.small for r in small.collect()}, {r.large_id: r.large or "" for r in large.collect()}
+    want = sorted((i, j) for i, s in texts[0].items() if s.strip() for j, t in texts[1].items() if s in t)
+    assert rows(lookup.contained_pairs(small, large)) == want and (1, 1) in want and (2, 2) in want and (5, 4) in want
+
+
+def test_ranks_and_totals_of_large_groups(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *range(9)]), i) for i in range(400)]
+    d = spark.createDataFrame(data, "g string, v int, id long").repartition(5)
+    for down in (False, True):
+        want = {}
+        for g in {x[0] for x in data}:
+            own = sorted((x for x in data if x[0] == g), key=lambda x: (((x[1] is None) == down, 0 if x[1] is None else -x[1] if down else x[1]), x[2]))
+            want |= {x[2]: n for n, x in enumerate(own, 1)}
+        assert {r.id: r["rank"] for r in ranking.full_rank(d, "g", "v", "id", descending=down, pieces=4).collect()} == want
+    total = {r.id: r.s for r in ranking.running_total(d.filter("v is not null"), "g", "id", "v", "s", pieces=4).collect()}
+    for g in {x[0] for x in data}:
+        s = 0
+        for x in sorted((x for x in data if x[0] == g and x[1] is not None), key=lambda x: x[2]):
+            s += x[1]
+            assert total[x[2]] == s
+
+
+def test_token_blocks_of_sources(spark):
+    rng = random.Random(4)
+    docs = [(i, rng.choice("ab"), [rng.randrange(9) for _ in range(rng.randrange(12))]) for i in range(40)] + [(99, "c", [1, 2]), (98, "d", [])]
+    got = {(r.source, r.block_no): r.input_ids for r in chunking.lm_token_blocks(spark.createDataFrame(docs, "doc_id long, source string, ids array<int>"), 8).collect()}
+    want = {}
+    for s in "abcd":
+        flat = [x for _, q, ids in sorted(docs) if q == s for x in ids]
+        want |= {(s, k): flat[8 * k : 8 * k + 8] for k in range(max(len(flat) // 8, 1 if flat else 0))}
+    assert got == want
+
+
+def test_blocks_are_packed_by_cut_points():
+    assert chunking.cut_points([3, 3, 3, 1, 9], 6, 2) == [(0, 2), (2, 4), (3, 5)]
+    assert chunking.cut_points([3, 3], 9, 0, frozenset({1})) == [(0, 1), (1, 2)] and chunking.cut_points([], 9) == []
+    assert chunking.split_large("a b\nc\nd e f g. h i", 3, 2) == ["a b\nc", "d e f g.", "h i"]
+
+
 def test_corrections_and_containment(spark):
     q = spark.createDataFrame([(1, "what is the mass of the earth?"), (2, "nothing alike"), (3, "tides")], "query_id long, question string")
     c = spark.createDataFrame([(7, "The mass of the earth is wrong, it should be more"), (8, "ocean tides")], "correction_id long, issue string")
@@ -228,6 +274,29 @@ def test_plugins_and_losses(spark):
             raise RuntimeError
 
     assert d.select(plugins.score_with(Broken(), F.lit("q"), F.col("t")).alias("s")).first().s == -1.0
+
+    class Half:
+        def score(self, queries, texts):
+            if any("light" not in t for t in texts):
+                raise ValueError("a row that the model can't take")
+            return [0.5] * len(texts)
+
+        def judge(self, question, answer, context):
+            return "so: {\"faithfulness\": 0.5, \"hallucination_rate\": 0.25}" if "light" in answer else 1 / 0
+
+    got = {r.t: (r.s, r.j.faithfulness, r.j.hallucination_rate) for r in d.select("t", plugins.score_with(Half(), F.lit("q"), F.col("t")).alias("s"), plugins.judge_with(Half(), F.lit("q"), F.col("t"), F.lit("c")).alias("j")).collect()}
+    assert all(v == ((0.5, 0.5, 0.25) if "light" in t else (-1.0, 0.0, 1.0)) for t, v in got.items())
+    calls, waits = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "done"
+
+    assert plugins.with_retry(flaky, sleep=waits.append)() == "done" and waits == [1.0, 2.0]
+    with pytest.raises(OSError, match="busy"):
+        plugins.with_retry(lambda: calls.clear() or flaky(), tries=2, double=False, sleep=waits.append)()
     p = spark.createDataFrame([([1.0, 2.0], [1.0, 0.0], [3.0], [3.0], [1.0, 0.0], [0.0, 1.0])], "x array<double>, x_hat array<double>, y array<double>, y_hat array<double>, zx array<double>, zy array<double>")
     r = graph.autoencoder_losses(p).first()
     assert (r.reconstruction, r.pair, r.prior) == (2.0, 1.0, 1.0) and math.isclose(r.total, 5.1)

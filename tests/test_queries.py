@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from sandloom.plans import documents, records, reports, search  # noqa: F401
+from sandloom.plans import documents, pages, records, reports, search, serving  # noqa: F401
 from sandloom.plans.registry import QUERIES, SQL
 
 from .compare import oracle, rows

@@ -95,3 +95,55 @@ def test_job_table_stream(spark, tmp_path):
     assert {tuple(r) for r in sessions.job_versions(spark, f"{tmp_path}/jobs").collect()} == {(1, "completed", 3), (2, "queued", 2)}
     w = sessions.windowed_counts(spark.range(3).select(F.timestamp_seconds(F.col("id") * 400).alias("ts"), F.lit("x").alias("k")), ["k"], "10 minutes")
     assert sorted(r.n for r in w.collect()) == [1, 2]
+
+
+def test_idle_state_is_dropped(spark, tmp_path):
+    import time
+
+    put = lambda *rows: spark.createDataFrame(list(rows), "client long, ts double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put((1, 0.0), (2, 0.0))
+    src = spark.readStream.schema("client long, ts double").parquet(f"{tmp_path}/in")
+    q = sessions.stream(src, sessions.RateLimit, seconds=1.0).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    try:
+        kept, ends = [], time.time() + 60
+        while time.time() < ends and not (kept and max(kept) >= 2 and kept[-1] == 0):
+            time.sleep(0.5)
+            kept = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+        assert max(kept) == 2 and kept[-1] == 0
+    finally:
+        q.stop()
+
+
+def test_old_versions_of_the_job_table_go(spark, tmp_path):
+    for k in range(4):
+        spark.createDataFrame([(1, f"s{k}", k)], "job_id long, state string, ts long").write.mode("append").parquet(f"{tmp_path}/in")
+        src = spark.readStream.schema("job_id long, state string, ts long").parquet(f"{tmp_path}/in")
+        sessions.write_jobs(src, f"{tmp_path}/jobs", f"{tmp_path}/cp").awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "jobs").iterdir() if p.name.startswith("v=")) == ["v=2", "v=3"]
+    assert sessions.job_versions(spark, f"{tmp_path}/jobs").first().state == "s3"
+
+
+def test_databases_corpora_and_caches(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    opts = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(i, f"issue {i}", "pending_review") for i in range(20)], "id long, issue string, status string")
+    io.write_jdbc(rows, url, "queue", "overwrite", **opts)
+    assert io.read_jdbc(spark, url, "queue", where="id < 5", **opts).count() == 5
+    assert io.read_jdbc(spark, url, "queue", split="id", parts=3, **opts).count() == 20
+    io.update_jdbc(spark.createDataFrame([(3, "issue 3", "approved"), (99, "new", "approved")], "id long, issue string, status string"), url, "queue", "id", **opts)
+    got = io.read_jdbc(spark, url, "queue", **opts)
+    assert got.count() == 21 and {r[0] for r in got.filter("status = 'approved'").select("id").collect()} == {3, 99}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.txt").write_text("one\n\ntwo\n")
+    (tmp_path / "c" / "b.csv").write_text('body,n\n"x, y",1\n,2\n')
+    assert [tuple(r) for r in io.corpus(spark, [f"{tmp_path}/c/a.txt"]).collect()] == [("a.txt", "one"), ("a.txt", "two")]
+    assert [tuple(r) for r in io.corpus(spark, [f"{tmp_path}/c/b.csv"], "csv", "body").collect()] == [("b.csv", "x, y")]
+    with pytest.raises(ValueError, match="text or csv"):
+        io.corpus(spark, [], "json")
+    made = []
+    for _ in range(2):
+        assert io.cached(spark, f"{tmp_path}/cache", lambda: made.append(1) or spark.range(3)).count() == 3
+    assert len(made) == 1
+    io.append_session(spark.range(2), f"{tmp_path}/session")
+    io.append_session(spark.range(2), f"{tmp_path}/session")
+    assert spark.read.json(f"{tmp_path}/session").count() == 4
