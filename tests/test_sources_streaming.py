@@ -125,7 +125,7 @@ def test_old_versions_of_the_job_table_go(spark, tmp_path):
 
 def test_databases_corpora_and_caches(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
-    opts = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    opts = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "createTableColumnTypes": "issue VARCHAR(200), status VARCHAR(40)"}
     rows = spark.createDataFrame([(i, f"issue {i}", "pending_review") for i in range(20)], "id long, issue string, status string")
     io.write_jdbc(rows, url, "queue", "overwrite", **opts)
     assert io.read_jdbc(spark, url, "queue", where="id < 5", **opts).count() == 5
