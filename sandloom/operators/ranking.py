@@ -17,10 +17,11 @@ def rrf(rankings: list[DataFrame], by: str, key: str, k: int = L.RRF_K) -> DataF
 
 
 def _pieces(rows: DataFrame, by: str, value: str, descending: bool, pieces: int) -> DataFrame:
-    """Adds _by (the group) and _piece: pieces of a group that quantiles of value cut, in order; rows of one value are in one piece."""
+    """Adds _by (the group) and _piece: pieces of a group that quantiles of value cut, in order; rows of one value are in one
+    piece, rows without one in the first, or the last if descending."""
     cuts = rows.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(value, [k / pieces for k in range(1, pieces)], 10_000).alias("_cuts"))
     piece = F.size(F.filter("_cuts", lambda c: (c > F.col(value)) if descending else (c < F.col(value))))
-    return rows.join(cuts, rows[by].eqNullSafe(cuts["_by"])).withColumn("_piece", F.coalesce(piece, F.lit(0))).drop("_cuts")
+    return rows.join(cuts, rows[by].eqNullSafe(cuts["_by"])).withColumn("_piece", F.when(F.col(value).isNull() | F.col("_cuts").isNull(), pieces if descending else 0).otherwise(piece)).drop("_cuts")
 
 
 def running_total(rows: DataFrame, by: str, order: str, value: str, out: str, descending: bool = False, ties: str | None = None, pieces: int = 64) -> DataFrame:

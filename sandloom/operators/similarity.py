@@ -52,7 +52,7 @@ def met(queries: tuple, vectors: tuple, block: int) -> DataFrame:
         return v.crossJoin(F.broadcast(q)).select("v_ids", "v_m", "ids", "m")
     parts = max(1, -(-vectors[0].count() // (16 * block)))
     v = v.withColumn("part", F.pmod(F.xxhash64(F.col("v_ids")[0]), F.lit(parts)))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     return v.join(q, "part").select("v_ids", "v_m", "ids", "m")
 
 
