@@ -459,3 +459,17 @@ def substring_dedup(docs: DataFrame, batches: int = 2, bloom_bits: int = BLOOM_B
 
 def query(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, list_transform(range(1, len(ws) - 18), lambda i: md5(array_to_string(ws[i : i + 19], ' '))) AS ks FROM w),
+x AS (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM v),
+late AS (SELECT doc_id, i FROM x QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM late, (SELECT unnest(range(20)) AS j)),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS s FROM e ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(k.s, '')) AS kept_sha256
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
