@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod_py, mix, slices, spill, table, text_bytes, texts, words_of_batch
+from ._common import crc_mod_py, slices, spill, table, text_bytes, texts, words_of_batch
 
 ORDER = 5
 _U = np.uint64
