@@ -15,6 +15,7 @@ MODULES = {
     "op8_toxicity": "toxicity",
     "op9_warc": "warc",
     "op10_ngram_jaccard": "jaccard",
+    "op11_phrase_collocations": "collocations",
     "op13_merkle_manifest": "merkle",
 }
 
