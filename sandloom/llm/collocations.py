@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from ._common import Bloom, mix, parts, spill, table
 
-BLOCK = 16
+BLOCK = 8
 MINIMUM, HALF, MOST = 10, 50, 2000
 #: Bits (as powers of two) of the maps of frequent words and of frequent pairs: 4 and 16 MB.
 WORD_BITS, PAIR_BITS = 25, 27
+#: Bytes of text in a shard.
+SHARD = 1 << 21
 
-_BOUNDS = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
+_BOUNDS = bytes(46 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,33 +43,28 @@ class _Ids(dict):
 def tokens(texts: list[bytes], langs: list) -> tuple[np.ndarray, list]:
     """Word numbers by position, -1 in holes, and the (language, word) of each number.
 
-    bytes.lower() changes A-Z alone; what is left of white space in a piece is space and tab, at which split() cuts.
+    bytes.lower() changes A-Z alone. Bounds of pieces become words of their own, which no other word equals; what is left of
+    white space is space and tab, at which split() cuts.
     """
-    ids, now = {}, []
+    by_lang: dict = {}
     for text, lang in zip(texts, langs, strict=True):
-        number = ids.setdefault(lang, _Ids()).__getitem__
-        for piece in text.lower().translate(_BOUNDS).split(b"\n"):
-            words = piece.split()
-            if words:
-                now.append((lang, list(map(number, words))))
-    base, words, n = {}, [], 0
-    for lang, known in ids.items():
-        base[lang], n = n, n + len(known)
-        words += [(lang, w) for w in known]
-    size = sum(len(p) + 1 for _, p in now)
-    at = np.full(size, -1, dtype=np.int64)
-    k = 0
-    for lang, p in now:
-        at[k : k + len(p)] = p
-        at[k : k + len(p)] += base[lang]
-        k += len(p) + 1
-    return at, words
+        by_lang.setdefault(lang, []).append(text)
+    places, words = [], []
+    for lang, mine in by_lang.items():
+        ids = _Ids()
+        number = ids[b"."]
+        cut = b".".join([*mine, b""]).lower().translate(_BOUNDS).replace(b".", b" . ").split()
+        at = np.fromiter(map(ids.__getitem__, cut), dtype=np.int64, count=len(cut))
+        places.append(np.where(at == number, -1, at - 1 + len(words)))
+        words += [(lang, w) for w in list(ids)[1:]]
+    return np.concatenate(places) if places else np.zeros(0, np.int64), words
 
 
 def _hash(words: list) -> np.ndarray:
-    import xxhash
+    from xxhash import xxh3_64_intdigest as digest
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed=xxhash.xxh32_intdigest(lang)) for lang, w in words), dtype=np.uint64, count=len(words))
+    seeds = {lang: int(digest(lang)) for lang in {lang for lang, _ in words}}
+    return np.fromiter((digest(w, seeds[lang]) for lang, w in words), dtype=np.uint64, count=len(words))
 
 
 def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -80,29 +77,28 @@ class Bitmaps:
     def __init__(self, at: np.ndarray, wanted: np.ndarray):
         """at: word numbers by position; wanted: which numbers get a bitmap."""
         pos = np.flatnonzero((at >= 0) & np.append(wanted, False)[at])
-        word, block = at[pos], pos // BLOCK
-        bit = (np.uint16(1) << (pos % BLOCK).astype(np.uint16)).astype(np.uint16)
-        order = np.lexsort((block, word))
-        word, block, bit = word[order], block[order], bit[order]
+        order = np.argsort(at[pos].astype(np.int32), kind="stable")
+        pos = pos[order]
+        word, block, bit = at[pos], pos // BLOCK, (1 << (pos % BLOCK)).astype(np.uint8)
         new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (block[1:] != block[:-1])])) if len(word) else np.zeros(0, np.int64)
         self.word, self.block = word[new], block[new]
-        self.mask = np.bitwise_or.reduceat(bit, new) if len(new) else np.zeros(0, np.uint16)
-        order = np.argsort(self.block, kind="stable")
+        self.mask = np.bitwise_or.reduceat(bit, new) if len(new) else np.zeros(0, np.uint8)
+        order = np.argsort(self.block.astype(np.int32), kind="stable")
         self.b_word, self.b_mask = self.word[order], self.mask[order]
         self.first = np.searchsorted(self.block[order], np.arange(len(at) // BLOCK + 3))
 
     def extend(self, node: np.ndarray, block: np.ndarray, mask: np.ndarray):
         """node, word, block, mask of the prefixes' bitmaps, shifted by one, AND every word's bitmap, where that isn't empty."""
-        carry = np.flatnonzero(mask >> np.uint16(BLOCK - 1))
+        carry = np.flatnonzero(mask >> np.uint8(BLOCK - 1))
         node, block = np.concatenate([node, node[carry]]), np.concatenate([block, block[carry] + 1])
-        mask = np.concatenate([(mask << np.uint16(1)).astype(np.uint16), np.ones(len(carry), np.uint16)])
+        mask = np.concatenate([mask << np.uint8(1), np.ones(len(carry), np.uint8)])
         size = self.first[block + 1] - self.first[block]
         size[mask == 0] = 0
         end = np.cumsum(size)
         entry = np.arange(end[-1] if len(end) else 0) + np.repeat(self.first[block] - end + size, size)
         both = np.repeat(mask, size) & self.b_mask[entry]
         hit = np.flatnonzero(both)
-        source = np.repeat(np.arange(len(node)), size)[hit]
+        source = np.searchsorted(end, hit, side="right")
         return node[source], self.b_word[entry[hit]], block[source], both[hit]
 
 
@@ -116,76 +112,138 @@ def _count_words(batches):
     """lang, phrase, h, n: of each shard's words."""
     import pyarrow as pa
 
-    for part, texts in parts(batches):
+    for part, texts in parts(batches, limit=SHARD):
         at, words = tokens(texts, part.column(0).to_pylist())
         n = np.bincount(at[at >= 0], minlength=len(words))
-        yield _batch(words, [np.arange(len(words))], _hash(words), n, pa)
+        lang, word = _strings(words, [np.arange(len(words))])
+        yield pa.RecordBatch.from_arrays([lang, word, pa.array(_hash(words).view(np.int64)), pa.array(n)], ["lang", "phrase", "h", "n"])
 
 
-def _batch(words: list, columns: list[np.ndarray], h: np.ndarray, n: np.ndarray, pa):
+def _strings(words: list, columns: list[np.ndarray]):
+    """Arrow columns of languages and of phrases, whose words have the numbers in columns."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    names = pa.array([w for _, w in words], pa.binary())
-    langs = pa.array([lang for lang, _ in words], pa.string())
+    names, langs = pa.array([w for _, w in words], pa.binary()), pa.array([lang for lang, _ in words], pa.string())
     phrase = [names.take(pa.array(c)) for c in columns]
     phrase = phrase[0] if len(phrase) == 1 else pc.binary_join_element_wise(*phrase, b" ")
-    return pa.RecordBatch.from_arrays([langs.take(pa.array(columns[0])), phrase.cast(options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "phrase", "h", "n"])
+    return langs.take(pa.array(columns[0])), phrase.cast(options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True))
 
 
 def slots(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _mine(batches, words_map: Bloom, pairs_map: Bloom | None, most: int = 1 << 16):
-    """lang, phrase, h, n of each shard's phrases of two words, or, with a map of frequent pairs, of three."""
-    import pyarrow as pa
+def _prefixes(batches, words_map: Bloom, most: int = 1 << 16):
+    """Of each shard the words, their hashes and bitmaps; then piece by piece node, word, block, mask of phrases of two words.
 
-    for part, texts in parts(batches):
+    A piece is some prefixes' entries. What two pieces count of a phrase adds up.
+    """
+    for part, texts in parts(batches, limit=SHARD):
         at, words = tokens(texts, part.column(0).to_pylist())
-        h, n = _hash(words), len(words)
+        h = _hash(words)
         maps = Bitmaps(at, words_map.has(slots(h, words_map.bits)))
-        for i in range(0, len(maps.word), most):  # follow these prefixes to the end before the next; what two pieces count of a phrase adds up
-            j = i + most
-            node, word, block, mask = maps.extend(maps.word[i:j], maps.block[i:j], maps.mask[i:j])
-            code, back, count = _phrases(node, word, mask, n)
-            first, second = code // n, code % n
-            pair = _pair_hash(h[first], h[second])
-            if pairs_map is None:
-                if len(code):
-                    yield _batch(words, [first, second], pair, count, pa)
-                continue
-            frequent = pairs_map.has(slots(pair, pairs_map.bits))
-            live = frequent[back]
-            node, last, block, mask = back[live], word[live], block[live], mask[live]
-            for k in range(0, len(node), most):
-                up, word3, _, mask3 = maps.extend(node[k : k + most], block[k : k + most], mask[k : k + most])
-                code3, _, count3 = _phrases(up, word3, mask3, n)
-                top, third = code3 // n, code3 % n
-                good = pairs_map.has(slots(_pair_hash(h[second[top]], h[third]), pairs_map.bits))
-                top, third, count3 = top[good], third[good], count3[good]
-                if len(top):
-                    yield _batch(words, [first[top], second[top], third], _pair_hash(pair[top], h[third]), count3, pa)
-
-
-def frequent(docs: DataFrame, minimum: int = MINIMUM, longest: int = 3) -> list[DataFrame]:
-    """Frames of (lang, phrase, h, a) of all words, and of the phrases of two and of three words that occur at least `minimum` times.
-
-    docs: lang (never null), text (never null).
-    """
-    schema = "lang string, phrase string, h long, n long"
-    source = docs.select("lang", "text")
+        for i in range(0, len(maps.word), most):
+            yield words, h, maps, maps.extend(maps.word[i : i + most], maps.block[i : i + most], maps.mask[i : i + most])
+
 
-    def summed(mapper, least: int) -> DataFrame:
-        total = source.mapInArrow(mapper, schema).groupBy("lang", "phrase").agg(F.first("h").alias("h"), F.sum("n").alias("a"))
-        return spill(total.filter(F.col("a") >= least), "phrases")
+def _count_pairs(batches, words_map: Bloom, hold: int = 1 << 19):
+    """bucket, pairs: counts of phrases of two words by 44 bits of hash. A row has those of 12 bits: the other 32 bits of each
+    phrase, then its counts in a byte each, which stop at 255."""
+    import pyarrow as pa
 
-    levels = [summed(_count_words, 1)]
-    words_map = Bloom.of_slots(levels[0].filter(F.col("a") >= minimum), "h", slots, WORD_BITS)
-    levels.append(summed(partial(_mine, words_map=words_map, pairs_map=None), minimum))
-    if longest > 2:
-        pairs_map = Bloom.of_slots(levels[1], "h", slots, PAIR_BITS)
-        levels.append(summed(partial(_mine, words_map=words_map, pairs_map=pairs_map), minimum))
-    return levels
+    def out(held):
+        code = np.concatenate([c for c, _ in held])
+        order = np.argsort(code)
+        code, n = code[order], np.concatenate([n for _, n in held])[order]
+        new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        n, code = np.minimum(np.add.reduceat(n, new), 255).astype(np.uint8), code[new]
+        bucket, low = (code >> np.uint64(32)).astype(np.int64), code.astype(np.uint32)
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = [*cut[1:].tolist(), len(code)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([low[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(cut.tolist(), ends, strict=True)], pa.binary())], ["bucket", "pairs"])
+
+    held, size = [], 0
+    for words, h, _, (node, word, _, mask) in _prefixes(batches, words_map):
+        code, _, n = _phrases(node, word, mask, len(words))
+        if len(code):
+            held.append((_pair_hash(h[code // len(words)], h[code % len(words)]) >> np.uint64(20), n))
+            size += len(code)
+        if size > hold:
+            yield out(held)
+            held, size = [], 0
+    if held:
+        yield out(held)
+
+
+def _frequent_pairs(batches, minimum: int):
+    """h of the pairs whose counts, summed over the rows of a bucket, reach the minimum. Rows come sorted by bucket."""
+    import pyarrow as pa
+
+    def summed(bucket, bodies):
+        low = np.concatenate([np.frombuffer(b, np.uint32, len(b) // 5) for b in bodies])
+        n = np.concatenate([np.frombuffer(b, np.uint8, offset=len(b) // 5 * 4) for b in bodies])
+        order = np.argsort(low)
+        low, n = low[order], n[order].astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        good = low[new][np.add.reduceat(n, new) >= minimum].astype(np.uint64)
+        h = (np.uint64(bucket) << np.uint64(52)) | (good << np.uint64(20))
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    now, bodies = None, []
+    for batch in batches:
+        for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != now and bodies:
+                yield summed(now, bodies)
+                bodies = []
+            now = bucket
+            bodies.append(body)
+    if bodies:
+        yield summed(now, bodies)
+
+
+def _mine(batches, words_map: Bloom, pairs_map: Bloom, most: int = 1 << 16):
+    """size, lang, phrase, n: each shard's phrases of two and three words whose pairs may be frequent, followed depth-first."""
+    import pyarrow as pa
+
+    def rows(words, columns, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), len(columns), np.int32)), *_strings(words, columns), pa.array(n)], ["size", "lang", "phrase", "n"])
+
+    for words, h, maps, (node, word, block, mask) in _prefixes(batches, words_map):
+        n = len(words)
+        code, back, count = _phrases(node, word, mask, n)
+        first, second = code // n, code % n
+        frequent = pairs_map.has(slots(_pair_hash(h[first], h[second]), pairs_map.bits))
+        if not frequent.any():
+            continue
+        yield rows(words, [first[frequent], second[frequent]], count[frequent])
+        live = frequent[back]
+        node, last, block, mask = back[live], word[live], block[live], mask[live]
+        for k in range(0, len(node), most):
+            up, third, _, mask3 = maps.extend(node[k : k + most], block[k : k + most], mask[k : k + most])
+            code3, _, count3 = _phrases(up, third, mask3, n)
+            top, third = code3 // n, code3 % n
+            good = pairs_map.has(slots(_pair_hash(h[second[top]], h[third]), pairs_map.bits))
+            top, third, count3 = top[good], third[good], count3[good]
+            if len(top):
+                yield rows(words, [first[top], second[top], third], count3)
+
+
+def frequent(docs: DataFrame, minimum: int = MINIMUM) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, h, a) of all words, and (size, lang, phrase, a) of phrases of two and three words that occur at least `minimum` times.
+
+    docs: lang, text, both never null. Which pairs may be frequent is found by hash alone; their texts and exact counts come
+    from the last run. minimum: at most 255.
+    """
+    source = docs.select("lang", "text")
+    words = source.mapInArrow(_count_words, "lang string, phrase string, h long, n long").groupBy("lang", "phrase").agg(F.first("h").alias("h"), F.sum("n").alias("a"))
+    words = spill(words, "words")
+    words_map = Bloom.of_slots(words.filter(F.col("a") >= minimum), "h", slots, WORD_BITS)
+    pairs = source.mapInArrow(partial(_count_pairs, words_map=words_map), "bucket int, pairs binary").repartition("bucket").sortWithinPartitions("bucket")
+    pairs_map = Bloom.of_slots(pairs.mapInArrow(partial(_frequent_pairs, minimum=minimum), "h long"), "h", slots, PAIR_BITS)
+    phrases = source.mapInArrow(partial(_mine, words_map=words_map, pairs_map=pairs_map), "size int, lang string, phrase string, n long")
+    phrases = phrases.groupBy("size", "lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= minimum)
+    return words, spill(phrases, "phrases")
 
 
 def _with_count(rows: DataFrame, key: str, counts: DataFrame, out: str, most: int = 1 << 18) -> DataFrame:
@@ -211,7 +269,7 @@ def collocations(docs: DataFrame, minimum: int = MINIMUM, half: int = HALF, most
     Columns other than lang and text are left alone. Counts must be below 10**15, so that the products fit 38 digits.
     """
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words, pairs, triples = frequent(source, minimum)
+    words, phrases = frequent(source, minimum)
     n = words.groupBy("lang").agg(F.sum("a").alias("n"))
     known = words.filter(F.col("a") >= minimum)
     square = lambda x, y: F.col(x).cast("decimal(15,0)") * F.col(y).cast("decimal(15,0)")
@@ -221,11 +279,13 @@ def collocations(docs: DataFrame, minimum: int = MINIMUM, half: int = HALF, most
         return cut.withColumn("score", F.expr("over div under").cast("long")).drop("over", "under")
 
     w = F.split("phrase", " ")
-    two = pairs.select("lang", "phrase", "a", w[0].alias("w1"), w[1].alias("w2"))
-    two = scored(_with_count(_with_count(two, "w1", known, "l"), "w2", known, "r"), "l", "r").select("lang", "phrase", "a", "l", "r", "score")
-    three = triples.select("lang", "phrase", "a", w[0].alias("w1"), w[2].alias("w3"), F.concat_ws(" ", w[0], w[1]).alias("p1"), F.concat_ws(" ", w[1], w[2]).alias("p2"))
-    three = spill(three, "triples")
-    four = _with_count(_with_count(_with_count(_with_count(three, "w1", known, "l1"), "p2", pairs, "r1"), "p1", pairs, "l2"), "w3", known, "r2")
+    two = phrases.filter("size = 2").select("lang", "phrase", "a", w[0].alias("w1"), w[1].alias("w2"))
+    two = spill(scored(_with_count(_with_count(two, "w1", known, "l"), "w2", known, "r"), "l", "r").select("lang", "phrase", "a", "l", "r", "score"), "pairs")
+    three = phrases.filter("size = 3").select("lang", "phrase", "a", F.concat_ws(" ", w[0], w[1]).alias("p1"), F.concat_ws(" ", w[1], w[2]).alias("p2"))
+    # A pair's row has the counts of its words, so a phrase of three words finds all four counts in its two pairs.
+    head = two.select("lang", F.col("phrase").alias("p1"), F.col("a").alias("l2"), F.col("l").alias("l1"))
+    tail = two.select("lang", F.col("phrase").alias("p2"), F.col("a").alias("r1"), F.col("r").alias("r2"))
+    four = three.join(head, ["lang", "p1"]).join(tail, ["lang", "p2"])
     cuts = scored(scored(four, "l1", "r1").withColumnRenamed("score", "s1"), "l2", "r2").withColumnRenamed("score", "s2")
     early = F.col("s1") <= F.col("s2")
     best = cuts.select("lang", "phrase", "a", F.when(early, F.col("l1")).otherwise(F.col("l2")).alias("l"), F.when(early, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.least("s1", "s2").alias("score"))

@@ -16,6 +16,7 @@ MODULES = {
     "op9_warc": "warc",
     "op10_ngram_jaccard": "jaccard",
     "op11_phrase_collocations": "collocations",
+    "op12_pii": "pii",
     "op13_merkle_manifest": "merkle",
 }
 
