@@ -109,25 +109,34 @@ def _phrases(node: np.ndarray, word: np.ndarray, mask: np.ndarray, n: int):
 
 
 def _count_words(batches):
-    """lang, phrase, h, n: of each shard's words."""
+    """key, n: of each shard's words."""
     import pyarrow as pa
 
     for part, texts in parts(batches, limit=SHARD):
         at, words = tokens(texts, part.column(0).to_pylist())
         n = np.bincount(at[at >= 0], minlength=len(words))
-        lang, word = _strings(words, [np.arange(len(words))])
-        yield pa.RecordBatch.from_arrays([lang, word, pa.array(_hash(words).view(np.int64)), pa.array(n)], ["lang", "phrase", "h", "n"])
+        yield pa.RecordBatch.from_arrays([_keys(words, [np.arange(len(words))]), pa.array(n)], ["key", "n"])
 
 
-def _strings(words: list, columns: list[np.ndarray]):
-    """Arrow columns of languages and of phrases, whose words have the numbers in columns."""
+def _hash_words(batches):
+    """h of rows (lang, phrase)."""
+    import pyarrow as pa
+
+    for b in batches:
+        words = list(zip(b.column(0).to_pylist(), (w.encode() for w in b.column(1).to_pylist()), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(_hash(words).view(np.int64))], ["h"])
+
+
+def _keys(words: list, columns: list[np.ndarray]):
+    """An Arrow column of phrase, tab and language; the phrases' words have the numbers in columns. One short key keeps shuffles small."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    names, langs = pa.array([w for _, w in words], pa.binary()), pa.array([lang for lang, _ in words], pa.string())
+    names, langs = pa.array([w for _, w in words], pa.binary()), pa.array([lang.encode() for lang, _ in words], pa.binary())
     phrase = [names.take(pa.array(c)) for c in columns]
     phrase = phrase[0] if len(phrase) == 1 else pc.binary_join_element_wise(*phrase, b" ")
-    return langs.take(pa.array(columns[0])), phrase.cast(options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True))
+    key = pc.binary_join_element_wise(phrase, langs.take(pa.array(columns[0])), b"\t")
+    return key.cast(options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True))
 
 
 def slots(h: np.ndarray, bits: int) -> np.ndarray:
@@ -147,7 +156,7 @@ def _prefixes(batches, words_map: Bloom, most: int = 1 << 16):
             yield words, h, maps, maps.extend(maps.word[i : i + most], maps.block[i : i + most], maps.mask[i : i + most])
 
 
-def _count_pairs(batches, words_map: Bloom, hold: int = 1 << 19):
+def _count_pairs(batches, words_map: Bloom, hold: int = 1 << 20):
     """bucket, pairs: counts of phrases of two words by 44 bits of hash. A row has those of 12 bits: the other 32 bits of each
     phrase, then its counts in a byte each, which stop at 255."""
     import pyarrow as pa
@@ -203,11 +212,11 @@ def _frequent_pairs(batches, minimum: int):
 
 
 def _mine(batches, words_map: Bloom, pairs_map: Bloom, most: int = 1 << 16):
-    """size, lang, phrase, n: each shard's phrases of two and three words whose pairs may be frequent, followed depth-first."""
+    """key, n: each shard's phrases of two and three words whose pairs may be frequent, followed depth-first."""
     import pyarrow as pa
 
     def rows(words, columns, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), len(columns), np.int32)), *_strings(words, columns), pa.array(n)], ["size", "lang", "phrase", "n"])
+        return pa.RecordBatch.from_arrays([_keys(words, columns), pa.array(n)], ["key", "n"])
 
     for words, h, maps, (node, word, block, mask) in _prefixes(batches, words_map):
         n = len(words)
@@ -230,20 +239,23 @@ def _mine(batches, words_map: Bloom, pairs_map: Bloom, most: int = 1 << 16):
 
 
 def frequent(docs: DataFrame, minimum: int = MINIMUM) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, h, a) of all words, and (size, lang, phrase, a) of phrases of two and three words that occur at least `minimum` times.
+    """(lang, phrase, a) of all words, and (size, lang, phrase, a) of phrases of two and three words that occur at least `minimum` times.
 
     docs: lang, text, both never null. Which pairs may be frequent is found by hash alone; their texts and exact counts come
     from the last run. minimum: at most 255.
     """
     source = docs.select("lang", "text")
-    words = source.mapInArrow(_count_words, "lang string, phrase string, h long, n long").groupBy("lang", "phrase").agg(F.first("h").alias("h"), F.sum("n").alias("a"))
-    words = spill(words, "words")
-    words_map = Bloom.of_slots(words.filter(F.col("a") >= minimum), "h", slots, WORD_BITS)
+
+    def summed(mapper) -> DataFrame:
+        total = source.mapInArrow(mapper, "key string, n long").groupBy("key").agg(F.sum("n").alias("a"))
+        return total.select(F.expr("substring(key, instr(key, '\t') + 1)").alias("lang"), F.substring_index("key", "\t", 1).alias("phrase"), "a")  # a phrase has no tab
+
+    words = spill(summed(_count_words), "words")
+    words_map = Bloom.of_slots(words.filter(F.col("a") >= minimum).select("lang", "phrase").mapInArrow(_hash_words, "h long"), "h", slots, WORD_BITS)
     pairs = source.mapInArrow(partial(_count_pairs, words_map=words_map), "bucket int, pairs binary").repartition("bucket").sortWithinPartitions("bucket")
     pairs_map = Bloom.of_slots(pairs.mapInArrow(partial(_frequent_pairs, minimum=minimum), "h long"), "h", slots, PAIR_BITS)
-    phrases = source.mapInArrow(partial(_mine, words_map=words_map, pairs_map=pairs_map), "size int, lang string, phrase string, n long")
-    phrases = phrases.groupBy("size", "lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= minimum)
-    return words, spill(phrases, "phrases")
+    phrases = summed(partial(_mine, words_map=words_map, pairs_map=pairs_map)).filter(F.col("a") >= minimum)
+    return words, spill(phrases.select(F.size(F.split("phrase", " ")).alias("size"), "*"), "phrases")
 
 
 def _with_count(rows: DataFrame, key: str, counts: DataFrame, out: str, most: int = 1 << 18) -> DataFrame:
