@@ -112,25 +112,3 @@ def principal_components(vectors: DataFrame, k: int, vector: str = "embedding")
 
     v = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn("components", vector_to_array("_p")).drop("_v", "_p")
-
-
-class ChangeTrigger:
-    """Fires at a new commit, else when there was activity and `seconds` have gone by since it fired last."""
-
-    schema = "repo long, ts double, fired boolean"
-
-    def __init__(self, key, seconds: float = 900.0):
-        self.key, self.seconds, self.last, self.commit, self.active = key, seconds, None, None, False
-
-    def step(self, row) -> list:
-        new = isinstance(row.commit, str) and row.commit != self.commit
-        self.active = self.active or bool(row.changed)
-        fired = new or (self.active and (self.last is None or row.ts - self.last >= self.seconds))
-        if new:
-            self.commit = row.commit
-        if fired:
-            self.last, self.active = row.ts, False
-        return [(*self.key, row.ts, fired)]
-
-    def end(self) -> list:
-        return []

@@ -65,7 +65,16 @@ def principal_components(t: Tables):
     return records.principal_components(t.embeddings, 2).select("vec_id", F.round(F.abs(F.col("components")[0]), 4).alias("axis_1"), F.round(F.abs(F.col("components")[1]), 4).alias("axis_2"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id % 16 AS repo, epoch_us(ts) / 1e6 AS ts, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS i, CASE WHEN event_type = 'purchase' THEN CAST(event_id AS VARCHAR) END AS c, event_type = 'click' AS changed FROM events),
+    r AS (SELECT repo, 0::BIGINT AS i, NULL::DOUBLE AS last, NULL::VARCHAR AS com, false AS active, NULL::DOUBLE AS timer, NULL::DOUBLE AS fired_at, NULL::VARCHAR AS cause FROM (SELECT DISTINCT repo FROM e)
+      UNION ALL SELECT repo, i, CASE WHEN cause IS NULL THEN last ELSE ts END, coalesce(c, com), CASE WHEN cause IS NULL THEN active OR changed ELSE false END, timer, CASE WHEN cause IS NULL THEN NULL ELSE ts END, cause FROM (
+        SELECT *, CASE WHEN c IS NOT NULL AND c IS DISTINCT FROM com THEN 'commit' WHEN changed AND (last IS NULL OR ts - last >= 900) THEN 'change' END AS cause FROM (
+          SELECT e.repo, e.i, e.ts, e.c, e.changed, r.com, CASE WHEN r.active AND r.last + 900 <= e.ts THEN r.last + 900 END AS timer, CASE WHEN r.active AND r.last + 900 <= e.ts THEN r.last + 900 ELSE r.last END AS last, r.active AND r.last + 900 > e.ts AS active
+          FROM r JOIN e ON e.repo = r.repo AND e.i = r.i + 1)))
+    SELECT repo, timer AS ts, 'timer' AS cause FROM r WHERE timer IS NOT NULL UNION ALL SELECT repo, fired_at, cause FROM r WHERE cause IS NOT NULL
+    UNION ALL SELECT repo, last + 900, 'timer' FROM r WHERE active AND i = (SELECT max(i) FROM e WHERE e.repo = r.repo)"""
+)
 def changelog_trigger(t: Tables):
     e = t.events.select((F.col("user_id") % 16).alias("repo"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "event_id", F.when(F.col("event_type") == "purchase", F.col("event_id").cast("string")).alias("commit"), (F.col("event_type") == "click").alias("changed"))
-    return sessions.fold(e, records.ChangeTrigger, ["ts", "event_id"])
+    return sessions.fold(e, sessions.ChangeTrigger, ["ts", "event_id"])

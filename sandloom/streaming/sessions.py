@@ -1,8 +1,13 @@
-"""Stateful processes: each has a state with one step a record, run over a batch as a fold and over a stream with keyed state."""
+"""Stateful processes: each has a state with one step a record, run over a batch as a fold and over a stream with keyed state.
+
+Time is that of the records (`ts`, seconds), never the clock's. A state says by due() when it wants to be woken: in a batch it is
+woken before the first record at or after that time, in a stream by a timer that fires when the watermark gets there, with or
+without a record of its own. So a stream that stands still forgets nothing, and one that ends (availableNow) does end.
+"""
 
 from __future__ import annotations
 
-import pickle
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,10 +16,34 @@ from pyspark.sql import functions as F
 from ..operators.folds import _columns, ordered_fold
 
 
-class RateLimit:
+class Process:
+    """What fold() and stream() need of a state. `schema` is of the output, whose first column is the key; `kept` of the state."""
+
+    schema = kept = ""
+
+    def step(self, row) -> list:
+        raise NotImplementedError
+
+    def due(self) -> float | None:
+        """When to be woken; None: not at all."""
+        return None
+
+    def wake(self) -> list:
+        """What to do at due(); afterwards due() must be later or None."""
+        return []
+
+    def dump(self) -> tuple | None:
+        """The state as a row of `kept`; None if it is as at the start, and can be dropped."""
+        raise NotImplementedError
+
+    def load(self, values: tuple) -> None:
+        raise NotImplementedError
+
+
+class RateLimit(Process):
     """At most `most` accepted calls in `seconds`; calls that are turned away aren't logged."""
 
-    schema = "client long, ts double, accepted boolean"
+    schema, kept = "client long, ts double, accepted boolean", "log array<double>"
 
     def __init__(self, key, most: int = 5, seconds: float = 60.0):
         self.key, self.most, self.seconds, self.log = key, most, seconds, []
@@ -26,14 +55,24 @@ class RateLimit:
             self.log.append(row.ts)
         return [(*self.key, row.ts, ok)]
 
-    def end(self) -> list:
+    def due(self) -> float | None:
+        return max(self.log) + self.seconds if self.log else None
+
+    def wake(self) -> list:
+        self.log = []
         return []
 
+    def dump(self) -> tuple | None:
+        return (self.log,) if self.log else None
+
+    def load(self, values: tuple) -> None:
+        self.log = list(values[0])
+
 
-class AnswerCache:
+class AnswerCache(Process):
     """A key is a hit for `seconds` after the miss that stored it; a hit doesn't prolong it."""
 
-    schema = "cache_key string, ts double, hit boolean"
+    schema, kept = "cache_key string, ts double, hit boolean", "stored double"
 
     def __init__(self, key, seconds: float = 86400.0):
         self.key, self.seconds, self.stored = key, seconds, None
@@ -44,14 +83,24 @@ class AnswerCache:
             self.stored = row.ts
         return [(*self.key, row.ts, hit)]
 
-    def end(self) -> list:
+    def due(self) -> float | None:
+        return None if self.stored is None else self.stored + self.seconds
+
+    def wake(self) -> list:
+        self.stored = None
         return []
 
+    def dump(self) -> tuple | None:
+        return None if self.stored is None else (self.stored,)
+
+    def load(self, values: tuple) -> None:
+        (self.stored,) = values
 
-class SessionFilters:
+
+class SessionFilters(Process):
     """Filters stay with a session for `seconds` since they were last used; a message with any filter replaces them all."""
 
-    schema = "session long, ts double, filters string"
+    schema, kept = "session long, ts double, filters string", "filters string, at double"
 
     def __init__(self, key, seconds: float = 1800.0):
         self.key, self.seconds, self.filters, self.at = key, seconds, None, None
@@ -64,39 +113,123 @@ class SessionFilters:
         self.at = row.ts
         return [(*self.key, row.ts, self.filters)]
 
-    def end(self) -> list:
+    def due(self) -> float | None:
+        return None if self.at is None else self.at + self.seconds
+
+    def wake(self) -> list:
+        self.filters = self.at = None
+        return []
+
+    def dump(self) -> tuple | None:
+        return None if self.at is None else (self.filters, self.at)
+
+    def load(self, values: tuple) -> None:
+        self.filters, self.at = values
+
+
+class ChangeTrigger(Process):
+    """repo, ts, cause of each firing: at once at a new commit; for other changes when `seconds` have gone by since it last
+    fired, which is at once (`change`) or later, by a timer that needs no record (`timer`)."""
+
+    schema, kept = "repo long, ts double, cause string", "last double, commit string, active boolean"
+
+    def __init__(self, key, seconds: float = 900.0):
+        self.key, self.seconds, self.last, self.commit, self.active = key, seconds, None, None, False
+
+    def _fire(self, ts: float, cause: str) -> list:
+        self.last, self.active = ts, False
+        return [(*self.key, ts, cause)]
+
+    def step(self, row) -> list:
+        if isinstance(row.commit, str) and row.commit != self.commit:
+            self.commit = row.commit
+            return self._fire(row.ts, "commit")
+        if row.changed and (self.last is None or row.ts - self.last >= self.seconds):
+            return self._fire(row.ts, "change")
+        self.active = self.active or bool(row.changed)
         return []
 
+    def due(self) -> float | None:
+        return self.last + self.seconds if self.active else None
+
+    def wake(self) -> list:
+        return self._fire(self.last + self.seconds, "timer")
+
+    def dump(self) -> tuple | None:
+        return None if self.last is None else (self.last, self.commit, self.active)
+
+    def load(self, values: tuple) -> None:
+        self.last, self.commit, self.active = values
+
+
+def _woken(state: Process, now: float | None) -> list:
+    """Wakes a state for all that is due up to `now` (None: for ever)."""
+    out = []
+    while (at := state.due()) is not None and (now is None or at <= now):
+        out += state.wake()
+    return out
+
+
+class _Timed:
+    """A process as ordered_fold wants it: records wake it first, and after the last record nothing stays due."""
+
+    def __init__(self, state: Process):
+        self.state = state
+
+    def step(self, row) -> list:
+        return _woken(self.state, row.ts) + self.state.step(row)
+
+    def end(self) -> list:
+        return _woken(self.state, None)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.strip().split()[0] for c in _columns(schema)]
+
+
+def fold(rows: DataFrame, state: type[Process], order: list[str] | None = None, **options) -> DataFrame:
+    """What the process gives for rows, which have its key, ts and what its step reads."""
+    return ordered_fold(rows, _names(state.schema)[:1], order or ["ts"], lambda k: _Timed(state(k, **options)), state.schema)
+
 
-def fold(rows: DataFrame, state: type, order: list[str] | None = None, **options) -> DataFrame:
-    """rows have the columns of the state's schema but the last, and what its step reads; the first is the key."""
-    key = _columns(state.schema)[0].strip().split()[0]
-    return ordered_fold(rows, [key], order or ["ts"], lambda k: state(k, **options), state.schema)
+#: Spark's watermark begins at 1970 and passes over what isn't later; this many seconds are added to times on the way in.
+_SHIFT = 1e9
 
 
-def stream(rows: DataFrame, state: type, **options) -> DataFrame:
-    """The same over a stream: state is kept by key between batches, records of a batch are taken in order of ts.
+def stream(rows: DataFrame, state: type[Process], order: list[str] | None = None, late: str = "1 second", **options) -> DataFrame:
+    """The same over a stream, with the state of each key in the state store as typed columns.
 
-    A state is dropped when its key has been quiet for the state's `seconds`, by the clock: after that it couldn't change
-    an answer any more. So what is kept grows with the keys of that time, not with all keys ever seen.
+    Records of a batch are taken in order; records that come later than the watermark (the largest ts so far less `late`) are
+    left out, as with every stateful operator. A timer stands in the store for each state that is due at some time; when
+    the watermark passes it the state is woken, and dropped if nothing is left of it, so what is kept grows with
+    the keys of that time, not with all keys ever seen. Results are the fold's, if no record overtakes another of its key by
+    batches and none is too late; what is due after the last watermark isn't given yet.
     """
-    key = _columns(state.schema)[0].strip().split()[0]
-    names = [c.strip().split()[0] for c in _columns(state.schema)]
+    key, names = _names(state.schema)[0], _names(state.schema)
 
     def run(k, frames, store):
-        if store.hasTimedOut:
-            store.remove()
-            return
-        now = pickle.loads(store.get[0]) if store.exists else state(k, **options)
-        out = []
-        pdf = pd.concat(list(frames))
-        for row in pdf.sort_values("ts", kind="stable").itertuples(index=False):
-            out += now.step(row)
-        store.update((pickle.dumps(now),))
-        store.setTimeoutDuration(max(1, int(now.seconds * 1000)))
-        yield pd.DataFrame(out, columns=names)
-
-    return rows.groupBy(key).applyInPandasWithState(run, state.schema, "state binary", "append", "ProcessingTimeTimeout")
+        now = state(k, **options)
+        if store.exists:
+            now.load(tuple(store.get))
+        mark = store.getCurrentWatermarkMs() / 1000 - _SHIFT
+        out = _woken(now, mark)
+        if not store.hasTimedOut:
+            for row in pd.concat(list(frames)).sort_values(order or ["ts"], kind="stable").itertuples(index=False):
+                out += _woken(now, row.ts) + now.step(row)
+            out += _woken(now, mark)
+        left = now.dump()
+        if left is None:
+            if store.exists:
+                store.remove()
+        else:
+            store.update(left)
+            if now.due() is not None:
+                store.setTimeoutTimestamp(max(math.ceil((now.due() + _SHIFT) * 1000), store.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    at = rows.withColumn("_event", F.timestamp_seconds(F.col("ts") + _SHIFT)).withWatermark("_event", late)
+    return at.groupBy(key).applyInPandasWithState(run, state.schema, state.kept, "append", "EventTimeTimeout")
 
 
 def debounce(rows: DataFrame, by: list[str], gap: str = "5 seconds", ts: str = "ts") -> DataFrame:

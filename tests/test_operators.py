@@ -320,7 +320,7 @@ def test_figures_triggers_and_service(spark, tmp_path):
     i = spark.createDataFrame([(1, 0.0, 0.0, 20.0, 90.0), (2, 0.0, 0.0, 80.0, 80.0), (3, 0.0, 0.0, 200.0, 90.0)], "n int, x0 double, y0 double, x1 double, y1 double")
     assert [r.n for r in records.figures(i).collect()] == [3]
     e = spark.createDataFrame([(1, 0.0, None, False), (1, 10.0, None, True), (1, 20.0, None, True), (1, 30.0, "c1", False), (1, 40.0, "c1", True), (1, 930.0, None, False)], "repo long, ts double, commit string, changed boolean")
-    assert [r.fired for r in sessions.fold(e, records.ChangeTrigger).orderBy("ts").collect()] == [False, True, False, True, False, True]
+    assert [(r.ts, r.cause) for r in sessions.fold(e, sessions.ChangeTrigger).orderBy("ts").collect()] == [(10.0, "change"), (30.0, "commit"), (930.0, "timer")]
 
     s = Service(spark, str(tmp_path))
     text = "light travels in straight lines through air and water alike"

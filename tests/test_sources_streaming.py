@@ -97,21 +97,69 @@ def test_job_table_stream(spark, tmp_path):
     assert sorted(r.n for r in w.collect()) == [1, 2]
 
 
-def test_idle_state_is_dropped(spark, tmp_path):
+def streamed(spark, tmp_path, parts, state, schema, between=lambda: None, **options):
+    """Rows of a stream that is run to its end once for each part, and the states that are left."""
+    kept = 0
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        src = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = sessions.stream(src, state, **options).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out")
+        assert q.awaitTermination(120), "the stream doesn't end"
+        assert q.exception() is None
+        kept = q.lastProgress.stateOperators[0].numRowsTotal
+        between()
+    return sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()), kept
+
+
+def folded(spark, parts, state, schema, **options):
+    return sorted(tuple(r) for r in sessions.fold(spark.createDataFrame([r for p in parts for r in p], schema), state, **options).collect())
+
+
+def test_a_pause_by_the_clock_forgets_nothing(spark, tmp_path):
     import time
 
-    put = lambda *rows: spark.createDataFrame(list(rows), "client long, ts double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    put((1, 0.0), (2, 0.0))
-    src = spark.readStream.schema("client long, ts double").parquet(f"{tmp_path}/in")
-    q = sessions.stream(src, sessions.RateLimit, seconds=1.0).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
-    try:
-        kept, ends = [], time.time() + 60
-        while time.time() < ends and not (kept and max(kept) >= 2 and kept[-1] == 0):
-            time.sleep(0.5)
-            kept = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
-        assert max(kept) == 2 and kept[-1] == 0
-    finally:
-        q.stop()
+    schema = "client long, ts double"
+    parts = [[(1, 0.0), (1, 0.1), (1, 0.2), (2, 0.2)], [(1, 0.5), (1, 0.9), (1, 1.15), (2, 9.0)]]
+    got, _ = streamed(spark, tmp_path, parts, sessions.RateLimit, schema, lambda: time.sleep(2), most=2, seconds=1.0)
+    assert got == folded(spark, parts, sessions.RateLimit, schema, most=2, seconds=1.0)
+    assert [a for c, _, a in got if c == 1] == [True, True, False, False, False, True]
+
+
+def test_quiet_state_goes_with_the_watermark(spark, tmp_path):
+    schema = "client long, ts double"
+    parts = [[(c, float(c)) for c in range(20)], [(99, 500.0)], [(99, 501.0)]]
+    got, kept = streamed(spark, tmp_path, parts, sessions.RateLimit, schema, seconds=60.0)
+    assert kept == 1 and got == folded(spark, parts, sessions.RateLimit, schema)
+
+
+def test_cache_and_filters_as_streams(spark, tmp_path):
+    schema = "cache_key string, ts double"
+    parts = [[("k", 0.0), ("j", 10.0)], [("k", 50.0), ("k", 99.0)], [("k", 120.0), ("j", 300.0)]]
+    got, _ = streamed(spark, tmp_path / "a", parts, sessions.AnswerCache, schema, seconds=100.0)
+    assert got == folded(spark, parts, sessions.AnswerCache, schema, seconds=100.0)
+    schema = "session long, ts double, filters string"
+    parts = [[(1, 0.0, "a"), (2, 1.0, None)], [(1, 10.0, None), (1, 20.0, "b")], [(1, 5000.0, None), (2, 5001.0, "c")], [(2, 5002.0, None)]]
+    got, _ = streamed(spark, tmp_path / "b", parts, sessions.SessionFilters, schema)
+    assert got == folded(spark, parts, sessions.SessionFilters, schema) and [f for k, _, f in got if k == 1] == ["a", "a", "b", None]
+
+
+def test_trigger_fires_without_a_record_of_its_own(spark, tmp_path):
+    schema = "repo long, ts double, commit string, changed boolean"
+    parts = [[(1, 10.0, None, True), (1, 20.0, None, True), (1, 30.0, "c1", False), (1, 40.0, None, True)], [(2, 5000.0, None, False)], [(1, 6000.0, "c1", False), (1, 6001.0, "c2", True)]]
+    got, _ = streamed(spark, tmp_path, parts[:2], sessions.ChangeTrigger, schema)
+    assert got == [(1, 10.0, "change"), (1, 30.0, "commit"), (1, 930.0, "timer")]  # at 930 there is only repo 2's record
+    got, _ = streamed(spark, tmp_path, parts[2:], sessions.ChangeTrigger, schema)
+    assert got == folded(spark, parts, sessions.ChangeTrigger, schema)
+
+
+def test_random_streams_are_folds(spark, tmp_path):
+    import random
+
+    rnd = random.Random(2)
+    rows = sorted((rnd.uniform(0, 400), rnd.randrange(4)) for _ in range(120))
+    parts = [[(k, t) for t, k in rows[i : i + 40]] for i in range(0, 120, 40)]
+    got, _ = streamed(spark, tmp_path, parts, sessions.RateLimit, "client long, ts double", most=3, seconds=30.0)
+    assert got == folded(spark, parts, sessions.RateLimit, "client long, ts double", most=3, seconds=30.0)
 
 
 def test_old_versions_of_the_job_table_go(spark, tmp_path):
