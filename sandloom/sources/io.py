@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -88,15 +90,20 @@ def save_chunks(chunks: DataFrame, path: str, by: tuple[str, ...] = ("medium", "
 
 
 def save_index(chunks: DataFrame, path: str) -> None:
-    """postings, doc_stats and term_stats of each language, below path."""
-    from ..operators import lexical
-
-    for r in chunks.select("medium").distinct().collect():
-        mine = chunks.filter(F.col("medium") == r.medium)
-        lengths, posts = lexical.doc_stats(mine, "chunk_id"), lexical.postings(mine, "chunk_id")
-        posts.write.mode("overwrite").parquet(f"{path}/postings/medium={r.medium}")
-        lengths.write.mode("overwrite").parquet(f"{path}/doc_stats/medium={r.medium}")
-        lexical.term_stats(posts, lexical.corpus_stats(lengths)).write.mode("overwrite").parquet(f"{path}/term_stats/medium={r.medium}")
+    """postings, bounds, doc_stats, term_stats and corpus_stats below path, each language being a corpus; bm25_index.Index reads them."""
+    from ..operators.bm25_index import write_index
+
+    write_index(chunks, path, key="chunk_id", by="medium")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share: below spark.checkpoint.dir; where that is unset, in a folder of our own if Spark is local."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/sandloom-local"
+    return f"{root.rstrip('/')}/work/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def append(rows: DataFrame, path: str) -> None:
