@@ -10,6 +10,7 @@ score; then all others whose bound reaches it. A block below it can't hold one o
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +51,10 @@ def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     posts = posts.withColumn("block", F.shiftleft(F.col("class"), 40) + F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("part", part)
     rows = posts.groupBy("corpus", "term", "block").agg(F.max("part").alias("bound"), F.collect_list(F.struct("doc", "part")).alias("docs")).withColumn("shelf", _shelf("term", shelves))
     rows.repartitionByRange("shelf", "corpus", "term", "block").sortWithinPartitions("shelf", "corpus", "term", "block").write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/postings")
-    rows = spark.read.parquet(f"{path}/postings")
+    rows = Index(spark, path)._read("postings")
     bounds = rows.select("shelf", "corpus", "term", "block", "bound", F.size("docs").alias("size"))
     bounds.repartitionByRange("shelf", "corpus", "term", "block").sortWithinPartitions("shelf", "corpus", "term", "block").write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/bounds")
-    df = spark.read.parquet(f"{path}/bounds").groupBy("shelf", "corpus", "term").agg(F.sum("size").alias("df")).join(stats.select("corpus", "n"), "corpus")
+    df = Index(spark, path)._read("bounds").groupBy("shelf", "corpus", "term").agg(F.sum("size").alias("df")).join(stats.select("corpus", "n"), "corpus")
     df.select("shelf", "corpus", "term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")).write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/term_stats")
 
 
@@ -65,7 +66,12 @@ class Index:
         self.shelves = self._read("corpus_stats").agg(F.max("shelves")).first()[0] or 1
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        try:
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        except AnalysisException:  # an index of no term: folders by shelf have no file then
+            kind = dict(self._read("doc_stats").dtypes)["doc"]
+            rest = {"postings": f"block long, bound double, docs array<struct<doc:{kind},part:double>>", "bounds": "block long, bound double, size int", "term_stats": "df long, idf double"}
+            return self.spark.createDataFrame([], f"corpus string, term string, {rest[name]}, shelf int")
 
     def _of(self, name: str, named: list[str] | None) -> DataFrame:
         """A table of the index; with named terms only their folders and row groups are read."""
