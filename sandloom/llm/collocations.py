@@ -103,9 +103,13 @@ class Bitmaps:
 
 
 def _phrases(node: np.ndarray, word: np.ndarray, mask: np.ndarray, n: int):
-    """Distinct (node, word) as node * n + word, each row's number among them, and the popcounts' sums."""
-    code, back = np.unique(node * n + word, return_inverse=True)
-    return code, back, np.bincount(back, weights=np.bitwise_count(mask), minlength=len(code)).astype(np.int64)
+    """Distinct (node, word) as node * n + word, where each one's rows begin in the order of codes, that order, and the popcounts' sums."""
+    code = node * n + word
+    order = np.argsort(code)
+    code = code[order]
+    new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    count = np.add.reduceat(np.bitwise_count(mask[order]).astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+    return code[new], new, order, count
 
 
 def _count_words(batches):
@@ -174,7 +178,7 @@ def _count_pairs(batches, words_map: Bloom, hold: int = 1 << 20):
 
     held, size = [], 0
     for words, h, _, (node, word, _, mask) in _prefixes(batches, words_map):
-        code, _, n = _phrases(node, word, mask, len(words))
+        code, _, _, n = _phrases(node, word, mask, len(words))
         if len(code):
             held.append((_pair_hash(h[code // len(words)], h[code % len(words)]) >> np.uint64(20), n))
             size += len(code)
@@ -220,17 +224,19 @@ def _mine(batches, words_map: Bloom, pairs_map: Bloom, most: int = 1 << 16):
 
     for words, h, maps, (node, word, block, mask) in _prefixes(batches, words_map):
         n = len(words)
-        code, back, count = _phrases(node, word, mask, n)
+        code, new, order, count = _phrases(node, word, mask, n)
         first, second = code // n, code % n
         frequent = pairs_map.has(slots(_pair_hash(h[first], h[second]), pairs_map.bits))
         if not frequent.any():
             continue
         yield rows(words, [first[frequent], second[frequent]], count[frequent])
-        live = frequent[back]
-        node, last, block, mask = back[live], word[live], block[live], mask[live]
+        number = np.repeat(np.arange(len(code)), np.diff(np.append(new, len(order))))
+        live = frequent[number]
+        node, order = number[live], order[live]
+        block, mask = block[order], mask[order]
         for k in range(0, len(node), most):
             up, third, _, mask3 = maps.extend(node[k : k + most], block[k : k + most], mask[k : k + most])
-            code3, _, count3 = _phrases(up, third, mask3, n)
+            code3, _, _, count3 = _phrases(up, third, mask3, n)
             top, third = code3 // n, code3 % n
             good = pairs_map.has(slots(_pair_hash(h[second[top]], h[third]), pairs_map.bits))
             top, third, count3 = top[good], third[good], count3[good]
@@ -258,17 +264,18 @@ def frequent(docs: DataFrame, minimum: int = MINIMUM) -> tuple[DataFrame, DataFr
     return words, spill(phrases.select(F.size(F.split("phrase", " ")).alias("size"), "*"), "phrases")
 
 
-def _with_count(rows: DataFrame, key: str, counts: DataFrame, out: str, most: int = 1 << 18) -> DataFrame:
-    """rows with out: the count of the phrase in column key. Counts are broadcast up to `most` rows; beyond that both sides are
-    shuffled, with rows of a phrase dealt over 16 copies of its count, since one word may begin very many phrases."""
+def _with_count(rows: DataFrame, key: str, counts: DataFrame, out: str, total: int, hot: int = 1000) -> DataFrame:
+    """rows with out: the count of the phrase in column key. total: the sum of all counts.
+
+    A word that begins very many phrases has a large count itself. Those of at least a thousandth of all, so a thousand
+    words at most, are broadcast; the others' rows are shuffled.
+    """
     names = rows.columns
     small = counts.select(F.col("lang").alias("c_lang"), F.col("phrase").alias("c_phrase"), F.col("a").alias(out))
     on = (F.col("lang") == F.col("c_lang")) & (F.col(key) == F.col("c_phrase"))
-    if counts.count() <= most:
-        return rows.join(F.broadcast(small), on).select(*names, out)
-    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(16)).cast("int"))
-    copies = small.withColumn("c_deal", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    return dealt.join(copies, on & (F.col("deal") == F.col("c_deal"))).select(*names, out)
+    frequent_ = F.broadcast(small.filter(F.col(out) * hot >= total))
+    rest = rows.join(frequent_, on, "left_anti").join(small.filter(F.col(out) * hot < total), on)
+    return rows.join(frequent_, on).select(*names, out).unionByName(rest.select(*names, out))
 
 
 def collocations(docs: DataFrame, minimum: int = MINIMUM, half: int = HALF, most: int | None = MOST) -> DataFrame:
@@ -284,6 +291,7 @@ def collocations(docs: DataFrame, minimum: int = MINIMUM, half: int = HALF, most
     words, phrases = frequent(source, minimum)
     n = words.groupBy("lang").agg(F.sum("a").alias("n"))
     known = words.filter(F.col("a") >= minimum)
+    total = words.agg(F.sum("a")).first()[0] or 0
     square = lambda x, y: F.col(x).cast("decimal(15,0)") * F.col(y).cast("decimal(15,0)")
 
     def scored(rows: DataFrame, l: str, r: str) -> DataFrame:  # noqa: E741
@@ -292,7 +300,7 @@ def collocations(docs: DataFrame, minimum: int = MINIMUM, half: int = HALF, most
 
     w = F.split("phrase", " ")
     two = phrases.filter("size = 2").select("lang", "phrase", "a", w[0].alias("w1"), w[1].alias("w2"))
-    two = spill(scored(_with_count(_with_count(two, "w1", known, "l"), "w2", known, "r"), "l", "r").select("lang", "phrase", "a", "l", "r", "score"), "pairs")
+    two = spill(scored(_with_count(_with_count(two, "w1", known, "l", total), "w2", known, "r", total), "l", "r").select("lang", "phrase", "a", "l", "r", "score"), "pairs")
     three = phrases.filter("size = 3").select("lang", "phrase", "a", F.concat_ws(" ", w[0], w[1]).alias("p1"), F.concat_ws(" ", w[1], w[2]).alias("p2"))
     # A pair's row has the counts of its words, so a phrase of three words finds all four counts in its two pairs.
     head = two.select("lang", F.col("phrase").alias("p1"), F.col("a").alias("l2"), F.col("l").alias("l1"))
