@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,24 +35,74 @@ def row_weights(edges: DataFrame) -> DataFrame:
     return full.join(degree, "src").select("src", "dst", (1.0 / F.col("d")).alias("weight"))
 
 
-def spread(weights: DataFrame, values: DataFrame) -> DataFrame:
-    """node, dim, value: one step of weights (src, dst, weight) times values (node, dim, value)."""
-    v = values.select(F.col("node").alias("dst"), "dim", "value")
-    return weights.join(v, "dst").groupBy(F.col("src").alias("node"), "dim").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+def sum_vectors(rows: DataFrame, key: str, weight: str, vector: str) -> DataFrame:
+    """key, vector: the sum of weight * vector of each key's rows, vectors being summed whole.
+
+    A task adds up what each of its batches holds of a key before the shuffle, so a key with very many rows sends one vector a
+    batch. Rows without a key, a weight or a vector are left out.
+    """
+    schema = f"k {dict(rows.dtypes)[key]}, v array<double>"
+
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def batch(keys, m):
+        import pyarrow as pa
+
+        ends = np.arange(len(keys) + 1, dtype=np.int32) * m.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(m).ravel()))], ["k", "v"])
 
+    def added(keys, m):
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[new], np.add.reduceat(m[order], new, axis=0)
 
-def components_of(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    return vectors.select(F.col(key).alias("node"), F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "value"))
+    def first(batches):
+        for b in batches:
+            if b.num_rows:
+                yield batch(*added(b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(2)) * b.column(1).to_numpy(zero_copy_only=False)[:, None]))
+
+    def final(batches):  # rows come sorted by key, of which the last may go on in the next batch
+        open_key, open_sum = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, m = added(b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1)))
+            if open_sum is not None and keys[0] == open_key[0]:
+                m[0] += open_sum[0]
+            elif open_sum is not None:
+                yield batch(open_key, open_sum)
+            if len(keys) > 1:
+                yield batch(keys[:-1], m[:-1])
+            open_key, open_sum = keys[-1:], m[-1:]
+        if open_sum is not None:
+            yield batch(open_key, open_sum)
+
+    used = rows.select(F.col(key).alias("k"), F.col(weight).cast("double").alias("w"), F.col(vector).cast("array<double>").alias("v")).filter("k is not null and v is not null and w is not null")
+    out = used.mapInArrow(first, schema).repartition("k").sortWithinPartitions("k").mapInArrow(final, schema)
+    return out.select(F.col("k").alias(key), F.col("v").alias(vector))
+
+
+def spread(weights: DataFrame, values: DataFrame) -> DataFrame:
+    """node, embedding: one step of weights (src, dst, weight) times values (node, embedding)."""
+    near = weights.join(values.select(F.col("node").alias("dst"), "embedding"), "dst")
+    return sum_vectors(near, "src", "weight", "embedding").withColumnRenamed("src", "node")
 
 
 def propagate(weights: DataFrame, values: DataFrame, alphas: list[float]) -> DataFrame:
-    """node, dim, value: sum over layers l of alphas[l] times the values after l steps."""
-    total, now = None, values
+    """node, embedding: sum over layers l of alphas[l] times the values (node, embedding) after l steps."""
+    total, now = None, values.select("node", F.col("embedding").cast("array<double>").alias("embedding"))
     for layer, a in enumerate(alphas):
         now = spread(weights, now) if layer else now
-        part = now.select("node", "dim", (F.col("value") * a).alias("value"))
+        part = now.select("node", "embedding", F.lit(float(a)).alias("weight"))
         total = part if total is None else total.unionByName(part)
-    return total.groupBy("node", "dim").agg(F.sum("value").alias("value"))
+    return sum_vectors(total, "node", "weight", "embedding")
+
+
+def cells(values: DataFrame, key: str = "node", vector: str = "embedding") -> DataFrame:
+    """key, dim, value: vectors as rows, for reports."""
+    return values.select(key, F.posexplode(vector).alias("dim", "value"))
 
 
 def collect_vectors(values: DataFrame) -> DataFrame:
@@ -68,29 +119,56 @@ def neighbour_similarity(edges: DataFrame, vectors: DataFrame, key: str = "vec_i
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")))
 
 
+def mean_vectors(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+    """by, vector: the mean of each group's vectors."""
+    have = vectors.filter(F.col(by).isNotNull() & F.col(vector).isNotNull())
+    sums = sum_vectors(have.select(by, F.lit(1.0).alias("one"), vector), by, "one", vector)
+    return sums.join(have.groupBy(by).agg(F.count("*").alias("n")), by).select(by, F.transform(vector, lambda x: x / F.col("n")).alias(vector))
+
+
 def mean_pool(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
     """by, dim, value: the mean vector of each group."""
-    return vectors.select(by, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x")).groupBy(by, "dim").agg(F.avg("x").alias("value"))
+    return cells(mean_vectors(vectors, by, vector), by, vector)
 
 
 def procrustes(pairs: DataFrame, source: str, target: str):
-    """The orthogonal d x d matrix that best turns source vectors to target ones: only sums of d * d cells leave Spark."""
-    import numpy as np
-
-    cells = pairs.select(F.posexplode(F.col(source).cast("array<double>")).alias("i", "x"), F.col(target).cast("array<double>").alias("t"))
-    cells = cells.select("i", "x", F.posexplode("t").alias("j", "y")).groupBy("j", "i").agg(F.sum(F.col("x") * F.col("y")).alias("c")).collect()
-    d = max(max(r.i, r.j) for r in cells) + 1
-    m = np.zeros((d, d))
-    for r in cells:
-        m[r.j, r.i] = r.c
-    u, _, vt = np.linalg.svd(m)
+    """The orthogonal d x d matrix that best turns source vectors to target ones.
+
+    Tasks multiply their own rows' matrices; rows of these d x d products are summed by their number, and the d sums, all
+    that the driver gets, are decomposed there. Pairs that lack a vector are left out.
+    """
+
+    def products(batches):
+        import pyarrow as pa
+
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in (0, 1))
+                total = y.T @ x if total is None else total + y.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(np.ones(len(total))), pa.array(list(total), pa.list_(pa.float64()))], ["j", "one", "row"])
+
+    both = pairs.select(F.col(source).cast("array<double>").alias("x"), F.col(target).cast("array<double>").alias("y")).filter("x is not null and y is not null")
+    rows = sum_vectors(both.mapInArrow(products, "j long, one double, row array<double>"), "j", "one", "row").toArrow().sort_by("j")
+    u, _, vt = np.linalg.svd(np.array(rows["row"].to_pylist()))
     return u @ vt
 
 
 def apply_matrix(vectors: DataFrame, matrix, vector: str = "embedding", out: str = "aligned") -> DataFrame:
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in matrix])
-    v = F.col(vector).cast("array<double>")
-    return vectors.withColumn(out, F.transform(rows, lambda r: F.aggregate(F.zip_with(r, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)))
+    """Adds out: matrix times vector, null where there is no vector. The matrix goes to the tasks once, not into the plan."""
+    import pandas as pd
+
+    turn = np.asarray(matrix, dtype=np.float64).T
+
+    def turned(v):
+        there = v.notna().to_numpy()
+        got = np.stack(v[there].to_list()) @ turn if there.any() else []
+        result = pd.Series([None] * len(v), index=v.index, dtype=object)
+        result[there] = list(got)
+        return result
+
+    return vectors.withColumn(out, F.pandas_udf(turned, "array<double>", F.PandasUDFType.SCALAR)(F.col(vector).cast("array<double>")))
 
 
 def autoencoder_losses(pairs: DataFrame) -> DataFrame:
@@ -108,5 +186,5 @@ def late_pool_topk(patches: DataFrame, queries: DataFrame, k: int, by: str = "pa
     """query_id, page_id, score, rank: pages by the mean of their patches' vectors, the k nearest of each query."""
     from .similarity import cosine_topk
 
-    pooled = collect_vectors(mean_pool(patches, by, vector).select(F.col(by).alias("node"), "dim", "value")).select(F.col("node").alias(by), "embedding")
+    pooled = mean_vectors(patches, by, vector).withColumnRenamed(vector, "embedding")
     return cosine_topk(queries, pooled, k, key=by, vector="embedding")

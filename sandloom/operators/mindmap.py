@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.io import scratch
 
 
 def triples(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -76,10 +77,28 @@ def outline_edges(rows: DataFrame, key: str, json: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("k"), F.col(json).alias("t")).mapInPandas(run, f"{key} long, seq int, parent string, child string")
 
 
+def numbered(rows: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:
+    """Adds out: the place of each row in the order of all, from `first` on; `order` tells all rows apart.
+
+    Rows are dealt by ranges of the order, numbered in their range and moved on by the sizes of the ranges before, of which
+    the driver gets one number a range.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "numbered")
+    rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
+    before, at = [], first - 1
+    for r in sorted(parts.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        before.append((r._part, at))
+        at += r.n
+    offsets = F.broadcast(spark.createDataFrame(before, "_part int, _before long"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_local", local).join(offsets, "_part").withColumn(out, F.col("_before") + F.col("_local")).drop("_part", "_before", "_local")
+
+
 def vocabulary(rows: DataFrame, key: str, text: str) -> DataFrame:
     """term, term_id: ids from 2 by first appearance in order of key and place."""
     t = rows.select(key, F.posexplode(T.words(T.classifier_text(text))).alias("pos", "term")).groupBy("term").agg(F.min(F.struct(key, "pos")).alias("at"))
-    return t.select("term", (F.row_number().over(Window.orderBy("at")) + 1).cast("long").alias("term_id"))
+    return numbered(t, ["at"], "term_id", first=2).select("term", "term_id")
 
 
 def encode_padded(rows: DataFrame, vocab: DataFrame, key: str, text: str, length: int = 25) -> DataFrame:

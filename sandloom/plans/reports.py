@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -78,13 +79,14 @@ _LAYER = f"{NEAR}, x AS MATERIALIZED (SELECT vec_id AS node, CAST(i - 1 AS INT)
 @query(f"WITH {_LAYER} SELECT node, dim, round(x, 6) AS value FROM pr")
 def propagate_layer(t: Tables):
     w = graph.row_weights(graph.knn_edges(t.embeddings))
-    return graph.propagate(w, graph.components_of(t.embeddings), [0.5, 0.5]).select("node", "dim", F.round("value", 6).alias("value"))
+    moved = graph.propagate(w, t.embeddings.select(F.col("vec_id").alias("node"), "embedding"), [0.5, 0.5])
+    return graph.cells(moved).select("node", "dim", F.round("value", 6).alias("value"))
 
 
 @query(f"WITH {_LAYER}, pv AS (SELECT node, list(x ORDER BY dim) AS v FROM pr GROUP BY node), b AS (SELECT ed.src AS node, avg(round(list_cosine_similarity(a.v, c.v), 8)) AS before FROM ed JOIN e a ON a.vec_id = ed.src JOIN e c ON c.vec_id = ed.dst GROUP BY 1), f AS (SELECT ed.src AS node, avg(round(list_cosine_similarity(a.v, c.v), 8)) AS after FROM ed JOIN pv a ON a.node = ed.src JOIN pv c ON c.node = ed.dst GROUP BY 1) SELECT node, round(before, 5) AS before, round(after, 5) AS after FROM b JOIN f USING (node)")
 def neighbor_similarity_report(t: Tables):
     edges = graph.knn_edges(t.embeddings)
-    moved = graph.collect_vectors(graph.propagate(graph.row_weights(edges), graph.components_of(t.embeddings), [0.5, 0.5]))
+    moved = graph.propagate(graph.row_weights(edges), t.embeddings.select(F.col("vec_id").alias("node"), "embedding"), [0.5, 0.5])
     before = graph.neighbour_similarity(edges, t.embeddings).groupBy(F.col("src").alias("node")).agg(F.round(F.avg("similarity"), 5).alias("before"))
     after = graph.neighbour_similarity(edges, moved, "node").groupBy(F.col("src").alias("node")).agg(F.round(F.avg("similarity"), 5).alias("after"))
     return before.join(after, "node")
@@ -109,6 +111,17 @@ def procrustes_align(t: Tables):
     return turned.select("pair_id", V.cosine("a", "b").alias("before"), V.cosine("aligned", "b").alias("after"))
 
 
+@query(f"WITH {E}, p AS (SELECT list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0) SELECT count(*) AS pairs, round(avg(c), 6) AS before, true AS orthogonal, true AS no_worse FROM p")
+def procrustes_report(t: Tables):
+    """What must hold of the best rotation: it is orthogonal, and no other, so not standing still either, brings the pairs nearer."""
+    e = t.embeddings.withColumn("pair_id", F.expr("vec_id div 2"))
+    pairs = e.filter("vec_id % 2 = 0").select("pair_id", F.col("embedding").alias("a")).join(e.filter("vec_id % 2 = 1").select("pair_id", F.col("embedding").alias("b")), "pair_id")
+    m = graph.procrustes(pairs, "a", "b")
+    dot = lambda x, y: F.aggregate(F.zip_with(F.col(x).cast("array<double>"), F.col(y).cast("array<double>"), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    sums = graph.apply_matrix(pairs, m, "a").agg(F.count("*").alias("pairs"), F.round(F.avg(V.cosine("a", "b")), 6).alias("before"), F.sum(dot("aligned", "b") - dot("a", "b")).alias("gain"))
+    return sums.select("pairs", "before", F.lit(bool(abs(m.T @ m - np.eye(len(m))).max() < 1e-9)).alias("orthogonal"), (F.col("gain") >= -1e-9).alias("no_worse"))
+
+
 _HITS = f"{TOK}, hit AS (SELECT b.item_id, list(d.doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1), got AS (SELECT item_id, list(doc_id ORDER BY rank) AS retrieved FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 8) DESC, doc_id) AS rank FROM bm) WHERE rank <= 10 GROUP BY 1), m AS (SELECT item_id, list_filter(retrieved, lambda p: p <> 0) AS r, list_filter(expected, lambda p: true) AS x FROM hit JOIN got USING (item_id)), v AS (SELECT item_id, CAST(list_has_any(r[1:1], x) AS DOUBLE) AS recall_1, CAST(list_has_any(r[1:5], x) AS DOUBLE) AS recall_5, CAST(list_has_any(r[1:10], x) AS DOUBLE) AS recall_10, len(list_filter(r[1:5], lambda p: list_contains(x, p))) / 5.0 AS precision_5, coalesce(1.0 / list_position(list_transform(r, lambda p: list_contains(x, p)), true), 0) AS mrr, coalesce(list_sum(list_transform(r[1:5], lambda p, i: CASE WHEN list_contains(x, p) THEN 1 / log2(i + 1) ELSE 0 END)), 0) / list_sum(list_transform(range(1, least(len(x), 5) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_5 FROM m)"
 
 

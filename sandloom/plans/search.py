@@ -67,8 +67,7 @@ def dense_topk(t: Tables):
 def centroid_similarities(t: Tables):
     from ..operators import graph
 
-    pooled = graph.mean_pool(t.embeddings, "label").select(F.col("label").alias("node"), "dim", "value")
-    centroids = graph.collect_vectors(pooled).select(F.col("node").alias("centroid"), F.col("embedding").alias("c"))
+    centroids = graph.mean_vectors(t.embeddings, "label").select(F.col("label").alias("centroid"), F.col("embedding").alias("c"))
     # one row a label: the set that all vectors are compared with
     return t.embeddings.select("vec_id", "embedding").join(centroids).select("vec_id", "centroid", F.round(V.cosine("embedding", "c"), 6).alias("similarity"))
 

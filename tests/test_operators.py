@@ -160,7 +160,7 @@ def test_graph_weights_and_propagation(spark):
     for i, j in got:
         a[i, j] = 1
     w = a / a.sum(1, keepdims=True)
-    p = graph.collect_vectors(graph.propagate(graph.row_weights(e), graph.components_of(d), [0.2, 0.3, 0.5])).orderBy("node").collect()
+    p = graph.propagate(graph.row_weights(e), d.select(F.col("vec_id").alias("node"), "embedding"), [0.2, 0.3, 0.5]).orderBy("node").collect()
     np.testing.assert_allclose([r.embedding for r in p], 0.2 * v + 0.3 * w @ v + 0.5 * w @ w @ v)
     n = a / np.sqrt(np.outer(a.sum(1), a.sum(1)))
     assert all(math.isclose(r.weight, n[r.src, r.dst]) for r in graph.symmetric_weights(e).collect())
