@@ -90,10 +90,23 @@ class ByteLevel:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.path, self.plain = path, None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _one(self, text: str) -> np.ndarray:
+        """tiktoken's pattern engine gives up on very long runs of white space; the tokenizers library takes any text."""
         enc = self.encoding.encode_to_numpy if hasattr(self.encoding, "encode_to_numpy") else self.encoding.encode
-        return [np.asarray(enc(t, allowed_special="all"), dtype="<u4").tobytes() for t in texts]
+        try:
+            return np.asarray(enc(text, allowed_special="all"), dtype="<u4")
+        except ValueError:
+            if self.plain is None:
+                os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+                from tokenizers import Tokenizer
+
+                self.plain = Tokenizer.from_file(self.path)
+            return np.asarray(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [self._one(t).tobytes() for t in texts]
 
 
 def loaded(kind, path: str):
