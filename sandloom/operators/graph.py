@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,18 +158,18 @@ def procrustes(pairs: DataFrame, source: str, target: str):
 
 def apply_matrix(vectors: DataFrame, matrix, vector: str = "embedding", out: str = "aligned") -> DataFrame:
     """Adds out: matrix times vector, null where there is no vector. The matrix goes to the tasks once, not into the plan."""
-    import pandas as pd
-
     turn = np.asarray(matrix, dtype=np.float64).T
 
-    def turned(v):
-        there = v.notna().to_numpy()
-        got = np.stack(v[there].to_list()) @ turn if there.any() else []
-        result = pd.Series([None] * len(v), index=v.index, dtype=object)
-        result[there] = list(got)
-        return result
+    @F.pandas_udf("array<double>")
+    def turned(v: pd.Series) -> pd.Series:
+        there = np.flatnonzero(v.notna().to_numpy())
+        result = np.empty(len(v), dtype=object)
+        if len(there):
+            for i, x in zip(there, np.stack(v.iloc[there].to_list()) @ turn, strict=True):
+                result[i] = x
+        return pd.Series(result, index=v.index)
 
-    return vectors.withColumn(out, F.pandas_udf(turned, "array<double>", F.PandasUDFType.SCALAR)(F.col(vector).cast("array<double>")))
+    return vectors.withColumn(out, turned(F.col(vector).cast("array<double>")))
 
 
 def autoencoder_losses(pairs: DataFrame) -> DataFrame:

@@ -166,6 +166,40 @@ def test_graph_weights_and_propagation(spark):
     assert all(math.isclose(r.weight, n[r.src, r.dst]) for r in graph.symmetric_weights(e).collect())
 
 
+def test_vectors_are_summed_whole(spark):
+    rng = np.random.default_rng(3)
+    v, keys, w = rng.normal(size=(500, 7)), rng.integers(0, 9, 500), rng.normal(size=500)
+    keys[:250] = 4  # one key holds half of all rows
+    d = spark.createDataFrame([(int(k), float(a), x.tolist()) for k, a, x in zip(keys, w, v, strict=True)], "k long, w double, v array<double>").repartition(5)
+    got = {r.k: r.v for r in graph.sum_vectors(d, "k", "w", "v").collect()}
+    assert len(got) == len(set(keys.tolist()))
+    for k, x in got.items():
+        np.testing.assert_allclose(x, (v * w[:, None])[keys == k].sum(axis=0))
+    named = d.withColumn("k", F.concat(F.lit("n"), "k"))
+    assert {r.k for r in graph.sum_vectors(named, "k", "w", "v").collect()} == {f"n{k}" for k in got}
+    assert graph.sum_vectors(d.filter("false"), "k", "w", "v").count() == 0
+    hole = d.unionByName(spark.createDataFrame([(99, 1.0, None), (None, 1.0, [0.0] * 7)], d.schema))
+    assert {r.k for r in graph.sum_vectors(hole, "k", "w", "v").collect()} == set(got)
+
+
+def test_rotations_of_many_dimensions(spark):
+    rng = np.random.default_rng(5)
+    d = 768
+    x = rng.normal(size=(60, d))
+    pairs = spark.createDataFrame([(i, a.tolist(), a[::-1].tolist()) for i, a in enumerate(x)] + [(99, None, None)], "id long, a array<double>, b array<double>")
+    m = graph.procrustes(pairs, "a", "b")
+    np.testing.assert_allclose(m.T @ m, np.eye(d), atol=1e-8)
+    turned = graph.apply_matrix(pairs, m, "a").orderBy("id").collect()
+    np.testing.assert_allclose([r.aligned for r in turned[:60]], x[:, ::-1], atol=1e-6)
+    assert turned[60].aligned is None
+
+
+def test_numbers_over_all_rows(spark):
+    d = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(6)
+    got = mindmap.numbered(d, ["x"], "place", first=2)
+    assert got.filter("place = x + 2").count() == 1000 and mindmap.numbered(d.filter("false"), ["x"], "place").count() == 0
+
+
 def test_procrustes_is_orthogonal_and_turns_back(spark):
     rng = np.random.default_rng(1)
     q, _ = np.linalg.qr(rng.normal(size=(5, 5)))
