@@ -30,6 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .merkle import indexed
 from ._common import Bloom, file_system, mix, parts, scratch, spill, table, texts, window_hashes, words_of_batch
 
 SIZE, GRAM = 20, 10
@@ -432,13 +433,29 @@ def cut(docs: DataFrame, late: DataFrame, copies: DataFrame, bloom_bits: int = B
 
 
 def substring_dedup(docs: DataFrame, batches: int = 2, bloom_bits: int = BLOOM_BITS, most_runs: int = 2, buckets: int | None = None) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256, kept_text.
+    """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
-    The documents come to an index in `batches` batches, smaller ids first. Null and empty texts have no words. A row that
-    repeats a doc_id and its text is the same document and gets the same result; rows that repeat a doc_id with another
-    text share the spans found in either. A null doc_id counts as smaller than all others. An empty table gives an empty
-    result; other columns are not looked at.
+    The documents come to an index in `batches` batches, smaller ids first. Null and empty texts have no words. Rows are judged,
+    not ids: rows with the same doc_id, or none, but other texts are documents of their own, in an order that the texts'
+    hashes give. A row that repeats a doc_id and its text is the same document and gets the same result. A null doc_id counts
+    as smaller than all others. An empty table gives an empty result; other columns are not looked at.
     """
+    if docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").head(1):
+        return _by_row(docs, batches, bloom_bits, most_runs, buckets)
+    return _by_id(docs, batches, bloom_bits, most_runs, buckets)
+
+
+def _by_row(docs: DataFrame, *options) -> DataFrame:
+    """Of a table with repeated ids: each document (doc_id and text) gets its place in the order of all for its id. Texts are copied once."""
+    named = texts(docs).withColumn("h", F.unhex(F.sha2("text", 256)))
+    ids = named.select(F.lit(0).alias("all"), "doc_id", "h").distinct()
+    ids = spill(indexed(ids, "all", ["doc_id", "h"]).select(F.col("doc_id").alias("i_id"), F.col("h").alias("i_h"), "idx"), "ids")
+    keyed = named.join(ids, named.doc_id.eqNullSafe(ids.i_id) & (named.h == ids.i_h)).select(F.col("idx").alias("doc_id"), "text")
+    out = _by_id(spill(keyed, "documents"), *options)
+    return out.join(ids, out.doc_id == ids.idx).select(ids.i_id.alias("doc_id"), *[c for c in out.columns if c != "doc_id"])
+
+
+def _by_id(docs: DataFrame, batches: int, bloom_bits: int, most_runs: int, buckets: int | None) -> DataFrame:
     spark = docs.sparkSession
     index = FingerprintIndex(spark, scratch(spark, "fingerprints"), buckets, most_runs, bloom_bits)
     edges = docs.selectExpr(f"percentile_approx(cast(doc_id as bigint), array({', '.join(str(k / batches) for k in range(1, batches))}))").first()[0] or [] if batches > 1 else []

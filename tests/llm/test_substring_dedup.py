@@ -80,3 +80,13 @@ def test_index_is_incremental_opens_again_and_compacts(spark, tmp_path):
     late, copies = index.add(frame([(500, " ".join(twice))]), None)
     assert {(r.doc, r.start + k) for r in late.collect() for k in range(r.n)} == {(500, k) for k in range(21)} and copies.count() == 0
     index.delete()
+
+
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    word = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    passage = word("p", 25)
+    rows = [(1, passage + " " + word("a", 10)), (2, passage + " " + word("a", 10)), (2, word("u", 40)), (None, word("n", 60)), (None, word("m", 5) + " " + passage), (None, None), (3, word("c", 30)), (3, word("c", 30)), (4, word("c", 30))]
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    # the null id comes first, so its passage stays; the copies of it in 1 and 2 go; unique words of either id stay
+    want = [(1, 35, 25), (2, 35, 35), (2, 40, 0), (None, 60, 0), (None, 30, 0), (None, 0, 0), (3, 30, 0), (3, 30, 0), (4, 30, 30)]
+    assert got == sorted(want, key=str)
