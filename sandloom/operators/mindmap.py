@@ -118,14 +118,27 @@ def synthetic_sentences(subjects: list[str], verbs: list[str], objects: list[str
     return out.select(F.concat_ws(" ", "s", "v", "o").alias("sentence"))
 
 
+def question_keywords(question) -> Column:
+    """Latin words of a question of three letters or more that aren't stop words, in lower case; a repeated word stays repeated."""
+    from ..functions import lexicon as L
+
+    words = F.transform(F.regexp_extract_all(T.col(question), F.lit("[a-zA-Z]+"), F.lit(0)), F.lower)
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(L.RELEVANCE_STOPS))
+
+
+def excerpt_sentences(text) -> Column:
+    """Split behind . ! ?, a line end or a danda, where white space follows (so at blank lines, not at every line); without short ones."""
+    marked = F.regexp_replace(T.strip(T.col(text)), "([.!?\\n\u0964\u0965])\\s+", "$1\u001e")
+    return F.filter(F.transform(F.split(marked, "\u001e"), T.strip), lambda s: F.length(s) > 10)
+
+
 def relevant_sentences(text, query_words: Column, window: int = 5, tamil: Column | None = None) -> Column:
     """The window around the sentence with most query words (and a half for a defining word, in either language); without
     any, the first ones; without a sentence, the first 800 characters. Where `tamil` holds, whose scans have no clean
     sentence ends, the first 1200 characters."""
     from ..functions import lexicon as L
-    from .chunking import sentences
 
-    s = F.filter(sentences(text), lambda x: F.length(x) > 10)
+    s = excerpt_sentences(text)
     score = F.transform(s, lambda x: F.size(F.filter(query_words, lambda w: F.contains(F.lower(x), w))) + F.when(F.lower(x).rlike(T.whole_words(L.CUES)), 0.5).otherwise(0.0) + F.when(T.has_any(x, L.TAMIL_CUES), 0.5).otherwise(0.0))
     best = F.array_position(score, F.array_max(score)).cast("int") - 1
     start = F.greatest(best - 1, F.lit(0))

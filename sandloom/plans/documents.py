@@ -196,9 +196,12 @@ def vocab_encode_pad(t: Tables):
     return coded.join(n, "msg").select("msg", "n_words", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
-@query("SELECT s || ' ' || v || ' ' || o AS sentence FROM (SELECT unnest(['Water', 'Light', 'Sound']) AS s), (SELECT unnest(['causes', 'moves']) AS v), (SELECT unnest(['heat', 'waves', 'air']) AS o)")
+@query(r"WITH w AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS r FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents) WHERE length(term) >= 4 GROUP BY term) SELECT s.term || ' ' || v.term || ' ' || o.term AS sentence FROM w s, w v, w o WHERE s.r <= 3 AND v.r IN (4, 5) AND o.r IN (6, 7, 8)")
 def synthetic_cross_product(t: Tables):
-    return mindmap.synthetic_sentences(["Water", "Light", "Sound"], ["causes", "moves"], ["heat", "waves", "air"], t.spark)
+    """Subjects, verbs and objects are the documents' eight commonest words of four letters or more."""
+    words = t.documents.select(F.explode(T.tokens("text")).alias("term")).filter(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("n"))
+    top = [r.term for r in words.orderBy(F.desc("n"), "term").limit(8).collect()]
+    return mindmap.synthetic_sentences(top[:3], top[3:5], top[5:8], t.spark)
 
 
 @query(rf"WITH s AS (SELECT conv_id * 1000 + turn AS msg, list_filter(list_transform(regexp_split_to_array(text, '[.\n]+'), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS s FROM conversations), e AS (SELECT msg, unnest(s) AS x, generate_subscripts(s, 1) AS step FROM s), l AS (SELECT msg, step, array_to_string(regexp_extract_all(x, '\S+')[1:3], ' ') AS label, lead(step) OVER (PARTITION BY msg ORDER BY step) AS target FROM e) SELECT msg, CAST(step AS INT) AS source, CAST(target AS INT) AS target FROM l WHERE target IS NOT NULL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import bm25_index, lexical, mindmap, plugins, ranking, retrieval, similarity
@@ -140,15 +141,22 @@ def metadata_filter(t: Tables):
     return retrieval.metadata_filter(r, c).groupBy("request_id").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
-@query(r"WITH b AS (SELECT item_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM benchmark), d AS (SELECT doc_id, text FROM documents), h AS (SELECT b.item_id, d.doc_id, list_filter(list_transform(string_split(regexp_replace(d.text, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 10) AS s, list_filter(list_distinct(b.ws), lambda w: length(w) > 2) AS kw FROM b JOIN d ON contains(d.text, b.text)), sc AS (SELECT *, list_transform(s, lambda x: len(list_filter(kw, lambda w: contains(lower(x), w))) + CASE WHEN regexp_matches(lower(x), '(^|[^\p{L}\p{N}_])(is|are|called|defined|means|refers|classified|types|example|examples)($|[^\p{L}\p{N}_])') THEN 0.5 ELSE 0 END) AS score FROM h), p AS (SELECT *, list_position(score, list_max(score)) - 1 AS best FROM sc) SELECT item_id, doc_id, md5(array_to_string(s[greatest(best - 1, 0) + 1 : best + 5], ' ')) AS excerpt_md5 FROM p")
+_STOPS = ", ".join(f"'{w}'" for w in L.RELEVANCE_STOPS)
+
+
+@query(
+    r"WITH b AS (SELECT item_id, text, list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND w NOT IN (" + _STOPS + r")) AS kw FROM benchmark), "
+    r"h AS (SELECT b.item_id, d.doc_id, d.text, kw, list_filter(list_transform(string_split(regexp_replace(regexp_replace(d.text, '^\s+|\s+$', '', 'g'), '([.!?\n\x{0964}\x{0965}])\s+', '\1' || chr(30), 'g'), chr(30)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 10) AS s FROM b JOIN documents d ON contains(d.text, b.text)), "
+    r"sc AS (SELECT *, list_transform(s, lambda x: len(list_filter(kw, lambda w: contains(lower(x), w))) + CASE WHEN regexp_matches(lower(x), '(^|[^\p{L}\p{N}_])(is|are|called|defined|means|refers|classified|types|example|examples)($|[^\p{L}\p{N}_])') THEN 0.5 ELSE 0 END) AS score FROM h), "
+    r"p AS (SELECT *, list_position(score, list_max(score)) - 1 AS best FROM sc) SELECT item_id, doc_id, md5(CASE WHEN len(s) = 0 THEN substring(text, 1, 800) WHEN len(kw) = 0 OR list_max(score) = 0 THEN array_to_string(s[1 : 5], ' ') ELSE array_to_string(s[greatest(best - 1, 0) + 1 : best + 5], ' ') END) AS excerpt_md5 FROM p"
+)
 def relevant_sentence(t: Tables):
     from ..operators.lookup import contained_pairs
 
     b, d = t.benchmark.select("item_id", F.col("text").alias("question")), t.documents.select("doc_id", "text")
     hits = contained_pairs(b.select(F.col("item_id").alias("small_id"), F.col("question").alias("small")), d.select(F.col("doc_id").alias("large_id"), F.col("text").alias("large")))
     hits = hits.select(F.col("small_id").alias("item_id"), F.col("large_id").alias("doc_id")).join(b, "item_id").join(d, "doc_id")
-    words = F.filter(F.array_distinct(T.tokens("question")), lambda w: F.length(w) > 2)
-    hits = hits.withColumn("ws", words)
+    hits = hits.withColumn("ws", mindmap.question_keywords("question"))
     return hits.select("item_id", "doc_id", F.md5(mindmap.relevant_sentences("text", F.col("ws")).cast("binary")).alias("excerpt_md5"))
 
 

@@ -166,6 +166,17 @@ def test_graph_weights_and_propagation(spark):
     assert all(math.isclose(r.weight, n[r.src, r.dst]) for r in graph.symmetric_weights(e).collect())
 
 
+def test_relevant_sentences_golden(spark):
+    q = "Explain what the CELL wall is, and the wall of a plant"
+    text = "  Animals eat food daily.\n\nThe heading line\nwithout an end\n \nPlants stand still! The cell wall of a plant protects it. Short one. पादप कोशिका भित्ति। Sixth sentence comes here. Seventh sentence is last. Eighth one is left. Ninth is out of it"
+    d = spark.createDataFrame([(q, text), (q, "tiny. bits."), ("is it of", text), ("zebra", text.replace(" is ", " was "))], "q string, t string")
+    got = d.select(mindmap.question_keywords("q").alias("k"), mindmap.excerpt_sentences("t").alias("s"), mindmap.relevant_sentences("t", mindmap.question_keywords("q")).alias("x")).collect()
+    assert got[0].k == ["cell", "wall", "wall", "plant"]
+    s = ["Animals eat food daily.", "The heading line\nwithout an end", "Plants stand still!", "The cell wall of a plant protects it.", "पादप कोशिका भित्ति।", "Sixth sentence comes here.", "Seventh sentence is last.", "Eighth one is left.", "Ninth is out of it"]
+    assert got[0].s == s
+    assert [r.x for r in got] == [" ".join(s[2:8]), "tiny. bits.", " ".join(s[:5]), " ".join(s[:5])]
+
+
 def test_vectors_are_summed_whole(spark):
     rng = np.random.default_rng(3)
     v, keys, w = rng.normal(size=(500, 7)), rng.integers(0, 9, 500), rng.normal(size=500)
