@@ -7,13 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .similarity import cosine_topk
+from .ball_search import BallIndex
 
 
-def knn_edges(vectors: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """src, dst: each vector and its k nearest others, in both directions."""
+def knn_edges(vectors: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", pivots: int | None = None) -> DataFrame:
+    """src, dst: each vector and its k nearest others, in both directions. Balls of vectors that can't hold a neighbour are passed over."""
     q = vectors.select(F.col(key).alias("query_id"), vector)
-    near = cosine_topk(q, vectors, k, key=key, vector=vector, exclude_self=True).select(F.col("query_id").alias("src"), F.col(key).alias("dst"))
+    near = BallIndex(vectors, key, vector, pivots).search(q, k, vector=vector, exclude_self=True)[0].select(F.col("query_id").alias("src"), F.col(key).alias("dst"))
     return near.union(near.select("dst", "src")).distinct()
 
 

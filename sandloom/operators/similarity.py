@@ -56,12 +56,8 @@ def met(queries: tuple, vectors: tuple, block: int) -> DataFrame:
     return v.join(q, "part").select("v_ids", "v_m", "ids", "m")
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, digits: int = 8, block: int = BLOCK) -> DataFrame:
-    """query_id, vec_id, score, rank: each query's k nearest vectors by cosine, ties to the smaller id.
-
-    Blocks of queries meet blocks of vectors as matrix products, and of each product only the k best rows of each query go
-    on. Null vectors are left out.
-    """
+def best_of_blocks(k: int, exclude_self: bool, digits: int):
+    """A function over batches of v_ids, v_m, ids, m that gives q, v, score: each block pair's k best rows of each query."""
 
     def best(batches):
         import pyarrow as pa
@@ -78,7 +74,17 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str =
                 keep = np.isfinite(score).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(mine[order].ravel()[keep]), pa.array(score.ravel()[keep])], ["q", "v", "score"])
 
-    out = met((queries, query_key, vector), (vectors, key, vector), block).mapInArrow(best, "q long, v long, score double")
+    return best
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, digits: int = 8, block: int = BLOCK) -> DataFrame:
+    """query_id, vec_id, score, rank: each query's k nearest vectors by cosine, ties to the smaller id.
+
+    Blocks of queries meet blocks of vectors as matrix products, and of each product only the k best rows of each query go
+    on. Null vectors are left out.
+    """
+
+    out = met((queries, query_key, vector), (vectors, key, vector), block).mapInArrow(best_of_blocks(k, exclude_self, digits), "q long, v long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "v")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias(query_key), F.col("v").alias(key), "score", "rank")
 
