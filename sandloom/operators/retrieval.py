@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions import text as T
-from ..functions import vector as V
+from ..sources.io import scratch
+from .hybrid import FusedLists, fused_top
 from .lexical import bm25
-from .ranking import rrf, tier_merge
+from .mindmap import numbered
+from .ranking import rrf
 
 
 def term_rule(class_id, term, chunk_term) -> Column:
@@ -43,27 +46,36 @@ def answerable(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     return requests.join(metadata_filter(requests, slim).select("request_id").distinct(), "request_id", "left_semi")
 
 
-def hybrid_retrieve(requests: DataFrame, chunks: DataFrame, top_k: int = 3, digits: int = 8) -> DataFrame:
+METADATA = ["medium", "class_level", "term", "subject", "content_type"]
+
+
+def hybrid_retrieve(requests: DataFrame, chunks: DataFrame, top_k: int = 3, digits: int = 8, depth: int | None = None) -> DataFrame:
     """request_id, chunk_id, content_type, dense_rank, sparse_rank, rrf, position, fallback_used: 2 * top_k candidates.
 
-    requests also have vector and fallback_language; chunks have text and embedding (null counts as cosine 0). BM25 takes
-    its statistics from all chunks of a language; both rankings hold every chunk that passes the filter, ties going to
-    chunk_id; ties of the fused score go to the dense rank. A request without any candidate is asked again in its
-    fallback language: which these are is found first, from the distinct metadata of chunks, so each request is ranked once.
+    requests also have vector and fallback_language; chunks have text and embedding (null counts as cosine 0), and each id
+    once. BM25 takes its statistics from all chunks of a language; ranks are places among all chunks that pass the filter,
+    ties going to chunk_id; ties of the fused score go to the dense rank. A request without any candidate is asked again in
+    its fallback language: which these are is found first, from the distinct metadata of chunks. Only the first `depth` of
+    either ranking are looked at; if what they leave out could still matter, a request goes on with deeper ones.
     """
     direct = answerable(requests, chunks).select("request_id").withColumn("_direct", F.lit(True))
     asked = requests.join(direct, "request_id", "left").withColumn("fallback_used", F.col("_direct").isNull())
-    asked = asked.withColumn("medium", F.when(F.col("fallback_used"), F.col("fallback_language")).otherwise(F.col("medium"))).drop("_direct").filter("medium is not null")
-    scores = bm25(asked.select("request_id", "medium", "question"), chunks.select("chunk_id", "text", "medium"), "request_id", "question", "chunk_id", "text", by="medium")
-    pairs = metadata_filter(asked, chunks).select("request_id", "chunk_id", "content_type", "embedding").join(F.broadcast(asked.select("request_id", "vector", "fallback_used")) if requests.count() <= 4096 else asked.select("request_id", "vector", "fallback_used"), "request_id")
-    pairs = pairs.withColumn("dense", F.round(F.coalesce(V.cosine("vector", "embedding"), F.lit(0.0)), digits)).drop("vector", "embedding")
-    pairs = pairs.join(scores, ["request_id", "chunk_id"], "left").withColumn("sparse", F.round(F.coalesce("score", F.lit(0.0)), digits))
-    pairs = pairs.withColumn("dense_rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("dense"), "chunk_id")))
-    pairs = pairs.withColumn("sparse_rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("sparse"), "chunk_id")))
-    # Both rankings are complete here, so the union of the two is one row with two ranks.
-    fused = pairs.withColumn("rrf", 1.0 / (60 + F.col("dense_rank")) + 1.0 / (60 + F.col("sparse_rank")))
-    order = [F.round("rrf", 12).desc(), F.col("dense_rank")]
-    return tier_merge(fused, "request_id", order, top_k).select("request_id", "chunk_id", "content_type", "dense_rank", "sparse_rank", "rrf", "position", "fallback_used")
+    asked = asked.withColumn("medium", F.when(F.col("fallback_used"), F.col("fallback_language")).otherwise(F.col("medium"))).drop("_direct").filter("medium is not null and request_id is not null")
+    spark, path = chunks.sparkSession, scratch(chunks.sparkSession, "hybrid")
+    # Ids of any type become numbers in their order, so ties are those of the ids.
+    numbered(asked, ["request_id"], "request").write.parquet(f"{path}/asked")
+    cell = F.to_json(F.struct(*METADATA), {"ignoreNullFields": "false"})
+    numbered(chunks.select("chunk_id", *METADATA, "embedding"), ["chunk_id"], "chunk").withColumn("cell", cell).write.parquet(f"{path}/chunks")
+    asked, known = spark.read.parquet(f"{path}/asked"), spark.read.parquet(f"{path}/chunks")
+    tier = F.when(F.coalesce("content_type", F.lit("")).isin(L.PRIMARY_TYPES), 0).otherwise(1).cast("int")
+    allowed = metadata_filter(asked.withColumn("request_id", F.col("request")), known.select("cell", *METADATA).distinct()).select(F.col("request_id").alias("request"), "cell", tier.alias("tier"))
+    allowed.write.parquet(f"{path}/allowed")
+    texts = chunks.select("chunk_id", "text", "medium").join(known.select("chunk_id", "chunk"), "chunk_id")
+    scores = bm25(asked.select("request", "medium", "question"), texts.select("chunk", "text", "medium"), "request", "question", "chunk", "text", by="medium")
+    lists = FusedLists(asked.select("request", "vector"), known.select("chunk", "cell", "embedding"), spark.read.parquet(f"{path}/allowed"), scores, digits)
+    top, _ = fused_top(lists, 2 * top_k, depth)
+    out = top.join(asked.select("request", "request_id", "fallback_used"), "request").join(known.select("chunk", "chunk_id", "content_type"), "chunk")
+    return out.select("request_id", "chunk_id", "content_type", "dense_rank", "sparse_rank", "rrf", "position", "fallback_used")
 
 
 __all__ = ["answerable", "hybrid_retrieve", "metadata_filter", "rrf", "term_rule"]
