@@ -10,7 +10,6 @@ from ..functions import lexicon as L
 from ..functions import vector as V
 from ..sources.io import scratch
 from .ball_search import blocks
-from .ranking import full_rank, running_total
 from .similarity import _block, _unit
 
 CHUNK_BLOCK, REQUEST_BLOCK = 4096, 256
@@ -45,7 +44,7 @@ class FusedLists:
         packed = _bytes(dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "chunk"), ["cell", "part"], "chunk", "embedding", self.dim)
         self.blocks = self._kept("blocks", blocks(packed, ["cell", "part"], "cell string, part long", CHUNK_BLOCK).select("cell", "part", F.col("ids").alias("v_ids"), F.col("m").alias("v_m")))
         found = scores.join(chunks.select("chunk", "cell"), "chunk").join(allowed, ["request", "cell"])
-        self.found = self._kept("found", found.select("request", "chunk", "tier", F.round("score", digits).alias("sparse")).filter("sparse > 0"))
+        self.found = self._kept("found", found.select("request", "chunk", "tier", F.round("score", digits).alias("sparse")).filter("sparse > 0").sortWithinPartitions("request"))
 
     def _kept(self, name: str, rows: DataFrame) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -101,32 +100,51 @@ class FusedLists:
                     mine, v = _block(b.column(1)[r].values, b.column(2)[r].as_py())
                     q = np.frombuffer(b.column(4)[r].as_py(), np.float64)
                     ids, own = (b.column(i)[r].values.to_numpy(zero_copy_only=False) for i in (5, 6))
-                    s = np.round(_unit(v) @ _unit(q[None, :])[0], digits) + 0.0
-                    # A candidate comes behind the block's rows that beat it, and before itself if it is one of them.
-                    all_ids, all_s = np.concatenate([mine, ids]), np.concatenate([s, own])
-                    asks = np.concatenate([np.zeros(len(mine), bool), np.ones(len(ids), bool)])
-                    order = np.lexsort((~asks, all_ids, -all_s))
-                    before = np.empty(len(order), np.int64)
-                    before[order] = np.cumsum(~asks[order])
-                    upto = np.searchsorted(np.sort(mine), ids, side="right")
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(3)[r].as_py()] * len(ids), pa.int64()), pa.array(ids), pa.array(before[len(mine) :]), pa.array(upto.astype(np.int64))], ["request", "chunk", "better", "upto"])
+                    before, upto = places_among(mine, np.round(_unit(v) @ _unit(q[None, :])[0], digits) + 0.0, ids, own)
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(3)[r].as_py()] * len(ids), pa.int64()), pa.array(ids), pa.array(before), pa.array(upto)], ["request", "chunk", "better", "upto"])
+
+        def pack(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                if b.num_rows:
+                    request = b.column(0).to_numpy()
+                    cuts = np.concatenate([[0], np.flatnonzero(request[1:] != request[:-1]) + 1, [len(request)]]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(request[cuts[:-1]]), *[pa.ListArray.from_arrays(pa.array(cuts), pa.array(b.column(i).to_numpy())) for i in (1, 2)]], ["request", "v_ids", "v_s"])
+
+        def count_found(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                for r in range(b.num_rows):
+                    mine, s, ids, own = (b.column(i)[r].values.to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+                    before, upto = places_among(mine, s, ids, own)
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[r].as_py()] * len(ids), pa.int64()), pa.array(ids), pa.array(before), pa.array(upto)], ["request", "chunk", "better", "upto"])
 
         # At most three lists of `depth` rows a tier, whatever the number of chunks.
-        own = c.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("chunk", "dense"))).alias("x")).select("request", F.col("x.chunk").alias("ids"), F.col("x.dense").cast("array<double>").alias("own"))
+        own = c.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("chunk", "dense", F.coalesce("sparse", F.lit(0.0)).alias("sparse")))).alias("x"))
+        own = self._kept("own", own.select("request", F.col("x.chunk").alias("ids"), F.col("x.dense").alias("own"), F.col("x.sparse").alias("own_sparse")))
         asks = _bytes(self.asked.join(own, "request"), ["request", "ids", "own"], "request", "vector", self.dim).join(self.allowed, "request")
         met = self._with_blocks(asks.select("cell", "tier", "request", "u", "ids", "own"), ["request", "u", "ids", "own"])
-        places = met.mapInArrow(count, "request long, chunk long, better long, upto long").groupBy("request", "chunk").agg((F.sum("better") + 1).alias("dense_rank"), F.sum("upto").alias("upto"))
-        c = self._kept("places", c.join(places, ["request", "chunk"]))
-        found = self.found.join(c.select("request").distinct(), "request", "left_semi")
-        high = full_rank(found.select("request", "chunk", "sparse"), "request", "sparse", "chunk", descending=True, out="high").select("request", "chunk", "high")
+        schema = "request long, chunk long, better long, upto long"
+        dense = met.mapInArrow(count, schema).groupBy("request", "chunk").agg((F.sum("better") + 1).alias("dense_rank"), F.sum("upto").alias("upto"))
+        found = self.found.select("request", "chunk", "sparse").mapInArrow(pack, "request long, v_ids array<long>, v_s array<double>")
+        met = found.join(own.select("request", "ids", "own_sparse"), "request")
+        sparse = met.mapInArrow(count_found, schema).groupBy("request", "chunk").agg(F.sum("better").alias("higher"), F.sum("upto").alias("upto_found"))
+        out = c.join(dense, ["request", "chunk"]).join(sparse, ["request", "chunk"], "left")
         # Without a sparse score a chunk comes behind all that have one, and behind the others without one before it.
-        rest = c.filter("sparse is null")
-        n = found.groupBy("request").agg(F.count("*").alias("n_found"))
-        line = found.select("request", "chunk", F.lit(1).cast("long").alias("one")).unionByName(rest.select("request", "chunk", F.lit(0).cast("long").alias("one")))
-        earlier = running_total(line, "request", "chunk", "one", "earlier").filter("one = 0").select("request", "chunk", "earlier")
-        out = c.join(high, ["request", "chunk"], "left").join(earlier, ["request", "chunk"], "left").join(n, "request", "left")
-        behind = F.coalesce("n_found", F.lit(0)) + F.col("upto") - F.coalesce("earlier", F.lit(0))
-        return out.select("request", "chunk", "tier", F.col("dense_rank"), F.coalesce("high", behind).alias("sparse_rank"))
+        place = F.when(F.col("sparse") > 0, 1).otherwise(F.col("upto") - F.coalesce("upto_found", F.lit(0)))
+        return out.select("request", "chunk", "tier", "dense_rank", (F.coalesce("higher", F.lit(0)) + place).alias("sparse_rank"))
+
+
+def places_among(mine: np.ndarray, s: np.ndarray, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each candidate (id, its score) how many of the rows (mine, s) come before it, scores descending, then ids; and how
+    many rows have its id or a smaller one. A row with the candidate's own id isn't before it."""
+    asks = np.concatenate([np.zeros(len(mine), bool), np.ones(len(ids), bool)])
+    order = np.lexsort((~asks, np.concatenate([mine, ids]), -np.concatenate([s, own])))
+    before = np.empty(len(order), np.int64)
+    before[order] = np.cumsum(~asks[order])
+    return before[len(mine) :], np.searchsorted(np.sort(mine), ids, side="right").astype(np.int64)
 
 
 def fused_top(lists: FusedLists, most: int, depth: int | None = None, k: int = L.RRF_K) -> tuple[DataFrame, list[tuple[int, int]]]:
