@@ -60,6 +60,18 @@ def pack_chars(parts: list[str], most: int = 300) -> list[str]:
     return [*out, now.strip()] if now.strip() else out
 
 
+def pack_full_stops(text: str, most: int = 300) -> list[str]:
+    """The English packer: parts between full stops with a space behind them, which are lost, greedily joined by a space while
+    the text so far and the next part stay under `most` characters. The very first part's own space counts; empty chunks go."""
+    out, now = [], ""
+    for part in text.split(". "):
+        fits = len(now) + len(part) < most
+        if not fits:
+            out.append(now)
+        now = f"{now} {part}" if fits else part
+    return [c for c in map(str.strip, [*out, now]) if c]
+
+
 def recursive_split(text: str, size: int = 300, overlap: int = 50, marks: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
     """Pieces of at most `size` characters, cut at the coarsest mark that works, neighbours sharing up to `overlap`."""
     mark = next((m for m in marks if m == "" or m in text), "")

@@ -113,6 +113,11 @@ def char_pack(t: Tables):
     return chunking.map_text(t.documents, lambda x: chunking.pack_chars(chunking.python_sentences(x)))
 
 
+@query(rf"WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents)), r AS (SELECT doc_id, i, CASE WHEN length(x) < 300 THEN ' ' || x ELSE x END AS now, CAST(NULL AS VARCHAR) AS closed FROM s WHERE i = 1 UNION ALL SELECT r.doc_id, s.i, CASE WHEN length(now) + length(x) < 300 THEN now || ' ' || x ELSE x END, CASE WHEN length(now) + length(x) < 300 THEN NULL ELSE {STRIP.format('now')} END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1), k AS (SELECT doc_id, i, 0 AS last, closed AS chunk FROM r WHERE closed <> '' UNION ALL SELECT doc_id, i, 1, {STRIP.format('now')} FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS top FROM r) WHERE i = top) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, last) - 1 AS INT) AS chunk_no, chunk FROM k WHERE chunk <> ''")
+def english_char_pack(t: Tables):
+    return chunking.map_text(t.documents, chunking.pack_full_stops)
+
+
 @query()
 def recursive_chunks(t: Tables):
     return chunking.map_text(t.documents, chunking.recursive_split)

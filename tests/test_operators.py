@@ -83,6 +83,8 @@ def test_packers():
     assert chunking.pack_sentences(s, 5, carry=1) == ["a b c. d e.", "e. f g h i j k.", "k. l."]
     assert chunking.pack_sentences(["x " * 9], 5, drop_empty=False)[0] == ""
     assert chunking.pack_chars(["aaaa", "bbbb", "cc"], 10) == ["aaaa bbbb", "cc"]
+    assert chunking.pack_full_stops("aaa. bbb. cc. d", 10) == ["aaa bbb", "cc d"]  # with its own space the first part makes 8 of 10
+    assert chunking.pack_full_stops("x" * 12 + ". yy. . z", 10) == ["x" * 12, "yy  z"] and chunking.pack_full_stops("") == []
     t = " ".join(f"w{i}" for i in range(300))
     parts = chunking.recursive_split(t, 100, 20)
     assert all(len(p) <= 100 for p in parts) and set(" ".join(parts).split()) == set(t.split())
