@@ -55,8 +55,9 @@ def _units(kind: str, name: str, text: str, emit_law: bool):
         yield kind, name
 
 
-def extract_units(text: str, emit_law: bool = True) -> list[tuple[str, str]]:
-    """(type, name) in order. Exercises and examples go on over the prose that follows them."""
+def extract_units(text: str, emit_law: bool = True, activity_goes_on: bool = False) -> list[tuple[str, str]]:
+    """(type, name) in order. Exercises and examples go on over the prose that follows them, and with activity_goes_on, the
+    stateful variant, activities too: their prose is no unit of its own."""
     out: list[tuple[str, str]] = []
     open_: list | None = None
     for block in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
@@ -67,18 +68,18 @@ def extract_units(text: str, emit_law: bool = True) -> list[tuple[str, str]]:
         if open_ is not None:
             out += _units(*open_[:3], emit_law)
         kind, name, goes_on = found or ("Descriptive Unit", "Paragraph", False)
-        open_ = [kind, name, block, goes_on]
+        open_ = [kind, name, block, goes_on or (activity_goes_on and kind == "Activity Instruction")]
     if open_ is not None:
         out += _units(*open_[:3], emit_law)
     return out
 
 
-def unit_inventory(docs: DataFrame, key: str = "doc_id", text: str = "text", emit_law: bool = True) -> DataFrame:
+def unit_inventory(docs: DataFrame, key: str = "doc_id", text: str = "text", emit_law: bool = True, activity_goes_on: bool = False) -> DataFrame:
     """key, seq, unit_type, unit_name; a document's units of one type and name once, the first."""
 
     def run(frames):
         for pdf in frames:
-            rows = [(k, i, *u) for k, t in zip(pdf["k"], pdf["t"], strict=True) for i, u in enumerate(extract_units(t or "", emit_law))]
+            rows = [(k, i, *u) for k, t in zip(pdf["k"], pdf["t"], strict=True) for i, u in enumerate(extract_units(t or "", emit_law, activity_goes_on))]
             yield pd.DataFrame(rows, columns=[key, "seq", "unit_type", "unit_name"])
 
     found = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, seq int, unit_type string, unit_name string")

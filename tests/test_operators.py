@@ -144,6 +144,9 @@ def test_units():
     assert ("Concept/Law", "Ohms Law") in units.extract_units("The Ohms Law\n\nnext".replace("The ", ""))
     assert units.extract_units("Ohms Law", emit_law=False) == []
     assert [k for k, _ in units.extract_units("Plain sentence of words here. " * 12)] == ["Descriptive Unit"]
+    acted = "ACTIVITY 3 Float a cork\n\n" + "Plain sentence of words here. " * 12 + "\n\nTable 2.1 Some Metals and their uses"
+    assert [k for k, _ in units.extract_units(acted)] == ["Activity Instruction", "Descriptive Unit", "Table"]
+    assert [k for k, _ in units.extract_units(acted, activity_goes_on=True)] == ["Activity Instruction", "Table"]
 
 
 def test_graph_weights_and_propagation(spark):
