@@ -12,21 +12,23 @@ def retrieval_metrics(cases: DataFrame, ks: tuple[int, ...] = (1, 5, 10), precis
     """Adds recall_k, precision_k, mrr, ndcg_k to rows with arrays `retrieved` (in order) and `expected`.
 
     Retrieved zeros and nulls count as missing pages. A page that is retrieved twice gains twice, so ndcg may pass 1,
-    unless dedupe is set.
+    unless dedupe is set. With a column n_expected, `expected` may hold only those that are among the retrieved: it then never
+    grows with the table.
     """
+    n = F.col("n_expected") if "n_expected" in cases.columns else F.size("expected")
     got = F.filter("retrieved", lambda p: p.isNotNull() & (p != 0))
     got = F.array_distinct(got) if dedupe else got
     first = lambda k: F.slice("_got", 1, k)
     hit = lambda p: F.array_contains("expected", p)
     gain = F.aggregate(F.transform(first(precision_k), lambda p, i: F.when(hit(p), 1 / F.log2(i + 2.0)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.size("expected"), F.lit(precision_k)), F.lit(1))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n.cast("int"), F.lit(precision_k)), F.lit(1))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
     at = F.array_position(F.transform("_got", hit), F.lit(True))
     out = cases.withColumn("_got", got)
     for k in ks:
         out = out.withColumn(f"recall_{k}", F.arrays_overlap(first(k), "expected").cast("double"))
     out = out.withColumn(f"precision_{precision_k}", F.size(F.filter(first(precision_k), hit)) / F.lit(float(precision_k)))
     out = out.withColumn("mrr", F.when(at > 0, 1.0 / at).otherwise(0.0))
-    return out.withColumn(f"ndcg_{precision_k}", F.when(F.size("expected") > 0, gain / ideal).otherwise(0.0)).drop("_got")
+    return out.withColumn(f"ndcg_{precision_k}", F.when(n > 0, gain / ideal).otherwise(0.0)).drop("_got")
 
 
 def run_deltas(history: DataFrame, metrics: list[str], order: str = "timestamp") -> DataFrame:

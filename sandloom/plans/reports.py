@@ -128,9 +128,15 @@ _HITS = f"{TOK}, hit AS (SELECT b.item_id, list(d.doc_id) AS expected FROM bench
 def _cases(t: Tables):
     b, d = t.benchmark, t.documents
     inside = lookup.contained_pairs(b.select(F.col("item_id").alias("small_id"), F.col("text").alias("small")), d.select(F.col("doc_id").alias("large_id"), F.col("text").alias("large")))
-    expected = inside.groupBy(F.col("small_id").alias("item_id")).agg(F.collect_list("large_id").alias("expected"))
-    top = lexical.top_k(lexical.bm25(b, d), 10, "item_id").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("retrieved"))
-    return evaluation.retrieval_metrics(expected.join(top, "item_id"))
+    inside = inside.select(F.col("small_id").alias("item_id"), F.col("large_id").alias("doc_id"))
+    top = lexical.top_k(lexical.bm25(b, d), 10, "item_id").select("item_id", "doc_id", "rank")
+    # A text that very many documents hold is counted; of those documents only the retrieved ones are gathered.
+    n = inside.groupBy("item_id").agg(F.count("*").alias("n_expected"))
+    both = top.join(inside.withColumn("held", F.lit(True)), ["item_id", "doc_id"], "left")
+    ten = both.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "held"))).alias("x"))
+    ids = lambda x: F.transform(x, lambda r: r["doc_id"])
+    cases = ten.select("item_id", ids("x").alias("retrieved"), ids(F.filter("x", lambda r: r["held"])).alias("expected"))
+    return evaluation.retrieval_metrics(n.join(cases, "item_id"))
 
 
 _M = ["recall_1", "recall_5", "recall_10", "precision_5", "mrr", "ndcg_5"]

@@ -27,6 +27,8 @@ def test_metrics_golden(spark):
     assert m[1].recall_3 == 1 and math.isclose(m[1].precision_3, 1 / 3) and m[1].mrr == 0.5 and math.isclose(m[1].ndcg_3, (1 / math.log2(3)) / (1 + 1 / math.log2(3)))
     assert math.isclose(m[2].ndcg_3, 1 + 1 / math.log2(3)) and m[3].mrr == 1
     assert evaluation.retrieval_metrics(d, (3,), 3, dedupe=True).filter("id = 2").first().ndcg_3 == 1
+    slim = d.withColumn("n_expected", F.size("expected")).withColumn("expected", F.array_intersect("expected", "retrieved"))
+    assert evaluation.retrieval_metrics(slim, (3,), 3).drop("expected", "n_expected").collect() == evaluation.retrieval_metrics(d, (3,), 3).drop("expected").collect()
 
 
 def test_kappa(spark):
