@@ -12,7 +12,7 @@ from functools import partial
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every contract; bytes.split() splits on exactly these six characters.
@@ -210,15 +210,16 @@ def slices(texts_: list[bytes], limit: int = 1 << 22):
         yield start, len(texts_)
 
 
-#: The column that keyed() adds.
-ROW = "row_key"
+#: The column that keyed() adds. Names that begin like it are reserved.
+ROW = "_sandloom_row"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, most: int = 1 << 20) -> DataFrame:
     """docs and ROW: a long of its own for each row, null and repeated doc_ids included, the same whenever the rows are read.
 
     Of a Parquet table it is the file's number and the row's place in the file, and nothing is copied; any other frame is
-    written to the shared folder first.
+    written to the shared folder first. Files are numbered on the executors by their names; the numbers of up to `most` files
+    (16 bytes each) are broadcast, those of more are joined by a shuffle.
     """
     names = docs.columns
     try:
@@ -226,11 +227,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     except AnalysisException:  # no Parquet
         stable = False
     docs = docs if stable else spill(docs, "rows")
-    at = docs.select(*[F.col(f"`{c}`") for c in names], F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_place"))
-    files = sorted(r.row_file for r in at.select("row_file").distinct().collect())
-    # A literal, not local rows: those would take Python workers of their own. File names are URIs, without line ends.
-    numbers = docs.sparkSession.range(1).select(F.posexplode(F.split(F.lit("\n".join(files)), "\n")).alias("row_number", "row_file"))
-    return at.join(F.broadcast(numbers), "row_file").select(*[F.col(f"`{c}`") for c in names], (F.shiftleft(F.col("row_number").cast("long"), 40) + F.col("row_place")).alias(ROW))
+    columns = [F.col(f"`{c}`") for c in names]
+    at = docs.select(*columns, F.col("_metadata.file_path").alias(f"{ROW}_file"), F.col("_metadata.row_index").alias(f"{ROW}_place"))
+    at = at.withColumn(f"{ROW}_hash", F.xxhash64(f"{ROW}_file"))
+    # One row a file, 2**23 at most: the window's single task is bounded.
+    files = spill(at.select(f"{ROW}_file", f"{ROW}_hash").distinct().withColumn("number", F.row_number().over(Window.orderBy(f"{ROW}_file"))), "files")
+    n, different = files.agg(F.count("*"), F.count_distinct(f"{ROW}_hash")).first()
+    if n >= 1 << 23:
+        raise ValueError(f"{n} files are too many to number")
+    by = f"{ROW}_hash" if n == different else f"{ROW}_file"
+    numbers = files.select(by, "number")
+    if n <= most:
+        numbers = F.broadcast(numbers)
+    joined = at.join(numbers.withColumnRenamed("number", f"{ROW}_number"), by)
+    return joined.select(*columns, (F.shiftleft(F.col(f"{ROW}_number").cast("long"), 40) + F.col(f"{ROW}_place")).alias(ROW))
 
 
 def by_row(rows: DataFrame) -> DataFrame:

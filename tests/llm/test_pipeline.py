@@ -1,6 +1,7 @@
 import zlib
 
 import corpus_pipeline as P
+from sandloom.llm._common import ROW, keyed
 from sandloom.llm.quality import quality_scores
 
 from .test_classifiers import case
@@ -84,3 +85,28 @@ def test_stages_judge_rows_with_null_and_repeated_ids(spark, tmp_path):
     gone = run(P.near, odd[1:4:2] + odd[11:16])
     assert ids(gone) == ["5003", "None"] and all(" near" in t for _, t in gone)
     assert run(P.decontaminated, odd) == odd[16:18]
+
+
+def test_stages_on_clashing_columns_and_very_long_texts(spark, tmp_path):
+    """Columns named like those of the stages' own tables pass through; a long text is judged whole."""
+    names = ["row_key", "row_file", "row_place", "row_number", "group_id", "component_id", "digest", "keep_id", "key", "owner", "n", "first", "bad_key", "label", "score"]
+    long = " ".join(f"w{k % 4999}x{k % 101}" for k in range(150_000))  # over a million characters
+    passage = " ".join(f"passage{k}" for k in range(20))
+    docs = [(1, long), (2, long.replace(" ", "\n")), (3, long + " tail"), (4, long + " " + passage), (5, "short of its own"), (None, "nothing")]
+    rows = [(i, t, *[f"{c}{k}" for c in names]) for k, (i, t) in enumerate(docs)]
+    spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)).repartition(3).write.parquet(f"{tmp_path}/rows.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.read.parquet(f"{tmp_path}/rows.parquet")
+    for stage, kept in ((P.exact, {1, 3, 4, 5, None}), (P.near, {1, 5, None}), (P.decontaminated, {1, 2, 3, 5, None})):
+        out = stage(spark, d, str(tmp_path))
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == d.columns and {r[0] for r in got} == kept and len(got) == len(kept)
+        assert set(got) <= set(rows)
+
+
+def test_row_keys_by_broadcast_and_by_shuffle(spark, tmp_path):
+    spark.range(1000).repartition(7).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    keys = [{r.id: r[ROW] for r in keyed(t, most).collect()} for most in (1 << 20, 0)]
+    assert keys[0] == keys[1] and len(set(keys[0].values())) == 1000
+    assert len({k >> 40 for k in keys[0].values()}) == 7
