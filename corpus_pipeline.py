@@ -29,7 +29,7 @@ def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null doc_id counts as the largest; of rows with the same doc_id one stays.
     """
     rows = keyed(docs)
-    same = exact_dedup(by_row(rows)).filter("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group_id"))
+    same = exact_dedup(by_row(rows), batches=1).filter("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group_id"))
     return drop_rows(rows, all_but_first(rows, same))
 
 
