@@ -94,7 +94,8 @@ def build_prompts(requests: DataFrame, ranked: DataFrame) -> DataFrame:
     math_n = F.size(F.filter("p", lambda x: x["subject"].isin(L.MATH_SUBJECTS)))
     said = T.has_any(F.lower("question"), ["math", "solve", "தீர்"])
     is_math = F.when(n > 0, math_n > n / 2).otherwise(said)
-    mean = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["score"]) / F.greatest(n, F.lit(1))
+    # To nine places: a mean of exactly 0.7 is not to miss the threshold by what a sum of doubles is off.
+    mean = F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x["score"]) / F.greatest(n, F.lit(1)), 9)
     level = F.when(T.confused("question"), "Beginner").otherwise(T.difficulty("question"))
     j = j.select("request_id", "question", T.language("question").alias("language"), grade.cast("int").alias("grade"), level.alias("level"), T.template_id("question", is_math).alias("template"), grounding(mean, n).alias("grounding"), F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("context"))
     system = system_prompt(F.col("language"), F.col("template"), F.col("grade"), F.col("level"), F.col("grounding"))
