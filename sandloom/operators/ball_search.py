@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import scratch
-from .similarity import BLOCK, _matrix, _unit, best_of_blocks
+from .similarity import BLOCK, _matrix, _unit, best_of_blocks, met
 
-MOST_PIVOTS = 512
+MOST_PIVOTS, MOST_ASKED = 512, 0.5
 MARGIN = 1e-6  # far above what rounding can change in a bound, far below what scores differ by
 
 
@@ -53,7 +53,7 @@ class BallIndex:
     def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", pivots: int | None = None, block: int = BLOCK):
         self.spark, self.key, self.block = vectors.sparkSession, key, block
         rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("k is not null and v is not null")
-        n = rows.count()
+        self.rows, n = rows, rows.count()
         first = rows.orderBy(F.xxhash64("k"), "k").limit(4096).toArrow()
         self.empty = n == 0
         if self.empty:
@@ -132,9 +132,21 @@ class BallIndex:
                         some = at[s : s + size]
                         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([ids[some].tolist()], pa.list_(pa.int64())), pa.array([u[some].tobytes()], pa.binary())], ["cell", "ids", "m"])
 
+        def visits(batches):
+            import pyarrow as pa
+
+            for b in visit(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in b.column(1)], pa.int64())], ["n"])
+
         limits = placed.join(bound, "k", "left").select("k", "cell", F.coalesce("kth", F.lit(-3.0)).alias("kth"), "u")
         asked = limits.mapInArrow(visit, "cell int, ids array<long>, m binary")
-        both = near.unionByName(self._meet(asked, k, exclude_self, digits))
+        # Where most balls are asked for, nothing is gained by them: a copy of a query for each ball would be as many as the
+        # square of the table, so the blocks of all queries meet those of all vectors.
+        most = rows.count() * len(self.centres) * MOST_ASKED
+        if len(self.centres) > 1 and (limits.mapInArrow(visits, "n long").agg(F.sum("n")).first()[0] or 0) > most:
+            both = met((rows, "k", "v"), (self.rows, "k", "v"), self.block).mapInArrow(best_of_blocks(k, exclude_self, digits), "q long, v long, score double")
+        else:
+            both = near.unionByName(self._meet(asked, k, exclude_self, digits))
         out = both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         return out.select(F.col("q").alias(query_key), F.col("v").alias(self.key), "score", "rank"), asked.select(F.explode("ids").alias("q"), "cell")
 

@@ -7,14 +7,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch
 from .ball_search import BallIndex
 
 
 def knn_edges(vectors: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", pivots: int | None = None) -> DataFrame:
-    """src, dst: each vector and its k nearest others, in both directions. Balls of vectors that can't hold a neighbour are passed over."""
+    """src, dst: each vector and its k nearest others, in both directions. Balls of vectors that can't hold a neighbour are passed over.
+
+    Neighbours and edges are written once: whatever reads the edges several times doesn't search again.
+    """
+    spark, path = vectors.sparkSession, scratch(vectors.sparkSession, "knn")
     q = vectors.select(F.col(key).alias("query_id"), vector)
     near = BallIndex(vectors, key, vector, pivots).search(q, k, vector=vector, exclude_self=True)[0].select(F.col("query_id").alias("src"), F.col(key).alias("dst"))
-    return near.union(near.select("dst", "src")).distinct()
+    near.write.parquet(f"{path}/near")
+    near = spark.read.parquet(f"{path}/near")
+    near.union(near.select("dst", "src")).distinct().write.parquet(f"{path}/edges")
+    return spark.read.parquet(f"{path}/edges")
 
 
 def with_loops(edges: DataFrame) -> DataFrame:

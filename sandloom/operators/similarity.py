@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK, SLICES, TILE = 4096, 16, 256
+LOWEST = float(np.finfo(np.float32).min)  # only -inf lies below
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -44,20 +45,44 @@ def met(queries: tuple, vectors: tuple, block: int) -> DataFrame:
     """v_ids, v_m, ids, m: every block of the vectors beside every block of the queries, each a (rows, key, vector).
 
     The stated query set meets all rows, in blocks, on the executors: up to four blocks of queries are broadcast; of more,
-    each of the parts that the vectors are dealt into gets a copy by a shuffle.
+    parts of the vectors and slices of the queries make a grid, each cell of which gets its copies by a shuffle.
     """
     q = packed(*queries, block)
     v = packed(*vectors, block).select(F.col("ids").alias("v_ids"), F.col("m").alias("v_m"))
     if queries[0].count() <= 4 * block:
         return v.crossJoin(F.broadcast(q)).select("v_ids", "v_m", "ids", "m")
     parts = max(1, -(-vectors[0].count() // (16 * block)))
-    v = v.withColumn("part", F.pmod(F.xxhash64(F.col("v_ids")[0]), F.lit(parts)))
-    q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    return v.join(q, "part").select("v_ids", "v_m", "ids", "m")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = lambda ids, n: F.pmod(F.xxhash64(F.col(ids)[0]), F.lit(n))
+    v = v.select("*", dealt("v_ids", parts).alias("part"), each(SLICES).alias("slice")).repartition(parts * SLICES, "part", "slice")
+    q = q.select("*", dealt("ids", SLICES).alias("slice"), each(parts).alias("part")).repartition(parts * SLICES, "part", "slice")
+    return v.join(q, ["part", "slice"]).select("v_ids", "v_m", "ids", "m")
+
+
+def best_in_rows(s: np.ndarray, ids: np.ndarray, k: int, digits: int, off: float = 0.0, exact=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, column, rounded score of each row's k best columns of s, by rounded score descending, then id; -inf is no score.
+
+    No row is sorted whole: the k-th largest of the maxima of groups of columns is a score that k columns reach, so only
+    what comes within a rounding step of it is rounded and sorted. s may be off by up to `off` if exact(row, column) gives
+    the scores themselves.
+    """
+    n, m = s.shape
+    width = max(1, min(64, m // (4 * k)))
+    tops = np.maximum.reduceat(s, np.arange(0, m, width), axis=1)
+    least = np.partition(tops, tops.shape[1] - k, axis=1)[:, -k] if tops.shape[1] >= k else np.full(n, -np.inf)
+    row, col = np.divmod(np.flatnonzero(s >= np.maximum(least - 2 * (off + 10.0**-digits), LOWEST).astype(s.dtype)[:, None]), m)
+    score = np.round(s[row, col] if exact is None else exact(row, col), digits)
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k], score[place < k]
 
 
 def best_of_blocks(k: int, exclude_self: bool, digits: int):
-    """A function over batches of v_ids, v_m, ids, m that gives q, v, score: each block pair's k best rows of each query."""
+    """A function over batches of v_ids, v_m, ids, m that gives q, v, score: each block pair's k best rows of each query.
+
+    Products are of single precision and tell which rows can be among the best; those are scored in double precision.
+    """
 
     def best(batches):
         import pyarrow as pa
@@ -66,17 +91,30 @@ def best_of_blocks(k: int, exclude_self: bool, digits: int):
             for r in range(b.num_rows):
                 mine, v = _block(b.column(0)[r].values, b.column(1)[r].as_py())
                 ids, q = _block(b.column(2)[r].values, b.column(3)[r].as_py())
-                s = np.round(_unit(q) @ _unit(v).T, digits)
-                if exclude_self:
-                    s[ids[:, None] == mine[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(mine, s.shape), -s), axis=1)[:, :k]
-                score = np.take_along_axis(s, order, axis=1)
-                keep = np.isfinite(score).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(mine[order].ravel()[keep]), pa.array(score.ravel()[keep])], ["q", "v", "score"])
+                q, v = _unit(q), _unit(v)
+                q32, v32, off = q.astype(np.float32), v.astype(np.float32).T, (v.shape[1] + 8) * 2.0**-23
+                low = np.argsort(mine, kind="stable")
+                for at in range(0, len(ids), TILE):  # a product of 4 MB at most stands at a time
+                    some, mat = ids[at : at + TILE], q[at : at + TILE]
+                    s = q32[at : at + TILE] @ v32
+                    if exclude_self:
+                        first, last = (np.searchsorted(mine[low], some, side=x) for x in ("left", "right"))
+                        for i in np.flatnonzero(last > first):
+                            s[i, low[first[i] : last[i]]] = -np.inf
+                    row, col, score = best_in_rows(s, mine, k, digits, off, lambda i, j, mat=mat, v=v: _dots(mat, i, v, j))
+                    yield pa.RecordBatch.from_arrays([pa.array(some[row]), pa.array(mine[col]), pa.array(score)], ["q", "v", "score"])
 
     return best
 
 
+def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """The products of rows a[i] and b[j], some at a time."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), step):
+        out[at : at + step] = np.einsum("ij,ij->i", a[i[at : at + step]], b[j[at : at + step]])
+    return out
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", exclude_self: bool = False, digits: int = 8, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, score, rank: each query's k nearest vectors by cosine, ties to the smaller id.
 
