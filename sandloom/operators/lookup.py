@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..sources.io import scratch
 
 
 def plain(c):
@@ -33,7 +34,7 @@ def match_corrections(queries: DataFrame, corrections: DataFrame, shared: int =
     return pairs.groupBy("query_id").agg(F.min("correction_id").alias("correction_id"))
 
 
-GRAM = 3
+GRAM, NAMED_WORDS = 3, 1 << 18
 
 
 def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
@@ -42,13 +43,16 @@ def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
     A text of three words or more is met by the rarest of its inner words, which are whole words of the text around it. Of
     shorter ones the longest word lies in a word of the text around it: it is looked for among the distinct words, by its
     rarest three-character gram, or by itself if it has one or two characters. Texts without a word are contained in
-    nothing.
+    nothing. The distinct words and their counts are written once, so are the words to look for; these are broadcast up to
+    NAMED_WORDS, and the words of the texts are shuffled beyond.
     """
+    spark, path = large.sparkSession, scratch(large.sparkSession, "contained")
     parts = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
     held = large.select("large_id", F.explode(F.array_distinct(parts(F.col("large")))).alias("word"))
     ws = small.select("small_id", parts(F.col("small")).alias("ws"))
-    counts = held.groupBy("word").agg(F.count("*").alias("df"))
+    held.groupBy("word").agg(F.count("*").alias("df")).write.parquet(f"{path}/words")
+    counts = spark.read.parquet(f"{path}/words")
     inner = ws.filter(F.size("ws") >= 3).select("small_id", F.explode(F.array_distinct(F.slice("ws", F.lit(2), F.size("ws") - 2))).alias("word"))
     rarest = inner.join(counts, "word", "left").groupBy("small_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), F.col("word"))).alias("word"))
     longest = F.aggregate("ws", F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
@@ -62,7 +66,9 @@ def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
         tiny = short.filter(F.length("key") == n)
         pieces = counts.filter(F.length("word") >= n).select("word", F.explode(grams(F.col("word"), n)).alias("key"))
         inside = inside.unionByName(tiny.join(pieces, "key").select("small_id", "word"))
-    met = rarest.select("small_id", "word").unionByName(inside).join(held, "word").select("small_id", "large_id").distinct()
+    rarest.select("small_id", "word").unionByName(inside).write.parquet(f"{path}/asked")
+    asked = spark.read.parquet(f"{path}/asked")
+    met = held.join(F.broadcast(asked) if asked.count() <= NAMED_WORDS else asked, "word").select("small_id", "large_id").distinct()
     both = met.join(small, "small_id").join(large, "large_id")
     return both.filter(F.contains("large", F.col("small"))).select("small_id", "large_id")
 

@@ -129,7 +129,7 @@ def _cases(t: Tables):
     b, d = t.benchmark, t.documents
     inside = lookup.contained_pairs(b.select(F.col("item_id").alias("small_id"), F.col("text").alias("small")), d.select(F.col("doc_id").alias("large_id"), F.col("text").alias("large")))
     inside = inside.select(F.col("small_id").alias("item_id"), F.col("large_id").alias("doc_id"))
-    top = lexical.top_k(lexical.bm25(b, d), 10, "item_id").select("item_id", "doc_id", "rank")
+    top = lexical.bm25_top(b, d, 10).select("item_id", "doc_id", "rank")
     # A text that very many documents hold is counted; of those documents only the retrieved ones are gathered.
     n = inside.groupBy("item_id").agg(F.count("*").alias("n_expected"))
     both = top.join(inside.withColumn("held", F.lit(True)), ["item_id", "doc_id"], "left")

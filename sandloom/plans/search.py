@@ -40,7 +40,7 @@ def term_df_idf(t: Tables):
 
 @query(f"WITH {TOK} SELECT item_id, doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 8) DESC, doc_id) AS rank FROM bm) WHERE rank <= 10")
 def bm25_topk(t: Tables):
-    return lexical.top_k(lexical.bm25(t.benchmark, t.documents), 10, "item_id").select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+    return lexical.bm25_top(t.benchmark, t.documents, 10).select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(f"WITH {TOK} SELECT item_id, doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 8) DESC, doc_id) AS rank FROM bm) WHERE rank <= 10")
@@ -53,9 +53,8 @@ def bm25_index_topk(t: Tables):
 
 @query(f"WITH {TOK} SELECT item_id, doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 8) DESC, doc_id) AS rank FROM bm JOIN (SELECT doc_id FROM documents WHERE lang = 'en' AND {KIND} IN ('textbook', 'guide')) USING (doc_id)) WHERE rank <= 5")
 def bm25_filtered_global_stats(t: Tables):
-    allowed = t.documents.filter((F.col("lang") == "en") & kind().isin("textbook", "guide")).select("doc_id")
-    scores = lexical.bm25(t.benchmark, t.documents).join(allowed, "doc_id", "left_semi")
-    return lexical.top_k(scores, 5, "item_id").select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+    allowed = (F.col("lang") == "en") & kind().isin("textbook", "guide")
+    return lexical.bm25_top(t.benchmark, t.documents, 5, allowed=allowed).select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT item_id AS query_id, v AS qv FROM benchmark JOIN e ON item_id = vec_id), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(qv, v), 8) AS score FROM q, e), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
@@ -162,7 +161,7 @@ def relevant_sentence(t: Tables):
 
 @query()
 def rerank_overlap(t: Tables):
-    top = lexical.top_k(lexical.bm25(t.benchmark, t.documents), 10, "item_id").withColumnRenamed("rank", "position")
+    top = lexical.bm25_top(t.benchmark, t.documents, 10).withColumnRenamed("rank", "position")
     both = top.join(t.benchmark.select("item_id", F.col("text").alias("question")), "item_id").join(t.documents.select("doc_id", "text"), "doc_id")
     score = plugins.score_with(plugins.OverlapScorer(), F.col("question"), F.col("text"))
     return ranking.rerank(both, "item_id", score, 5).select("item_id", "doc_id", "position", "rerank_score", "rank")

@@ -80,7 +80,9 @@ def web_only_retrieve(t: Tables):
 
 @query(f"WITH {TOK}, f AS (SELECT item_id, doc_id, n_chars FROM bm JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 8) DESC, doc_id) <= 20) SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY -n_chars DESC, doc_id) AS INT) AS rank FROM f QUALIFY rank <= 5")
 def two_stage_rerank(t: Tables):
-    scores = lexical.bm25(t.benchmark, t.documents).withColumn("score", F.round("score", 8)).join(t.documents.select("doc_id", (-F.col("n_chars")).alias("second")), "doc_id")
+    # Only the 20 that a question's first stage keeps (two_stage's `wide`) go on; they are those of all scores.
+    first = lexical.bm25_top(t.benchmark, t.documents, 20).drop("rank").withColumn("score", F.round("score", 8))
+    scores = first.join(t.documents.select("doc_id", (-F.col("n_chars")).alias("second")), "doc_id")
     return ranking.two_stage(scores, "item_id", "score", "second").select("item_id", "doc_id", "rank")
 
 
