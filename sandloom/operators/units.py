@@ -19,11 +19,35 @@ ACTIVITY = re.compile(r"(?i)\b(ACTIVITY\s+\d+)\b")
 STEP = re.compile(r"(?i)^(?:(?:Aim|Procedure|Observation|Materials Required):|\s*(?:[A-Za-z]|\d+\.)?\s*(?:Draw|Find|Measure|Take|Place|Keep|Fill|Cut|Make|Observe)\b)")
 TABLE = re.compile(r"\b(Table\s+\d+\.\d+)\s+([A-Z][a-zA-Z\s]+?)(?=\s[A-Z]|\s[a-z]{3,})")
 LAW = re.compile(r"(?i)\b([A-Z][a-zA-Z\s]+(?:Law|Theorem|Principle|Rule|Effect))\b")
+LAW_WORD = re.compile(r"(?i)(?:Law|Theorem|Principle|Rule|Effect)\b")
+NO_LETTER = re.compile(r"(?i)[^a-z\s]")
+FIRST = re.compile(r"(?i)\b[A-Z]")
 QUESTION = re.compile(r"(?m)^\s*(?:\d+\.|[a-z]\))\s+")
 FORMULA_HEAVY = ["Example/Problem", "Exercise Sub-Question", "Exercise Block", "Concept/Law", "Heading"]
 DESCRIPTIVE = ["Descriptive Unit", "Activity", "Activity Instruction"]
 
 
+def law(block: str) -> str | None:
+    """What LAW finds first, in one pass: LAW itself looks through the rest of a run of letters from each of its words.
+
+    A match lies in a run of letters and spaces; it begins at the run's first word and ends with the last of the words that
+    may end it. Where that doesn't do, no later place of the run does.
+    """
+    at = 0
+    while m := LAW_WORD.search(block, at):
+        end = stop.start() if (stop := NO_LETTER.search(block, m.end())) else len(block)
+        begin = next((i for i in range(m.start() - 1, at - 1, -1) if NO_LETTER.match(block[i])), at - 1) + 1
+        if first := FIRST.search(block, begin, end):
+            last = None
+            while m and m.end() <= end:
+                last = m.end() if m.start() >= first.start() + 2 else last
+                m = LAW_WORD.search(block, m.end())
+            if last:
+                return block[first.start() : last]
+        at = end
+    return None
+
+
 def _kind(block: str):
     """(type, name, whether following prose belongs to it) of a block that begins a unit, or None."""
     if m := EXERCISE.search(block):
@@ -36,8 +60,8 @@ def _kind(block: str):
         return "Activity Instruction", "Activity Step", False
     if m := TABLE.search(block):
         return "Table", f"{m[1]} {m[2].strip()}", False
-    if (m := LAW.search(block)) and len(m[1]) < 50:
-        return "Concept/Law", m[1].strip(), False
+    if (name := law(block)) and len(name) < 50:
+        return "Concept/Law", name.strip(), False
     return None
 
 
