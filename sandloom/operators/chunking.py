@@ -159,13 +159,24 @@ def curriculum_chunks(blocks: DataFrame, key: str = "doc_id", order: str = "seq"
     new = F.lag("path").over(w).isNull() | (F.lag("path").over(w) != F.col("path")) | F.col("large") | F.lag("large").over(w)
     b = b.withColumn("stretch", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
+    # Words as str.split() parts them. Only their numbers, and texts that have to be split, go to Python.
+    n_words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"(?U)([^\s\x1C-\x1F]+)"), 1))
+
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def cuts(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda ns: [{"a": a, "b": b} for a, b in cut_points([int(n) for n in ns], target, overlap)])
+
     @F.pandas_udf("array<string>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda ts: pack_blocks(list(ts), target, overlap))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else split_large(t, target, overlap))
 
     rows = F.array_sort(F.collect_list(F.struct(order, "text")))
     s = b.groupBy(key, "stretch").agg(F.first("path").alias("section_path"), F.when(F.max("large"), F.max("role")).otherwise("general").alias("role"), F.transform(rows, lambda x: x["text"]).alias("texts"))
-    at = s.select(key, "stretch", "section_path", "role", F.posexplode(packed("texts")).alias("piece", "text"))
+    s = s.withColumn("sizes", F.transform("texts", n_words))
+    alone = (F.size("texts") == 1) & (F.col("sizes")[0] > target)
+    s = s.select(key, "stretch", "section_path", "role", "texts", split(F.when(alone, F.col("texts")[0])).alias("split"), cuts(F.when(~alone, F.col("sizes")).otherwise(F.expr("array()"))).alias("cuts"))
+    together = F.transform("cuts", lambda r: F.array_join(F.slice(F.col("texts"), r["a"] + 1, r["b"] - r["a"]), "\n\n"))
+    at = s.select(key, "stretch", "section_path", "role", F.posexplode(F.coalesce("split", together)).alias("piece", "text"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("stretch", "piece")) - 1
     return at.select(key, number.alias("chunk_no"), "section_path", "role", T.with_context("section_path", "text").alias("chunk"))
 
