@@ -20,11 +20,11 @@ class WordCached:
 
     Words are split at ASCII white space only; whatever else the tokenizer does happens inside a word. New words that are
     letters, with or without punctuation behind, are encoded many in one text: such a run of letters always ends in a
-    token with the word-end mark, which tells them apart again. Other new words are encoded one by one. The cache is
-    emptied when it holds `most` words, so memory is bounded.
+    token with the word-end mark, which tells them apart again. A run is encoded once, whatever stands behind it. Other new
+    words are encoded one by one. The cache is emptied when it holds `most` words, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -40,34 +40,47 @@ class WordCached:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, odd = [], []
-        for w in words:
-            t = w.decode()
-            m = _PLAIN.fullmatch(t) if self.ends is not None else None
-            (odd if m is None else plain).append((w, t) if m is None else (w, *m.groups()))
-        tails = list({p for _, _, p in plain if p})
+        runs, tailed, odd = {w: None for w in words if w.isalpha()}, [], []  # bytes.isalpha() knows A-Z and a-z alone
+        rest = [w for w in words if not w.isalpha()]
+        for w, t in zip(rest, b"\n".join(rest).decode().split("\n") if rest else [], strict=True):
+            m = _PLAIN.fullmatch(t)
+            if m is None:
+                odd.append((w, t))
+            elif m[2]:
+                tailed.append((w, w[: -len(m[2])], m[2]))
+            else:
+                runs[w] = None
+        if self.ends is None:
+            odd += [(w, w.decode()) for w in [*runs, *(x for x, _, _ in tailed)]]
+            runs, tailed = {}, []
+        # Of words with punctuation behind, the run of letters is most often known by itself.
+        runs |= {c: None for _, c, _ in tailed if c not in self.cache}
+        tails = {p for _, _, p in tailed}
         odd += [(p.encode(), p) for p in tails]
         for (w, _), ids in zip(odd, self._ids([t for _, t in odd]), strict=True):
             self.cache[w] = ids.tobytes()
-        tail = {p: self.cache[p.encode()] for p in tails} | {"": b""}
-        for k in range(0, len(plain), 500):
-            part = plain[k : k + 500]
-            (ids,) = self._ids([" ".join(c for _, c, _ in part)])
+        tail = {p: self.cache[p.encode()] for p in tails}
+        runs = list(runs)
+        for k in range(0, len(runs), 500):
+            part = runs[k : k + 500]
+            (ids,) = self._ids([b" ".join(part).decode()])
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(ends) != len(part):  # a word of these doesn't end as words do: one by one
-                for (w, c, p), x in zip(part, self._ids([c for _, c, _ in part]), strict=True):
-                    self.cache[w] = x.tobytes() + tail[p]
+                for w, x in zip(part, self._ids([w.decode() for w in part]), strict=True):
+                    self.cache[w] = x.tobytes()
                 continue
             raw, at = ids.tobytes(), 0
-            for (w, _, p), to in zip(part, ends.tolist(), strict=True):
-                self.cache[w] = raw[at:to] + tail[p]
+            for w, to in zip(part, ends.tolist(), strict=True):
+                self.cache[w] = raw[at:to]
                 at = to
+        for w, c, p in tailed:
+            self.cache[w] = self.cache[c] + tail[p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         split = [t.encode("utf-8", "replace").split() for t in texts]
         new = set().union(*split).difference(self.cache)
-        if len(self.cache) + len(new) > self.most:
+        if len(self.cache) + 2 * len(new) > self.most:  # a new word may bring its run of letters along
             self.cache = {}
             new = set().union(*split)
         self._learn(list(new))

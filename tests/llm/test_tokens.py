@@ -162,3 +162,14 @@ def test_evolution_meets_the_bound_and_keeps_what_it_gets():
     assert max(loads) <= 100 and n <= 151
     again, m, _ = evolve(sizes, 100, [where], 2)
     assert m <= n and len(again) == 300
+
+
+def test_runs_of_letters_are_encoded_once_whatever_stands_behind_them(monkeypatch):
+    enc, seen = WordCached(P.path("word_bpe_49k.json")), []
+    plain = enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda texts: seen.extend(" ".join(texts).split()) or plain(texts))
+    texts = ["hello, hello. Été", "hello hello! Été; été,", "hello?? ... . nü, nü"]
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    assert [x for y in texts for x in enc.encode([y])] == want
+    assert seen.count("hello") == seen.count("Été") == seen.count("nü") == 1, seen
