@@ -119,7 +119,7 @@ def _count_words(batches):
     for part, texts in parts(batches, limit=SHARD):
         at, words = tokens(texts, part.column(0).to_pylist())
         n = np.bincount(at[at >= 0], minlength=len(words))
-        yield pa.RecordBatch.from_arrays([_keys(words, [np.arange(len(words))]), pa.array(n)], ["key", "n"])
+        yield pa.RecordBatch.from_arrays([_keys(_named(words), [np.arange(len(words))]), pa.array(n)], ["key", "n"])
 
 
 def _hash_words(batches):
@@ -131,12 +131,19 @@ def _hash_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(_hash(words).view(np.int64))], ["h"])
 
 
-def _keys(words: list, columns: list[np.ndarray]):
+def _named(words: list):
+    """A shard's words and their languages as Arrow columns."""
+    import pyarrow as pa
+
+    return pa.array([w for _, w in words], pa.binary()), pa.array([lang for lang, _ in words], pa.string()).cast(pa.binary())
+
+
+def _keys(named, columns: list[np.ndarray]):
     """An Arrow column of phrase, tab and language; the phrases' words have the numbers in columns. One short key keeps shuffles small."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    names, langs = pa.array([w for _, w in words], pa.binary()), pa.array([lang.encode() for lang, _ in words], pa.binary())
+    names, langs = named
     phrase = [names.take(pa.array(c)) for c in columns]
     phrase = phrase[0] if len(phrase) == 1 else pc.binary_join_element_wise(*phrase, b" ")
     key = pc.binary_join_element_wise(phrase, langs.take(pa.array(columns[0])), b"\t")
@@ -219,9 +226,10 @@ def _mine(batches, words_map: Bloom, pairs_map: Bloom, most: int = 1 << 16):
     """key, n: each shard's phrases of two and three words whose pairs may be frequent, followed depth-first."""
     import pyarrow as pa
 
-    def rows(words, columns, n):
-        return pa.RecordBatch.from_arrays([_keys(words, columns), pa.array(n)], ["key", "n"])
+    def rows(columns, n):
+        return pa.RecordBatch.from_arrays([_keys(named, columns), pa.array(n)], ["key", "n"])
 
+    of = named = None
     for words, h, maps, (node, word, block, mask) in _prefixes(batches, words_map):
         n = len(words)
         code, new, order, count = _phrases(node, word, mask, n)
@@ -229,7 +237,9 @@ def _mine(batches, words_map: Bloom, pairs_map: Bloom, most: int = 1 << 16):
         frequent = pairs_map.has(slots(_pair_hash(h[first], h[second]), pairs_map.bits))
         if not frequent.any():
             continue
-        yield rows(words, [first[frequent], second[frequent]], count[frequent])
+        if words is not of:  # once a shard, not for each of its pieces
+            of, named = words, _named(words)
+        yield rows([first[frequent], second[frequent]], count[frequent])
         number = np.repeat(np.arange(len(code)), np.diff(np.append(new, len(order))))
         live = frequent[number]
         node, order = number[live], order[live]
@@ -241,7 +251,7 @@ def _mine(batches, words_map: Bloom, pairs_map: Bloom, most: int = 1 << 16):
             good = pairs_map.has(slots(_pair_hash(h[second[top]], h[third]), pairs_map.bits))
             top, third, count3 = top[good], third[good], count3[good]
             if len(top):
-                yield rows(words, [first[top], second[top], third], count3)
+                yield rows([first[top], second[top], third], count3)
 
 
 def frequent(docs: DataFrame, minimum: int = MINIMUM) -> tuple[DataFrame, DataFrame]:

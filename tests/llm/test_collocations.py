@@ -84,3 +84,22 @@ def test_bitmaps_shift_over_blocks_and_stop_at_holes():
 def test_same_as_sql(spark):
     folder = "/root/testdata/sf0.001"
     assert rows(C.query(spark, folder).toPandas()) == rows(oracle(C.SQL, folder))
+
+
+def test_words_become_columns_once_a_shard_not_for_each_piece(monkeypatch):
+    import pyarrow as pa
+
+    text = " ".join(f"a{i % 7} b{i % 5}" for i in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"]), pa.array([text, text])], ["lang", "text"])
+    full = C.Bloom(6, np.array([2**64 - 1], dtype=np.uint64))
+    plain, calls = C._named, []
+    monkeypatch.setattr(C, "_named", lambda words: calls.append(len(words)) or plain(words))
+    counts = []
+    for most in (4, 1 << 16):
+        counts.append(Counter())
+        for out in C._mine([batch], words_map=full, pairs_map=full, most=most):
+            for key, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                counts[-1][key] += n
+    ws = text.split()
+    assert counts[0] == counts[1] == Counter(f"{' '.join(ws[i : i + k])}\t{lang}" for lang in ("en", "de") for k in (2, 3) for i in range(len(ws) - k + 1))
+    assert len(calls) == 2, "one shard, two runs"
