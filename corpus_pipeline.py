@@ -17,8 +17,16 @@ from sandloom.llm.packing import pack_documents
 from sandloom.llm.quality import quality_scores
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """From now on whole texts go to Python at most `rows` at a time: a batch lies outside the JVM's heap and in the worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier doesn't reject (score >= 0.3). Labels are found by doc_id."""
+    small_batches(spark)
     rows = keyed(docs)
     return drop_rows(rows, quality_scores(rows, table(spark, sf_dir, "labels"), carry=ROW).filter("predicted = 0"))
 
@@ -28,6 +36,7 @@ def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null doc_id counts as the largest; of rows with the same doc_id one stays.
     """
+    small_batches(spark)
     rows = keyed(docs)
     same = exact_dedup(by_row(rows), batches=1).filter("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group_id"))
     return drop_rows(rows, all_but_first(rows, same))
@@ -38,12 +47,14 @@ def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null doc_id counts as the largest; rows with the same or no doc_id are held together by their texts alone.
     """
+    small_batches(spark)
     rows = keyed(docs)
     return drop_rows(rows, all_but_first(rows, jaccard_components(by_row(rows)).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group_id"))))
 
 
 def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that overlap no benchmark passage."""
+    small_batches(spark)
     rows = keyed(docs)
     return drop_rows(rows, decontaminate(by_row(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(ROW)))
 
@@ -52,6 +63,7 @@ def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and place in it."""
     import public_tokenizers
 
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -33,6 +33,7 @@ NUM, DEN = 80, 100  # the similarity as a fraction
 HOT = 16  # sets of one signature in a task that go on as they are
 MINIMA = 8  # triples of hash functions by which sets that are left are gathered before they are joined by prefix
 FEW = 8  # sets of a torn group that are compared with each other
+PART = {"rows": 512, "limit": 1 << 20}  # what a task works on at a time: work space is some thirty times the text
 MARK = np.int64(-(1 << 63))  # stands among the sets of a signature that a task has salted
 _U = np.uint64
 
@@ -173,7 +174,7 @@ def _folded(batches):
 def _set_keys(batches):
     import pyarrow as pa
 
-    for b, t in parts(batches):
+    for b, t in parts(batches, **PART):
         sets = shingles(t)
         k1, k2 = _class_keys(sets)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array([parity(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "parity"])
@@ -195,7 +196,7 @@ def _star(r: np.ndarray, b: np.ndarray):
     return new, b[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
 
 
-def _emit(batches, hold: int = 1_000_000):
+def _emit(batches, hold: int = 1 << 18):
     """Rows (r, b): set b has signature r. Of more than HOT sets in this task, all but the smallest have it salted."""
     from pyspark import TaskContext
 
@@ -211,9 +212,12 @@ def _emit(batches, hold: int = 1_000_000):
         sig, key, new = sig[once], key[once], new[once]
         at = np.flatnonzero(new)
         hot = np.repeat(np.diff(np.append(at, len(sig))) > HOT, np.diff(np.append(at, len(sig))))
-        yield _rows(np.concatenate([np.where(hot, mix(sig ^ mix(np.array([salt], dtype=_U))), sig), sig[hot & new], sig[hot & new]]).view(np.int64), np.concatenate([key, key[hot & new], np.full(int((hot & new).sum()), MARK)]))
+        r = np.concatenate([np.where(hot, mix(sig ^ mix(np.array([salt], dtype=_U))), sig), sig[hot & new], sig[hot & new]]).view(np.int64)
+        b = np.concatenate([key, key[hot & new], np.full(int((hot & new).sum()), MARK)])
+        for k in range(0, len(r), 1 << 16):  # the JVM holds a batch outside its heap
+            yield _rows(r[k : k + (1 << 16)], b[k : k + (1 << 16)])
 
-    for _, t in parts(batches):
+    for _, t in parts(batches, **PART):
         sets = shingles(t)
         keys = _class_keys(sets)[0]
         _, once = np.unique(keys, return_index=True)  # copies in this part
@@ -269,7 +273,7 @@ def _through(batches, bloom):
     """Parts of those rows that the bit map lets through."""
     import pyarrow as pa
 
-    yield from parts(b.filter(pa.array(bloom.value.has(b.column(2).to_numpy()))) for b in batches)
+    yield from parts((b.filter(pa.array(bloom.value.has(b.column(2).to_numpy()))) for b in batches), **PART)
 
 
 def _chosen_sets(batches, bloom=None):

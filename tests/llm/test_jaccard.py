@@ -139,3 +139,15 @@ def test_parities_never_rule_out_a_link():
         assert open_ or not linked
         ruled += not open_
     assert ruled > 500
+
+
+def test_signatures_leave_a_task_in_small_batches(monkeypatch):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 1})())
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices("abcdefghij", k=200)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts)], ["doc_id", "text"])
+    sizes = [b.num_rows for b in jaccard._emit([batch])]
+    assert sum(sizes) > 1 << 17 and max(sizes) <= 1 << 16, sizes

@@ -110,3 +110,15 @@ def test_row_keys_by_broadcast_and_by_shuffle(spark, tmp_path):
     keys = [{r.id: r[ROW] for r in keyed(t, most).collect()} for most in (1 << 20, 0)]
     assert keys[0] == keys[1] and len(set(keys[0].values())) == 1000
     assert len({k >> 40 for k in keys[0].values()}) == 7
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+            spark.conf.set(name, given)
+            P.small_batches(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
