@@ -12,10 +12,13 @@ Sets are compared once for each class of equal sets. Of a signature's sets the s
 If a map task has many sets of one signature, they go on under a signature of that task's own, and only their smallest
 under the shared one, so that no reducer gets a hot signature whole. For a signature of two sets that is all; in larger
 groups it makes chains of links. A group is torn if its sets are not all linked in the end. The sets of a torn group of up
-to FEW are compared with each other. Whatever is linked with a set of a larger torn group, and the sets left over, are joined exactly by prefix: two sets with the similarity share an element among
+to FEW are compared with each other. As the weights add up to more than H, a set meets each partner under several signatures
+(`needs`), most of all if it is large: if a partner is still missing, what is linked with the set touches as many larger torn
+groups. So whatever touches fewer is done; sets that share a common line and little else mostly are. The others, and the
+sets left over, are joined exactly by prefix: two sets with the similarity share an element among
 the first |r| - ceil(t|r|) + 1 of each, in an order that puts the elements that most of these sets have last; elements
-whose sets are all linked already are skipped. Candidates that a bit sketch of both sets doesn't rule out are verified on the whole
-sets.
+whose sets are all linked already are skipped, and elements that the same sets have are one key (`_merged`). Candidates that
+a bit sketch of both sets doesn't rule out are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ NUM, DEN = 80, 100  # the similarity as a fraction
 HOT = 16  # sets of one signature in a task that go on as they are
 MINIMA = 8  # triples of hash functions by which sets that are left are gathered before they are joined by prefix
 FEW = 8  # sets of a torn group that are compared with each other
+BLOCK = 1024  # sets of one key of the join by prefix that are compared in one piece
 PART = {"rows": 512, "limit": 1 << 20}  # what a task works on at a time: work space is some thirty times the text
 MARK = np.int64(-(1 << 63))  # stands among the sets of a signature that a task has salted
 _U = np.uint64
@@ -77,14 +81,15 @@ def allocate(low: int, high: int) -> tuple[int, int, int]:
     return weight - double, double, most
 
 
-def signatures(sets: list[np.ndarray], keys: np.ndarray):
-    """(signature, key) of every indexed subset, and the keys of the sets left over."""
+def _segments(sets: list[np.ndarray]):
+    """For sets dealt into segments, first in their own families and then in those below: the sets' numbers, their families,
+    (first slot, segments, segments of weight 2) of each set, its elements, owner and slot of each, elements in each slot,
+    and by how much a set's weight exceeds its largest difference from a partner."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     edges = bands(int(sizes.max(initial=1)))
     plan = [allocate(int(a), int(b) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     m_of, d_of = np.array([p[0] for p in plan]), np.array([p[1] for p in plan])
     band = np.searchsorted(edges, sizes, side="right") - 1
-    sig, key, short = [], [], np.zeros(len(sets), dtype=bool)
     for step in (0, 1):  # in its own family, and in the one below if a partner can be there
         family = band - step
         live = np.flatnonzero((sizes > 0) & (family >= 0) & (sizes * NUM <= DEN * (edges[np.maximum(family, 0) + 1] - 1)))
@@ -97,20 +102,38 @@ def signatures(sets: list[np.ndarray], keys: np.ndarray):
         owner = np.repeat(np.arange(len(live)), n)
         seg = ((mix(tokens ^ _U(0xA5A5)) >> _U(33)) * m[owner].astype(_U) >> _U(31)).astype(np.int64)
         slot = base[owner] + seg
-        value = mix(tokens)
-        total = np.zeros(int(m.sum()), dtype=_U)
-        np.add.at(total, slot, value)
-        count = np.bincount(slot, minlength=len(total))
+        count = np.bincount(slot, minlength=int(m.sum()))
         who = np.repeat(np.arange(len(live)), m)
-        place = np.arange(len(total)) - base[who]
-        salt = mix((fam[who].astype(_U) << _U(32)) + place.astype(_U) + _U(1))
-        double = place < d[who]
+        double = np.arange(len(count)) - base[who] < d[who]
         weight = np.where(double, np.where(count >= 2, 2, 0), np.where(count >= 1, 1, 0))
         have = np.bincount(who, weights=weight, minlength=len(live)).astype(np.int64)
         # the largest difference of this set from a partner in this family
         partner = np.minimum(n * DEN // NUM, (edges[fam + 1] - 1) * DEN // NUM) if step == 0 else edges[fam + 1] - 1
         far = (n + partner) * (DEN - NUM) // (DEN + NUM)
-        short[live[have <= far]] = True
+        yield live, fam, base, m, d, tokens, owner, slot, count, have - far
+
+
+def needs(sets: list[np.ndarray]) -> np.ndarray:
+    """How many signatures at least a set shares with any partner; 0 if it is left over. Segments that don't meet weigh no more
+    than the two differ, so those that meet weigh as much as the excess, and each of them is a signature of its own."""
+    out = np.full(len(sets), np.iinfo(np.int64).max)
+    for live, _, _, _, d, *_, excess in _segments(sets):
+        out[live] = np.minimum(out[live], np.where(excess <= 2 * d, (excess + 1) // 2, excess - d))
+    return np.maximum(out, 0)
+
+
+def signatures(sets: list[np.ndarray], keys: np.ndarray):
+    """(signature, key) of every indexed subset, and the keys of the sets left over."""
+    sig, key, short = [], [], np.zeros(len(sets), dtype=bool)
+    for live, fam, base, m, d, tokens, owner, slot, count, excess in _segments(sets):
+        value = mix(tokens)
+        total = np.zeros(len(count), dtype=_U)
+        np.add.at(total, slot, value)
+        who = np.repeat(np.arange(len(live)), m)
+        place = np.arange(len(total)) - base[who]
+        salt = mix((fam[who].astype(_U) << _U(32)) + place.astype(_U) + _U(1))
+        double = place < d[who]
+        short[live[excess <= 0]] = True
         full = count > 0
         sig.append(mix(total[full] ^ salt[full]))
         key.append(keys[live][who[full]])
@@ -177,7 +200,7 @@ def _set_keys(batches):
     for b, t in parts(batches, **PART):
         sets = shingles(t)
         k1, k2 = _class_keys(sets)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array([parity(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "parity"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array([parity(s) for s in sets], pa.binary()), pa.array(needs(sets))], ["doc_id", "n_shingles", "k1", "k2", "parity", "need"])
 
 
 def _sift(batches):
@@ -377,6 +400,23 @@ def _gather(minima: DataFrame, sizes: DataFrame, links: DataFrame, linked: DataF
     return links, linked, checked
 
 
+def _merged(first: DataFrame) -> DataFrame:
+    """Of rows (e, doc_id, n, place, root): the same with one key e for elements that much the same sets have, so that two sets
+    meet once and not for each element that both have; and block, of `blocks` of BLOCK sets of the key on average.
+
+    An element goes to the most frequent one that stands in a set with it. If that gathers more than twice as many sets as
+    this one has, its elements stay by themselves. A set has its smallest place under a key.
+    """
+    counted = spill(first.join(first.groupBy("e").agg(F.count("*").alias("k")), "e"), "counted-prefixes")
+    top = counted.groupBy("doc_id").agg(F.max(F.struct("k", "e")).alias("top"))
+    at = spill(counted.select("e", "doc_id").join(top, "doc_id").groupBy("e").agg(F.max("top").alias("top")).select("e", F.col("top.e").alias("key"), F.col("top.k").alias("k")), "keys")
+    sizes = first.select("e", "doc_id").join(at, "e").groupBy("key", "k").agg(F.count_distinct("doc_id").alias("many"))
+    at = at.join(sizes.filter("many <= 2 * k").select("key", F.lit(True).alias("good")), "key", "left").select("e", F.when(F.col("good"), F.col("key")).otherwise(F.col("e")).alias("key"))
+    merged = spill(first.join(at, "e").groupBy(F.col("key").alias("e"), "doc_id", "n", "root").agg(F.min("place").alias("place")), "merged-prefixes")
+    blocks = merged.groupBy("e").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return merged.join(blocks, "e").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+
 def jaccard_components(docs: DataFrame, bloom_bits: int = 25, common_most: int = 1 << 17) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to).
 
@@ -386,8 +426,8 @@ def jaccard_components(docs: DataFrame, bloom_bits: int = 25, common_most: int =
     """
     spark = docs.sparkSession
     source = texts(docs)
-    ids = spill(source.mapInArrow(_set_keys, "doc_id long, n_shingles long, k1 long, k2 long, parity binary"), "set-keys")
-    classes = spill(ids.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "classes")
+    ids = spill(source.mapInArrow(_set_keys, "doc_id long, n_shingles long, k1 long, k2 long, parity binary, need long"), "set-keys")
+    classes = spill(ids.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("need").alias("need")), "classes")
     stars = spill(source.filter("doc_id is not null").mapInArrow(_emit, "r long, b long").repartition("r").sortWithinPartitions("r", "b").mapInArrow(_reduce, "a long, b long, g long, wide boolean"), "stars")
     side = lambda k: classes.filter("rep is not null").select(F.col("k1").alias(k), F.col("rep").alias(f"r{k}"), F.col("n").alias(f"n{k}"))
     found = spill(stars.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"), "candidates")
@@ -417,13 +457,15 @@ def jaccard_components(docs: DataFrame, bloom_bits: int = 25, common_most: int =
     torn = spill(groups.groupBy("g").agg(F.min(F.least("root_a", "root_b")).alias("lo"), F.max(F.greatest("root_a", "root_b")).alias("hi"), F.bool_or("wide").alias("wide_group")).filter("lo <> hi").select("g", "wide_group"), "torn")
     groups = groups.join(torn, "g")
     wide = groups.filter("wide_group")
-    open_roots = wide.select(F.col("root_a").alias("root")).union(wide.select("root_b")).distinct()
+    touched = wide.select(F.col("root_a").alias("root"), "g").union(wide.select("root_b", "g")).groupBy("root").agg(F.count_distinct("g").alias("touched"))
     few = groups.filter("not wide_group")
     member = few.select("g", F.col("ra").alias("doc_id"), F.col("na").alias("n"), F.col("root_a").alias("root")).union(few.select("g", "rb", "nb", "root_b")).distinct()
     mate = member.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     close = f"doc_id < b and root <> rb and least(n, nb) * {DEN} >= greatest(n, nb) * {NUM}"
     few_pairs = spill(member.join(mate, "g").filter(close).select(F.col("doc_id").alias("a"), "b").distinct(), "few-pairs")
     nodes = rooted.select(F.col("ra").alias("node"), F.col("root_a").alias("root")).union(rooted.select("rb", "root_b")).distinct()
+    least = nodes.join(classes.select(F.col("rep").alias("node"), "need"), "node").groupBy("root").agg(F.min("need").alias("need"))
+    open_roots = touched.join(least, "root").filter("touched >= need").select("root")
     rest = nodes.join(open_roots, "root", "left_semi").select(F.col("node").alias("doc_id")).union(found.filter("a = b").select("ra")).distinct()
     rest = spill(rest, "rest")
     discard(stars)
@@ -443,18 +485,20 @@ def jaccard_components(docs: DataFrame, bloom_bits: int = 25, common_most: int =
         first = first.join(linked.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("e", "doc_id", "n", "place", F.coalesce("root", "doc_id").alias("root"))
         first = spill(first.join(rest, "doc_id", "left_semi").distinct(), "prefixes")
         open_ = first.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("e")
-        first = spill(first.join(open_, "e", "left_semi"), "open-prefixes")
+        first = _merged(spill(first.join(open_, "e", "left_semi"), "open-prefixes"))
         folded = classes.filter("rep is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.first("parity").alias("parity"), F.count("*").alias("many"))
         folded = folded.join(rest, "doc_id", "left_semi").mapInArrow(_folded, "doc_id long, " + ", ".join(f"p{k} long" for k in range(16)))
         first = first.join(folded, "doc_id")
-        other = first.select("e", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(16)])
-        # If this is the first element that both have, no more than the elements from it on can be shared; and parities differ
+        # A key of many sets is cut into blocks, and each two blocks meet by themselves.
+        other = first.select("e", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(16)])
+        first = first.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1)))
+        # If this key has the first element that both have, no more than the elements from it on can be shared; and parities differ
         # in no more places than the sets.
         differ = " + ".join(f"bit_count(p{k} ^ q{k})" for k in range(16))
-        can = f"doc_id < b and root <> rb and {FITS} and least(n - place, nb - pb) * {DEN + NUM} >= {NUM} * (n + nb) and coalesce(({differ}) * {DEN + NUM} <= (n + nb) * {DEN - NUM}, true)"
+        can = f"(i < j or doc_id < b) and root <> rb and {FITS} and least(n - place, nb - pb) * {DEN + NUM} >= {NUM} * (n + nb) and coalesce(({differ}) * {DEN + NUM} <= (n + nb) * {DEN - NUM}, true)"
         roots = lambda k: linked.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
         more = more.join(roots("a"), "a", "left").join(roots("b"), "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-        more = more.join(checked, ["a", "b"], "left_anti").union(first.join(other, "e").filter(can).select(F.col("doc_id").alias("a"), "b"))
+        more = more.join(checked, ["a", "b"], "left_anti").union(first.join(other, ["e", "i", "j"]).filter(can).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")))
     more = spill(sift(more.distinct()).join(checked, ["a", "b"], "left_anti"), "more-pairs")
     if more.head(1):
         links = links.union(verified(more, bits(more.select(F.col("a").alias("doc_id")).union(more.select("b")).distinct())))

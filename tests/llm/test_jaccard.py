@@ -151,3 +151,79 @@ def test_signatures_leave_a_task_in_small_batches(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts)], ["doc_id", "text"])
     sizes = [b.num_rows for b in jaccard._emit([batch])]
     assert sum(sizes) > 1 << 16 and max(sizes) <= 1 << 16, sizes
+
+
+def test_partners_share_at_least_as_many_signatures_as_needed():
+    rng = np.random.default_rng(9)
+    above = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 900))
+        r = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        drop = int(rng.integers(0, len(r) // 5 + 1))
+        s = np.unique(np.concatenate([r[drop:], rng.integers(0, 2**63, int(rng.integers(0, len(r) // 5 + 1))).astype(np.uint64)]))
+        both = len(np.intersect1d(r, s))
+        if not both or 100 * both < 80 * (len(r) + len(s) - both):
+            continue
+        sig, key, short = signatures([r, s], np.array([1, 2]))
+        need = jaccard.needs([r, s])
+        shared = len(set(sig[key == 1].tolist()) & set(sig[key == 2].tolist()))
+        assert {k for k, x in zip((1, 2), need.tolist(), strict=True) if not x} == set(short.tolist())
+        assert shared >= max(need.tolist())
+        above += min(need.tolist()) > 1
+    assert above > 100
+
+
+def counted(monkeypatch):
+    """Rows of each table that is written from now on, by label."""
+    rows, real = {}, jaccard.spill
+
+    def spill(df, label):
+        out = real(df, label)
+        rows[label] = rows.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "spill", spill)
+    return rows
+
+
+def test_a_common_line_alone_sends_no_set_to_the_join_by_prefix(spark, monkeypatch):
+    rng = random.Random(13)
+    line = " ".join(f"line{k}" for k in range(14))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) + f" {line} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(150))) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " and more") for i in range(5)]
+    seen = counted(monkeypatch)
+    got = sorted((tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == brute(rows)
+    assert seen["torn"] > 0 and seen["rest"] < 12, seen
+
+
+def test_sets_of_one_family_meet_once_in_the_join_by_prefix(spark, monkeypatch):
+    shared = [(e, i, 100, 3 * e + i % 3, i // 2) for i in range(60) for e in range(20) if (i + e) % 7]
+    alone = [(100 + i // 2, i, 100, 0, i // 2) for i in range(60)]
+    frame = spark.createDataFrame(shared + alone, "e long, doc_id long, n long, place long, root long")
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    got = jaccard._merged(frame).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.e, {})[r.doc_id] = r
+    assert sum(len(x) ** 2 for x in by.values()) < 2 * 60**2 < sum((sum(1 for x in shared if x[0] == e)) ** 2 for e in range(20)) / 5
+    for e in {x[0] for x in shared + alone}:  # sets that had an element in common have a key in common, at no later place
+        mine = {x[1]: x[3] for x in shared + alone if x[0] == e}
+        assert any(all(i in x and x[i].place <= at for i, at in mine.items()) for x in by.values())
+    large = max(by.values(), key=len).values()
+    assert {r.blocks for r in large} == {4} and {r.block for r in large} == {0, 1, 2, 3}
+
+
+def test_families_under_the_threshold_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(14)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for i in range(90):  # most pairs lie just under the threshold, some above
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "_gather", lambda minima, sizes, links, linked, checked, *_: (links, linked, checked))
+    got = sorted((tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == brute(rows)
