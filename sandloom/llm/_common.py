@@ -184,6 +184,19 @@ def parts(batches, text: int = 1, rows: int = 1024, limit: int = 1 << 22):
     release()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """While it lasts, what runs sends at most `rows` rows at a time to Python: a batch lies outside the JVM's heap and in the worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release() -> None:
     """Give memory that this worker has freed back to the system: workers are kept between tasks."""
     import ctypes
@@ -281,21 +294,27 @@ class Bloom:
         return cls(bits, words.view(np.uint64))
 
     @classmethod
-    def of_slots(cls, keys: DataFrame, column: str, slots, bits: int = 25) -> Bloom:
-        """The same, with slots(keys, bits) as the hash function, for keys that are made in Python."""
+    def of_slots(cls, keys: DataFrame, column: str, slots, bits: int = 25, made=None) -> Bloom:
+        """The same, with slots(keys, bits) as the hash function, for keys that are made in Python.
+
+        made: a function of batches whose batches have the keys as first column. It runs in the worker that sets the bits; as
+        a mapInArrow of its own it would take a second worker for each core, which stays with the memory that it has.
+        """
 
         def put(batches):
             import pyarrow as pa
 
             words = np.zeros(1 << (bits - 6), dtype=np.uint64)
-            for b in batches:
+            for b in batches if made is None else made(batches):
                 s = slots(b.column(0).to_numpy().view(np.uint64), bits)
                 np.bitwise_or.at(words, s >> 6, np.uint64(1) << (s & 63).astype(np.uint64))
             at = np.flatnonzero(words)
             for k in range(0, len(at), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(words[at[k : k + (1 << 16)]].view(np.int64))], ["w", "b"])
+            del words, at
+            release()
 
-        got = keys.select(column).mapInArrow(put, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        got = (keys.select(column) if made is None else keys).mapInArrow(put, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         words = np.zeros(1 << (bits - 6), dtype=np.int64)
         words[got["w"].to_numpy()] = got["b"].to_numpy()
         return cls(bits, words.view(np.uint64))

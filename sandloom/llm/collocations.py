@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Bloom, mix, parts, spill, table
+from ._common import Bloom, mix, parts, release, small_batches, spill, table
 
 BLOCK = 8
 MINIMUM, HALF, MOST = 10, 50, 2000
@@ -154,7 +154,7 @@ def slots(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _prefixes(batches, words_map: Bloom, most: int = 1 << 16):
+def _prefixes(batches, words_map: Bloom, most: int = 1 << 14):
     """Of each shard the words, their hashes and bitmaps; then piece by piece node, word, block, mask of phrases of two words.
 
     A piece is some prefixes' entries. What two pieces count of a phrase adds up.
@@ -169,31 +169,41 @@ def _prefixes(batches, words_map: Bloom, most: int = 1 << 16):
 
 def _count_pairs(batches, words_map: Bloom, hold: int = 1 << 20):
     """bucket, pairs: counts of phrases of two words by 44 bits of hash. A row has those of 12 bits: the other 32 bits of each
-    phrase, then its counts in a byte each, which stop at 255."""
+    phrase, then its counts in a byte each, which stop at 255.
+
+    Until then a phrase and its count are one number, the count in the low 20 bits, so they are sorted in place.
+    """
     import pyarrow as pa
 
+    low20 = np.uint64((1 << 20) - 1)
+
     def out(held):
-        code = np.concatenate([c for c, _ in held])
-        order = np.argsort(code)
-        code, n = code[order], np.concatenate([n for _, n in held])[order]
+        both = np.concatenate(held)
+        held.clear()
+        both.sort()
+        code = both >> np.uint64(20)
         new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        n, code = np.minimum(np.add.reduceat(n, new), 255).astype(np.uint8), code[new]
-        bucket, low = (code >> np.uint64(32)).astype(np.int64), code.astype(np.uint32)
+        code = code[new]
+        both &= low20
+        n = np.minimum(np.add.reduceat(both, new), 255).astype(np.uint8)
+        del both
+        bucket, low = (code >> np.uint64(32)).astype(np.int32), code.astype(np.uint32)
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         ends = [*cut[1:].tolist(), len(code)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([low[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(cut.tolist(), ends, strict=True)], pa.binary())], ["bucket", "pairs"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([low[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(cut.tolist(), ends, strict=True)], pa.binary())], ["bucket", "pairs"])
 
     held, size = [], 0
     for words, h, _, (node, word, _, mask) in _prefixes(batches, words_map):
         code, _, _, n = _phrases(node, word, mask, len(words))
         if len(code):
-            held.append((_pair_hash(h[code // len(words)], h[code % len(words)]) >> np.uint64(20), n))
+            held.append(_pair_hash(h[code // len(words)], h[code % len(words)]) & ~low20 | np.minimum(n, 255).astype(np.uint64))
             size += len(code)
         if size > hold:
             yield out(held)
-            held, size = [], 0
+            size = 0
     if held:
         yield out(held)
+    release()
 
 
 def _frequent_pairs(batches, minimum: int):
@@ -222,7 +232,7 @@ def _frequent_pairs(batches, minimum: int):
         yield summed(now, bodies)
 
 
-def _mine(batches, words_map: Bloom, pairs_map: Bloom, most: int = 1 << 16):
+def _mine(batches, words_map: Bloom, pairs_map: Bloom, most: int = 1 << 14):
     """key, n: each shard's phrases of two and three words whose pairs may be frequent, followed depth-first."""
     import pyarrow as pa
 
@@ -261,17 +271,24 @@ def frequent(docs: DataFrame, minimum: int = MINIMUM) -> tuple[DataFrame, DataFr
     from the last run. minimum: at most 255.
     """
     source = docs.select("lang", "text")
+    spark = docs.sparkSession
 
     def summed(mapper) -> DataFrame:
         total = source.mapInArrow(mapper, "key string, n long").groupBy("key").agg(F.sum("n").alias("a"))
         return total.select(F.expr("substring(key, instr(key, '\t') + 1)").alias("lang"), F.substring_index("key", "\t", 1).alias("phrase"), "a")  # a phrase has no tab
 
-    words = spill(summed(_count_words), "words")
-    words_map = Bloom.of_slots(words.filter(F.col("a") >= minimum).select("lang", "phrase").mapInArrow(_hash_words, "h long"), "h", slots, WORD_BITS)
-    pairs = source.mapInArrow(partial(_count_pairs, words_map=words_map), "bucket int, pairs binary").repartition("bucket").sortWithinPartitions("bucket")
-    pairs_map = Bloom.of_slots(pairs.mapInArrow(partial(_frequent_pairs, minimum=minimum), "h long"), "h", slots, PAIR_BITS)
-    phrases = summed(partial(_mine, words_map=words_map, pairs_map=pairs_map)).filter(F.col("a") >= minimum)
-    return words, spill(phrases.select(F.size(F.split("phrase", " ")).alias("size"), "*"), "phrases")
+    # No stage below has two functions of batches, and all of it runs here: one worker a core, and small batches only meanwhile.
+    with small_batches(spark):
+        words = spill(summed(_count_words), "words")
+        known = words.filter(F.col("a") >= minimum).select("lang", "phrase")
+        words_map = spark.sparkContext.broadcast(Bloom.of_slots(known, "h", slots, WORD_BITS, made=_hash_words))
+        pairs = source.mapInArrow(lambda batches: _count_pairs(batches, words_map.value), "bucket int, pairs binary").repartition("bucket").sortWithinPartitions("bucket")
+        pairs_map = spark.sparkContext.broadcast(Bloom.of_slots(pairs, "h", slots, PAIR_BITS, made=partial(_frequent_pairs, minimum=minimum)))
+        phrases = summed(lambda batches: _mine(batches, words_map.value, pairs_map.value)).filter(F.col("a") >= minimum)
+        phrases = spill(phrases.select(F.size(F.split("phrase", " ")).alias("size"), "*"), "phrases")
+    words_map.unpersist()
+    pairs_map.unpersist()
+    return words, phrases
 
 
 def _with_count(rows: DataFrame, key: str, counts: DataFrame, out: str, total: int, hot: int = 1000) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,56 @@ def test_words_become_columns_once_a_shard_not_for_each_piece(monkeypatch):
     ws = text.split()
     assert counts[0] == counts[1] == Counter(f"{' '.join(ws[i : i + k])}\t{lang}" for lang in ("en", "de") for k in (2, 3) for i in range(len(ws) - k + 1))
     assert len(calls) == 2, "one shard, two runs"
+
+
+def test_pairs_are_counted_in_little_memory():
+    import tracemalloc
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    batches, want = [], Counter()
+    for _ in range(4):
+        ws = [rnd.choice(words) for _ in range(250_000)]
+        want.update(zip(ws, ws[1:]))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([" ".join(ws)])], ["lang", "text"]))
+    full = C.Bloom(6, np.array([2**64 - 1], dtype=np.uint64))
+    counted = []
+
+    def held():
+        for b in C._count_pairs(iter(batches), words_map=full):
+            counted.append(b)
+            yield
+
+    tracemalloc.start()
+    for _ in held():
+        pass
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    n = sum(int(np.frombuffer(x, np.uint8, offset=len(x) // 5 * 4).sum()) for b in counted for x in b.column(1).to_pylist())
+    assert n == sum(want.values())
+    assert most < 50, most  # 64 MB where phrases and counts lay apart, 39 now
+
+
+def test_one_python_worker_a_core_and_small_batches_only_meanwhile(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, plans = spark.conf.get(name), []
+    spill, of_slots = C.spill, C.Bloom.of_slots.__func__
+
+    def seen(df):
+        plans.append((df._jdf.queryExecution().executedPlan().toString(), spark.conf.get(name)))
+
+    monkeypatch.setattr(C, "spill", lambda df, label: (seen(df), spill(df, label))[1])
+
+    def watched(cls, keys, *rest, **more):
+        seen(keys)
+        return of_slots(cls, keys, *rest, **more)
+
+    monkeypatch.setattr(C.Bloom, "of_slots", classmethod(watched))
+    C.frequent(spark.createDataFrame([("en", "a b " * 20)], "lang string, text string"), 10)
+    # What of_slots is given gets a function of batches on top, in the same stage unless an exchange lies between.
+    assert len(plans) == 4 and all(int(rows) <= 1024 for _, rows in plans)
+    for plan, _ in plans:
+        stage = plan.split("Exchange")
+        assert all(part.count("MapInArrow") <= 1 for part in stage), plan
+    assert all("MapInArrow" not in plan.split("Exchange")[0] for plan in (plans[1][0], plans[2][0])), "a second worker a core"
+    assert spark.conf.get(name) == before
