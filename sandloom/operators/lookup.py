@@ -73,15 +73,77 @@ def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
     return both.filter(F.contains("large", F.col("small"))).select("small_id", "large_id")
 
 
+TERMS, TERM_CHARS, KEY, KNOWN_WORDS, PAIRS = 1 << 16, 1 << 22, 32, 1 << 16, 1 << 16
+
+
+class _Terms(dict):
+    """Numbers of the terms that a text contains. As a dict: a word -> the keys in it, for words that were met lately.
+
+    A term's key is its longest word, up to KEY characters of it. It lies in a word of any text that contains the term; a
+    term that is more than its key is then looked for in the text itself, one without a word in every text.
+    """
+
+    def __init__(self, terms: list[str]):
+        self.terms, self.keys, self.whole, self.more, self.wordless = terms, {}, {}, {}, []
+        for i, term in enumerate(terms):
+            word = max(term.split(), key=len, default="")[:KEY]
+            if not word:
+                self.wordless.append(i)
+                continue
+            k = self.keys.setdefault(word, len(self.keys))
+            if word == term:
+                self.whole[k] = i
+            else:
+                self.more.setdefault(k, []).append(i)
+        self.lengths = sorted({len(key) for key in self.keys})
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        keys, n = self.keys, len(word)
+        got = tuple({keys[x] for m in self.lengths if m <= n for i in range(n - m + 1) if (x := word[i : i + m]) in keys})
+        if n <= 2 * KEY:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = got
+        return got
+
+    def within(self, text: str) -> list[int]:
+        keys = set().union(*map(self.__getitem__, set(text.split())))
+        sure = [self.whole[k] for k in keys if k in self.whole]
+        return sure + [i for i in [*self.wordless, *(i for k in keys if k in self.more for i in self.more[k])] if self.terms[i] in text]
+
+
 def glossary_matches(prompts: DataFrame, glossary: DataFrame) -> DataFrame:
     """prompt_id, english, tamil of all glossary terms that a prompt contains, in lower case; the last entry of a term wins.
 
-    prompts: prompt_id, prompt; glossary: seq, english, tamil.
+    prompts: prompt_id, prompt; glossary: seq, english, tamil. Up to TERMS terms of TERM_CHARS characters together go to all
+    tasks, which look for them in the prompts as they read these: nothing is shuffled or written. More take contained_pairs().
     """
+    import pyarrow as pa
+
     terms = glossary.select(F.lower(T.strip("english")).alias("english"), "tamil", "seq").filter("english <> ''").groupBy("english").agg(F.max_by("tamil", "seq").alias("tamil"))
-    small = terms.select(F.col("english").alias("small_id"), F.col("english").alias("small"))
     large = prompts.select(F.col("prompt_id").alias("large_id"), F.lower("prompt").alias("large"))
-    return contained_pairs(small, large).select(F.col("large_id").alias("prompt_id"), F.col("small_id").alias("english")).join(terms, "english").select("prompt_id", "english", "tamil")
+    n, chars = terms.agg(F.count("*"), F.sum(F.length("english") + F.coalesce(F.length(F.col("tamil").cast("string")), F.lit(0)))).first()
+    if n > TERMS or (chars or 0) > TERM_CHARS:
+        small = terms.select(F.col("english").alias("small_id"), F.col("english").alias("small"))
+        return contained_pairs(small, large).select(F.col("large_id").alias("prompt_id"), F.col("small_id").alias("english")).join(terms, "english").select("prompt_id", "english", "tamil")
+    rows = terms.toArrow().combine_chunks()
+    shared = prompts.sparkSession.sparkContext.broadcast((rows["english"].combine_chunks(), rows["tamil"].combine_chunks()))
+
+    def find(batches):
+        english, tamil = shared.value
+        known = _Terms(english.to_pylist())
+        for batch in batches:
+            at, term = [], []
+            for i, text in enumerate(batch.column(1)):
+                found = known.within(text.as_py())
+                at += [i] * len(found)
+                term += found
+                if len(term) >= PAIRS or (term and i == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), english.take(pa.array(term)), tamil.take(pa.array(term))], ["prompt_id", "english", "tamil"])
+                    at, term = [], []
+
+    kind = dict(prompts.dtypes)["prompt_id"], dict(terms.dtypes)["tamil"]
+    return large.filter("large is not null").mapInArrow(find, f"prompt_id {kind[0]}, english string, tamil {kind[1]}")
 
 
 def broken_links(pages: DataFrame, pattern: str = r'href="([^"]+)"') -> DataFrame:
