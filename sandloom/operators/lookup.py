@@ -44,7 +44,8 @@ def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
     shorter ones the longest word lies in a word of the text around it: it is looked for among the distinct words, by its
     rarest three-character gram, or by itself if it has one or two characters. Texts without a word are contained in
     nothing. The distinct words and their counts are written once, so are the words to look for; these are broadcast up to
-    NAMED_WORDS, and the words of the texts are shuffled beyond.
+    NAMED_WORDS, and the words of the texts are shuffled beyond. Spark would go by the size of the files, which are packed,
+    and broadcast many more; so joins with many words, and that with the texts, are told to merge.
     """
     spark, path = large.sparkSession, scratch(large.sparkSession, "contained")
     parts = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
@@ -53,23 +54,25 @@ def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
     ws = small.select("small_id", parts(F.col("small")).alias("ws"))
     held.groupBy("word").agg(F.count("*").alias("df")).write.parquet(f"{path}/words")
     counts = spark.read.parquet(f"{path}/words")
+    many = counts.count() * 8 > NAMED_WORDS  # a word has some eight grams
+    merged = lambda d: d.hint("merge") if many else d
     inner = ws.filter(F.size("ws") >= 3).select("small_id", F.explode(F.array_distinct(F.slice("ws", F.lit(2), F.size("ws") - 2))).alias("word"))
-    rarest = inner.join(counts, "word", "left").groupBy("small_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), F.col("word"))).alias("word"))
+    rarest = inner.join(merged(counts), "word", "left").groupBy("small_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), F.col("word"))).alias("word"))
     longest = F.aggregate("ws", F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     short = ws.filter(F.size("ws").between(1, 2)).select("small_id", longest.alias("key"))
     vocab = counts.filter(F.length("word") >= GRAM).select("word", F.explode(grams(F.col("word"), GRAM)).alias("gram"))
     gram_df = vocab.groupBy("gram").agg(F.count("*").alias("df"))
     one = short.filter(F.length("key") >= GRAM).select("small_id", "key", F.explode(grams(F.col("key"), GRAM)).alias("gram"))
-    one = one.join(gram_df, "gram", "left").groupBy("small_id", "key").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("gram"))
-    inside = one.join(vocab, "gram").filter(F.contains("word", F.col("key"))).select("small_id", "word").distinct()
+    one = one.join(merged(gram_df), "gram", "left").groupBy("small_id", "key").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("gram"))
+    inside = one.join(merged(vocab), "gram").filter(F.contains("word", F.col("key"))).select("small_id", "word").distinct()
     for n in range(1, GRAM):
         tiny = short.filter(F.length("key") == n)
         pieces = counts.filter(F.length("word") >= n).select("word", F.explode(grams(F.col("word"), n)).alias("key"))
-        inside = inside.unionByName(tiny.join(pieces, "key").select("small_id", "word"))
+        inside = inside.unionByName(tiny.join(merged(pieces), "key").select("small_id", "word"))
     rarest.select("small_id", "word").unionByName(inside).write.parquet(f"{path}/asked")
     asked = spark.read.parquet(f"{path}/asked")
-    met = held.join(F.broadcast(asked) if asked.count() <= NAMED_WORDS else asked, "word").select("small_id", "large_id").distinct()
-    both = met.join(small, "small_id").join(large, "large_id")
+    met = held.join(F.broadcast(asked) if asked.count() <= NAMED_WORDS else asked.hint("merge"), "word").select("small_id", "large_id").distinct()
+    both = met.join(small, "small_id").join(large.hint("merge"), "large_id")
     return both.filter(F.contains("large", F.col("small"))).select("small_id", "large_id")
 
 
