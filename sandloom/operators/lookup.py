@@ -76,14 +76,15 @@ def contained_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
     return both.filter(F.contains("large", F.col("small"))).select("small_id", "large_id")
 
 
-TERMS, TERM_CHARS, KEY, KNOWN_WORDS, PAIRS = 1 << 16, 1 << 22, 32, 1 << 16, 1 << 16
+TERMS, TERM_CHARS, FEW_TERMS, KEY, KNOWN_WORDS, PAIRS = 1 << 16, 1 << 22, 512, 32, 1 << 16, 1 << 16
 
 
 class _Terms(dict):
     """Numbers of the terms that a text contains. As a dict: a word -> the keys in it, for words that were met lately.
 
     A term's key is its longest word, up to KEY characters of it. It lies in a word of any text that contains the term; a
-    term that is more than its key is then looked for in the text itself, one without a word in every text.
+    term that is more than its key is then looked for in the text itself, one without a word in every text. Up to FEW_TERMS
+    terms are all looked for in the text, which is faster.
     """
 
     def __init__(self, terms: list[str]):
@@ -110,6 +111,8 @@ class _Terms(dict):
         return got
 
     def within(self, text: str) -> list[int]:
+        if len(self.terms) <= FEW_TERMS:
+            return [i for i, term in enumerate(self.terms) if term in text]
         keys = set().union(*map(self.__getitem__, set(text.split())))
         sure = [self.whole[k] for k in keys if k in self.whole]
         return sure + [i for i in [*self.wordless, *(i for k in keys if k in self.more for i in self.more[k])] if self.terms[i] in text]
